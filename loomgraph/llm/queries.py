@@ -14,6 +14,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).withColumn("too_long", F.col("longest_repeat") > 200).drop("longest_repeat")
 
 
+def op2_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k_search
+
+    return top_k_search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_top_k_search": op2_top_k_search,
 }

@@ -33,4 +33,19 @@ SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
 FROM b
 """
 
-ORACLES = {"op1_quality_rules": OP1}
+OP2 = """
+WITH v AS (
+  SELECT vec_id::BIGINT AS id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.id AS query_id, c.id AS vec_id, list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.id % 50 = 0 AND c.id <> q.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLES = {
+    "op1_quality_rules": OP1,
+    "op2_top_k_search": OP2,
+}
