@@ -20,7 +20,14 @@ def op2_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_search(table(spark, sf_dir, "embeddings"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_top_k_search": op2_top_k_search,
+    "op3_substring_dedup": op3_substring_dedup,
 }

@@ -45,7 +45,21 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP3 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
+g AS (SELECT r, i, ws[i] AS word, CASE WHEN i + 34 <= len(ws) THEN md5(array_to_string(ws[i:i + 34], ' ')) END AS h FROM p),
+c AS (SELECT h FROM g WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+m AS (
+  SELECT r, i, word, max(CASE WHEN c.h IS NOT NULL THEN i END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS hit
+  FROM g LEFT JOIN c ON g.h = c.h),
+a AS (SELECT r, count(hit) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE hit IS NULL) AS kept FROM m GROUP BY r)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN a USING (r)
+"""
+
 ORACLES = {
     "op1_quality_rules": OP1,
     "op2_top_k_search": OP2,
+    "op3_substring_dedup": OP3,
 }
