@@ -26,8 +26,16 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_groups
+
+    groups = simhash_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_top_k_search": op2_top_k_search,
     "op3_substring_dedup": op3_substring_dedup,
+    "op7_simhash": op7_simhash,
 }
