@@ -138,7 +138,7 @@ def _remove(digest: bool):
             raw = out.tobytes()
             removed = np.bincount(words.rows()[gone], minlength=len(b)).astype(np.int64)
             spans = zip(offs[:-1].tolist(), offs[1:].tolist())
-            kept = [hashlib.sha256(raw[s:e]).hexdigest() if digest else raw[s:e].decode() for s, e in spans]
+            kept = [hashlib.sha256(raw[s:e]).hexdigest() if digest else raw[s:e].decode("utf-8", "replace") for s, e in spans]
             yield pa.RecordBatch.from_arrays(
                 [column(b, "doc_id"), pa.array(words.count.astype(np.int64)), pa.array(removed), pa.array(kept, pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "kept_text"],
@@ -155,21 +155,22 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_spans(src: DataFrame, window: int, anchor: int) -> DataFrame:
     """doc_id, th, spans array<struct<start, len>>: word spans of each source text that also start elsewhere."""
     found = cut(src.mapInArrow(_find_pieces(window, anchor), "doc_id long, th long, a long, c long, start int, n int"), "pieces")
-    shared = found.groupBy("a").agg(F.count("*").alias("m")).filter("m > 1").select("a")
+    # Written tables on both sides of the joins let the adaptive skew join split a hot anchor.
+    shared = cut(found.groupBy("a").agg(F.count("*").alias("m")).filter("m > 1").select("a"), "anchors")
     found = cut(found.join(shared, "a"), "shared")
     one = F.struct("doc_id", "th", "start", "n")
     classes = cut(found.groupBy("a", "c").agg(F.count("*").alias("k"), F.min(one).alias("one")), "classes")
     # Paths without branches: all edges of a class with two or more occurrences repeat.
     whole = found.join(classes.filter("k > 1").select("a", "c"), ["a", "c"]).select("doc_id", "th", "start", (F.col("n") + (window - 1)).alias("len"))
     # Branches: anchors with several classes, of which one at least occurs once only.
-    forks = classes.groupBy("a").agg(F.count("*").alias("m"), F.min("k").alias("least")).filter("m > 1 and least = 1").select("a")
+    forks = cut(classes.groupBy("a").agg(F.count("*").alias("m"), F.min("k").alias("least")).filter("m > 1 and least = 1").select("a"), "forks")
     todo = (
         classes.join(forks, "a").select("one.doc_id", "one.th", F.struct("a", "one.start", "one.n", "k").alias("x"))
         .groupBy("doc_id", "th").agg(F.collect_list("x").alias("todo"))
     )
     edges = src.join(todo, _same(src, todo)).select(src["doc_id"], src["th"], src["text"], "todo")
     edges = cut(edges.mapInArrow(_expand(window), "doc_id long, th long, a long, w long, start int, k long"), "edges")
-    again = edges.groupBy("a", "w").agg(F.sum("k").alias("m")).filter("m > 1").select("a", "w")
+    again = cut(edges.groupBy("a", "w").agg(F.sum("k").alias("m")).filter("m > 1").select("a", "w"), "again")
     single = edges.filter("k = 1").join(again, ["a", "w"]).select("doc_id", "th", "start", F.lit(window).alias("len"))
     return (
         whole.unionByName(single).groupBy("doc_id", "th")
