@@ -26,6 +26,14 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    taken = F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"])
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
@@ -45,6 +53,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_top_k_search": op2_top_k_search,
     "op3_substring_dedup": op3_substring_dedup,
+    "op6_mix_sources": op6_mix_sources,
     "op7_simhash": op7_simhash,
     "op9_secret_scan": op9_secret_scan,
 }

@@ -58,8 +58,34 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n
 FROM d LEFT JOIN a USING (r)
 """
 
+OP6 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix-1' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 2 * sum(size)::DOUBLE AS cap,
+    ([3, 1, 2][1 + (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3])::DOUBLE AS w
+  FROM d GROUP BY source),
+t AS (SELECT 1.5::DOUBLE * sum(source_size)::DOUBLE AS total, sum(w) AS weight FROM s),
+o AS (
+  SELECT *, row_number() OVER (ORDER BY cap / w, source) AS k,
+    coalesce(sum(cap) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps,
+    coalesce(sum(w) OVER (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ws
+  FROM s),
+l AS (SELECT min_by((total - caps) / (weight - ws), k) AS level FROM o, t WHERE NOT cap < w * ((total - caps) / (weight - ws))),
+g AS (SELECT source, source_size, CASE WHEN cap < w * level THEN cap ELSE w * level END AS target FROM s, l),
+p AS (
+  SELECT doc_id, size, source_size, target, round(target)::BIGINT AS words,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+  (greatest(least(words - off, size), 0) + greatest(least(words - off - source_size, size), 0))::BIGINT AS taken
+FROM p
+"""
+
 ORACLES = {
     "op1_quality_rules": OP1,
     "op2_top_k_search": OP2,
     "op3_substring_dedup": OP3,
+    "op6_mix_sources": OP6,
 }
