@@ -26,6 +26,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_id
+
+    return language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -60,6 +66,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_top_k_search": op2_top_k_search,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_language_id": op4_language_id,
     "op6_mix_sources": op6_mix_sources,
     "op7_simhash": op7_simhash,
     "op9_secret_scan": op9_secret_scan,
