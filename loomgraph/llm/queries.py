@@ -32,6 +32,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -67,6 +73,7 @@ QUERIES = {
     "op2_top_k_search": op2_top_k_search,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_language_id": op4_language_id,
+    "op5_html_extraction": op5_html_extraction,
     "op6_mix_sources": op6_mix_sources,
     "op7_simhash": op7_simhash,
     "op9_secret_scan": op9_secret_scan,
