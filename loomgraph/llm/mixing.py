@@ -28,7 +28,7 @@ from .kernels import Texts, Words, column, pieces
 
 # The weights, repeating by source, the share of all words, and the most repeats.
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
-BLOCK_WORDS, SHARD_WORDS, SEED, CHUNK_SOURCES = 4096, 32 << 20, "mix-1", 1000
+BLOCK_WORDS, SHARD_WORDS, MAX_SHARDS, SEED, CHUNK_SOURCES = 4096, 1 << 20, 4096, "mix-1", 1000
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -102,7 +102,7 @@ def shard_quotas(sources: DataFrame, block_words: int, shards: int | None, shard
     t = cut(t, "quotas")
     chunks = sorted((r.chunk, r.n) for r in t.groupBy("chunk").agg(F.sum("blocks").alias("n")).collect())  # a row for 1000 sources
     total = sum(n for _, n in chunks)
-    shards = shards or max(1, round(total * block_words / shard_words))
+    shards = shards or min(MAX_SHARDS, max(1, round(total * block_words / shard_words)))
     room = np.full(shards, total // shards, dtype=np.int64)
     room[: total % shards] += 1
     rooms = split_tree(np.array([n for _, n in chunks], dtype=np.int64), room, np.random.default_rng(seed)) if chunks else np.zeros((0, shards), np.int64)
@@ -124,6 +124,11 @@ def shard_quotas(sources: DataFrame, block_words: int, shards: int | None, shard
     return t.drop("chunk").join(t.groupBy("chunk").applyInPandas(draw, "sid long, runs array<long>, step long, shift long"), "sid")
 
 
+def _order(seed: str):
+    """The permutation: documents of a source follow each other by this hash."""
+    return F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: tuple[str, ...] = (),
     block_words: int = BLOCK_WORDS, shards: int | None = None, shard_words: int = SHARD_WORDS, seed: str = SEED,
@@ -143,21 +148,28 @@ def mix_sources(
     """
     spark = docs.sparkSession
     arrow_rows(spark)
-    kept = [docs[c].alias(f"carry_{c}") for c in carry]
+    kept = [docs[c].alias(f"carry_{c}") for c in carry if c != text_col]
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), docs[text_col].cast("string").alias("text"), *kept)
-    sized = word_counts(src).drop("text")
+    sized = word_counts(src)
+    sized = sized.withColumnRenamed("text", f"carry_{text_col}") if text_col in carry else sized.drop("text")
     if not carry:
         sized = cut(sized, "sizes")
-    sized = sized.withColumn("h", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    sized = sized.withColumn("h", _order(seed))
+    slim = sized.select("doc_id", "source", "size", "h") if not carry else cut(word_counts(src).select("doc_id", "source", "size"), "sizes").withColumn("h", _order(seed))
+    totals = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     ids = cut(ranked(totals), "sources")
     n = ids.agg(F.sum("n")).first()[0] or 0
     quotas = cut(shard_quotas(water_fill(ids.drop("n"), share, repeats), block_words, shards, shard_words, crc32(seed.encode())), "shards")
     depth = ceil(log(max(1.0, n / 1000), 256))
-    placed = sized.join(ids.select(F.col("source").alias("s"), "sid"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    placed = placed.withColumn("p", F.substring("h", 1, 2 * depth))
+    leaf = F.substring("h", 1, 2 * depth).alias("p")
+    named = ids.select(F.col("source").alias("s"), "sid")
+
+    def numbered(df: DataFrame) -> DataFrame:
+        return df.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+
+    placed = numbered(sized).select("*", leaf)
     # Running sums among siblings of the radix tree, level by level.
-    sums = cut(placed.groupBy("sid", "p").agg(F.sum("size").alias("size")), "prefixes") if depth else None
+    sums = cut(numbered(slim.groupBy("source", leaf).agg(F.sum("size").alias("size"))).select("sid", "p", "size"), "prefixes") if depth else None
     start = F.sum("size").over(Window.partitionBy("sid", "p").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1))
     placed = placed.withColumn("at", F.coalesce(start, F.lit(0)))
     if depth:
@@ -182,3 +194,29 @@ def mix_sources(
 
     copies = F.filter(F.array(*map(copy, range(repeats))), lambda c: c["words"] > 0)
     return placed.select("doc_id", "size", "source_size", "target", copies.alias("copies"), *[F.col(f"carry_{c}").alias(c) for c in carry])
+
+
+def _first_words(batches):
+    """Texts cut after their first `words` words; n_chars follows where a text was cut."""
+    for b in pieces(batches, "text"):
+        texts = Texts(column(b, "text"))
+        words = Words(texts)
+        want = np.asarray(column(b, "words"))
+        out, chars = column(b, "text").to_pylist(), column(b, "n_chars").to_pylist()
+        for i in np.flatnonzero(want < words.count).tolist():
+            end = words.end[words.ptr[i] + want[i] - 1] if want[i] else texts.offs[i]
+            out[i] = texts.data[texts.offs[i] : end].tobytes().decode("utf-8", "replace")
+            chars[i] = len(out[i])
+        keep = [n for n in b.schema.names if n not in ("text", "n_chars", "words")]
+        yield pa.RecordBatch.from_arrays([*(column(b, n) for n in keep), pa.array(out, pa.string()), pa.array(chars, pa.int64())], names=[*keep, "text", "n_chars"])
+
+
+def shuffled(mixed: DataFrame) -> DataFrame:
+    """doc_id, lang, source, text, n_chars, shard, slot: the documents of a mix that carries these columns, one
+    row for each copy. Rows are dealt by shard and the first digit pair of the slot, so that a large shard
+    takes several tasks, and ordered by slot within each."""
+    rows = mixed.select("doc_id", "lang", "source", "text", F.col("n_chars").cast("long").alias("n_chars"), F.inline("copies"))
+    rows = rows.select("doc_id", "lang", "source", "shard", "slot", "text", "n_chars", "words")
+    rows = rows.mapInArrow(_first_words, "doc_id long, lang string, source string, shard int, slot string, text string, n_chars long")
+    part = F.substring("slot", 1, 2)
+    return rows.repartition(F.col("shard"), part).sortWithinPartitions("shard", "slot")

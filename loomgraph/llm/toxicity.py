@@ -260,12 +260,13 @@ def fit_map(known: DataFrame, model: Model) -> tuple[float, float]:
 SEGMENT = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("p", pa.float64())]))
 
 
-def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_passages: bool = True, level: float = 0.05) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", with_passages: bool = True, level: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score, predicted and, if wanted, passages: every segment with a chance under `level`
     in clean text, as (first token, end, score, p).
 
     Null or empty texts score as text without evidence. Null ids and repeated rows are kept; an empty
-    table gives an empty result; other columns are ignored. Whole texts are scanned.
+    table gives an empty result; other columns are ignored but for those named in carry. Whole texts
+    are scanned.
     """
     arrow_rows(docs.sparkSession)
 
@@ -281,10 +282,12 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
                     chance = [(a, e, s, -np.expm1(-exp(min(50.0, log(max(model.k * k, 1.0)) - model.lam * s)))) for a, e, s in mine]
                     passages.append([{"start": a, "end": e, "score": s, "p": float(p)} for a, e, s, p in chance if p < level])
                 out, names = [*out, pa.array(passages, SEGMENT)], [*names, "passages"]
-            yield pa.RecordBatch.from_arrays(out, names=names)
+            yield pa.RecordBatch.from_arrays([*out, *(column(b, f"carry_{c}" if c != text_col else "text") for c in carry)], names=[*names, *carry])
 
-    src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    kept = [c for c in carry if c != text_col]
+    src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *[docs[c].alias(f"carry_{c}") for c in kept])
     more = ", passages array<struct<start:int,end:int,score:double,p:double>>" if with_passages else ""
+    more += "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     return src.mapInArrow(run, f"doc_id long, score double, predicted int{more}")
 
 
