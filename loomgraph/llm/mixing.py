@@ -213,10 +213,10 @@ def _first_words(batches):
 
 def shuffled(mixed: DataFrame) -> DataFrame:
     """doc_id, lang, source, text, n_chars, shard, slot: the documents of a mix that carries these columns, one
-    row for each copy. Rows are dealt by shard and the first digit pair of the slot, so that a large shard
-    takes several tasks, and ordered by slot within each."""
+    row for each copy, ordered by shard and slot within each partition. A block's documents lie together
+    already, and every partition holds parts of all sources, so the text is not dealt out a second time;
+    writing by shard joins the ordered parts of each."""
     rows = mixed.select("doc_id", "lang", "source", "text", F.col("n_chars").cast("long").alias("n_chars"), F.inline("copies"))
     rows = rows.select("doc_id", "lang", "source", "shard", "slot", "text", "n_chars", "words")
     rows = rows.mapInArrow(_first_words, "doc_id long, lang string, source string, shard int, slot string, text string, n_chars long")
-    part = F.substring("slot", 1, 2)
-    return rows.repartition(F.col("shard"), part).sortWithinPartitions("shard", "slot")
+    return rows.sortWithinPartitions("shard", "slot")
