@@ -196,27 +196,15 @@ def mix_sources(
     return placed.select("doc_id", "size", "source_size", "target", copies.alias("copies"), *[F.col(f"carry_{c}").alias(c) for c in carry])
 
 
-def _first_words(batches):
-    """Texts cut after their first `words` words; n_chars follows where a text was cut."""
-    for b in pieces(batches, "text"):
-        texts = Texts(column(b, "text"))
-        words = Words(texts)
-        want = np.asarray(column(b, "words"))
-        out, chars = column(b, "text").to_pylist(), column(b, "n_chars").to_pylist()
-        for i in np.flatnonzero(want < words.count).tolist():
-            end = words.end[words.ptr[i] + want[i] - 1] if want[i] else texts.offs[i]
-            out[i] = texts.data[texts.offs[i] : end].tobytes().decode("utf-8", "replace")
-            chars[i] = len(out[i])
-        keep = [n for n in b.schema.names if n not in ("text", "n_chars", "words")]
-        yield pa.RecordBatch.from_arrays([*(column(b, n) for n in keep), pa.array(out, pa.string()), pa.array(chars, pa.int64())], names=[*keep, "text", "n_chars"])
-
-
 def shuffled(mixed: DataFrame) -> DataFrame:
     """doc_id, lang, source, text, n_chars, shard, slot: the documents of a mix that carries these columns, one
     row for each copy, ordered by shard and slot within each partition. A block's documents lie together
     already, and every partition holds parts of all sources, so the text is not dealt out a second time;
     writing by shard joins the ordered parts of each."""
-    rows = mixed.select("doc_id", "lang", "source", "text", F.col("n_chars").cast("long").alias("n_chars"), F.inline("copies"))
-    rows = rows.select("doc_id", "lang", "source", "shard", "slot", "text", "n_chars", "words")
-    rows = rows.mapInArrow(_first_words, "doc_id long, lang string, source string, shard int, slot string, text string, n_chars long")
-    return rows.sortWithinPartitions("shard", "slot")
+    rows = mixed.select("doc_id", "size", "lang", "source", "text", "n_chars", F.inline("copies"))
+    # Cut after the last word taken: split at the ends of the first words, which keeps every character.
+    parts = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", (F.col("words") + 1).cast("int"))
+    first = F.array_join(F.slice(parts, F.lit(1), F.col("words").cast("int")), "")
+    rows = rows.withColumn("part", F.when(F.col("words") < F.col("size"), first))
+    text, chars = F.coalesce("part", "text"), F.when(F.col("part").isNull(), F.col("n_chars").cast("long")).otherwise(F.length("part").cast("long"))
+    return rows.select("doc_id", "lang", "source", text.alias("text"), chars.alias("n_chars"), "shard", "slot").sortWithinPartitions("shard", "slot")
