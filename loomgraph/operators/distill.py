@@ -37,14 +37,20 @@ def with_places(extracted: DataFrame) -> DataFrame:
     return extracted.select("doc_id", placed[0].alias("chunks"))
 
 
+def _exploded(docs: DataFrame) -> DataFrame:
+    """A row for each chunk. The outer form keeps the optimizer from testing the size of the array, which
+    would extract every document twice."""
+    return docs.select("doc_id", F.posexplode_outer("chunks").alias("chunk_idx", "c")).filter("c is not null")
+
+
 def raw_entities(placed: DataFrame) -> DataFrame:
-    chunks = placed.select("doc_id", F.posexplode("chunks").alias("chunk_idx", "c"))
+    chunks = _exploded(placed)
     rows = chunks.select("doc_id", "chunk_idx", snippet(F.col("c.chunk")).alias("source"), F.posexplode("c.entities").alias("ent_idx", "e"))
     return rows.select("doc_id", "chunk_idx", "ent_idx", "source", "e.text", "e.type", "e.pos")
 
 
-def raw_relations(placed: DataFrame) -> DataFrame:
-    chunks = placed.select("doc_id", F.posexplode("chunks").alias("chunk_idx", "c"))
+def raw_relations(extracted: DataFrame) -> DataFrame:
+    chunks = _exploded(extracted)
     rows = chunks.select("doc_id", "chunk_idx", F.col("c.chunk").alias("chunk"), F.posexplode("c.relations").alias("rel_idx", "r"))
     return rows.select("doc_id", "chunk_idx", "rel_idx", "chunk", "r.subject", "r.predicate", "r.object")
 
@@ -145,6 +151,6 @@ def distill(docs: DataFrame, extractor, cfg: ExtractionConfig | None = None, cla
     placed = with_places(extracted)
     entities = aggregate_entities(raw_entities(placed), cfg.entity_ns)
     entities = map_labels(limited(entities, cfg.max_entities), "type", classes, "ontology_type")
-    linked = link(raw_relations(placed), entities, cfg.property_ns, properties)
+    linked = link(raw_relations(extracted), entities, cfg.property_ns, properties)
     triples = score_triples(linked, cfg.max_triples)
     return Extraction(extracted, entities, relation_types(linked), triples, summaries(extracted, triples))

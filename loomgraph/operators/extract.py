@@ -20,7 +20,7 @@ NAME = r"(?U)\b\p{Lu}\w+"
 
 def chunked(docs: DataFrame) -> DataFrame:
     """doc_id, chunk_idx, chunk: the sentences of each document."""
-    return docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("chunk_idx", "chunk"))
+    return docs.select("doc_id", F.posexplode_outer(sentences(F.col("text"))).alias("chunk_idx", "chunk")).filter("chunk is not null")
 
 
 class RuleExtractor:

@@ -138,10 +138,10 @@ def entity_levels(spark, sf_dir):
 
 
 def _linked(spark, sf_dir):
-    placed = D.with_places(RuleExtractor()(documents(spark, sf_dir)))
-    e = D.limited(D.aggregate_entities(D.raw_entities(placed), CFG.entity_ns), CFG.max_entities)
+    extracted = RuleExtractor()(documents(spark, sf_dir))
+    e = D.limited(D.aggregate_entities(D.raw_entities(D.with_places(extracted)), CFG.entity_ns), CFG.max_entities)
     D.tune(spark)
-    return D.link(D.raw_relations(placed), e, CFG.property_ns)
+    return D.link(D.raw_relations(extracted), e, CFG.property_ns)
 
 
 @query
