@@ -144,7 +144,7 @@ def train(docs: DataFrame, fold: int = 2, folds: int = 4, per_lang: int = SAMPLE
     langs = sorted(r.lang for r in sizes)
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, per_lang / r.n))])
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    known = cut(src.filter(F.col("lang").isin(langs)).filter(draw < F.element_at(share, F.col("lang"))).select("text", "lang"), "langs")
+    known = cut(src.filter(F.col("lang").isin(langs)).filter(draw < F.element_at(share, F.col("lang"))).select("text", "lang").distinct(), "langs")
     counts = np.zeros((len(langs), 2 << HASH_BITS))
     found = known.mapInArrow(_count(langs), "i int, g int, n long").groupBy("i", "g").agg(F.sum("n").alias("n")).toArrow()
     counts[np.asarray(found["i"]), np.asarray(found["g"])] = np.asarray(found["n"])  # languages times hash values at most

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from .frames import arrow_rows
 from .kernels import Rolling, Texts, Words, column, per_row, pieces, BYTE, R1
 
-MIN_WORDS, MAX_COVERED, MAX_REPEAT = 10, 0.3, 200
+MIN_WORDS, MAX_COVERED, MAX_REPEAT = 10, 0.5, 200
 
 
 def longest_repeats(word_hash: np.ndarray, ptr: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ b AS (
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_covered, 0)::BIGINT AS n_covered, coalesce(too_long, false) AS too_long
   FROM d JOIN w USING (r) LEFT JOIN a USING (r) LEFT JOIN dup USING (r))
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 1000 * n_covered <= 300 * n_words AND NOT too_long AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 1000 * n_covered <= 500 * n_words AND NOT too_long AS kept
 FROM b
 """
 

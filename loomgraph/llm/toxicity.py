@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import arrow_rows, crc_mod, cut
-from .kernels import BYTE, LOWER, R1, Rolling, Texts, column, mix, pieces
+from .kernels import BYTE, LOWER, R1, R2, Rolling, Texts, column, mix, pieces
 
 #: Labelled documents of a class to learn from, about; features of the model at most.
 SAMPLE_PER_CLASS, MAX_FEATURES = 20_000, 50_000
-#: Words of prior weight; least z-score and documents of a feature; score of a token outside the model.
-PRIOR, LEAST_Z, LEAST_DOCS, DRIFT = 500.0, 4.0, 5, 0.1
+#: Documents of prior weight; least z-score, log-odds and documents of a feature; score of a token outside the model.
+PRIOR, LEAST_Z, LEAST_ODDS, LEAST_DOCS, DRIFT = 500.0, 4.0, 1.0, 5, 0.1
 PREFIXES = (4, 5, 6, 7, 8)
 
 _TOKEN = np.zeros(256, dtype=bool)
@@ -154,6 +154,41 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(n1), pa.array(n - n1)], names=["f", "n1", "n0"])
 
 
+def _sketch(batches):
+    """A hash of each text and two min-hashes of its runs of three tokens, which near copies mostly share."""
+    store: dict = {}
+    other: dict = {}
+    for b in pieces(batches, "text"):
+        texts = Texts(column(b, "text"))
+        tokens = Tokens(texts, store)
+        h = tokens.roll.span(tokens.start, tokens.end)
+        roll = Rolling(h, R2, other)
+        n = np.diff(tokens.ptr)
+        at = np.arange(len(h))
+        end = np.minimum(at + 3, np.repeat(tokens.ptr[1:], n))
+        run = roll.span(at, end)
+        full = np.flatnonzero(n)
+        out = [pa.array(_whole(texts, store).view(np.int64))]
+        for salt in (np.uint64(0x51ED270B), np.uint64(0xC2B2AE3D)):
+            low = np.zeros(texts.n, dtype=np.uint64)
+            if len(full):
+                low[full] = np.minimum.reduceat(mix(run ^ salt), tokens.ptr[full])
+            out.append(pa.array(low.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([*out, column(b, "text"), column(b, "toxic")], names=["id", "m1", "m2", "text", "toxic"])
+
+
+def _whole(texts: Texts, store: dict) -> np.ndarray:
+    data = BYTE[texts.data]
+    return Rolling(data, R1, store).span(texts.offs[:-1], texts.offs[1:])
+
+
+def without_copies(known: DataFrame) -> DataFrame:
+    """One of each group of equal or nearly equal texts, so that the words of a much-copied one are no evidence."""
+    rows = cut(known.mapInArrow(_sketch, "id long, m1 long, m2 long, text string, toxic int").dropDuplicates(["id"]), "sketches")
+    first = lambda m: rows.groupBy(m).agg(F.min("id").alias("id"))
+    return rows.join(first("m1"), ["m1", "id"], "left_semi").join(first("m2"), ["m2", "id"], "left_semi").select("text", "toxic")
+
+
 def sampled_labels(labels: DataFrame, fold: int, folds: int, label_col: str, per_class: int) -> DataFrame:
     """doc_id and toxic of about per_class training labels of each class, chosen by a hash of the id."""
     y = (
@@ -170,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 0, folds: int = 5, lab
     """Fit on about per_class labelled documents of each class whose crc32(doc_id) modulo folds is not fold."""
     chosen = sampled_labels(labels, fold, folds, label_col, per_class)
     # At most about 2 * per_class ids are sent to all executors.
-    known = cut(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")
+    known = cut(without_copies(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")), "labelled")
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     empty = Model(np.zeros(0, np.uint64), np.zeros(0))
@@ -185,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 0, folds: int = 5, lab
     z = odds / F.sqrt(1 / y1 + 1 / y0)
     model = (
         counts.filter(F.col("n1") + F.col("n0") >= LEAST_DOCS).select("f", odds.alias("s"), F.abs(z).alias("z"))
-        .filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(MAX_FEATURES).collect()
+        .filter((F.col("z") >= LEAST_Z) & (F.abs("s") >= LEAST_ODDS)).orderBy(F.desc("z"), "f").limit(MAX_FEATURES).collect()
     )
     keys = np.array([r.f for r in model], dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
