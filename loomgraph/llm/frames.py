@@ -21,9 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables that `cut` wrote in this process, once no result that reads them is needed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df in the shared folder and read it again: lost executors cost no recomputation before this."""
+    """Write df in the shared folder and read it again: lost executors cost no recomputation before this.
+    The tables stay until `release`."""
     path = f"{shared_dir(df.sparkSession)}/loomgraph/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -41,7 +54,3 @@ def crc_mod(column: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n; null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % n
 
-
-def spread(spark: SparkSession, key_rows: int, rows: int, least: int = 1) -> int:
-    """How many partitions hold `rows` rows at about key_rows each."""
-    return max(least, -(-rows // key_rows), 1)

@@ -145,6 +145,34 @@ def test_segments():
         assert all(v == pytest.approx(full[a:b].sum()) for a, b, v in got)
 
 
+def test_copies_are_no_evidence(spark):
+    """A much-copied toxic text teaches none of its innocent words, and common words repeated add up to nothing."""
+    from loomgraph.llm.toxicity import train, toxicity
+
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    clean = [" ".join(["the", *(word() for _ in range(60))]) for _ in range(400)]
+    bad = [" ".join(["the", "the", *(word() for _ in range(60)), "awful", "scumbag"]) for _ in range(60)]
+    copied = " ".join(word() for _ in range(60))
+    bad += [f"{copied} awful {word()} scumbag" for _ in range(60)]
+    docs = [(i, t) for i, t in enumerate(clean + bad + ["the " * 300, f"{copied} fine"])]
+    labels = [(i, int(i >= len(clean))) for i in range(len(clean) + len(bad))]
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert len(train(d, y).keys) < 30
+    got = {r.doc_id: r.predicted for r in toxicity(d, y).collect()}
+    assert all(got[i] == y for i, y in labels) and not got[len(docs) - 1] and not got[len(docs) - 2]
+
+
+def test_release(spark):
+    from loomgraph.llm.frames import cut, release
+
+    df = cut(spark.range(3))
+    assert df.count() == 3
+    release(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        spark.read.parquet(df.inputFiles()[0]).count()
+
+
 def test_toxicity_held_out(spark):
     from loomgraph.llm.toxicity import toxicity
 
