@@ -95,6 +95,13 @@ def entity_types(triples: DataFrame, ontology: Ontology) -> DataFrame:
     return asserted.unionByName(above).distinct()
 
 
+def with_inferred_types(entities: DataFrame, types: DataFrame) -> DataFrame:
+    """Entities with inferred_types, sorted; entities without types keep what they have (null if nothing)."""
+    found = types.groupBy("uri").agg(F.sort_array(F.collect_set("type")).alias("found"))
+    kept = F.col("inferred_types") if "inferred_types" in entities.columns else F.lit(None).cast("array<string>")
+    return entities.join(found, "uri", "left").withColumn("inferred_types", F.coalesce(kept, "found")).drop("found")
+
+
 def domain_range_violations(triples: DataFrame, types: DataFrame, properties: DataFrame) -> DataFrame:
     """Triples whose subject (object) has types, none of which is the property's domain (range). Untyped ends are valid."""
     p = properties.select(F.col("uri").alias("p"), "domain", "range")

@@ -216,6 +216,12 @@ _put(
 ('DisjointClasses', 'nothing is both a onto:Place and a onto:Agent'), ('FunctionalObjectProperty', 'kg:locatedIn has at most one value'), ('ObjectPropertyDomain', 'whatever has kg:inRegion is a onto:Nation')) t(axiom_type, verbalization)""",
 )
 _put("entity_types", f"WITH {TYPES} SELECT uri, type FROM ty")
+_kg("inferred_types", "SELECT uri, string_agg(type, ',' ORDER BY type) AS types FROM (SELECT s AS uri FROM sk UNION SELECT o FROM sk) LEFT JOIN ty USING (uri) GROUP BY uri", TYPES)
+_put(
+    "ontology_prompt_terms",
+    f"WITH {CLASSES} SELECT 'class' AS kind, ord, label FROM cl UNION ALL SELECT * FROM (VALUES ('relation', 0, 'in region'), ('relation', 1, 'located in'), ('relation', 2, 'placed by')) t(kind, ord, label)",
+)
+_docs("provenance_summary", "SELECT 'extractor' AS method, sum(length(text))::BIGINT AS text_length, sum(len(cs))::BIGINT AS n_chunks, (SELECT count(*) FROM sco) AS n_triples, count(*) AS n_docs FROM c0")
 _kg(
     "domain_range_violations",
     """SELECT s, p, o, 'domain' AS violation FROM t WHERE domain IS NOT NULL AND s IN (SELECT uri FROM ty) AND NOT EXISTS (SELECT 1 FROM ty WHERE uri = s AND type = domain)

@@ -65,3 +65,30 @@ class LanguageModel:
 
     def explain(self, path: list[str]) -> str:
         return self.generate("Explain these steps:\n" + "\n".join(path)).strip() if path else "No reasoning path is recorded."
+
+
+def connect(cfg) -> LanguageModel:
+    """A model behind a provider's own client, if that is installed: openai, anthropic, or ollama (an OpenAI-like
+    server, on this machine unless base_url names another). Any other provider is an error."""
+    if cfg.provider in ("openai", "ollama"):
+        from openai import OpenAI
+
+        local = cfg.provider == "ollama"
+        client = OpenAI(base_url=cfg.base_url or ("http://localhost:11434/v1" if local else None), **({"api_key": "none"} if local else {}))
+
+        def ask(prompt: str) -> str:
+            got = client.chat.completions.create(model=cfg.model, temperature=cfg.temperature, max_tokens=cfg.max_tokens, messages=[{"role": "user", "content": prompt}])
+            return got.choices[0].message.content
+
+        return LanguageModel(ask)
+    if cfg.provider == "anthropic":
+        from anthropic import Anthropic
+
+        client = Anthropic()
+
+        def ask(prompt: str) -> str:
+            got = client.messages.create(model=cfg.model, temperature=cfg.temperature, max_tokens=cfg.max_tokens, messages=[{"role": "user", "content": prompt}])
+            return got.content[0].text
+
+        return LanguageModel(ask)
+    raise ValueError(f"unknown provider {cfg.provider!r}")

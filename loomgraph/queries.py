@@ -459,6 +459,29 @@ def entity_types(spark, sf_dir):
     return ontology.entity_types(typed(spark, sf_dir), part_ontology(spark))
 
 
+@query
+def inferred_types(spark, sf_dir):
+    t = small_kg(spark, sf_dir)
+    types = ontology.entity_types(typed(spark, sf_dir), part_ontology(spark))
+    e = ontology.with_inferred_types(graph.nodes(t), types)
+    return e.select("uri", F.array_join("inferred_types", ",").alias("types"))
+
+
+@query
+def ontology_prompt_terms(spark, sf_dir):
+    """The terms that a prompt lists, as rows."""
+    o = part_ontology(spark)
+    rows = o.classes.select(F.lit("class").alias("kind"), "ord", "label").unionByName(o.object_properties.select(F.lit("relation").alias("kind"), "ord", "label"))
+    return rows.filter("ord < 20")
+
+
+@query
+def provenance_summary(spark, sf_dir):
+    x = distilled(spark, sf_dir)
+    s = D.summaries(x.extracted, x.triples)
+    return s.groupBy(F.lit("extractor").alias("method")).agg(F.sum("text_length").alias("text_length"), F.sum("n_chunks").alias("n_chunks"), F.sum("n_triples").alias("n_triples"), F.count("*").alias("n_docs"))
+
+
 @query
 def domain_range_violations(spark, sf_dir):
     types = ontology.entity_types(typed(spark, sf_dir), part_ontology(spark))

@@ -266,3 +266,25 @@ def test_config(tmp_path):
     assert Config.load(str(tmp_path / "c.json")) == c
     with pytest.raises(KeyError):
         Config.from_dict({"nothing": 1})
+
+
+def test_logger(tmp_path):
+    import loomgraph
+
+    log = loomgraph.setup_logger("debug", str(tmp_path / "x.log"))
+    log.debug("hello")
+    assert "hello" in (tmp_path / "x.log").read_text() and len(loomgraph.setup_logger().handlers) == 1
+
+
+def test_unknown_provider():
+    from loomgraph.config import LLMConfig
+    from loomgraph.plans.prompts import connect
+
+    with pytest.raises(ValueError, match="provider"):
+        connect(LLMConfig(provider="other"))
+
+
+def test_inferred_types(spark):
+    e = spark.createDataFrame([("a", ["X"]), ("b", None), ("c", None)], "uri string, inferred_types array<string>")
+    types = spark.createDataFrame([("a", "Y"), ("b", "Z"), ("b", "W")], "uri string, type string")
+    assert {r.uri: r.inferred_types for r in ontology.with_inferred_types(e, types).collect()} == {"a": ["X"], "b": ["W", "Z"], "c": None}
