@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a record batch that a Python worker gets at once; the kernels cut it further by bytes.
-ARROW_ROWS = 2000
+#: Rows and bytes of a record batch that a Python worker gets at once; the kernels cut it further.
+ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +44,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 def arrow_rows(spark: SparkSession) -> None:
     """Bound the record batches sent to Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
