@@ -12,6 +12,7 @@ from .functions import scores
 from .operators import distill as D
 from .operators import graph, kg, ontology, similarity, verify
 from .operators.extract import RuleExtractor
+from .plans.partitions import balanced
 from .plans.prompts import LanguageModel
 from .plans.sparql import is_select, sparql
 from .sources import rdf
@@ -48,7 +49,7 @@ class Engine:
         is the default. rejected and refuted hold statements (s, p, o) that break rules; without them all are valid."""
         cfg = self.config.extraction
         o = self.ontology
-        x = D.distill(docs, self.extractor, cfg, o.classes if o else None, o.object_properties if o else None)
+        x = D.distill(balanced(docs), self.extractor, cfg, o.classes if o else None, o.object_properties if o else None)
         valid = verify.validate(x.triples, rejected).filter("valid")
         summary = D.summaries(x.extracted, valid)
         if verify_triples:

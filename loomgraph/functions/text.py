@@ -10,8 +10,9 @@ from ..schemas import RESPONSE
 
 def sentences(text: Column) -> Column:
     """The sentences of a text: split at blanks after . ! or ?, trimmed, empty ones dropped; null gives none."""
-    parts = F.split(F.coalesce(text, F.lit("")), r"(?U)(?<=[.!?])\s+", -1)
-    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    # Only the ends of the whole text can keep blanks, as a split takes all of those between sentences.
+    whole = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    return F.filter(F.split(whole, r"(?U)(?<=[.!?])\s+", -1), lambda x: x != "")
 
 
 def entity_uri(label: Column, ns: str) -> Column:

@@ -22,15 +22,19 @@ def tune(spark: SparkSession) -> None:
 
 
 def with_places(extracted: DataFrame) -> DataFrame:
-    """Entities of the chunks with `pos`, the first place of their text in the document (0: absent), in any case.
+    """Relations of the chunks with s_pos and o_pos, the first places of their ends in the document (0: absent), in any case.
 
-    The lower-cased text is bound once for a row, not once for an entity."""
+    An end links by its lower-cased label, so its place is the entity's too. The lower-cased text is bound once for a
+    row, and only ends of relations are looked up in it, not all mentions."""
     placed = F.transform(
         F.array(F.lower("text")),
         lambda low: F.transform(
             "chunks", lambda c: F.struct(
-                c["chunk"].alias("chunk"), c["relations"].alias("relations"),
-                F.transform(c["entities"], lambda e: F.struct(e["text"].alias("text"), e["type"].alias("type"), F.position(F.lower(e["text"]), low).alias("pos"))).alias("entities"),
+                c["chunk"].alias("chunk"),
+                F.transform(c["relations"], lambda r: F.struct(
+                    r["subject"].alias("subject"), r["predicate"].alias("predicate"), r["object"].alias("object"),
+                    F.position(F.lower(r["subject"]), low).alias("s_pos"), F.position(F.lower(r["object"]), low).alias("o_pos"),
+                )).alias("relations"),
             ),
         ),
     )
@@ -43,16 +47,16 @@ def _exploded(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode_outer("chunks").alias("chunk_idx", "c")).filter("c is not null")
 
 
-def raw_entities(placed: DataFrame) -> DataFrame:
-    chunks = _exploded(placed)
+def raw_entities(extracted: DataFrame) -> DataFrame:
+    chunks = _exploded(extracted)
     rows = chunks.select("doc_id", "chunk_idx", snippet(F.col("c.chunk")).alias("source"), F.posexplode("c.entities").alias("ent_idx", "e"))
-    return rows.select("doc_id", "chunk_idx", "ent_idx", "source", "e.text", "e.type", "e.pos")
+    return rows.select("doc_id", "chunk_idx", "ent_idx", "source", "e.text", "e.type")
 
 
-def raw_relations(extracted: DataFrame) -> DataFrame:
-    chunks = _exploded(extracted)
+def raw_relations(placed: DataFrame) -> DataFrame:
+    chunks = _exploded(placed)
     rows = chunks.select("doc_id", "chunk_idx", F.col("c.chunk").alias("chunk"), F.posexplode("c.relations").alias("rel_idx", "r"))
-    return rows.select("doc_id", "chunk_idx", "rel_idx", "chunk", "r.subject", "r.predicate", "r.object")
+    return rows.select("doc_id", "chunk_idx", "rel_idx", "chunk", "r.subject", "r.predicate", "r.object", "r.s_pos", "r.o_pos")
 
 
 def aggregate_entities(raw: DataFrame, ns: str) -> DataFrame:
@@ -60,9 +64,9 @@ def aggregate_entities(raw: DataFrame, ns: str) -> DataFrame:
     first = F.struct("chunk_idx", "ent_idx")
     found = raw.withColumn("uri", entity_uri(F.col("text"), ns)).repartition("doc_id")
     out = found.groupBy("doc_id", "uri").agg(
-        F.count("*").alias("n"), F.min(F.struct(first.alias("at"), F.col("text").alias("label"), "type", "source", "pos")).alias("x")
+        F.count("*").alias("n"), F.min(F.struct(first.alias("at"), F.col("text").alias("label"), "type", "source")).alias("x")
     )
-    return out.select("doc_id", "uri", "n", "x.label", "x.type", "x.source", "x.pos", "x.at", scores.boosted(F.col("n")).alias("confidence"))
+    return out.select("doc_id", "uri", "n", "x.label", "x.type", "x.source", "x.at", scores.boosted(F.col("n")).alias("confidence"))
 
 
 def limited(entities: DataFrame, n: int) -> DataFrame:
@@ -87,7 +91,7 @@ def map_labels(rows: DataFrame, label_col: str, schema: DataFrame | None, out: s
 def link(raw: DataFrame, entities: DataFrame, ns: str, schema: DataFrame | None = None) -> DataFrame:
     """Relations whose ends name entities of their document, by the first spelling of each; p is the mapped or built uri."""
     e = entities.filter("label <> ''").select(
-        "doc_id", F.lower("label").alias("low"), F.struct("uri", "label", "confidence", "pos").alias("e")
+        "doc_id", F.lower("label").alias("low"), F.struct("uri", "label", "confidence").alias("e")
     )
     ends = raw.repartition("doc_id").withColumn("s_low", F.lower("subject")).withColumn("o_low", F.lower("object"))
     s = e.select("doc_id", F.col("low").alias("s_low"), F.col("e").alias("s"))
@@ -95,7 +99,7 @@ def link(raw: DataFrame, entities: DataFrame, ns: str, schema: DataFrame | None
     linked = ends.join(s, ["doc_id", "s_low"]).join(o, ["doc_id", "o_low"])
     mapped = map_labels(linked, "predicate", schema, "mapped")
     return mapped.select(
-        "doc_id", "chunk_idx", "rel_idx", "chunk", "predicate", "s", "o", F.coalesce("mapped", property_uri(F.col("predicate"), ns)).alias("p")
+        "doc_id", "chunk_idx", "rel_idx", "chunk", "predicate", "s", "o", "s_pos", "o_pos", F.coalesce("mapped", property_uri(F.col("predicate"), ns)).alias("p")
     )
 
 
@@ -109,7 +113,7 @@ def score_triples(linked: DataFrame, max_triples: int) -> DataFrame:
     """The first max_triples of each document, with evidence, neural confidence, its level, and hybrid confidence."""
     order = Window.partitionBy("doc_id").orderBy("chunk_idx", "rel_idx")
     kept = linked.withColumn("seq", F.row_number().over(order)).filter(F.col("seq") <= max_triples)
-    ev = scores.evidence(F.col("s.label"), F.col("o.label"), F.col("s.pos"), F.col("o.pos"))
+    ev = scores.evidence(F.col("s.label"), F.col("o.label"), F.col("s_pos"), F.col("o_pos"))
     kept = kept.withColumn("evidence", ev)
     kept = kept.withColumn("neural", scores.neural(F.col("s.confidence"), F.col("o.confidence"), F.col("evidence")))
     return kept.select(
@@ -148,9 +152,8 @@ def distill(docs: DataFrame, extractor, cfg: ExtractionConfig | None = None, cla
     cfg = cfg or ExtractionConfig()
     tune(docs.sparkSession)
     extracted = extractor(docs)
-    placed = with_places(extracted)
-    entities = aggregate_entities(raw_entities(placed), cfg.entity_ns)
+    entities = aggregate_entities(raw_entities(extracted), cfg.entity_ns)
     entities = map_labels(limited(entities, cfg.max_entities), "type", classes, "ontology_type")
-    linked = link(raw_relations(extracted), entities, cfg.property_ns, properties)
+    linked = link(raw_relations(with_places(extracted)), entities, cfg.property_ns, properties)
     triples = score_triples(linked, cfg.max_triples)
     return Extraction(extracted, entities, relation_types(linked), triples, summaries(extracted, triples))

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import parsed_response, sentences
 
-NAME = r"(?U)\b\p{Lu}\w+"
+# A capital letter and what follows it in its word; the letter is tested before what precedes it, which most places fail.
+_LETTER = r"[\p{IsAlphabetic}\p{M}\p{Nd}\p{Pc}]"
+NAME = rf"\p{{Lu}}(?<!{_LETTER}.){_LETTER}+"
 
 
 def chunked(docs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from .functions.text import formal, local_name, parsed_response
 from .operators import distill as D
 from .operators import graph, infer, kg, ontology, similarity, verify
 from .operators.extract import ReplayExtractor, RuleExtractor, chunked
+from .plans.partitions import balanced
 from .plans.prompts import extraction_prompt
 from .plans.sparql import sparql
 from .sources import rdf
@@ -32,7 +33,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", "text")
+    return balanced(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def distilled(spark: SparkSession, sf_dir: str, cfg: ExtractionConfig = CFG) -> D.Extraction:
@@ -117,7 +118,7 @@ def chunks(spark, sf_dir):
 
 @query
 def entity_mentions(spark, sf_dir):
-    raw = D.raw_entities(D.with_places(RuleExtractor()(documents(spark, sf_dir))))
+    raw = D.raw_entities(RuleExtractor()(documents(spark, sf_dir)))
     return D.aggregate_entities(raw, CFG.entity_ns).select("doc_id", "uri", "label", "n", "source")
 
 
@@ -139,9 +140,9 @@ def entity_levels(spark, sf_dir):
 
 def _linked(spark, sf_dir):
     extracted = RuleExtractor()(documents(spark, sf_dir))
-    e = D.limited(D.aggregate_entities(D.raw_entities(D.with_places(extracted)), CFG.entity_ns), CFG.max_entities)
+    e = D.limited(D.aggregate_entities(D.raw_entities(extracted), CFG.entity_ns), CFG.max_entities)
     D.tune(spark)
-    return D.link(D.raw_relations(extracted), e, CFG.property_ns)
+    return D.link(D.raw_relations(D.with_places(extracted)), e, CFG.property_ns)
 
 
 @query

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_uri
-from ..operators.distill import raw_entities, with_places
+from ..operators.distill import raw_entities
 
 
 def mention_stream(docs: DataFrame, extractor, ns: str) -> DataFrame:
     """Entity mentions of a stream of documents (doc_id, text): a document is one row, so no state is kept."""
-    return raw_entities(with_places(extractor(docs))).withColumn("uri", entity_uri(F.col("text"), ns))
+    return raw_entities(extractor(docs)).withColumn("uri", entity_uri(F.col("text"), ns))
 
 
 def mention_counts(mentions: DataFrame, time_col: str, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
