@@ -12,6 +12,6 @@ def balanced(df: DataFrame, small: int = SMALL) -> DataFrame:
     would read while the others idle. Larger inputs keep their splits and are not shuffled."""
     if df.isStreaming:
         return df
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if size <= small and cores > 1 else df
