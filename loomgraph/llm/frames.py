@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.partitions import balanced
+
 #: Rows and bytes of a record batch that a Python worker gets at once; the kernels cut it further.
 ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 
@@ -48,7 +50,7 @@ def arrow_rows(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return balanced(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def crc_mod(column: Column, n: int) -> Column:
