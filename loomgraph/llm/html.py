@@ -289,8 +289,8 @@ def slots(page: list[Node], wrapper: list[Node], path: str = "") -> list[tuple[s
 
 @lru_cache(maxsize=4096)
 def role(slot: str) -> str:
-    """keep, out, or open (no element says), by the elements that hold the slot."""
-    inside = False
+    """article, main (a main element, or one named like an article), out, or open (no element says), by what holds the slot."""
+    inside, article = False, False
     for part in slot.split("/")[1:-1]:
         key = part.rsplit("[", 1)[0]
         tag, _, more = key.partition(".")
@@ -299,9 +299,9 @@ def role(slot: str) -> str:
             return "out"
         if tag == "header" and not inside or "header" in words and tag not in ("h1", "h2") and not inside:
             return "out"
-        if tag in ARTICLE or words & ARTICLE_WORDS:
-            inside = True
-    return "keep" if inside else "open"
+        article |= tag == "article"
+        inside |= tag in ARTICLE or bool(words & ARTICLE_WORDS)
+    return "article" if article else "main" if inside else "open"
 
 
 def clean(node: Node) -> str:
@@ -309,10 +309,12 @@ def clean(node: Node) -> str:
 
 
 def main_blocks(found: list[tuple[str, Node]], constant: frozenset[str]) -> list[str]:
-    """Texts of the kept slots; without any in an article, of open slots that are neither mostly links nor the same on every page."""
+    """Texts of the slots in articles; without articles, of those in main parts; without these, of open slots that are
+    neither mostly links nor the same on every page."""
     roles = [role(s) for s, _ in found]
-    blocks = [clean(n) for (_, n), r in zip(found, roles) if r == "keep"]
-    if not any(roles_ == "keep" for roles_ in roles):
+    level = next((x for x in ("article", "main") if x in roles), "open")
+    blocks = [clean(n) for (_, n), r in zip(found, roles) if r == level != "open"]
+    if level == "open":
         for (s, n), r in zip(found, roles):
             if r == "open" and s not in constant:
                 size = sum(len(t) for t, _ in n.texts)
@@ -332,7 +334,7 @@ def _describe(batches):
             sig.append(json.dumps(Node("", "", own).plain(), separators=(",", ":")))
             mine = {}
             found = slots(root.kids, own)
-            if not any(role(s) == "keep" for s, _ in found):
+            if not any(role(s) in ("article", "main") for s, _ in found):
                 for s, n in found:
                     if role(s) == "open":
                         mine.setdefault(s, []).append(clean(n))

@@ -234,6 +234,24 @@ def test_pages_without_article(spark):
     assert got[2] == "Story 2 goes on.\nAnd 2 on."
 
 
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("<main><div class='crumbs'>Home</div><article><header><h1>T</h1></header><p>A</p><footer>by me</footer></article><p>More</p></main>", "T\nA"),
+        ("<div id='content'><div class='cookie-notice'>Ok?</div><p>A <a href='x'>b</a>, c.</p><section id='comments'><p>First!</p></section></div><div>End</div>", "A b, c."),
+        ("<article><table><tr><td>1<td>2<tr><td>3</table><pre>x\n y</pre><noscript>js</noscript><div class='share-buttons'>Tweet</div></article>", "1\n2\n3\nx y"),
+        ("<article><p>a &lt; b &#x41;&#66; &euro; &unknown;</p><p> </p><ul><li>one<ul><li>two</ul><li>three</ul></article>", "a < b AB € &unknown;\none\ntwo\nthree"),
+        ("<article><p>Old<aside>pull</aside> new</p><article class='comment'>me too</article></article>", "Old\nnew"),
+        ("<ARTICLE><P>UP</P></ARTICLE><SCRIPT>document.write('<article>no</article>')</SCRIPT>", "UP"),
+    ],
+)
+def test_page_parts(body, want):
+    from loomgraph.llm.html import fold, main_blocks, parse, slots
+
+    root = parse(f"<html><body><nav>Menu</nav>{body}</body></html>")
+    assert "\n".join(main_blocks(slots(root.kids, fold(root.kids)), frozenset())) == want
+
+
 def test_wrapper_inference():
     from loomgraph.llm.html import merge_all, parse, signature
 
