@@ -107,6 +107,26 @@ def test_cycles_end():
     assert find_secrets(loop) == []
 
 
+def test_thousands_of_layers():
+    from loomgraph.llm.secrets import find_secrets
+
+    text = "x AKI%" + "25" * 3000 + "41" + "B" * 14
+    (a, b, how), = [(a, b, how) for a, b, k, how in find_secrets(text) if k == 1]
+    assert (a, b) == (2, len(text)) and how == "text>url*3001"
+
+
+def test_filter_of_suspects(spark):
+    """The operator, which looks only at rows that can hold something, finds what a scan of every row finds."""
+    from loomgraph.llm.secrets import KINDS, find_secrets, scan_secrets
+
+    rng = np.random.default_rng(11)
+    parts = ["PASSWORD: abcdefghijkl", "Api_Key='0123456789abcdef'", "AKIA" + "Q" * 16, "deadbeefdeadbeef", "é", " ", "\n", "%41", "\\u0041", "&#65;", "secret", "= abcdefghijklmnop", "token", b64(SECRET.encode()), "a1b2c3d4"]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 7))) for _ in range(400)]
+    got = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [(a, b, KINDS[k]) for a, b, k, _ in find_secrets(t)]
+
+
 def test_redaction(spark):
     from loomgraph.llm.secrets import as_text, scan_secrets
 
