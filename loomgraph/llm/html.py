@@ -30,6 +30,8 @@ from .kernels import column, pieces
 
 #: Signatures merged in one task at a time, and the size up to which wrappers are sent to all executors.
 MERGE_FAN, BROADCAST_BYTES = 64, 16 << 20
+#: Block elements nested deeper than this count as part of the one around them; their text stays.
+MAX_DEPTH = 150
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^<>]*\Z", re.S)
 ATTR = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
@@ -86,6 +88,7 @@ def parse(html: str) -> Node:
     only mark links."""
     root = Node("")
     stack, link, at, low = [root], 0, 0, None
+    deeper: list[str] = []
 
     def text(raw: str) -> None:
         if raw:
@@ -95,9 +98,14 @@ def parse(html: str) -> Node:
             kids[-1].texts.append((raw, link > 0))
 
     def close(tag: str) -> None:
+        if tag in deeper:
+            while deeper.pop() != tag:
+                pass
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].key.split(".", 1)[0] == tag:
                 del stack[i:]
+                deeper.clear()
                 return
 
     for m in TOKEN.finditer(html):
@@ -129,6 +137,11 @@ def parse(html: str) -> Node:
             elif tag == "br":
                 text(" ")
             continue
+        if len(stack) > MAX_DEPTH:
+            text(" ")
+            if tag not in VOID and not m[4]:
+                deeper.append(tag)
+            continue
         top = stack[-1].key.split(".", 1)[0]
         if tag in CLOSED_BY_BLOCK and top == "p":
             stack.pop()

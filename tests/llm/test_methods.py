@@ -272,6 +272,15 @@ def test_page_parts(body, want):
     assert "\n".join(main_blocks(slots(root.kids, fold(root.kids)), frozenset())) == want
 
 
+@pytest.mark.parametrize("n", [140, 5000])
+def test_deep_pages(spark, n):
+    from loomgraph.llm.html import extract_main_text
+
+    page = "<article>" + "<div>" * n + "<p>deep</p>" + "</div>" * n + "<p>after</p></article><footer>x</footer>"
+    df = spark.createDataFrame([(1, "http://h.example/", page), (2, "http://h.example/", page.replace("deep", "low"))], "page_id long, url string, html string")
+    assert {r.text.replace("\n", " ") for r in extract_main_text(df).collect()} == {"deep after", "low after"}
+
+
 def test_wrapper_inference():
     from loomgraph.llm.html import merge_all, parse, signature
 
