@@ -33,7 +33,7 @@ MERGE_FAN, BROADCAST_BYTES = 64, 16 << 20
 #: Block elements nested deeper than this count as part of the one around them; their text stays.
 MAX_DEPTH = 150
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^<>]*\Z", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^<>]*\Z", re.S)
 ATTR = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 WORD = re.compile(r"[a-z0-9]+")
 
@@ -113,17 +113,17 @@ def parse(html: str) -> Node:
             continue
         text(html[at : m.start()])
         at = m.end()
-        tag = m[2] or m[6]
+        tag = m[2] or m[6] or m[9]  # a whole tag, one with an open quote, one that the page ends in
         if tag is None:
             continue
         tag = tag.lower()
-        if m[1] or m[5]:
+        if m[1] or m[5] or m[8]:
             if tag == "a":
                 link = max(0, link - 1)
             elif tag not in INLINE:
                 close(tag)
             continue
-        if m[6]:
+        if m[9]:
             continue  # cut off within the tag
         if tag in RAW:
             if low is None:
@@ -149,7 +149,7 @@ def parse(html: str) -> Node:
             stack.pop()
             if stack[-1].key.split(".", 1)[0] == tag:
                 stack.pop()
-        node = Node(element_key(tag, m[3] or ""))
+        node = Node(element_key(tag, m[3] or m[7] or ""))
         stack[-1].kids.append(node)
         link = 0 if tag in CLOSED_BY_BLOCK else link
         if tag not in VOID and not m[4]:

@@ -262,6 +262,7 @@ def test_pages_without_article(spark):
         ("<article><table><tr><td>1<td>2<tr><td>3</table><pre>x\n y</pre><noscript>js</noscript><div class='share-buttons'>Tweet</div></article>", "1\n2\n3\nx y"),
         ("<article><p>a &lt; b &#x41;&#66; &euro; &unknown;</p><p> </p><ul><li>one<ul><li>two</ul><li>three</ul></article>", "a < b AB € &unknown;\none\ntwo\nthree"),
         ("<article><p>Old<aside>pull</aside> new</p><article class='comment'>me too</article></article>", "Old\nnew"),
+        ("<article><p title='it's>quote</p><p class=x data-y='>'>gt</p></article>", "quote\ngt"),
         ("<ARTICLE><P>UP</P></ARTICLE><SCRIPT>document.write('<article>no</article>')</SCRIPT>", "UP"),
     ],
 )
