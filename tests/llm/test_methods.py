@@ -3,6 +3,7 @@
 import base64
 import bz2
 import gzip
+import lzma
 import struct
 import urllib.parse
 import zlib
@@ -136,6 +137,39 @@ def test_redaction(spark):
     assert got[1][1] == "assign:2:51,hex:11:51"
 
 
+@pytest.mark.parametrize("run", [b64(SECRET.encode()), b64(gzip.compress(SECRET.encode())), b64(f"é {b64(SECRET.encode())} ".encode())])
+def test_every_copy_of_a_layer(spark, run):
+    """An encoded secret that occurs at several places, also within one layer, is found and redacted at each."""
+    from loomgraph.llm.secrets import find_secrets, scan_secrets
+
+    text = f"a {run}\nb {run}\nc {run} d"
+    places = [i for i in range(len(text)) if text.startswith(run, i)]
+    for at in places:
+        assert {k for a, b, k, _ in find_secrets(text) if at <= a < b <= at + len(run)} >= {0, 2}
+    outer = f"x {b64(text.encode())} y"
+    assert len([1 for *_, k, how in find_secrets(outer) if k == 0]) == 3
+    docs = spark.createDataFrame([(1, text), (2, outer)], "doc_id long, text string")
+    for r in scan_secrets(docs, redact="[secret]").collect():
+        assert not find_secrets(r.redacted)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_inflated_windows(monkeypatch, pack):
+    """Data longer than a window is scanned to its end, and no window cuts a character, a secret or an encoded run."""
+    from loomgraph.llm import secrets
+
+    filler = "é, " * 300
+    body = f"{filler}{SECRET}\n{filler}{b64(SECRET.encode())}\n{filler}AKIA{'B' * 14}"
+    text = "k " + b64(pack(body.encode())) + " e"
+    want = {(a, b, k) for a, b, k, _ in secrets.find_secrets(text)}
+    assert {k for *_, k in want} == {0, 1, 2} and {(a, b) for a, b, _ in want} == {(2, len(text) - 2)}
+    for window in (1, 7, 64, 1000):
+        monkeypatch.setattr(secrets, "WINDOW", window)
+        assert {(a, b, k) for a, b, k, _ in secrets.find_secrets(text)} == want
+        assert "".join(secrets.inflated(pack(body.encode()))) == body
+        assert list(secrets.inflated(pack(body.encode() + b"\xff"))) == []
+
+
 # Toxicity.
 
 
