@@ -198,13 +198,12 @@ def mix_sources(
 
 def shuffled(mixed: DataFrame) -> DataFrame:
     """doc_id, lang, source, text, n_chars, shard, slot: the documents of a mix that carries these columns, one
-    row for each copy, ordered by shard and slot within each partition. A block's documents lie together
-    already, and every partition holds parts of all sources, so the text is not dealt out a second time;
-    writing by shard joins the ordered parts of each."""
+    row for each copy, dealt to their shards: each shard lies whole in one partition, in the order of its
+    slots. Shards are of equal size, so none is hot."""
     rows = mixed.select("doc_id", "size", "lang", "source", "text", "n_chars", F.inline("copies"))
     # Cut after the last word taken: split at the ends of the first words, which keeps every character.
     parts = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", (F.col("words") + 1).cast("int"))
     first = F.array_join(F.slice(parts, F.lit(1), F.col("words").cast("int")), "")
     rows = rows.withColumn("part", F.when(F.col("words") < F.col("size"), first))
     text, chars = F.coalesce("part", "text"), F.when(F.col("part").isNull(), F.col("n_chars").cast("long")).otherwise(F.length("part").cast("long"))
-    return rows.select("doc_id", "lang", "source", text.alias("text"), chars.alias("n_chars"), "shard", "slot").sortWithinPartitions("shard", "slot")
+    return rows.select("doc_id", "lang", "source", text.alias("text"), chars.alias("n_chars"), "shard", "slot").repartition("shard").sortWithinPartitions("shard", "slot")

@@ -202,6 +202,31 @@ def test_mixing(messy, none):
     assert mix_sources(none).count() == 0
 
 
+def test_shards_are_assembled(spark):
+    """Each shard of the mix lies whole in one partition, by slot, with the words that its blocks give it."""
+    from pyspark.sql import functions as F
+
+    from loomgraph.llm.mixing import mix_sources, shuffled
+
+    docs = spark.createDataFrame([(i, f"w{i} " * 50, "en", f"s{i % 3}", 200) for i in range(900)], "doc_id long, text string, lang string, source string, n_chars long")
+    conf = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        mixed = mix_sources(docs, carry=("text", "lang", "source", "n_chars"), block_words=100, shards=6)
+        want = {r.shard: r.n for r in mixed.select(F.inline("copies")).groupBy("shard").agg(F.count("*").alias("n")).collect()}
+        rows = shuffled(mixed).withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(want) == 6 and {s: sum(r.shard == s for r in rows) for s in want} == want
+    assert all(len({r.p for r in rows if r.shard == s}) == 1 for s in want)
+    for p in {r.p for r in rows}:
+        mine = [(r.shard, r.slot) for r in rows if r.p == p]
+        assert mine == sorted(mine)
+
+
 def test_split_tree():
     from loomgraph.llm.mixing import split_tree
 
