@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from .frames import arrow_rows, crc_mod, cut
 from .kernels import LOWER, Texts, column, pieces
 
-#: Documents of a language to learn from, about; languages at most (the commonest ones).
-SAMPLE_PER_LANG, MAX_LANGS = 4000, 255
-HASH_BITS, SMOOTH, MARGIN, AMBIGUOUS, MAX_BITS = 15, 0.5, 6.0, 0.8, 63
+#: Documents of a language to learn from, about; languages whose counts are held at once.
+SAMPLE_PER_LANG, LANGS_AT_ONCE = 4000, 64
+HASH_BITS, SMOOTH, MARGIN, AMBIGUOUS = 15, 0.5, 6.0, 0.8
 UNKNOWN = "und"
 
 _KEEP = np.zeros(256, dtype=bool)
@@ -91,7 +91,9 @@ def codebook(n: int) -> np.ndarray:
         if abs(col.sum()) < n and key not in seen:
             seen.add(key)
             cols.append(c)
-    return words[:, cols[:MAX_BITS]] if cols else np.ones((n, 1), dtype=int)
+    words = words[:, cols] if cols else np.ones((n, 1), dtype=int)
+    assert len(np.unique(words, axis=0)) == n
+    return words
 
 
 def margins(pair: np.ndarray, ptr: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -107,8 +109,8 @@ def margins(pair: np.ndarray, ptr: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def decode(f: np.ndarray, codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(best language, its share of the weights of all codewords, the second one): loss-weighted decoding."""
-    z = MARGIN * f[:, None, :] * codes.words[None, :, :]
-    loss = (np.logaddexp(0, -z) * codes.bits).sum(axis=2)
+    one, zero = np.logaddexp(0, -MARGIN * f) * codes.bits, np.logaddexp(0, MARGIN * f) * codes.bits
+    loss = one @ (codes.words > 0).T + zero @ (codes.words < 0).T
     like = np.exp(-(loss - loss.min(axis=1, keepdims=True)))
     like /= like.sum(axis=1, keepdims=True)
     order = np.argsort(loss, axis=1, kind="stable")
@@ -122,15 +124,23 @@ def _count(langs: list[str]):
 
     def run(batches):
         size = 2 << HASH_BITS
-        total = np.zeros((len(langs), size), dtype=np.int64)
+        total: dict[int, np.ndarray] = {}
+
+        def flush():
+            for i, row in total.items():
+                g = np.flatnonzero(row)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), i, dtype=np.int32)), pa.array(g.astype(np.int32)), pa.array(row[g])], names=["i", "g", "n"])
+            total.clear()
+
         for b in pieces(batches, "text"):
             pair, ptr = grams(Texts(column(b, "text")))
             lang = np.array([index[x] for x in column(b, "lang").to_pylist()])
             row = np.repeat(lang, np.diff(ptr))
-            for i in np.unique(lang):
-                total[i] += np.bincount(pair[row == i].ravel(), minlength=size)
-        i, g = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(g.astype(np.int32)), pa.array(total[i, g])], names=["i", "g", "n"])
+            for i in np.unique(lang).tolist():
+                if i not in total and len(total) >= LANGS_AT_ONCE:
+                    yield from flush()
+                total[i] = total.get(i, 0) + np.bincount(pair[row == i].ravel(), minlength=size)
+        yield from flush()
 
     return run
 
@@ -138,23 +148,32 @@ def _count(langs: list[str]):
 def train(docs: DataFrame, fold: int = 2, folds: int = 4, per_lang: int = SAMPLE_PER_LANG) -> Codes | None:
     """Fit on about per_lang texts of each language whose crc32(doc_id) modulo folds is not fold; None without any."""
     src = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod(F.col("doc_id"), folds) != fold))
-    sizes = src.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    sizes = src.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
     if not sizes:
         return None
     langs = sorted(r.lang for r in sizes)
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, min(1.0, per_lang / r.n))])
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     known = cut(src.filter(F.col("lang").isin(langs)).filter(draw < F.element_at(share, F.col("lang"))).select("text", "lang").distinct(), "langs")
-    counts = np.zeros((len(langs), 2 << HASH_BITS))
-    found = known.mapInArrow(_count(langs), "i int, g int, n long").groupBy("i", "g").agg(F.sum("n").alias("n")).toArrow()
-    counts[np.asarray(found["i"]), np.asarray(found["g"])] = np.asarray(found["n"])  # languages times hash values at most
-    p = (counts + SMOOTH) / (counts + SMOOTH).sum(axis=1, keepdims=True)
+    found = known.mapInArrow(_count(langs), "i int, g int, n long").groupBy("i", "g").agg(F.sum("n").alias("n"))
+    if len(langs) > LANGS_AT_ONCE:
+        found = cut(found, "grams")
     words = codebook(len(langs))
-    table = []
-    for k in range(words.shape[1]):
-        one, zero = p[words[:, k] > 0], p[words[:, k] < 0]
-        table.append(np.log(one.mean(axis=0)) - np.log(zero.mean(axis=0)) if len(one) and len(zero) else np.zeros(p.shape[1]))
-    codes = Codes(langs, words, np.array(table, dtype=np.float32), np.ones(words.shape[1]))
+    # Sums over the languages of either value of a bit, so many languages at a time.
+    one, zero = (np.zeros((words.shape[1], 2 << HASH_BITS)) for _ in range(2))
+    for a in range(0, len(langs), LANGS_AT_ONCE):
+        some = words[a : a + LANGS_AT_ONCE]
+        rows = (found.filter(F.col("i").between(a, a + len(some) - 1)) if len(langs) > LANGS_AT_ONCE else found).toArrow()
+        counts = np.zeros((len(some), 2 << HASH_BITS))
+        counts[np.asarray(rows["i"]) - a, np.asarray(rows["g"])] = np.asarray(rows["n"])
+        p = (counts + SMOOTH) / (counts + SMOOTH).sum(axis=1, keepdims=True)
+        one += (some > 0).T.astype(float) @ p
+        zero += (some < 0).T.astype(float) @ p
+    n_one, n_zero = (words > 0).sum(axis=0), (words < 0).sum(axis=0)
+    table = np.zeros(one.shape, dtype=np.float32)
+    for k in np.flatnonzero((n_one > 0) & (n_zero > 0)):
+        table[k] = np.log(one[k] / n_one[k]) - np.log(zero[k] / n_zero[k])
+    codes = Codes(langs, words, table, np.ones(words.shape[1]))
     index = {x: i for i, x in enumerate(langs)}
 
     def wrong(batches):

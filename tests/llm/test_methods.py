@@ -258,6 +258,30 @@ def test_codebook(n):
         assert min((a != b).sum() for i, a in enumerate(c) for b in c[:i]) >= 2
 
 
+@pytest.mark.parametrize("n", [64, 70, 130, 300])
+def test_codebook_of_many(n):
+    """Beyond 63 languages codewords still differ, in a third of the bits or more."""
+    from loomgraph.llm.langid import codebook
+
+    c = codebook(n)
+    assert len({tuple(r) for r in c}) == n
+    assert min((c[:i] != c[i]).sum(axis=1).min() for i in range(1, n)) >= c.shape[1] / 3
+
+
+def test_every_language_is_learned(spark):
+    """Of 300 languages of own words, all are learned and known again, those after the 64th and 255th too."""
+    from loomgraph.llm.langid import identify, train
+
+    rng = np.random.default_rng(3)
+    words = {f"l{i:03d}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(5)] for i in range(300)}
+    rows = [(i * 8 + j, " ".join(rng.choice(w, 30)), name) for i, (name, w) in enumerate(words.items()) for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    codes = train(docs)
+    assert codes.langs == sorted(words)
+    got = {r.doc_id: r.lang_pred for r in identify(docs, codes).collect()}
+    assert sum(got[d] == name for d, _, name in rows) > 0.98 * len(rows)
+
+
 # HTML.
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
