@@ -10,14 +10,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text handled at once; a longer row is handled alone.
 CHUNK = 2 << 20
 
 _rng = np.random.default_rng(20240517)
-#: A random 64-bit value for each byte, and odd multipliers of the rolling hashes.
+#: A random 64-bit value for each byte, and the bases of the rolling hashes, two for each.
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-R1, R2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+R1, R2 = (0x3C6EF372, 0x1B873593), (0x27D4EB2F, 0x165667B1)
+#: The rolling hashes are polynomials over the field of this prime, so no family of strings collides whatever the base.
+PRIME = np.uint64((1 << 31) - 1)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -31,31 +34,48 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def powers(base: np.uint64, n: int, store: dict) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; store keeps them for the next call."""
-    key = int(base)
-    if key not in store or len(store[key][0]) < n:
-        size = max(n, 1 << 12)
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x below 2**62."""
+    x = (x & PRIME) + (x >> np.uint64(31))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def powers(base: int, n: int, store: dict) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo PRIME for i < n; store keeps them for the next call."""
+    if base not in store or len(store[base][0]) < n:
         out = []
-        for b in (key, pow(key, -1, 1 << 64)):
-            p = np.full(size, b, dtype=np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        store[key] = tuple(out)
-    return store[key]
+        for b in (base, pow(base, -1, int(PRIME))):
+            p = np.ones(1, dtype=np.uint64)
+            while len(p) < max(n, 1 << 12):
+                p = np.concatenate([p, _mod(p * np.uint64(pow(b, len(p), int(PRIME))))])
+            out.append(p)
+        store[base] = tuple(out)
+    return store[base]
 
 
 class Rolling:
-    """Prefix sums that give a 64-bit hash of any span in constant time."""
-
-    def __init__(self, values: np.ndarray, base: np.uint64, store: dict):
-        p, self.inverse = powers(base, len(values) + 1, store)
-        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(values * p[: len(values)], out=self.sums[1:])
+    """Prefix sums that give a 62-bit hash of any span in constant time: two polynomials with bases of their own
+    over the halves of the values."""
+
+    def __init__(self, values: np.ndarray, bases: tuple[int, int], store: dict):
+        self.sides = []
+        for k, base in enumerate(bases):
+            p, inverse = powers(base, len(values) + 1, store)
+            half = _mod((values >> np.uint64(31 * k)) & PRIME)
+            sums = np.zeros(len(values) + 1, dtype=np.uint64)
+            np.cumsum(_mod(half * p[: len(values)]), out=sums[1:])
+            self.sides.append((sums, inverse))
 
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.sums[end] - self.sums[start]) * self.inverse[start]
-        return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        a, b = (_mod(_mod(sums[end] - sums[start]) * inverse[start]) for sums, inverse in self.sides)
+        return mix((a << np.uint64(31) | b) + (end - start).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def numbered(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(number of each string data[offs[i]:offs[i + 1]], the distinct strings): equal bytes, equal number."""
+    strings = pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(np.ascontiguousarray(offs, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = strings.dictionary_encode()
+    return np.asarray(coded.indices).astype(np.int64), coded.dictionary
 
 
 class Texts:
@@ -100,8 +120,14 @@ class Words:
     def rows(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
-    def hashes(self, texts: Texts, store: dict) -> np.ndarray:
-        return Rolling(BYTE[texts.data], R1, store).span(self.start, self.end)
+    def numbers(self, texts: Texts) -> tuple[np.ndarray, pa.Array]:
+        """(number of each word, the distinct words), by comparing their bytes."""
+        return numbered(texts.data[self.solid], np.append(0, np.cumsum(self.end - self.start)))
+
+    def hashes(self, texts: Texts) -> np.ndarray:
+        """XXH64 of each word, computed once for each distinct one."""
+        at, words = self.numbers(texts)
+        return np.array([xxhash.xxh64_intdigest(w) for w in words.to_pylist()], dtype=np.uint64)[at]
 
 
 def pieces(batches, column: str, limit: int = CHUNK):

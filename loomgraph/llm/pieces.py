@@ -20,10 +20,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .frames import arrow_rows
-from .kernels import BYTE, R1, Rolling, Texts, column, pieces
+from .kernels import Texts, column, numbered, pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -269,7 +270,7 @@ def segment(data: np.ndarray, begin: np.ndarray, end: np.ndarray, v: Vocabulary)
     return out, np.concatenate([[0], np.cumsum(counts)])
 
 
-def encode(texts: Texts, v: Vocabulary, store: dict) -> tuple[np.ndarray, np.ndarray]:
+def encode(texts: Texts, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets per row) of all rows; empty rows have none."""
     size = np.diff(texts.offs)
     full = size > 0
@@ -284,10 +285,9 @@ def encode(texts: Texts, v: Vocabulary, store: dict) -> tuple[np.ndarray, np.nda
     begin_mask[1:] &= ~blank[:-1]
     begin_mask[offs[:-1][full]] = True
     begin = np.flatnonzero(begin_mask)
-    end = np.append(begin[1:], len(data)) if len(begin) else begin
-    h = Rolling(BYTE[data], R1, store).span(begin, end)
-    _, one, back = np.unique(h, return_index=True, return_inverse=True)
-    ids, ptr = segment(data, begin[one], end[one], v)
+    back, units = numbered(data, np.append(begin, len(data)))
+    raw, ends = np.frombuffer(b"".join(units.to_pylist()), dtype=np.uint8), np.append(0, np.cumsum(np.asarray(pc.binary_length(units)).astype(np.int64)))
+    ids, ptr = segment(raw, ends[:-1], ends[1:], v)
     width = np.diff(ptr)[back]
     out = ids[ragged(ptr[:-1][back], width)]
     row_units = np.searchsorted(begin, offs)
@@ -323,13 +323,12 @@ def encode_documents(
     shared = spark.sparkContext.broadcast(load_vocabulary(path, scores))
 
     def run(batches):
-        store: dict = {}
         v = shared.value
         is_byte = np.zeros(v.size, dtype=bool)
         is_byte[v.byte_ids[v.byte_ids >= 0]] = True
         for b in pieces(batches, "text", 1 << 20):
             texts = Texts(column(b, "text"))
-            ids, offs = encode(texts, v, store)
+            ids, offs = encode(texts, v)
             raw, ends = decode(ids, offs, v)
             same = np.diff(ends) == np.diff(texts.offs)
             if not (same.all() and np.array_equal(raw, texts.data)):
@@ -351,20 +350,22 @@ def encode_documents(
 
 
 def decode_documents(coded: DataFrame, path: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id and text: the texts of the ids of each row; null ids give a null text."""
+    """doc_id and text: the texts of the ids of each row.
+
+    Null ids give a null text, an empty array the empty text. Ids outside the vocabulary and null elements stand for the
+    unknown piece. Null doc_ids and repeated rows are kept; an empty table gives an empty result; other columns are ignored."""
     spark = coded.sparkSession
-    arrow_rows(spark)
     shared = spark.sparkContext.broadcast(load_vocabulary(path))
 
     def run(batches):
+        v = shared.value
         for b in batches:
             lists = column(b, "ids")
-            texts = []
-            flat = np.asarray(lists.flatten()).astype(np.int64)
-            size = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], dtype=np.int64)
-            raw, ends = decode(flat, np.concatenate([[0], np.cumsum(size)]), shared.value)
-            for i, valid in enumerate(lists.is_valid().to_pylist()):
-                texts.append(raw[ends[i] : ends[i + 1]].tobytes().decode("utf-8", "replace") if valid else None)
+            size = np.asarray(pc.fill_null(lists.value_lengths(), 0)).astype(np.int64)
+            flat = np.asarray(pc.fill_null(lists.flatten(), -1)).astype(np.int64)
+            flat = np.where((flat >= 0) & (flat < v.size), flat, v.unknown_id)
+            raw, ends = decode(flat, np.concatenate([[0], np.cumsum(size)]), v)
+            texts = [raw[s:e].tobytes().decode("utf-8", "replace") if ok else None for s, e, ok in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return coded.select(coded[id_col].cast("long").alias("doc_id"), coded[ids_col].cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")

@@ -80,7 +80,7 @@ def _find_pieces(window: int, anchor: int):
         for b in pieces(batches, "text"):
             texts = Texts(column(b, "text"))
             words = Words(texts)
-            row, start, count, a, c = path_pieces(words.hashes(texts, store), words.ptr, window, anchor, other)
+            row, start, count, a, c = path_pieces(words.hashes(texts), words.ptr, window, anchor, other)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [column(b, "doc_id").take(take), column(b, "th").take(take), _signed(a), _signed(c), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
@@ -99,7 +99,7 @@ def _expand(window: int):
         for b in pieces(batches, "text"):
             texts = Texts(column(b, "text"))
             words = Words(texts)
-            roll = Rolling(words.hashes(texts, store), R2, other)
+            roll = Rolling(words.hashes(texts), R2, other)
             items = column(b, "todo")
             lens = np.diff(np.asarray(items.offsets))
             flat = items.flatten()

@@ -12,6 +12,7 @@ turn segment scores into chances, and the sum of the significant ones is mapped
 from __future__ import annotations
 
 from dataclasses import dataclass
+from hashlib import blake2b
 from math import exp, log
 
 import numpy as np
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .frames import arrow_rows, crc_mod, cut
 from .kernels import BYTE, LOWER, R1, R2, Rolling, Texts, column, mix, pieces
 
-#: Labelled documents of a class to learn from, about; features of the model at most.
-SAMPLE_PER_CLASS, MAX_FEATURES = 20_000, 50_000
+#: Labelled documents of a class to learn from, about. It bounds the model too: a feature needs LEAST_DOCS of them.
+SAMPLE_PER_CLASS = 20_000
 #: Documents of prior weight; least z-score, log-odds and documents of a feature; score of a token outside the model.
 PRIOR, LEAST_Z, LEAST_ODDS, LEAST_DOCS, DRIFT = 500.0, 4.0, 1.0, 5, 0.1
 PREFIXES = (4, 5, 6, 7, 8)
@@ -168,7 +169,7 @@ def _sketch(batches):
         end = np.minimum(at + 3, np.repeat(tokens.ptr[1:], n))
         run = roll.span(at, end)
         full = np.flatnonzero(n)
-        out = [pa.array(_whole(texts, store).view(np.int64))]
+        out = [pa.array(_whole(texts).view(np.int64))]
         for salt in (np.uint64(0x51ED270B), np.uint64(0xC2B2AE3D)):
             low = np.zeros(texts.n, dtype=np.uint64)
             if len(full):
@@ -177,9 +178,8 @@ def _sketch(batches):
         yield pa.RecordBatch.from_arrays([*out, column(b, "text"), column(b, "toxic")], names=["id", "m1", "m2", "text", "toxic"])
 
 
-def _whole(texts: Texts, store: dict) -> np.ndarray:
-    data = BYTE[texts.data]
-    return Rolling(data, R1, store).span(texts.offs[:-1], texts.offs[1:])
+def _whole(texts: Texts) -> np.ndarray:
+    return np.array([int.from_bytes(blake2b(texts.row(i), digest_size=8).digest(), "little") for i in range(texts.n)], dtype=np.uint64)
 
 
 def without_copies(known: DataFrame) -> DataFrame:
@@ -220,20 +220,22 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 0, folds: int = 5, lab
     z = odds / F.sqrt(1 / y1 + 1 / y0)
     model = (
         counts.filter(F.col("n1") + F.col("n0") >= LEAST_DOCS).select("f", odds.alias("s"), F.abs(z).alias("z"))
-        .filter((F.col("z") >= LEAST_Z) & (F.abs("s") >= LEAST_ODDS)).orderBy(F.desc("z"), "f").limit(MAX_FEATURES).collect()
+        .filter((F.col("z") >= LEAST_Z) & (F.abs("s") >= LEAST_ODDS)).collect()
     )
     keys = np.array([r.f for r in model], dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
     fitted = Model(keys[order], np.array([r.s for r in model])[order])
     if not len(keys):
         return empty
-    fitted.lam, fitted.k = calibrate(known.filter("toxic = 0"), fitted)
+    clean = known.filter("toxic = 0")
+    fitted.lam = decay(clean, fitted)
+    fitted.k = location(clean, fitted)
     fitted.slope, fitted.offset = fit_map(known, fitted)
     return fitted
 
 
-def calibrate(clean: DataFrame, model: Model) -> tuple[float, float]:
-    """lambda with E[exp(lambda * token score)] = 1 over clean text, and a conservative K."""
+def decay(clean: DataFrame, model: Model) -> float:
+    """lambda with E[exp(lambda * token score)] = 1 over clean text."""
 
     def spread(batches):
         store: dict = {}
@@ -255,14 +257,36 @@ def calibrate(clean: DataFrame, model: Model) -> tuple[float, float]:
     s, p = np.append(s, max(top, 0.5)), np.append(p, 1.0)
     p /= p.sum()
     if (p * s).sum() >= 0:
-        return 0.3, 0.1
+        return 0.3
     lo, hi = 0.0, 1.0
     while (p * np.exp(np.minimum(hi * s, 700))).sum() < 1 and hi < 64:
         hi *= 2
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if (p * np.exp(np.minimum(mid * s, 700))).sum() < 1 else (lo, mid)
-    return hi, 0.1
+    return hi
+
+
+def location(clean: DataFrame, model: Model) -> float:
+    """K of the law that the best segment of n clean tokens exceeds x with chance 1 - exp(-K n exp(-lambda x)).
+
+    Maximum likelihood over the clean texts; scores below the least positive one of the model are censored there, as a
+    text without any tells no more: K = texts above / sum of n exp(-lambda x) over all texts."""
+    floor = float(min((s for s in model.scores if s > 0), default=1.0))
+
+    def tell(batches):
+        store: dict = {}
+        above, total = 0, 0.0
+        for b in pieces(batches, "text"):
+            n, found, _ = score_rows(Texts(column(b, "text")), model, store)
+            best = np.array([max((s for _, _, s in mine), default=0.0) for mine in found])
+            above += int((best > floor).sum())
+            total += float((n * np.exp(-model.lam * np.maximum(best, floor))).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([above], pa.int64()), pa.array([total], pa.float64())], names=["above", "total"])
+
+    above, total = clean.mapInArrow(tell, "above long, total double").agg(F.sum("above"), F.sum("total")).first()
+    # Half a text above is granted where there is none.
+    return max(above or 0, 0.5) / max(total or 0.0, 1e-300) if total else 0.1
 
 
 def fit_map(known: DataFrame, model: Model) -> tuple[float, float]:

@@ -4,9 +4,11 @@ import base64
 import bz2
 import gzip
 import lzma
+import math
 import struct
 import urllib.parse
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,8 @@ def vectors(spark):
     rows = [(i, rng.normal(size=6).tolist(), "x") for i in range(300)]
     rows += [(i, [0.5] * 6, "x") for i in range(300, 420)]  # ties
     rows += [(500, None, "x"), (550, [1.0, None], "x"), (600, [float("nan")] * 6, "x"), (650, [float("inf")] * 6, "x"), (700, [], "x"), (750, [1.0], "x"), (None, [1.0] * 6, "x")]
-    rows += [(7, rows[7][1], "x"), (800, [1e30] * 6, "x")]
+    rows += [(7, rows[7][1], "x"), (800, [1e30] * 6, "x"), (801, [-1e30] * 6, "x"), (802, [2e300] * 6, "x"), (850, [2.0**21] * 7, "x"), (851, [2.0**22], "x")]
+    rows += [(900 + i, [float(2**21 + i)] * 6, "x") for i in range(8)] + [(7, rows[7][1], "x")] * 9
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, w string").repartition(4)
 
 
@@ -45,13 +48,14 @@ def test_top_k(spark, vectors, monkeypatch):
     fine = []
     for r in vectors.collect():
         if r.vec_id is not None and r.embedding is not None and all(x is not None and np.isfinite(x) for x in r.embedding):
-            fine.append((r.vec_id, [int(np.clip(np.floor(256 * x), -(2**28), 2**28)) for x in r.embedding]))
+            fine.append((r.vec_id, [math.floor(256 * Fraction(x)) for x in r.embedding]))
     want = []
     for q, v in fine:
         if q % 50 == 0:
             scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in fine if i != q)
-            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:5])]
+            want += [(q, k + 1, i, min(2**63 - 1, max(-(2**63), -s))) for k, (s, i) in enumerate(scored[:5])]
     assert sorted(map(tuple, topk.top_k_search(vectors).collect())) == sorted(want)
+    assert topk.as_columns([2**64, 2**70, -(2**64), -(2**70)])[1] == sorted(topk.as_columns([2**64, 2**70])[1]) + sorted(topk.as_columns([-(2**64), -(2**70)])[1], reverse=True)
     assert topk.top_k_search(vectors.limit(0)).count() == 0
     assert topk.top_k_search(vectors.filter("vec_id = 50")).count() == 0
 
@@ -402,7 +406,7 @@ def test_viterbi(spark, scores):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(60).collect()
     texts = [r.text[:3000] for r in docs] + ["a", "  x  y ", "é\n\ttab", "日本語 😀", "", "zzzzqqqq" * 20]
     score = dict(zip(v.ids.tolist(), v.scores.tolist()))
-    ids, offs = encode(Texts(pa.array(texts)), v, {})
+    ids, offs = encode(Texts(pa.array(texts)), v)
     same = 0
     for t, a, b in zip(texts, offs[:-1], offs[1:]):
         got, want = ids[a:b].tolist(), sp.encode(t)
@@ -431,7 +435,7 @@ def test_unigram_brute_force():
     rng = np.random.default_rng(8)
     for _ in range(50):
         t = "".join(rng.choice(list("abé c"), rng.integers(1, 9)))
-        ids, _ = encode(Texts(pa.array([t])), v, {})
+        ids, _ = encode(Texts(pa.array([t])), v)
         by = dict(zip(v.ids.tolist(), v.scores.tolist()))
         got = sum(by.get(i, 0.0) for i in ids.tolist()) + v.unknown_score * ids.tolist().count(1 + ord("c"))
         assert got == pytest.approx(best(" " + t))
