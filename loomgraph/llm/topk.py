@@ -36,11 +36,9 @@ def weights(vectors: pa.ListArray) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(offs[:-1], offs[1:])]
 
 
-def kind(rows: list[np.ndarray], queries: list[np.ndarray]):
-    """The narrowest type that holds every score of the two exactly: int32, int64 or Python's numbers."""
-    most = lambda vs: max((int(max(v.max(), -v.min())) for v in vs if len(v)), default=0)
-    terms = min(max(map(len, rows), default=0), max(map(len, queries), default=0))
-    bound = most(rows) * most(queries) * max(terms, 1)
+def kind(most: int, terms: int):
+    """The narrowest type that holds sums of so many products up to `most`: int32, int64 or Python's numbers."""
+    bound = most * max(terms, 1)
     return np.int32 if bound < 1 << 31 else np.int64 if bound < LONG else object
 
 
@@ -133,6 +131,8 @@ def top_k_search(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col:
         flags = np.asarray(table.column("is_query"))
         ids = np.asarray(table.column("id"))
         parts = [v for chunk in table.column("v").chunks for v in weights(chunk)]
+        most = [int(max(v.max(), -v.min())) if len(v) else 0 for v in parts]
+        terms = max(map(len, parts), default=0)
         q = np.flatnonzero(flags)
         d = np.flatnonzero(~flags)
         d = d[np.argsort(ids[d], kind="stable")]
@@ -140,10 +140,10 @@ def top_k_search(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col:
         for b in range(0, len(d), TILE_ROWS):
             ds = d[b : b + TILE_ROWS]
             tile = [parts[i] for i in ds]
-            dtype, index = None, []
+            dtype, index, top = None, [], max(most[i] for i in ds)
             for a in range(0, len(q), TILE_QUERIES):
                 qs = [parts[i] for i in q[a : a + TILE_QUERIES]]
-                if (need := kind(tile, qs)) != dtype:
+                if (need := kind(top * max(most[i] for i in q[a : a + TILE_QUERIES]), terms)) != dtype:
                     dtype, index = need, postings(tile, need)
                 s = accumulate(qs, index, len(ds), dtype)
                 for j, i in enumerate(q[a : a + TILE_QUERIES]):
