@@ -60,7 +60,8 @@ FROM d LEFT JOIN a USING (r)
 
 OP6 = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix-1' || coalesce(doc_id::VARCHAR, '')) AS h
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5('mix-1' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS h, row_number() OVER () AS r
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, 2 * sum(size)::DOUBLE AS cap,
@@ -74,13 +75,32 @@ o AS (
   FROM s),
 l AS (SELECT min_by((total - caps) / (weight - ws), k) AS level FROM o, t WHERE NOT cap < w * ((total - caps) / (weight - ws))),
 g AS (SELECT source, source_size, CASE WHEN cap < w * level THEN cap ELSE w * level END AS target FROM s, l),
+n AS (SELECT greatest(4096, ceil(total / 268435456)::BIGINT) AS bw FROM t),
+q AS (
+  SELECT *, round(target)::BIGINT // source_size AS rounds, round(target)::BIGINT % source_size AS rest, (source_size + bw - 1) // bw AS blocks
+  FROM g, n WHERE source_size > 0),
+m AS (
+  SELECT *, CASE WHEN blocks < 2 THEN 1 ELSE list_filter(range(a, a + 1000), lambda x: gcd(x, blocks) = 1)[1] END AS step, CASE WHEN blocks < 2 THEN 0 ELSE f % blocks END AS shift
+  FROM (
+    SELECT *, 1 + ('0x' || substr(md5('mix-1|block-step|' || coalesce(source, '')), 1, 7))::BIGINT % blocks AS a,
+      ('0x' || substr(md5('mix-1|block-shift|' || coalesce(source, '')), 1, 7))::BIGINT AS f
+    FROM q)),
 p AS (
-  SELECT doc_id, size, source_size, target, round(target)::BIGINT AS words,
+  SELECT r, d.source, size,
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(least(words - off, size), 0) + greatest(least(words - off - source_size, size), 0))::BIGINT AS taken
-FROM p
+  FROM d),
+b AS (
+  SELECT r, size, off, m.*, unnest(range(off // bw, (off + size - 1) // bw + 1)) AS b
+  FROM p JOIN m ON p.source IS NOT DISTINCT FROM m.source WHERE size > 0),
+k AS (SELECT *, (b * step + shift) % blocks AS rank, ((blocks - 1) * step + shift) % blocks AS place, least(bw, source_size - b * bw) AS full_size FROM b),
+e AS (
+  SELECT *, greatest(least(rest - (rank * bw - CASE WHEN place < rank THEN bw - (source_size - (blocks - 1) * bw) ELSE 0 END), full_size), 0) AS part FROM k),
+w AS (
+  SELECT r, sum(rounds * (least(off + size, (b + 1) * bw) - greatest(off, b * bw))
+    + greatest(least(b * bw + part, off + size, (b + 1) * bw) - greatest(off, b * bw), 0))::BIGINT AS taken
+  FROM e GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN w USING (r)
 """
 
 ORACLES = {

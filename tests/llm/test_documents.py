@@ -244,7 +244,7 @@ def test_mixing(messy, none):
             assert r.target == pytest.approx(target[source[r.doc_id]]) and r.source_size == size[source[r.doc_id]]
             taken[source[r.doc_id]] += words
     for s in set(order) - {"s1", None}:  # those two hold rows without an id
-        assert abs(taken[s] - target[s]) < 1
+        assert abs(taken[s] - target[s]) < 1, s
     again = mix_sources(messy.repartition(5), block_words=64, shards=4).collect()
     assert bag((r.doc_id, r.size, [tuple(c) for c in r.copies]) for r in got) == bag((r.doc_id, r.size, [tuple(c) for c in r.copies]) for r in again)
     assert mix_sources(none).count() == 0
@@ -275,6 +275,57 @@ def test_shards_are_assembled(spark):
         assert mine == sorted(mine)
 
 
+@pytest.mark.parametrize("shards", [1, 2, 7, 30])
+def test_blocks_of_shards(spark, shards):
+    """Each block of a round goes to one shard, shards hold equal numbers of blocks, and sources give their targets exactly."""
+    from pyspark.sql import functions as F
+
+    from loomgraph.llm.mixing import mix_sources
+
+    rng = np.random.default_rng(21)
+    data = [(i, " ".join(["w"] * int(rng.integers(0, 90 if i % 50 else 900))), ("a", "b", "c", None, "tiny")[i % 5] if i % 40 else "tiny") for i in range(700)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    seen = {}
+    for seed in ("mix-1", "other"):
+        got = mix_sources(docs, block_words=64, shards=shards, seed=seed)
+        rows = got.join(docs.select("doc_id", "source"), "doc_id").select("doc_id", "source", "size", "target", F.inline_outer("copies")).collect()
+        blocks, taken, target, parts = {}, Counter(), {}, {}
+        for r in rows:
+            target[r.source] = r.target
+            if r.words:
+                blocks.setdefault((r.source, r.epoch, r.block), set()).add(r.shard)
+                taken[r.source] += r.words
+                parts.setdefault((r.doc_id, r.epoch), []).append((r.first, r.first + r.words))
+                assert r.first + r.words <= r.size
+        assert all(len(x) == 1 for x in blocks.values())
+        assert all(abs(taken[s] - t) <= 0.5 for s, t in target.items())
+        for spans in parts.values():
+            spans.sort()
+            assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+        per = Counter(next(iter(x)) for x in blocks.values())
+        assert set(per) == set(range(shards)) and max(per.values()) - min(per.values()) <= 1
+        seen[seed] = {(r.doc_id, r.epoch, r.block, r.words) for r in rows if r.words}
+    assert seen["mix-1"] != seen["other"]
+
+
+def test_parts_spell_the_text(spark):
+    from loomgraph.llm.mixing import mix_sources, shuffled
+
+    rng = np.random.default_rng(22)
+    gap = lambda: "".join(rng.choice([" ", "\n", "\t", "  "], rng.integers(1, 3)))
+    texts = {i: gap() * (i % 2) + "".join(f"é{j}{gap()}" for j in range(int(rng.integers(1, 200)))) for i in range(40)}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = mix_sources(docs, carry=("text", "lang", "source", "n_chars"), block_words=50, shards=3)
+    where = {(r.doc_id, c.slot): (c.epoch, c.first) for r in mixed.select("doc_id", "copies").collect() for c in r.copies}
+    parts = {}
+    for r in shuffled(mixed).collect():
+        epoch, first = where[r.doc_id, r.slot]
+        assert r.n_chars == len(r.text)
+        parts.setdefault((r.doc_id, epoch), []).append((first, r.text))
+    assert all("".join(t for _, t in sorted(parts[i, 0])) == t for i, t in texts.items())
+    assert all(t in texts[i] for (i, _), some in parts.items() for _, t in some)
+
+
 def test_split_tree():
     from loomgraph.llm.mixing import split_tree
 
@@ -282,7 +333,9 @@ def test_split_tree():
     quotas, room = np.array([50, 0, 7, 43]), np.array([30, 30, 40])
     total = np.zeros((4, 3))
     for _ in range(400):
-        t = split_tree(quotas, room, rng)
+        row, col, n = split_tree(quotas, room, rng)
+        t = np.zeros((4, 3), dtype=np.int64)
+        np.add.at(t, (row, col), n)
         assert (t.sum(axis=1) == quotas).all() and (t.sum(axis=0) == room).all() and (t >= 0).all()
         total += t
     assert np.abs(total / 400 - np.outer(quotas, room) / 100).max() < 0.5
