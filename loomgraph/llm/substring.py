@@ -1,17 +1,20 @@
 """Substring dedup by De Bruijn compaction over word k-mers.
 
-Edges are the k-mers (windows of `window` words). They are not shuffled one by one: a run of
-consecutive edges that share their smallest inner m-mer (their anchor) is one path piece, and
-equal edges always lie in pieces of the same anchor, at the same distance from it. So
-
-1. pieces (anchor, content hash, source coordinates) replace edges, about one for 14 edges;
-2. a Spark join keeps the pieces whose anchor occurs twice or more;
-3. pieces of equal content are one class: its edges form a repeated path without branches,
-   and the class stands for all its occurrences;
-4. where an anchor has several classes, paths branch: only one piece of each class is expanded
-   into its edges, which are counted by (anchor, edge) and joined back;
-5. repeated pieces and edges return to their source coordinates; overlapping ones compact into
-   maximal repeated spans there, and the words of the spans are removed from the whole text.
+Windows of `window` words are the edges of a graph, the runs of one word less at their ends its nodes. Edges are not shuffled
+one by one: consecutive edges that share their smallest inner m-mer (their anchor) are one piece of a path, known by its first
+node, its last node and its length, which together hold every word of it; equal edges always lie in pieces of one anchor, at
+the same distance from it. So
+
+1. pieces (anchor, nodes, source coordinates) replace edges, about one for 14 edges, and a join keeps those whose anchor
+   occurs twice or more;
+2. equal pieces are one segment of the graph; where an anchor has several and one occurs once only, one piece of each is
+   expanded into its edges, and the edges in several of them are segments too;
+3. at a node where one segment ends, one begins and both occur equally often, nothing branches: joins on the nodes link such
+   segments, and pointer doubling compacts each chain of links into one path, so that a repeated passage is one span;
+4. each occurrence of a path is verified at its source coordinates: the words there are hashed cryptographically, and a
+   path stands if all its occurrences are equal and cover the same part of it. For the anchors of all other paths (nodes whose
+   hashes collide, occurrences cut off by the end of a text) every window is counted by such a hash of its words instead;
+5. the words of all spans are removed from the whole text.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from .frames import arrow_rows, cut
 from .kernels import R2, Rolling, Texts, Words, column, normalised, pieces
 
-WINDOW, ANCHOR = 35, 8
+#: Words of a window and of an anchor; bits of a node's hash (the result does not depend on them, only the work does).
+WINDOW, ANCHOR, NODE_BITS = 35, 8, 64
 
 
 def anchors(word_hash: np.ndarray, ptr: np.ndarray, window: int, anchor: int, store: dict):
@@ -54,72 +58,103 @@ def anchors(word_hash: np.ndarray, ptr: np.ndarray, window: int, anchor: int, st
     return starts, (low[starts] & mask).astype(np.int64), roll
 
 
-def path_pieces(word_hash: np.ndarray, ptr: np.ndarray, window: int, anchor: int, store: dict):
-    """Maximal runs of windows with one anchor: (row, first window, windows, anchor hash, content hash)."""
+def path_pieces(word_hash: np.ndarray, ptr: np.ndarray, window: int, anchor: int, store: dict, bits: int = NODE_BITS):
+    """Maximal runs of windows with one anchor: (row, first window, windows, anchor hash, first node, last node)."""
     starts, at, roll = anchors(word_hash, ptr, window, anchor, store)
     if not len(starts):
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(np.uint64), z.astype(np.uint64)
+        return z, z, z, *[z.astype(np.uint64)] * 3
     new = np.ones(len(starts), dtype=bool)
     new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(starts)))
     begin, pos = starts[first], at[first]
     row = np.searchsorted(ptr, begin, side="right") - 1
-    return row, begin - ptr[row], count, roll.span(pos, pos + anchor), roll.span(begin, begin + count + window - 1)
+    return row, begin - ptr[row], count, roll.span(pos, pos + anchor), node(roll, begin, window, bits), node(roll, begin + count, window, bits)
+
+
+def node(roll: Rolling, at: np.ndarray, window: int, bits: int) -> np.ndarray:
+    """The hash of the node that begins at a word."""
+    return roll.span(at, at + window - 1) & np.uint64((1 << bits) - 1)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _find_pieces(window: int, anchor: int):
+def _find_pieces(window: int, anchor: int, bits: int):
     def run(batches):
         store: dict = {}
-        other: dict = {}
         for b in pieces(batches, "text"):
             texts = Texts(column(b, "text"))
             words = Words(texts)
-            row, start, count, a, c = path_pieces(words.hashes(texts), words.ptr, window, anchor, other)
+            row, start, count, a, u, v = path_pieces(words.hashes(texts), words.ptr, window, anchor, store, bits)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [column(b, "doc_id").take(take), column(b, "th").take(take), _signed(a), _signed(c), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
-                names=["doc_id", "th", "a", "c", "start", "n"],
+                [column(b, "doc_id").take(take), column(b, "th").take(take), _signed(a), _signed(u), _signed(v), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))],
+                names=["doc_id", "th", "a", "u", "v", "start", "n"],
             )
 
     return run
 
 
-def _expand(window: int):
+def _listed(b: pa.RecordBatch, words: Words):
+    """(owner, a, start of the window, first word, k, n) of each window of the pieces listed in todo."""
+    items = column(b, "todo")
+    flat = items.flatten()
+    owner = np.repeat(np.arange(len(b)), np.diff(np.asarray(items.offsets)))
+    a, start, n, k = (np.asarray(flat.field(i)) for i in range(4))
+    each = np.repeat(np.arange(len(owner)), n)
+    local = start[each].astype(np.int64) + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+    return owner[each], a[each], local, words.ptr[owner[each]] + local, k[each].astype(np.int64), n[each]
+
+
+def _expand(window: int, bits: int):
     """Edges of the listed pieces of each document."""
 
     def run(batches):
         store: dict = {}
-        other: dict = {}
         for b in pieces(batches, "text"):
             texts = Texts(column(b, "text"))
             words = Words(texts)
-            roll = Rolling(words.hashes(texts), R2, other)
-            items = column(b, "todo")
-            lens = np.diff(np.asarray(items.offsets))
-            flat = items.flatten()
-            owner = np.repeat(np.arange(len(b)), lens)
-            a, start, n, k = (np.asarray(flat.field(i)) for i in range(4))
-            each = np.repeat(np.arange(len(owner)), n)
-            step = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-            local = start[each].astype(np.int64) + step
-            at = words.ptr[owner[each]] + local
-            take = pa.array(owner[each])
+            roll = Rolling(words.hashes(texts), R2, store)
+            owner, a, local, at, k, n = _listed(b, words)
+            take = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [column(b, "doc_id").take(take), column(b, "th").take(take), pa.array(a[each]), _signed(roll.span(at, at + window)), pa.array(local.astype(np.int32)), pa.array(k[each].astype(np.int64))],
-                names=["doc_id", "th", "a", "w", "start", "k"],
+                [column(b, "doc_id").take(take), column(b, "th").take(take), pa.array(a), _signed(node(roll, at, window, bits)), _signed(node(roll, at + 1, window, bits)), pa.array(local.astype(np.int32)), pa.array(k), pa.array(n.astype(np.int32))],
+                names=["doc_id", "th", "a", "u", "v", "start", "k", "of"],
             )
 
     return run
 
 
+def _digest(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def _windows(window: int):
+    """Cryptographic hashes of the words of each window of the listed pieces."""
+
+    def run(batches):
+        for b in pieces(batches, "text"):
+            texts = Texts(column(b, "text"))
+            words = Words(texts)
+            out, _, begin, end = normalised(texts, words)
+            raw = out.tobytes()
+            owner, _, local, at, _, _ = _listed(b, words)
+            take = pa.array(owner)
+            hashes = [_digest(raw[x:y]) for x, y in zip(begin[at].tolist(), end[at + window - 1].tolist())]
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id").take(take), column(b, "th").take(take), pa.array(hashes, pa.binary()), pa.array(local.astype(np.int32))], names=["doc_id", "th", "w", "start"])
+
+    return run
+
+
+SPAN = "struct<start:int,len:int,path:struct<u:bigint,v:bigint,n:int>,low:int>"
+PROOF = pa.list_(pa.struct([("path", pa.struct([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int32())])), ("low", pa.int32()), ("len", pa.int32()), ("w", pa.binary())]))
+
+
 def _remove(digest: bool):
-    """Compact the spans of each document and cut their words out of it."""
+    """Cut the words of the spans of each document out of it; and a proof of each span, the hash of its words."""
 
     def run(batches):
         for b in pieces(batches, "text"):
@@ -127,21 +162,29 @@ def _remove(digest: bool):
             words = Words(texts)
             items = column(b, "spans")
             flat = items.flatten()
-            owner = np.repeat(np.arange(len(b)), np.diff(np.asarray(items.offsets)))
+            count = np.diff(np.asarray(items.offsets))
+            owner = np.repeat(np.arange(len(b)), count)
             edge = np.zeros(len(words.start) + 1, dtype=np.int64)
+            proofs = []
             if len(owner):
                 start = words.ptr[owner] + np.asarray(flat.field(0)).astype(np.int64)
+                size = np.asarray(flat.field(1)).astype(np.int64)
                 np.add.at(edge, start, 1)
-                np.add.at(edge, start + np.asarray(flat.field(1)).astype(np.int64), -1)
+                np.add.at(edge, start + size, -1)
+                out, _, begin, end = normalised(texts, words)
+                raw = out.tobytes()
+                proofs = [_digest(raw[x:y]) for x, y in zip(begin[start].tolist(), end[start + size - 1].tolist())]
             gone = np.cumsum(edge[:-1]) > 0
             out, offs, _, _ = normalised(texts, words, ~gone)
             raw = out.tobytes()
             removed = np.bincount(words.rows()[gone], minlength=len(b)).astype(np.int64)
             spans = zip(offs[:-1].tolist(), offs[1:].tolist())
             kept = [hashlib.sha256(raw[s:e]).hexdigest() if digest else raw[s:e].decode("utf-8", "replace") for s, e in spans]
+            each = pa.StructArray.from_arrays([flat.field(2), flat.field(3), flat.field(1), pa.array(proofs, pa.binary())], fields=list(PROOF.value_type))
+            proof = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), each)
             yield pa.RecordBatch.from_arrays(
-                [column(b, "doc_id"), pa.array(words.count.astype(np.int64)), pa.array(removed), pa.array(kept, pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256" if digest else "kept_text"],
+                [column(b, "doc_id"), column(b, "th"), pa.array(words.count.astype(np.int64)), pa.array(removed), pa.array(kept, pa.string()), proof],
+                names=["doc_id", "th", "n_words", "n_removed", "kept_sha256" if digest else "kept_text", "proofs"],
             )
 
     return run
@@ -152,38 +195,82 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
-def repeated_spans(src: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc_id, th, spans array<struct<start, len>>: word spans of each source text that also start elsewhere."""
-    found = cut(src.mapInArrow(_find_pieces(window, anchor), "doc_id long, th long, a long, c long, start int, n int"), "pieces")
+def _same(left: DataFrame, right: DataFrame):
+    return left["doc_id"].eqNullSafe(right["doc_id"]) & left["th"].eqNullSafe(right["th"])
+
+
+def _todo(src: DataFrame, rows: DataFrame) -> DataFrame:
+    """Source texts with the pieces (a, start, n, k) of them that rows list."""
+    todo = rows.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "start", "n", "k")).alias("todo"))
+    return src.join(todo, _same(src, todo)).select(src["doc_id"], src["th"], src["text"], "todo")
+
+
+def compacted(segments: DataFrame) -> DataFrame:
+    """id, head, off: for each segment that is linked to another, the first segment of its path and the edges before it.
+
+    segments has id (struct u, v, n) and k, its occurrences. Each round of pointer doubling joins the segments that have not
+    found their head with what they point to; rings, which have none, stay apart."""
+    first = segments.groupBy(F.col("id.u").alias("at")).agg(F.count("*").alias("m"), F.min(F.struct("id", "k")).alias("to")).filter("m = 1")
+    last = segments.groupBy(F.col("id.v").alias("at")).agg(F.count("*").alias("m"), F.min(F.struct("id", "k")).alias("from")).filter("m = 1")
+    links = last.drop("m").join(first.drop("m"), "at").filter("from.k = to.k and from.id <> to.id")
+    links = cut(links.select(F.col("from.id").alias("prev"), F.col("to.id").alias("id")), "links")
+    heads = links.join(links.select(F.col("id").alias("prev")), "prev", "left_anti").select(F.col("prev").alias("id"))
+    heads = heads.select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("off"), F.lit(True).alias("done"))
+    table = cut(heads.unionByName(links.select("id", F.col("prev").alias("head"), F.col("prev.n").cast("long").alias("off"), F.lit(False).alias("done"))), "pointers")
+    left = table.filter("not done").count()
+    while left:
+        old = table.select(F.col("id").alias("head"), F.col("head").alias("next"), F.col("off").alias("more"), F.col("done").alias("found"))
+        moved = table.filter("not done").join(old, "head").select("id", F.col("next").alias("head"), (F.col("off") + F.col("more")).alias("off"), F.col("found").alias("done"))
+        table = cut(table.filter("done").unionByName(moved), "pointers")
+        before, left = left, table.filter("not done").count()
+        if left == before:
+            break
+    return table.filter("done").select("id", "head", "off")
+
+
+def repeated_paths(src: DataFrame, window: int, anchor: int, bits: int = NODE_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pieces with a shared anchor; segments with a and head; spans: doc_id, th, start, len, path, low, the path's edges before it)."""
+    found = cut(src.mapInArrow(_find_pieces(window, anchor, bits), "doc_id long, th long, a long, u long, v long, start int, n int"), "pieces")
     # Written tables on both sides of the joins let the adaptive skew join split a hot anchor.
     shared = cut(found.groupBy("a").agg(F.count("*").alias("m")).filter("m > 1").select("a"), "anchors")
     found = cut(found.join(shared, "a"), "shared")
-    one = F.struct("doc_id", "th", "start", "n")
-    classes = cut(found.groupBy("a", "c").agg(F.count("*").alias("k"), F.min(one).alias("one")), "classes")
-    # Paths without branches: all edges of a class with two or more occurrences repeat.
-    whole = found.join(classes.filter("k > 1").select("a", "c"), ["a", "c"]).select("doc_id", "th", "start", (F.col("n") + (window - 1)).alias("len"))
-    # Branches: anchors with several classes, of which one at least occurs once only.
+    one = F.struct("doc_id", "th", "start")
+    classes = cut(found.groupBy("a", "u", "v", "n").agg(F.count("*").alias("k"), F.min(one).alias("one")), "classes")
     forks = cut(classes.groupBy("a").agg(F.count("*").alias("m"), F.min("k").alias("least")).filter("m > 1 and least = 1").select("a"), "forks")
-    todo = (
-        classes.join(forks, "a").select("one.doc_id", "one.th", F.struct("a", "one.start", "one.n", "k").alias("x"))
-        .groupBy("doc_id", "th").agg(F.collect_list("x").alias("todo"))
-    )
-    edges = src.join(todo, _same(src, todo)).select(src["doc_id"], src["th"], src["text"], "todo")
-    edges = cut(edges.mapInArrow(_expand(window), "doc_id long, th long, a long, w long, start int, k long"), "edges")
-    again = cut(edges.groupBy("a", "w").agg(F.sum("k").alias("m")).filter("m > 1").select("a", "w"), "again")
-    single = edges.filter("k = 1").join(again, ["a", "w"]).select("doc_id", "th", "start", F.lit(window).alias("len"))
-    return (
-        whole.unionByName(single).groupBy("doc_id", "th")
-        .agg(F.collect_set(F.struct("start", "len")).alias("spans"))
-    )
-
-
-def _same(left: DataFrame, right: DataFrame):
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & left["th"].eqNullSafe(right["th"])
+    edges = _todo(src, classes.join(forks, "a").select("one.doc_id", "one.th", "a", "one.start", "n", "k"))
+    edges = cut(edges.mapInArrow(_expand(window, bits), "doc_id long, th long, a long, u long, v long, start int, k long, of int"), "edges")
+    again = cut(edges.groupBy("a", "u", "v").agg(F.sum("k").alias("k"), F.count("*").alias("m")).filter("m > 1"), "again")
+    ident = F.struct("u", "v", "n").alias("id")
+    segments = classes.filter("k > 1").select("a", ident, "k").unionByName(again.withColumn("n", F.lit(1)).select("a", ident, "k"))
+    anchored = cut(segments, "segments")
+    segments = anchored.groupBy("id").agg(F.max("k").alias("k"))
+    whole = found.join(classes.filter("k > 1").select("a", "u", "v", "n"), ["a", "u", "v", "n"]).select("doc_id", "th", "start", ident)
+    # One window of each piece that shares an edge; pieces of one edge are there as a whole already.
+    single = edges.filter("k = 1 or of > 1").join(again.select("a", "u", "v"), ["a", "u", "v"]).withColumn("n", F.lit(1)).select("doc_id", "th", "start", ident)
+    chains = compacted(segments)
+    placed = whole.unionByName(single).join(chains, "id", "left")
+    path, off = F.coalesce("head", "id").alias("path"), F.coalesce("off", F.lit(0)).cast("int")
+    placed = cut(placed.select("doc_id", "th", "start", F.col("id.n").alias("n"), path, off.alias("off")), "placed")
+    key = ["doc_id", "th", "path", (F.col("start") - F.col("off")).alias("origin")]
+    spans = placed.groupBy(*key).agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("stop"), F.sum("n").alias("got"))
+    # Equal rows of the input give every piece as often.
+    rows = src.groupBy("doc_id", "th").agg(F.count("*").alias("rows"))
+    spans = cut(spans.join(rows, _same(spans, rows), "left").select(spans["*"], "rows"), "occurrences")
+    gaps = F.col("got") != F.col("rows") * (F.col("stop") - F.col("start"))
+    joined = spans.filter(~gaps).select("doc_id", "th", "start", (F.col("stop") - F.col("start") + (window - 1)).alias("len"), "path", (F.col("start") - F.col("origin")).cast("int").alias("low"))
+    if spans.filter(gaps).limit(1).count():
+        # Occurrences that lack a segment in between: their segments stay apart.
+        open_ = spans.filter(gaps).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("path").alias("q"), F.col("origin").alias("o"))
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t")) & (F.col("path") == F.col("q")) & (F.col("start") - F.col("off") == F.col("o"))
+        apart = placed.join(open_, same, "left_semi").select("doc_id", "th", "start", (F.col("n") + (window - 1)).alias("len"), "path", F.col("off").alias("low")).distinct()
+        joined = joined.unionByName(apart)
+    heads = anchored.join(chains, "id", "left").select("a", F.coalesce("head", "id").alias("path"))
+    return found, heads, joined
 
 
 def substring_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, digest: bool = False,
+    node_bits: int = NODE_BITS,
 ) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed and kept_text (kept_sha256 with digest=True).
 
@@ -196,8 +283,33 @@ def substring_dedup(
     different texts are told apart by text. Null ids are kept. Empty tables give an empty result.
     Other columns are ignored.
     """
+    if not 2 <= anchor <= window:
+        raise ValueError("anchor must be from 2 to window, so that the nodes of a piece hold all its words")
     arrow_rows(docs.sparkSession)
     src = _source(docs, id_col, text_col)
-    spans = cut(repeated_spans(src, window, anchor), "spans")
-    joined = src.join(spans, _same(src, spans), "left").select(src["doc_id"], src["text"], F.coalesce("spans", F.array().cast("array<struct<start:int,len:int>>")).alias("spans"))
-    return joined.mapInArrow(_remove(digest), f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept_text'} string")
+    found, heads, spans = repeated_paths(src, window, anchor, node_bits)
+    kept = "kept_sha256" if digest else "kept_text"
+    schema = f"doc_id long, th long, n_words long, n_removed long, {kept} string, proofs array<struct<path:struct<u:bigint,v:bigint,n:int>,low:int,len:int,w:binary>>"
+    columns = ["doc_id", "n_words", "n_removed", kept]
+
+    def removed(some: DataFrame, spans: DataFrame) -> DataFrame:
+        listed = cut(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "len", "path", "low")).alias("spans")), "spans")
+        joined = some.join(listed, _same(some, listed), "left")
+        joined = joined.select(some["doc_id"], some["th"], some["text"], F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+        return joined.mapInArrow(_remove(digest), schema)
+
+    checked = cut(removed(src, spans), "checked")
+    proofs = checked.select(F.inline("proofs")).groupBy("path", "low", "len", "w").agg(F.count("*").alias("k"))
+    doubtful = cut(proofs.groupBy("path").agg(F.count("*").alias("ways"), F.min("k").alias("least")).filter("ways > 1 or least < 2").select("path"), "doubtful")
+    if not doubtful.limit(1).count():
+        return checked.select(*columns)
+    again = cut(heads.join(doubtful, "path", "left_semi").select("a").distinct(), "doubted")
+    windows = _todo(src, found.join(again, "a").withColumn("k", F.lit(1).cast("long"))).mapInArrow(_windows(window), "doc_id long, th long, w binary, start int")
+    windows = cut(windows, "windows")
+    real = windows.join(windows.groupBy("w").agg(F.count("*").alias("k")).filter("k > 1").select("w"), "w").select("doc_id", "th", "start").distinct()
+    real = real.select("doc_id", "th", "start", F.lit(window).alias("len"), F.lit(None).cast("struct<u:bigint,v:bigint,n:int>").alias("path"), F.lit(0).alias("low"))
+    touched = cut(windows.select("doc_id", "th").distinct().unionByName(spans.join(doubtful, "path", "left_semi").select("doc_id", "th").distinct()).distinct(), "touched")
+    fine = spans.join(doubtful, "path", "left_anti").unionByName(real)
+    fine = fine.join(touched, _same(fine, touched), "left_semi")
+    rest = removed(src.join(touched, _same(src, touched), "left_semi"), fine)
+    return checked.join(touched, _same(checked, touched), "left_anti").select(*columns).unionByName(rest.select(*columns))

@@ -124,6 +124,39 @@ def test_substring(messy, none):
     assert substring_dedup(none).count() == 0
 
 
+def removed_words(docs, window):
+    """n_removed of each text by counting every window."""
+    ws = [t.split() for t in docs]
+    seen = Counter(tuple(w[i : i + window]) for w in ws for i in range(len(w) - window + 1))
+    return [len({k for j in range(len(w) - window + 1) if seen[tuple(w[j : j + window])] > 1 for k in range(j, j + window)}) for w in ws]
+
+
+@pytest.mark.parametrize("bits", [2, 5, 62])
+def test_substring_with_collisions(spark, bits):
+    """Nodes whose hashes collide are found out at their source coordinates, and what they hide is found by comparing words."""
+    from loomgraph.llm.substring import substring_dedup
+
+    rng = np.random.default_rng(17)
+    parts = [" ".join(f"w{k}" for k in rng.integers(0, 30, 25)) for _ in range(12)]
+    docs = [" ".join(f"{p} x{i}" if rng.random() < 0.3 else p for p in rng.choice(parts, rng.integers(1, 8))) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = [r.n_removed for r in substring_dedup(df, window=8, anchor=3, node_bits=bits).orderBy("doc_id").collect()]
+    assert got == removed_words(docs, 8) and 0 < sum(got)
+
+
+def test_paths_are_compacted(spark):
+    """A passage in several texts is one path, whatever is around it; a ring of windows has no head and stays as it is."""
+    from loomgraph.llm.substring import _source, repeated_paths
+
+    words = [f"w{i}" for i in range(400)]
+    passage, ring = " ".join(words[:300]), " ".join(["a b c d e f g h i j"] * 20)
+    texts = [f"l{i} {passage} r{i}" for i in range(3)] + [ring]
+    src = _source(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    spans = repeated_paths(src, 35, 8)[2].collect()
+    assert [(r.start, r.len, r.low) for r in spans if r.doc_id < 3] == [(1, 300, 0)] * 3
+    assert len({r.path for r in spans if r.doc_id < 3}) == 1 and any(r.doc_id == 3 for r in spans)
+
+
 @pytest.mark.parametrize("alphabet", [2, 5])
 def test_substring_of_few_words(spark, alphabet):
     """Texts of few different words, where anchors tie and paths branch everywhere."""
