@@ -6,19 +6,21 @@ host are then aligned one after the other: children with one key are aligned and
 that one side lacks becomes optional, a child or group repeated on one side repeated. No
 alternatives are ever formed, so the wrapper of a host is a union-free regular expression.
 
-Each page is aligned with its host's wrapper, which names the slot of every text. Slots are kept
-or left out by the elements that hold them; hosts without an article element go by links and by
-whether the slot's text stays the same from page to page. Kept texts form the blocks.
+Every page of a host is then matched with the final wrapper, which names the slot of every text, and
+the slots are judged over all pages: how many different texts they hold on different pages, and how
+much of them is linked. A wrapper's slots are kept or left out by that; what its elements are called
+is a prior, which counts where too few pages speak against it. The main text of a page is what it has
+in the kept slots of its host's wrapper, and nothing else.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from bisect import bisect_left
+from collections import Counter
 from html import unescape
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -30,8 +32,9 @@ from .kernels import column, pieces
 
 #: Signatures merged in one task at a time, and the size up to which wrappers are sent to all executors.
 MERGE_FAN, BROADCAST_BYTES = 64, 16 << 20
-#: Block elements nested deeper than this count as part of the one around them; their text stays.
-MAX_DEPTH = 150
+#: Pages with different contents from which on a slot can be template text, and the share of them with one text that makes
+#: it so: outside of articles and within, where what stays the same may also be said again.
+TEMPLATE, TEMPLATE_IN_ARTICLE = (3, 0.6), (5, 0.9)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^<>]*\Z", re.S)
 ATTR = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
@@ -47,12 +50,17 @@ CLOSED_BY_BLOCK = frozenset(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 LEFT_OUT = frozenset("head nav footer aside form menu dialog button select option svg canvas audio video object map script style textarea title noscript template iframe".split())
-ARTICLE = frozenset("article main".split())
-ARTICLE_WORDS = frozenset("article articlebody content post entry story main".split())
-LEFT_OUT_WORDS = frozenset(
+ROLES_LEFT_OUT = frozenset("@navigation @banner @contentinfo @complementary @search @form @dialog @alert @menu @menubar @toolbar".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Names of parts that are no article, and words beside them that make the name no other: `share-buttons`, but not `share-price`.
+SUSPECT = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice alert popup modal overlay newsletter"
     " subscribe signup nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments disqus reply replies share sharing social related"
-    " recommended recommendations widget toolbar pagination pager login search skip".split()
+    " recommended recommendations widget toolbar pagination pager login search skip masthead".split()
+)
+NEUTRAL = frozenset(
+    "area bar block body bottom box btn button buttons center col column container depth even first fixed form group head header heading icon icons inner item"
+    " items last layout left link links list main meta module odd outer page panel post posts primary right row section secondary site slot text thread title top unit wrap wrapper".split()
 )
 
 
@@ -62,23 +70,44 @@ class Node:
     def __init__(self, key: str, many: str = "", kids: list[Node] | None = None):
         self.key, self.many, self.kids, self.texts = key, many, kids if kids is not None else [], []
 
-    def plain(self):
-        return [self.key, self.many, [k.plain() for k in self.kids]]
+
+def inorder(root: Node) -> list[Node]:
+    """All nodes, each before its kids and these in order; no recursion, as pages nest as deep as they like."""
+    out, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        out.append(node)
+        stack.extend(reversed(node.kids))
+    return out
+
+
+def as_text(root: Node) -> str:
+    return json.dumps([[n.key, n.many, len(n.kids)] for n in inorder(root)], separators=(",", ":"))
 
 
-def from_plain(x) -> Node:
-    return Node(x[0], x[1], [from_plain(k) for k in x[2]])
+def from_text(text: str) -> Node:
+    root = Node("")
+    open_: list[list] = [[root, 1]]
+    for key, many, kids in json.loads(text):
+        while not open_[-1][1]:
+            open_.pop()
+        open_[-1][1] -= 1
+        node = Node(key, many)
+        open_[-1][0].kids.append(node)
+        open_.append([node, kids])
+    return root.kids[0]
 
 
 def element_key(tag: str, attrs: str) -> str:
-    """tag, with its role, class and id words: what makes elements the same in a template."""
+    """tag, with its class and id words and its role (marked by @): what makes elements the same in a template."""
     if not attrs or attrs.isspace():
         return tag
-    words: list[str] = []
+    words: set[str] = set()
     for name, value in ATTR.findall(attrs):
         if name.lower() in ("class", "id", "role", "itemprop"):
-            words += [w for w in WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()) if not w.isdigit()]
-    return f"{tag}.{'.'.join(sorted(set(words)))}" if words else tag
+            mark = "@" if name.lower() == "role" else ""
+            words |= {mark + w for w in WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()) if not w.isdigit()}
+    return f"{tag}.{'.'.join(sorted(words))}" if words else tag
 
 
 def parse(html: str) -> Node:
@@ -88,7 +117,7 @@ def parse(html: str) -> Node:
     only mark links."""
     root = Node("")
     stack, link, at, low = [root], 0, 0, None
-    deeper: list[str] = []
+    opened: Counter[str] = Counter()
 
     def text(raw: str) -> None:
         if raw:
@@ -98,14 +127,10 @@ def parse(html: str) -> Node:
             kids[-1].texts.append((raw, link > 0))
 
     def close(tag: str) -> None:
-        if tag in deeper:
-            while deeper.pop() != tag:
-                pass
-            return
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].key.split(".", 1)[0] == tag:
-                del stack[i:]
-                deeper.clear()
+        while opened[tag]:
+            top = stack.pop().key.split(".", 1)[0]
+            opened[top] -= 1
+            if top == tag:
                 return
 
     for m in TOKEN.finditer(html):
@@ -137,23 +162,19 @@ def parse(html: str) -> Node:
             elif tag == "br":
                 text(" ")
             continue
-        if len(stack) > MAX_DEPTH:
-            text(" ")
-            if tag not in VOID and not m[4]:
-                deeper.append(tag)
-            continue
         top = stack[-1].key.split(".", 1)[0]
         if tag in CLOSED_BY_BLOCK and top == "p":
-            stack.pop()
+            close(top)
         elif tag in ("li", "option", "tr", "td", "th", "dt", "dd") and top in ({"td", "th"} if tag in ("td", "th") else {"dt", "dd"} if tag in ("dt", "dd") else {tag, "td", "th"} if tag == "tr" else {tag, "p"}):
-            stack.pop()
+            close(top)
             if stack[-1].key.split(".", 1)[0] == tag:
-                stack.pop()
+                close(tag)
         node = Node(element_key(tag, m[3] or m[7] or ""))
         stack[-1].kids.append(node)
         link = 0 if tag in CLOSED_BY_BLOCK else link
         if tag not in VOID and not m[4]:
             stack.append(node)
+            opened[tag] += 1
     text(html[at:])
     return root
 
@@ -168,13 +189,20 @@ def join_many(a: str, b: str) -> str:
     return {(False, False): "", (True, False): "?", (False, True): "+", (True, True): "*"}[none, more]
 
 
-def fold(kids: list[Node]) -> list[Node]:
+def fold(root: Node) -> Node:
+    """The tree with repeats folded, the deepest first."""
+    done: dict[int, Node] = {}
+    for node in reversed(inorder(root)):
+        done[id(node)] = Node(node.key, node.many, fold_kids([done.pop(id(k)) for k in node.kids if not blank(k)]))
+        for k in node.kids:
+            done.pop(id(k), None)
+    return done[id(root)]
+
+
+def fold_kids(kids: list[Node]) -> list[Node]:
     """Kids with repeats folded: neighbours with one key become one `+`, and so do groups of two to four."""
     out: list[Node] = []
-    for k in kids:
-        if blank(k):
-            continue
-        mine = Node(k.key, k.many, fold(k.kids))
+    for mine in kids:
         if out and out[-1].key == mine.key:
             out[-1] = merge(out[-1], mine)
             out[-1].many = join_many(out[-1].many, "+")
@@ -216,144 +244,235 @@ def aligned(a: list[Node], b: list[Node]) -> list[tuple[Node | None, Node | None
     tail = 0
     while tail < min(len(a), len(b)) - head and a[-1 - tail].key == b[-1 - tail].key:
         tail += 1
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    best = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int32)
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i, j] = best[i + 1, j + 1] + 1 if x[i].key == y[j].key else max(best[i + 1, j], best[i, j + 1])
-    middle: list[tuple[Node | None, Node | None]] = []
-    i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i].key == y[j].key:
-            middle.append((x[i], y[j]))
-            i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and best[i + 1, j] >= best[i, j + 1]:
-            middle.append((x[i], None))
-            i += 1
-        else:
-            middle.append((None, y[j]))
-            j += 1
+    middle = common(a[head : len(a) - tail], b[head : len(b) - tail])
     return [*zip(a[:head], b[:head]), *middle, *zip(a[len(a) - tail :], b[len(b) - tail :])]
 
 
+def common(x: list[Node], y: list[Node]) -> list[tuple[Node | None, Node | None]]:
+    """x and y along a longest common sequence of their keys. A row of the table is a number whose bits tell where the
+    length of that sequence does not grow, so a row takes one addition however wide it is."""
+    where: dict[str, int] = {}
+    for i, n in enumerate(x):
+        where[n.key] = where.get(n.key, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    rows = [full]
+    for n in y:
+        v = rows[-1]
+        u = v & where.get(n.key, 0)
+        rows.append((v + u | v - u) & full)
+    out: list[tuple[Node | None, Node | None]] = []
+    i, j = len(x), len(y)
+    while i and j:
+        if rows[j] >> i - 1 & 1:
+            i -= 1
+            out.append((x[i], None))
+        elif not rows[j - 1] >> i - 1 & 1:
+            j -= 1
+            out.append((None, y[j]))
+        else:
+            i, j = i - 1, j - 1
+            out.append((x[i], y[j]))
+    return [*((n, None) for n in x[:i]), *((None, n) for n in y[:j]), *reversed(out)]
+
+
 def merge(a: Node, b: Node) -> Node:
     """The least union-free expression found for two of one key."""
-    ka = gather(a.kids, [k for k in b.kids if k.key.startswith("()")])
-    kb = gather(b.kids, [k for k in ka if k.key.startswith("()")])
-    kids: list[Node] = []
-    for x, y in aligned(ka, kb):
-        if x is not None and y is not None:
-            kids.append(merge(x, y))
-        else:
-            one = x if x is not None else y
-            kids.append(Node(one.key, join_many(one.many, "?"), one.kids))
-    return Node(a.key, join_many(a.many, b.many), kids)
+    out = Node(a.key, join_many(a.many, b.many))
+    stack = [(a, b, out)]
+    while stack:
+        a, b, into = stack.pop()
+        ka = gather(a.kids, [k for k in b.kids if k.key.startswith("()")])
+        kb = gather(b.kids, [k for k in ka if k.key.startswith("()")])
+        for x, y in aligned(ka, kb):
+            if x is not None and y is not None:
+                into.kids.append(Node(x.key, join_many(x.many, y.many)))
+                stack.append((x, y, into.kids[-1]))
+            else:
+                one = x if x is not None else y
+                into.kids.append(Node(one.key, join_many(one.many, "?"), one.kids))
+    return out
 
 
 def signature(root: Node) -> str:
     """The page's own wrapper as text."""
-    return json.dumps(Node("", "", fold(root.kids)).plain(), separators=(",", ":"))
+    return as_text(fold(root))
 
 
 def merge_all(signatures: list[str]) -> str:
     """The wrapper of several, merged in a fixed order."""
-    wrapper = from_plain(json.loads(signatures[0]))
+    wrapper = from_text(signatures[0])
     for s in signatures[1:]:
-        wrapper = merge(wrapper, from_plain(json.loads(s)))
-    return json.dumps(wrapper.plain(), separators=(",", ":"))
-
-
-def slots(page: list[Node], wrapper: list[Node], path: str = "") -> list[tuple[str, Node]]:
-    """(slot, text) of a page in order, by aligning it with its wrapper. A slot is the path of keys, each with
-    its place among the wrapper's children of one key; where a page has what the wrapper lacks, its own key."""
-    out: list[tuple[str, Node]] = []
-    names: dict[int, str] = {}
-    seen: dict[str, int] = {}
-    flat: list[Node] = []
-    for w in wrapper:
-        for v in w.kids if w.key.startswith("()") else [w]:
-            seen[v.key] = seen.get(v.key, 0) + 1
-            names[len(flat)] = f"{v.key}[{seen[v.key]}]"
-            flat.append(v)
-    runs: list[list[Node]] = []
-    for p in page:
-        if blank(p):
-            continue
-        if runs and runs[-1][0].key == p.key:
-            runs[-1].append(p)
-        else:
-            runs.append([p])
-    # Runs that repeat a group go round the wrapper's children again.
-    w = 0
-    for run in runs:
-        key = run[0].key
-        spot = next((i for i in range(w, len(flat)) if flat[i].key == key), None)
-        if spot is None:
-            spot = next((i for i in range(len(flat)) if flat[i].key == key), None)
-        name, inner = (names[spot], flat[spot].kids) if spot is not None else (f"{key}[0]", [])
-        w = spot + 1 if spot is not None else w
-        for p in run:
-            if key == "#":
-                out.append((f"{path}/{name}", p))
-            else:
-                out += slots(p.kids, inner, f"{path}/{name}")
-    return out
-
-
-@lru_cache(maxsize=4096)
-def role(slot: str) -> str:
-    """article, main (a main element, or one named like an article), out, or open (no element says), by what holds the slot."""
-    inside, article = False, False
-    for part in slot.split("/")[1:-1]:
-        key = part.rsplit("[", 1)[0]
-        tag, _, more = key.partition(".")
-        words = set(more.split(".")) if more else set()
-        if tag in LEFT_OUT or words & LEFT_OUT_WORDS and not (inside and tag in ("p", "h1", "h2", "h3")):
-            return "out"
-        if tag == "header" and not inside or "header" in words and tag not in ("h1", "h2") and not inside:
-            return "out"
-        article |= tag == "article"
-        inside |= tag in ARTICLE or bool(words & ARTICLE_WORDS)
-    return "article" if article else "main" if inside else "open"
+        wrapper = merge(wrapper, from_text(s))
+    return as_text(wrapper)
+
+
+class Wrapper:
+    """A wrapper whose nodes are numbered in order; the numbers of its text nodes are the slots."""
+
+    def __init__(self, text: str):
+        self.nodes = inorder(from_text(text))
+        number = {id(n): i for i, n in enumerate(self.nodes)}
+        self.parent = [-1] * len(self.nodes)
+        for i, n in enumerate(self.nodes):
+            for k in n.kids:
+                self.parent[number[id(k)]] = i
+        # The elements within each, groups opened, by their keys: places among them, and numbers.
+        self.within: list[dict[str, list[tuple[int, int]]]] = []
+        for n in self.nodes:
+            keys: dict[str, list[tuple[int, int]]] = {}
+            flat, stack = 0, list(reversed(n.kids))
+            while stack:
+                k = stack.pop()
+                if k.key.startswith("()"):
+                    stack.extend(reversed(k.kids))
+                else:
+                    keys.setdefault(k.key, []).append((flat, number[id(k)]))
+                    flat += 1
+            self.within.append(keys)
+
+    def match(self, page: Node) -> list[tuple[int, Node]]:
+        """(slot, text) of a page in order; -1 for texts that the wrapper has no place for.
+
+        Children follow the wrapper's; runs that repeat a group go round them again. Where several children of the wrapper
+        have a kid's key, all are followed, those from the current place on first, and a text takes the first that has it."""
+        out: list[tuple[int, Node]] = []
+        stack: list[tuple[Node, list[int]]] = [(page, [0])]
+        while stack:
+            node, spots = stack.pop()
+            if node.key == "#":
+                out.append((spots[0] if spots else -1, node))
+                continue
+            found: list[tuple[Node, list[int]]] = []
+            place, last = 0, ""
+            for kid in node.kids:
+                if blank(kid):
+                    continue
+                if kid.key == last:
+                    found.append((kid, found[-1][1]))
+                    continue
+                last = kid.key
+                mine: list[int] = []
+                for at in spots:
+                    there = self.within[at].get(last, ())
+                    k = bisect_left(there, (place, -1)) if at == spots[0] else 0
+                    mine += [number for _, number in (*there[k:], *there[:k])]
+                    if at == spots[0] and there:
+                        place = there[k % len(there)][0] + 1
+                found.append((kid, mine))
+            stack.extend(reversed(found))
+        return out
+
+    def roles(self) -> list[tuple[str, int, bool]]:
+        """For each node: its level by what holds it (out; article, main, or open), the outermost element around it with a
+        suspect name (-1: none), and whether it is in a heading."""
+        out: list[tuple[str, int, bool]] = []
+        for i, n in enumerate(self.nodes):
+            level, suspect, heading = out[self.parent[i]] if i else ("open", -1, False)
+            tag, _, more = n.key.partition(".")
+            words = set(more.split(".")) if more else set()
+            names = {w for w in words if not w.startswith("@")}
+            if tag in LEFT_OUT or words & ROLES_LEFT_OUT or tag == "header" and level == "open":
+                level = "out"
+            elif suspect < 0 and tag not in HEADINGS and names <= SUSPECT | NEUTRAL and (names & SUSPECT or "header" in names and level == "open"):
+                suspect = i
+            if level != "out" and (tag == "article" or "@article" in words):
+                level = "article"
+            elif level == "open" and (tag == "main" or "@main" in words):
+                level = "main"
+            out.append((level, suspect, heading or tag in HEADINGS))
+        return out
+
+    def kept(self, facts: dict[int, tuple[int, int, int, int]]) -> dict[str, list[int]]:
+        """The slots kept of each level (article, main, open), given (texts on pages, pages of the commonest text, characters,
+        linked characters) of each slot over the host's pages."""
+        roles = self.roles()
+        open_: dict[int, tuple[str, int, int]] = {}
+        for slot, (pages, top, chars, linked) in facts.items():
+            level, suspect, heading = roles[slot]
+            least, share = TEMPLATE_IN_ARTICLE if level == "article" else TEMPLATE
+            template = pages >= least and top >= share * pages and not (heading and level == "article")
+            links = level != "article" and 2 * linked > chars
+            if level != "out" and not template and not links:
+                open_[slot] = (level, suspect, chars - linked)
+        total = sum(size for *_, size in open_.values())
+        several = max((pages for pages, *_ in facts.values()), default=0) >= TEMPLATE[0]
+        named: Counter[int] = Counter()
+        for _, suspect, size in open_.values():
+            named[suspect] += size
+        # What holds most of the text that differs from page to page is no boilerplate, whatever its name.
+        good = lambda suspect: suspect < 0 or several and 2 * named[suspect] > total
+        return {x: sorted(s for s, (level, suspect, _) in open_.items() if level == x and good(suspect)) for x in ("article", "main", "open")}
 
 
 def clean(node: Node) -> str:
     return " ".join(unescape("".join(t for t, _ in node.texts)).split())
 
 
-def main_blocks(found: list[tuple[str, Node]], constant: frozenset[str]) -> list[str]:
-    """Texts of the slots in articles; without articles, of those in main parts; without these, of open slots that are
-    neither mostly links nor the same on every page."""
-    roles = [role(s) for s, _ in found]
-    level = next((x for x in ("article", "main") if x in roles), "open")
-    blocks = [clean(n) for (_, n), r in zip(found, roles) if r == level != "open"]
-    if level == "open":
-        for (s, n), r in zip(found, roles):
-            if r == "open" and s not in constant:
-                size = sum(len(t) for t, _ in n.texts)
-                linked = sum(len(t) for t, is_link in n.texts if is_link)
-                if 2 * linked <= size:
-                    blocks.append(clean(n))
-    return [b for b in blocks if b]
+def main_blocks(found: list[tuple[int, Node]], kept: dict[str, list[int]]) -> list[str]:
+    """Texts in the kept slots in articles; of a page without any, those in main elements; else all kept ones."""
+    texts = [(s, clean(n)) for s, n in found]
+    for level in ("article", "main", "open"):
+        mine = set(kept[level])
+        blocks = [t for s, t in texts if s in mine and t]
+        if blocks:
+            return blocks
+    return []
 
 
 def _describe(batches):
-    """host, signature, and (slot, hash of its text) of the slots that no element decides."""
+    """host and signature of each page."""
+    for b in pieces(batches, "html"):
+        sig = [signature(parse(html or "")) for html in column(b, "html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([column(b, "host"), pa.array(sig, pa.string())], names=["host", "sig"])
+
+
+class _Wrappers:
+    """The wrappers that a task has met last."""
+
+    def __init__(self):
+        self.known: dict[str, Wrapper] = {}
+
+    def get(self, text: str) -> Wrapper:
+        if text not in self.known:
+            if len(self.known) > 256:
+                self.known.clear()
+            self.known[text] = Wrapper(text)
+        return self.known[text]
+
+
+def _sketch(texts: list[str]) -> int:
+    """A min-hash of the runs of three words, which pages with the same or nearly the same content share."""
+    words = " ".join(texts).split()
+    runs = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+    return min(xxhash.xxh64_intdigest(r) for r in runs) >> 1
+
+
+def _facts(batches):
+    """For each slot of a page that no element rules out: host, slot, hash of its text, sketch of the page, characters, linked ones."""
+    wrappers = _Wrappers()
+    roles: dict[int, list] = {}
     for b in pieces(batches, "html"):
-        sig, open_slots = [], []
-        for html in column(b, "html").to_pylist():
-            root = parse(html or "")
-            own = fold(root.kids)
-            sig.append(json.dumps(Node("", "", own).plain(), separators=(",", ":")))
-            mine = {}
-            found = slots(root.kids, own)
-            if not any(role(s) in ("article", "main") for s, _ in found):
-                for s, n in found:
-                    if role(s) == "open":
-                        mine.setdefault(s, []).append(clean(n))
-            open_slots.append([{"slot": s, "h": xxhash.xxh64_intdigest("\n".join(t)) >> 1} for s, t in mine.items()])
-        kind = pa.list_(pa.struct([("slot", pa.string()), ("h", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([column(b, "host"), pa.array(sig, pa.string()), pa.array(open_slots, kind)], names=["host", "sig", "slots"])
+        out: list[tuple] = []
+        for host, html, text in zip(*(column(b, c).to_pylist() for c in ("host", "html", "wrapper"))):
+            wrapper = wrappers.get(text)
+            if id(wrapper) not in roles:
+                roles.clear()
+                roles[id(wrapper)] = wrapper.roles()
+            mine: dict[int, list[Node]] = {}
+            for slot, node in wrapper.match(parse(html or "")):
+                if slot >= 0 and roles[id(wrapper)][slot][0] != "out":
+                    mine.setdefault(slot, []).append(node)
+            texts = {s: "\n".join(map(clean, nodes)) for s, nodes in mine.items()}
+            # By what articles hold where there are some, as copies of one may stand beside different adverts.
+            levels = {s: roles[id(wrapper)][s][0] for s in texts if texts[s]}
+            top = next((x for x in ("article", "main") if x in levels.values()), None)
+            page = _sketch([texts[s] for s in levels if top in (None, levels[s])])
+            for s, nodes in mine.items():
+                linked = sum(len(t) for n in nodes for t, is_link in n.texts if is_link)
+                out.append((host, s, xxhash.xxh64_intdigest(texts[s]) >> 1, page, sum(len(t) for n in nodes for t, _ in n.texts), linked))
+        cols = list(zip(*out)) if out else [()] * 6
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "slot", "h", "page", "chars", "linked"])
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
@@ -373,42 +492,59 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         left = cut(grouped.groupBy("host", "bucket").applyInPandas(merge_group, "host string, sig string"), "merged")
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", constant_pages: int = 3) -> DataFrame:
+def judged(wrappers: DataFrame, facts: DataFrame) -> DataFrame:
+    """host, wrapper, and the kept slots of each level: article, main, open. Pages with the same content count once."""
+    texts = facts.groupBy("host", "slot", "h", "page").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    texts = texts.groupBy("host", "slot", "h").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    slots = texts.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max("n").alias("top"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    facts = slots.groupBy("host").agg(F.collect_list(F.struct("slot", "pages", "top", "chars", "linked")).alias("facts"))
+    both = wrappers.join(facts, "host", "left").select("host", "wrapper", "facts")
+
+    def decide(pdfs):
+        for pdf in pdfs:
+            kept = [Wrapper(w).kept({f["slot"]: (f["pages"], f["top"], f["chars"], f["linked"]) for f in (fs if fs is not None else ())}) for w, fs in zip(pdf["wrapper"], pdf["facts"])]
+            yield pd.DataFrame({"host": pdf["host"], "wrapper": pdf["wrapper"], **{x: [k[x] for k in kept] for x in ("article", "main", "open")}})
+
+    return both.mapInPandas(decide, "host string, wrapper string, article array<int>, main array<int>, open array<int>")
+
+
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: the main text of each page, blocks joined by line breaks.
 
-    Null or empty html gives an empty text. Pages without a host in their url share one wrapper.
-    Null ids and urls and repeated rows are kept; an empty table gives an empty result; other
-    columns are ignored. A slot that no element decides counts as constant if it has one text on
-    `constant_pages` pages of the host or more. Pages of any length are read whole.
+    Elements that hold no article by what they are (nav, footer, aside, form, script, a page's header, ..) are left out.
+    Of what is left, a page's text is what lies in articles; without any, in main elements; without these, all of it: less
+    the slots of the host's wrapper that hold one text on most pages (TEMPLATE), that are mostly links (outside articles),
+    or that are named like a notice, an advert, a menu or comments and do not hold most of the text of three pages or more.
+    In articles, headings always stay, and other slots unless one text is on nine in ten of five pages or more.
+
+    Null or empty html gives an empty text. Pages without a host in their url share one wrapper. Pages with the same or
+    nearly the same content count as one page when slots are judged, so copies are never taken for template text.
+    Null ids and urls and repeated rows are kept; an empty table gives an empty result; other columns are ignored. Pages of
+    any length and depth are read whole.
     """
     spark = pages.sparkSession
     arrow_rows(spark)
     url = pages[url_col].cast("string")
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     src = pages.select(pages[id_col].cast("long").alias("page_id"), url.alias("url"), pages[html_col].cast("string").alias("html"), host.alias("host"))
-    described = cut(src.select("host", "html").mapInArrow(_describe, "host string, sig string, slots array<struct<slot:string,h:long>>"), "pages")
-    wrappers = infer_wrappers(described)
-    constant = (
-        described.select("host", F.inline("slots")).groupBy("host", "slot").agg(F.count("*").alias("n"), F.min("h").alias("a"), F.max("h").alias("b"))
-        .filter(F.col("a") == F.col("b")).filter(F.col("n") >= constant_pages)
-        .groupBy("host").agg(F.sort_array(F.collect_list("slot")).alias("constant"))
-    )
-    known = cut(wrappers.join(constant, "host", "left").select("host", "wrapper", "constant"), "wrappers")
-    size = known.agg(F.sum(F.length("wrapper") + F.coalesce(F.length(F.array_join("constant", ",")), F.lit(0)))).first()[0] or 0
-    known = known.withColumnRenamed("host", "whost")
-    joined = src.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, F.col("host") == F.col("whost")).drop("whost")
+    described = src.select("host", "html").mapInArrow(_describe, "host string, sig string")
+    wrappers = cut(infer_wrappers(described), "wrappers")
+
+    def with_host(rows: DataFrame, known: DataFrame) -> DataFrame:
+        known = known.withColumnRenamed("host", "whost")
+        small = (known.agg(F.sum(F.length("wrapper"))).first()[0] or 0) <= BROADCAST_BYTES
+        return rows.join(F.broadcast(known) if small else known, F.col("host") == F.col("whost")).drop("whost")
+
+    facts = with_host(src.select("host", "html"), wrappers).mapInArrow(_facts, "host string, slot int, h long, page long, chars long, linked long")
+    known = cut(judged(wrappers, facts), "judged")
 
     def run(batches):
-        parsed: dict[str, list[Node]] = {}
+        wrappers = _Wrappers()
         for b in pieces(batches, "html"):
             texts = []
-            for html, wrapper, same in zip(*(column(b, c).to_pylist() for c in ("html", "wrapper", "constant"))):
-                if wrapper not in parsed:
-                    if len(parsed) > 256:
-                        parsed.clear()
-                    parsed[wrapper] = from_plain(json.loads(wrapper)).kids
-                found = slots(parse(html or "").kids, parsed[wrapper])
-                texts.append("\n".join(main_blocks(found, frozenset(same or ()))))
+            for html, wrapper, *kept in zip(*(column(b, c).to_pylist() for c in ("html", "wrapper", "article", "main", "open"))):
+                found = wrappers.get(wrapper).match(parse(html or ""))
+                texts.append("\n".join(main_blocks(found, dict(zip(("article", "main", "open"), kept)))))
             yield pa.RecordBatch.from_arrays([column(b, "page_id"), column(b, "url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.drop("host").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return with_host(src, known).drop("host").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -432,7 +432,12 @@ def test_pages_without_article(spark):
     ("body", "want"),
     [
         ("<main><div class='crumbs'>Home</div><article><header><h1>T</h1></header><p>A</p><footer>by me</footer></article><p>More</p></main>", "T\nA"),
-        ("<div id='content'><div class='cookie-notice'>Ok?</div><p>A <a href='x'>b</a>, c.</p><section id='comments'><p>First!</p></section></div><div>End</div>", "A b, c."),
+        ("<div id='content'><div class='cookie-notice'>Ok?</div><p>A <a href='x'>b</a>, c.</p><section id='comments'><p>First!</p></section></div><div>End</div>", "A b, c.\nEnd"),
+        ("<article><div class='search-algorithms'><p>Body</p></div></article>", "Body"),
+        ("<article><p>A</p><div class='share-price'>12</div><div class='share-buttons'>Tweet</div></article>", "A\n12"),
+        ("<div class='story'>A</div><div class='text'>B</div>", "A\nB"),
+        ("<header role='banner'>Site</header><div role='main'><p>A</p></div><div role='search'>Find</div>", "A"),
+        ("<article><h2 class='alert'>On alerts</h2><p class='notice'>Sign up</p><p>A</p></article>", "On alerts\nA"),
         ("<article><table><tr><td>1<td>2<tr><td>3</table><pre>x\n y</pre><noscript>js</noscript><div class='share-buttons'>Tweet</div></article>", "1\n2\n3\nx y"),
         ("<article><p>a &lt; b &#x41;&#66; &euro; &unknown;</p><p> </p><ul><li>one<ul><li>two</ul><li>three</ul></article>", "a < b AB € &unknown;\none\ntwo\nthree"),
         ("<article><p>Old<aside>pull</aside> new</p><article class='comment'>me too</article></article>", "Old\nnew"),
@@ -441,19 +446,122 @@ def test_pages_without_article(spark):
     ],
 )
 def test_page_parts(body, want):
-    from loomgraph.llm.html import fold, main_blocks, parse, slots
+    assert single(f"<html><body><nav>Menu</nav>{body}</body></html>") == want
 
-    root = parse(f"<html><body><nav>Menu</nav>{body}</body></html>")
-    assert "\n".join(main_blocks(slots(root.kids, fold(root.kids)), frozenset())) == want
 
+def single(html):
+    """The main text of the only page of a host."""
+    from loomgraph.llm.html import Wrapper, _facts, main_blocks, parse, signature
 
-@pytest.mark.parametrize("n", [140, 5000])
-def test_deep_pages(spark, n):
+    root = parse(html)
+    wrapper = signature(root)
+    batch = pa.RecordBatch.from_pydict({"host": ["h"], "html": [html], "wrapper": [wrapper]})
+    facts = {r["slot"]: (1, 1, r["chars"], r["linked"]) for out in _facts([batch]) for r in out.to_pylist()}
+    w = Wrapper(wrapper)
+    return "\n".join(main_blocks(w.match(root), w.kept(facts)))
+
+
+def texts_of(spark, pages):
     from loomgraph.llm.html import extract_main_text
 
-    page = "<article>" + "<div>" * n + "<p>deep</p>" + "</div>" * n + "<p>after</p></article><footer>x</footer>"
-    df = spark.createDataFrame([(1, "http://h.example/", page), (2, "http://h.example/", page.replace("deep", "low"))], "page_id long, url string, html string")
-    assert {r.text.replace("\n", " ") for r in extract_main_text(df).collect()} == {"deep after", "low after"}
+    df = spark.createDataFrame([(i, "http://h.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in extract_main_text(df).orderBy("page_id").collect()]
+
+
+def test_the_wrapper_decides(spark):
+    """What a host's pages show of a slot counts more than its name, and an empty wrapper gives nothing."""
+    from loomgraph.llm.html import Wrapper, main_blocks, parse, signature
+
+    rng = np.random.default_rng(14)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    stories = [(prose(4), prose(30), prose(40)) for _ in range(8)]
+    page = "<article><h1>{0}</h1><h2>Summary</h2><p>{1}</p><div class='x1'>Read all of our stories</div><p>{2}</p></article><div class='zz'>Made by us</div>"
+    assert texts_of(spark, [page.format(*s) for s in stories]) == ["\n".join([s[0], "Summary", s[1], s[2]]) for s in stories]
+    # Of few pages, or of copies and near copies of one, nothing is taken for a template.
+    whole = lambda s: "\n".join([s[0], "Summary", s[1], "Read all of our stories", s[2]])
+    assert texts_of(spark, [page.format(*s) for s in stories[:2]]) == list(map(whole, stories[:2]))
+    near = [(stories[0][0], stories[0][1], f"{stories[0][2]} {i}") for i in range(9)]
+    assert texts_of(spark, [page.format(*s) for s in near]) == list(map(whole, near))
+    assert texts_of(spark, [page.format(*stories[0])] * 9) == [whole(stories[0])] * 9
+    # A slot named like an advert that holds the stories, and one without a name that holds what stays the same.
+    named = "<div class='promo'><p>{1}</p><p>{2}</p></div><div>Always here</div>"
+    assert texts_of(spark, [named.format(*s) for s in stories]) == ["\n".join(s[1:]) for s in stories]
+    root = parse(page.format(*stories[0]))
+    empty = Wrapper(signature(parse("")))
+    assert main_blocks(empty.match(root), empty.kept({})) == [] and {s for s, _ in empty.match(root)} == {-1}
+
+
+def expression(node):
+    """A wrapper as a regular expression over the tags of a page."""
+    inner = "".join(map(expression, node.kids))
+    if node.key == "#":
+        body = "#"
+    elif node.key.startswith("()"):
+        body = inner
+    else:
+        body = f"<{node.key}>{inner}</{node.key}>"
+    return f"(?:{body}){node.many}"
+
+
+def test_inference_accepts_its_pages():
+    """The wrapper of random pages, as a regular expression, accepts each of them, and every text has its slot."""
+    from loomgraph.llm.html import Wrapper, blank, from_text, merge_all, parse, signature
+
+    rng = np.random.default_rng(15)
+
+    def element(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return f"t{rng.integers(9)}"
+        tag = rng.choice(["div", "section", "ul", "pre"])
+        return f"<{tag}>" + "".join(element(depth - 1) for _ in range(rng.integers(0, 5))) + f"</{tag}>"
+
+    def shape(node):
+        inner = "".join(shape(k) for k in node.kids if not blank(k))
+        return "#" if node.key == "#" else f"<{node.key}>{inner}</{node.key}>"
+
+    exact = total = 0
+    for _ in range(150):
+        roots = [parse("".join(element(3) for _ in range(rng.integers(1, 4)))) for _ in range(rng.integers(1, 6))]
+        text = merge_all(sorted({signature(r) for r in roots}))
+        wrapper, rule = Wrapper(text), re.compile(expression(from_text(text)))
+        for r in roots:
+            assert all(s >= 0 for s, _ in wrapper.match(r))
+            total += 1
+            exact += bool(rule.fullmatch(shape(r)))
+    assert exact == total
+
+
+def test_common_sequence():
+    """The longest common sequence by the table of all pairs of prefixes."""
+    from loomgraph.llm.html import Node, common
+
+    rng = np.random.default_rng(16)
+    for _ in range(300):
+        x, y = ([Node(str(k)) for k in rng.integers(0, 4, rng.integers(0, 9))] for _ in range(2))
+        best = np.zeros((len(x) + 1, len(y) + 1), dtype=int)
+        for i in range(len(x)):
+            for j in range(len(y)):
+                best[i + 1, j + 1] = best[i, j] + 1 if x[i].key == y[j].key else max(best[i, j + 1], best[i + 1, j])
+        got = common(x, y)
+        assert [a for a, _ in got if a] == x and [b for _, b in got if b] == y
+        assert all(a.key == b.key for a, b in got if a and b) and sum(1 for a, b in got if a and b) == best[-1, -1]
+    begun = time.perf_counter()
+    common([Node(str(i)) for i in range(5000)], [Node(str(i * 7 % 5000)) for i in range(5000)])
+    assert time.perf_counter() - begun < 5
+
+
+@pytest.mark.parametrize("n", [10, 160, 20_000])
+def test_deep_pages(spark, n):
+    """Nesting of any depth changes nothing: neither line breaks nor what is left out."""
+    page = "<article>" + "<div>" * n + "<p>deep</p><nav>MENU</nav><p>two</p>" + "</div>" * n + "<p>after</p></article><footer>x</footer>"
+    assert texts_of(spark, [page, page.replace("deep", "low")]) == ["deep\ntwo\nafter", "low\ntwo\nafter"]
+    assert texts_of(spark, ["</b></i></p>" + "<div>" * n + "</x></y>" * n + "end"]) == ["end"]
+
+
+def test_long_page(spark):
+    blocks = [f"p{i} é &amp; x" for i in range(60_000)]
+    (text,) = texts_of(spark, ["<nav>m</nav><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article>"])
+    assert text == "\n".join(b.replace("&amp;", "&") for b in blocks)
 
 
 def test_wrapper_inference():
@@ -462,7 +570,7 @@ def test_wrapper_inference():
     a, b = (signature(parse(h)) for h in ("<div><h2>a</h2><p>x</p></div>", "<div><h2>a</h2><p>x</p><h2>b</h2><p>y</p><ul><li>1<li>2</ul></div>"))
     w = merge_all([a, b])
     assert merge_all([b, a]) == w
-    assert '["()h2 p","+"' in w and '["ul","?"' in w and '["li","+"' in w
+    assert '["()h2 p","+",2]' in w and '["ul","?",1]' in w and '["li","+",1]' in w
 
 
 @pytest.mark.parametrize("fan", [2, 64])
