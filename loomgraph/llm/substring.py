@@ -9,11 +9,11 @@ the same distance from it. So
    occurs twice or more;
 2. equal pieces are one segment of the graph; where an anchor has several and one occurs once only, one piece of each is
    expanded into its edges, and the edges in several of them are segments too;
-3. at a node where one segment ends, one begins and both occur equally often, nothing branches: joins on the nodes link such
-   segments, and pointer doubling compacts each chain of links into one path, so that a repeated passage is one span;
+3. at a node where one segment ends, one begins and both occur at the same places, nothing branches: joins on the nodes link
+   such segments, and pointer doubling compacts each chain of links into one path, so that a repeated passage is one span;
 4. each occurrence of a path is verified at its source coordinates: the words there are hashed cryptographically, and a
    path stands if all its occurrences are equal and cover the same part of it. For the anchors of all other paths (nodes whose
-   hashes collide, occurrences cut off by the end of a text) every window is counted by such a hash of its words instead;
+   hashes collide) every window is counted by such a hash of its words instead;
 5. the words of all spans are removed from the whole text.
 """
 
@@ -149,8 +149,8 @@ def _windows(window: int):
     return run
 
 
-SPAN = "struct<start:int,len:int,path:struct<u:bigint,v:bigint,n:int>,low:int>"
-PROOF = pa.list_(pa.struct([("path", pa.struct([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int32())])), ("low", pa.int32()), ("len", pa.int32()), ("w", pa.binary())]))
+SPAN = "struct<start:int,len:int,path:bigint,low:int>"
+PROOF = pa.list_(pa.struct([("path", pa.int64()), ("low", pa.int32()), ("len", pa.int32()), ("w", pa.binary())]))
 
 
 def _remove(digest: bool):
@@ -208,11 +208,11 @@ def _todo(src: DataFrame, rows: DataFrame) -> DataFrame:
 def compacted(segments: DataFrame) -> DataFrame:
     """id, head, off: for each segment that is linked to another, the first segment of its path and the edges before it.
 
-    segments has id (struct u, v, n) and k, its occurrences. Each round of pointer doubling joins the segments that have not
+    segments has id (struct u, v, n), k, its occurrences, and sums over where they begin and end. Each round of pointer doubling joins the segments that have not
     found their head with what they point to; rings, which have none, stay apart."""
-    first = segments.groupBy(F.col("id.u").alias("at")).agg(F.count("*").alias("m"), F.min(F.struct("id", "k")).alias("to")).filter("m = 1")
-    last = segments.groupBy(F.col("id.v").alias("at")).agg(F.count("*").alias("m"), F.min(F.struct("id", "k")).alias("from")).filter("m = 1")
-    links = last.drop("m").join(first.drop("m"), "at").filter("from.k = to.k and from.id <> to.id")
+    first = segments.groupBy(F.col("id.u").alias("at")).agg(F.count("*").alias("m"), F.min(F.struct("id", "k", "begins")).alias("to")).filter("m = 1")
+    last = segments.groupBy(F.col("id.v").alias("at")).agg(F.count("*").alias("m"), F.min(F.struct("id", "k", "ends")).alias("from")).filter("m = 1")
+    links = last.drop("m").join(first.drop("m"), "at").filter("from.k = to.k and from.ends = to.begins and from.id <> to.id")
     links = cut(links.select(F.col("from.id").alias("prev"), F.col("to.id").alias("id")), "links")
     heads = links.join(links.select(F.col("id").alias("prev")), "prev", "left_anti").select(F.col("prev").alias("id"))
     heads = heads.select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("off"), F.lit(True).alias("done"))
@@ -229,42 +229,47 @@ def compacted(segments: DataFrame) -> DataFrame:
 
 
 def repeated_paths(src: DataFrame, window: int, anchor: int, bits: int = NODE_BITS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pieces with a shared anchor; segments with a and head; spans: doc_id, th, start, len, path, low, the path's edges before it)."""
+    """(pieces with a shared anchor; anchors and paths of the segments; spans: doc_id, th, start, len, path, low, the path's edges before it)."""
     found = cut(src.mapInArrow(_find_pieces(window, anchor, bits), "doc_id long, th long, a long, u long, v long, start int, n int"), "pieces")
     # Written tables on both sides of the joins let the adaptive skew join split a hot anchor.
     shared = cut(found.groupBy("a").agg(F.count("*").alias("m")).filter("m > 1").select("a"), "anchors")
     found = cut(found.join(shared, "a"), "shared")
     one = F.struct("doc_id", "th", "start")
-    classes = cut(found.groupBy("a", "u", "v", "n").agg(F.count("*").alias("k"), F.min(one).alias("one")), "classes")
+    # Half a hash, so that no sum over places overflows; equal sums for other places are found out when paths are verified.
+    places = lambda at: F.sum(F.xxhash64("doc_id", "th", at).bitwiseAND(F.lit(0xFFFFFFFF)))
+    ends = places(F.col("start") + F.col("n")).alias("ends")
+    classes = cut(found.groupBy("a", "u", "v", "n").agg(F.count("*").alias("k"), F.min(one).alias("one"), places(F.col("start")).alias("begins"), ends), "classes")
     forks = cut(classes.groupBy("a").agg(F.count("*").alias("m"), F.min("k").alias("least")).filter("m > 1 and least = 1").select("a"), "forks")
     edges = _todo(src, classes.join(forks, "a").select("one.doc_id", "one.th", "a", "one.start", "n", "k"))
-    edges = cut(edges.mapInArrow(_expand(window, bits), "doc_id long, th long, a long, u long, v long, start int, k long, of int"), "edges")
-    again = cut(edges.groupBy("a", "u", "v").agg(F.sum("k").alias("k"), F.count("*").alias("m")).filter("m > 1"), "again")
-    ident = F.struct("u", "v", "n").alias("id")
-    segments = classes.filter("k > 1").select("a", ident, "k").unionByName(again.withColumn("n", F.lit(1)).select("a", ident, "k"))
-    anchored = cut(segments, "segments")
-    segments = anchored.groupBy("id").agg(F.max("k").alias("k"))
-    whole = found.join(classes.filter("k > 1").select("a", "u", "v", "n"), ["a", "u", "v", "n"]).select("doc_id", "th", "start", ident)
-    # One window of each piece that shares an edge; pieces of one edge are there as a whole already.
-    single = edges.filter("k = 1 or of > 1").join(again.select("a", "u", "v"), ["a", "u", "v"]).withColumn("n", F.lit(1)).select("doc_id", "th", "start", ident)
-    chains = compacted(segments)
-    placed = whole.unionByName(single).join(chains, "id", "left")
-    path, off = F.coalesce("head", "id").alias("path"), F.coalesce("off", F.lit(0)).cast("int")
-    placed = cut(placed.select("doc_id", "th", "start", F.col("id.n").alias("n"), path, off.alias("off")), "placed")
-    key = ["doc_id", "th", "path", (F.col("start") - F.col("off")).alias("origin")]
-    spans = placed.groupBy(*key).agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("stop"), F.sum("n").alias("got"))
+    edges = cut(edges.mapInArrow(_expand(window, bits), "doc_id long, th long, a long, u long, v long, start int, k long, of int").withColumn("n", F.lit(1)), "edges")
+    again = edges.groupBy("a", "u", "v", "n").agg(F.sum("k").alias("k"), F.count("*").alias("m"), places(F.col("start")).alias("begins"), ends)
+    again = cut(again.filter("m > 1").drop("m"), "again")
+    names = ["a", F.struct("u", "v", "n").alias("id"), "k", "begins", "ends"]
+    repeated = cut(classes.filter("k > 1").select(*names).unionByName(again.select(*names)), "segments")
+    chains = compacted(repeated.groupBy("id").agg(F.max("k").alias("k"), F.max("begins").alias("begins"), F.max("ends").alias("ends")))
+    # A path is known by a hash of its first segment; paths that share one are found out when they are verified.
+    path = F.xxhash64(F.coalesce("head.u", "id.u"), F.coalesce("head.v", "id.v"), F.coalesce("head.n", "id.n")).alias("path")
+    heads = cut(repeated.join(chains, "id", "left").select("a", "id.u", "id.v", "id.n", path, F.coalesce("off", F.lit(0)).cast("int").alias("off")).distinct(), "heads")
+    key = ["a", "u", "v", "n"]
+    # All pieces of several occurrences; of each piece that shares an edge, that edge, unless it is the piece.
+    whole = found.join(heads.join(classes.filter("k > 1").select(*key), key, "left_semi"), key)
+    single = edges.filter("k = 1 or of > 1").join(heads.join(again.select(*key), key, "left_semi"), key)
+    columns = ["doc_id", "th", "start", "n", "path", "off"]
+    placed = whole.select(*columns).unionByName(single.select(*columns))
+    spans = placed.groupBy("doc_id", "th", "path", (F.col("start") - F.col("off")).alias("origin")).agg(
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("stop"), F.sum("n").alias("got")
+    )
     # Equal rows of the input give every piece as often.
-    rows = src.groupBy("doc_id", "th").agg(F.count("*").alias("rows"))
-    spans = cut(spans.join(rows, _same(spans, rows), "left").select(spans["*"], "rows"), "occurrences")
+    rows = src.groupBy("doc_id", "th").agg(F.count("*").alias("rows")).filter("rows > 1")
+    spans = cut(spans.join(rows, _same(spans, rows), "left").select(spans["*"], F.coalesce("rows", F.lit(1)).alias("rows")), "occurrences")
     gaps = F.col("got") != F.col("rows") * (F.col("stop") - F.col("start"))
-    joined = spans.filter(~gaps).select("doc_id", "th", "start", (F.col("stop") - F.col("start") + (window - 1)).alias("len"), "path", (F.col("start") - F.col("origin")).cast("int").alias("low"))
+    joined = spans.filter(~gaps).select("doc_id", "th", "start", (F.col("stop") - F.col("start") + (window - 1)).alias("len"), "path", (F.col("start") - F.col("origin")).alias("low"))
     if spans.filter(gaps).limit(1).count():
         # Occurrences that lack a segment in between: their segments stay apart.
         open_ = spans.filter(gaps).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("path").alias("q"), F.col("origin").alias("o"))
         same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t")) & (F.col("path") == F.col("q")) & (F.col("start") - F.col("off") == F.col("o"))
         apart = placed.join(open_, same, "left_semi").select("doc_id", "th", "start", (F.col("n") + (window - 1)).alias("len"), "path", F.col("off").alias("low")).distinct()
         joined = joined.unionByName(apart)
-    heads = anchored.join(chains, "id", "left").select("a", F.coalesce("head", "id").alias("path"))
     return found, heads, joined
 
 
@@ -289,7 +294,7 @@ def substring_dedup(
     src = _source(docs, id_col, text_col)
     found, heads, spans = repeated_paths(src, window, anchor, node_bits)
     kept = "kept_sha256" if digest else "kept_text"
-    schema = f"doc_id long, th long, n_words long, n_removed long, {kept} string, proofs array<struct<path:struct<u:bigint,v:bigint,n:int>,low:int,len:int,w:binary>>"
+    schema = f"doc_id long, th long, n_words long, n_removed long, {kept} string, proofs array<struct<path:bigint,low:int,len:int,w:binary>>"
     columns = ["doc_id", "n_words", "n_removed", kept]
 
     def removed(some: DataFrame, spans: DataFrame) -> DataFrame:
@@ -307,7 +312,7 @@ def substring_dedup(
     windows = _todo(src, found.join(again, "a").withColumn("k", F.lit(1).cast("long"))).mapInArrow(_windows(window), "doc_id long, th long, w binary, start int")
     windows = cut(windows, "windows")
     real = windows.join(windows.groupBy("w").agg(F.count("*").alias("k")).filter("k > 1").select("w"), "w").select("doc_id", "th", "start").distinct()
-    real = real.select("doc_id", "th", "start", F.lit(window).alias("len"), F.lit(None).cast("struct<u:bigint,v:bigint,n:int>").alias("path"), F.lit(0).alias("low"))
+    real = real.select("doc_id", "th", "start", F.lit(window).alias("len"), F.lit(None).cast("long").alias("path"), F.lit(0).alias("low"))
     touched = cut(windows.select("doc_id", "th").distinct().unionByName(spans.join(doubtful, "path", "left_semi").select("doc_id", "th").distinct()).distinct(), "touched")
     fine = spans.join(doubtful, "path", "left_anti").unionByName(real)
     fine = fine.join(touched, _same(fine, touched), "left_semi")
