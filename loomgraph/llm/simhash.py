@@ -147,12 +147,12 @@ def _flips(bits: list[int], most: int) -> list[int]:
 
 
 def _longs(values: list[int]):
-    return F.array(*[F.lit(v).cast("long") for v in values])
+    return F.from_json(F.lit(str(values)), "array<bigint>")
 
 
 def near_pairs(uniq: DataFrame, plan: list[tuple[list[int], int]], radius: int = RADIUS, bucket_cap: int = BUCKET_CAP) -> DataFrame:
-    """a, b: links between distinct fingerprints `fp`. All pairs within the radius, but those that meet only in
-    a part value held by more than bucket_cap fingerprints are linked through a common third."""
+    """a, b: links between distinct fingerprints `fp`. All pairs within the radius, but within two bits those that meet only
+    in a part value held by more than bucket_cap fingerprints are linked through a common third."""
     whole = [sum(1 << b for b in bits) for bits, _ in plan]
     whole = [m - (1 << 64) if m >= 1 << 63 else m for m in whole]
     fp = F.col("fp")
@@ -165,9 +165,9 @@ def near_pairs(uniq: DataFrame, plan: list[tuple[list[int], int]], radius: int =
 
     probes = [probe(i, m, _flips(bits, t)) for i, ((bits, t), m) in enumerate(zip(plan, whole))]
     asked = uniq.select(fp, F.inline(F.concat(*probes)))
-    crowded = cut(data.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_cap).select("part", "key"), "crowded")
     on = ["part", "key"]
-    if crowded.limit(1).count():
+    crowded = cut(data.groupBy(*on).agg(F.count("*").alias("n")).filter(F.col("n") > bucket_cap).select(*on), "crowded") if radius <= 2 else None
+    if crowded is not None and crowded.limit(1).count():
         hot = asked.join(crowded, on).select("fp").distinct()
         data = data.join(crowded, on, "left_anti")
     else:
@@ -181,6 +181,19 @@ def near_pairs(uniq: DataFrame, plan: list[tuple[list[int], int]], radius: int =
     return pairs
 
 
+def rooted_fingerprints(uniq: DataFrame, radius: int, bucket_cap: int = BUCKET_CAP) -> DataFrame:
+    """uniq (distinct fp, further columns) with root: the smallest fingerprint reachable by links of up to `radius` bits."""
+    counts = uniq.select("fp").mapInArrow(_bit_counts, "i int, j int, c long").groupBy("i", "j").agg(F.sum("c").alias("c")).collect()
+    both, n = np.zeros((BITS, BITS)), 0
+    for r in counts:  # 4097 rows at any size
+        if r.i < 0:
+            n = r.c
+        else:
+            both[r.i, r.j] = r.c
+    roots = connected_components(near_pairs(uniq.select("fp"), plan_parts(both, n, radius), radius, bucket_cap))
+    return cut(uniq.join(roots, uniq["fp"] == roots["node"], "left").select(uniq["*"], F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, bucket_cap: int = BUCKET_CAP,
 ) -> DataFrame:
@@ -198,16 +211,94 @@ def simhash_groups(
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     fps = cut(src.mapInArrow(_fingerprint(shingle, seed), "doc_id long, fp long"), "fps")
     uniq = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("doc")), "uniq")
-    counts = uniq.select("fp").mapInArrow(_bit_counts, "i int, j int, c long").groupBy("i", "j").agg(F.sum("c").alias("c")).collect()
-    both, n = np.zeros((BITS, BITS)), 0
-    for r in counts:  # 4097 rows at any size
-        if r.i < 0:
-            n = r.c
-        else:
-            both[r.i, r.j] = r.c
-    plan = plan_parts(both, n)
-    roots = connected_components(near_pairs(uniq.select("fp"), plan, bucket_cap=bucket_cap))
-    rooted = cut(uniq.join(roots, uniq["fp"] == roots["node"], "left").select("fp", "doc", F.coalesce("root", "fp").alias("root")), "roots")
+    rooted = rooted_fingerprints(uniq, RADIUS, bucket_cap)
     names = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = cut(rooted.join(names, "root").select("fp", "component_id"), "names")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Near copies: words of a shingle of their fingerprints and of their similarity, least similarity, radii of the passes.
+SKETCH_WORDS, SIMILAR_WORDS, SIMILARITY, RADII = 2, 5, 0.8, (2, 6)
+
+
+def _shingles(text: str, k: int) -> set[int]:
+    """Hashes of a text's runs of k words in lower case (A-Z); of all its words if they are fewer."""
+    texts = Texts(pa.array([text]))
+    words = Words(texts)
+    raw, _, start, end = normalised(texts, words, lower=True)
+    raw, n = raw.tobytes(), len(start)
+    if not n:
+        return set()
+    spans = zip(start[: max(1, n - k + 1)].tolist(), end[min(k, n) - 1 :].tolist())
+    return {xxhash.xxh64_intdigest(raw[a:b], SEED) for a, b in spans}
+
+
+def _compare(k: int, least: float):
+    """For rows of a group's undecided texts beside its leader's: whether they are alike in at least `least` of their shingles."""
+
+    def run(batches):
+        leader, mine = None, set()
+        for b in pieces(batches, "text"):
+            like = []
+            for text, other in zip(column(b, "text").to_pylist(), column(b, "leader_text").to_pylist()):
+                if other != leader:
+                    leader, mine = other, _shingles(other, k)
+                found = _shingles(text, k)
+                like.append(len(found & mine) >= least * len(found | mine))
+            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("root", "t", "doc", "leader_t", "leader")), pa.array(like)], names=["root", "t", "doc", "leader_t", "leader", "like"])
+
+    return run
+
+
+def _led(src: DataFrame, members: DataFrame, k: int, least: float) -> DataFrame:
+    """t, leader_t, leader of the texts in groups of several (members: root, t, doc).
+
+    In rounds, the undecided text of least id in each group becomes a leader, and takes all that are like it."""
+    several = members.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
+    members = cut(members.join(several, "root"), "members")
+    texts = src.join(members.select("t", F.col("doc").alias("doc_id"), "root"), ["t", "doc_id"]).dropDuplicates(["t"])
+    left = cut(texts.select("root", "t", F.col("doc_id").alias("doc"), "text"), "undecided")
+    out = []
+    while left.limit(1).count():
+        first = left.groupBy("root").agg(F.min(F.struct("doc", "t")).alias("x")).select("root", F.col("x.doc").alias("leader"), F.col("x.t").alias("leader_t"))
+        own = left.select("root", F.col("t").alias("leader_t"), F.col("text").alias("leader_text")).join(first, ["root", "leader_t"])
+        schema = "root long, t string, doc long, leader_t string, leader long, like boolean"
+        told = cut(left.join(own, "root").mapInArrow(_compare(k, least), schema), "compared")
+        out.append(told.filter("like").select("t", "leader_t", "leader"))
+        left = cut(left.join(told.filter("not like").select("t"), "t", "left_semi"), "undecided")
+    decided = out[0] if out else members.select("t", F.col("t").alias("leader_t"), F.col("doc").alias("leader")).limit(0)
+    for more in out[1:]:
+        decided = decided.unionByName(more)
+    return decided
+
+
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = SIMILAR_WORDS,
+    sketch_words: int = SKETCH_WORDS, radii: tuple[int, ...] = RADII,
+) -> DataFrame:
+    """doc_id, t (md5 of the text), leader: one row per input row with an id; leader is the id of the document that stands for it.
+
+    A document is only given a leader whose shingles of `words` words are like its own (Jaccard) to `similarity` or more;
+    equal texts are led by the least id. Candidates come from fingerprints of shingles of `sketch_words` words, which few
+    changed words move less: the first pass takes links of radii[0] bits, where families of any size are found in linear time,
+    each further pass the leaders that are left and a wider radius. Of the texts of a component, the one of least id leads
+    all that are like it, then the least of the others, until each has a leader.
+
+    Null texts count as empty; texts without words are like each other and like no others. Rows without an id take no part.
+    Empty tables give an empty result; other columns are ignored.
+    """
+    spark = docs.sparkSession
+    arrow_rows(spark)
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    src = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text")).filter("doc_id is not null").withColumn("t", F.md5(F.col("text").cast("binary")))
+    fps = cut(src.select(F.struct("doc_id", "t").alias("doc_id"), "text").mapInArrow(_fingerprint(sketch_words, SEED), "doc_id struct<doc_id:bigint,t:string>, fp long").select("doc_id.*", "fp"), "fps")
+    left = cut(fps.groupBy("t", "fp").agg(F.min("doc_id").alias("doc")), "texts")
+    leads = left.select("t", F.col("t").alias("leader_t"), F.col("doc").alias("leader"))
+    for radius in radii:
+        rooted = rooted_fingerprints(left.select("fp").distinct(), radius)
+        found = cut(_led(src, left.join(rooted, "fp").select("root", "t", "doc"), words, similarity), "led")
+        moved = found.filter("t <> leader_t").select(F.col("t").alias("leader_t"), F.col("leader_t").alias("next_t"), F.col("leader").alias("next"))
+        leads = leads.join(moved, "leader_t", "left").select("t", F.coalesce("next_t", "leader_t").alias("leader_t"), F.coalesce("next", "leader").alias("leader"))
+        leads = cut(leads, "leads")
+        left = cut(left.join(moved.select(F.col("leader_t").alias("t")), "t", "left_anti"), "texts")
+    return fps.select("doc_id", "t").join(leads.select("t", "leader"), "t").select("doc_id", "t", "leader")

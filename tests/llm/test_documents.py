@@ -413,3 +413,32 @@ def test_pieces(messy, none):
     assert all(r.round_trip for r in got.collect())
     assert bag(map(tuple, decode_documents(got).collect())) == bag((i, t) for i, t, _ in rows(messy))
     assert encode_documents(none).count() == 0 == decode_documents(encode_documents(none)).count()
+
+
+def test_near_copies(spark, messy, none):
+    """Every document has a leader like it; families are found whole, and what is alike in fewer shingles is left alone."""
+    from loomgraph.llm.simhash import _shingles, near_copies
+
+    rng = np.random.default_rng(31)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    rows, i = [], 0
+    for family in range(12):
+        base = [word() for _ in range(200)]
+        for _ in range(1 + family * 3):
+            copy = list(base)
+            for at in rng.integers(0, 200, family % 3):
+                copy[at] = word()
+            rows.append((i, " ".join(copy)))
+            i += 1
+        rows.append((i, " ".join(w if k % 6 else word() for k, w in enumerate(base))))  # a sixth of the words changed
+        i += 1
+    texts = {k: _shingles(t, 5) for k, t in rows}
+    got = {r.doc_id: r.leader for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    like = lambda a, b: len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b])
+    assert set(got) == set(texts) and all(k <= d and got[k] == k and like(d, k) for d, k in got.items())
+    led = [d for d in texts if any(like(d, k) for k in texts if k < d)]
+    assert sum(got[d] != d for d in led) >= 0.9 * len(led) and all(got[d] == d for d in texts if d not in led)
+    messy_got = near_copies(messy).collect()
+    assert len(messy_got) == messy.filter("doc_id is not null").count()
+    assert {r.leader for r in messy_got if r.doc_id in (1, 2, 3)} == {1} and {r.leader for r in messy_got if r.doc_id in (4, 5)} == {4}
+    assert near_copies(none).count() == 0

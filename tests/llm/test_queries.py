@@ -25,7 +25,7 @@ def test_pipeline(spark, data):
     import corpus_pipeline as p
     from loomgraph.llm.frames import cut
     from loomgraph.llm.secrets import find_secrets
-    from loomgraph.llm.simhash import simhash_groups
+    from loomgraph.llm.simhash import _shingles, near_copies
     from loomgraph.llm.toxicity import toxicity
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
@@ -34,7 +34,14 @@ def test_pipeline(spark, data):
     kept = cut(p.drop_toxic(spark, docs, data))
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - rejected
     one = cut(p.drop_near_duplicates(spark, kept, data))
-    assert {r.doc_id for r in one.collect()} == {r.component_id for r in simhash_groups(kept).collect()} and one.count() == one.select("doc_id").distinct().count()
+    leads = {r.doc_id: r.leader for r in near_copies(kept).collect()}
+    texts = {r.doc_id: _shingles(r.text or "", 5) for r in kept.collect()}
+    assert {r.doc_id for r in one.collect()} == set(leads.values()) and one.count() == one.select("doc_id").distinct().count()
+    like = lambda a, b: len(texts[a] & texts[b]) >= 0.8 * len(texts[a] | texts[b])
+    assert all(like(i, k) and k <= i for i, k in leads.items())
+    ids = sorted(texts)
+    pairs = [(a, b) for a in ids for b in ids if a < b and like(a, b)]
+    assert sum(leads[b] != b for _, b in pairs) >= 0.8 * len(pairs)
     before = {r.doc_id: r for r in one.collect()}
     clean = cut(p.redact_secrets(spark, one, data))
     assert clean.columns == docs.columns and clean.count() == one.count()
