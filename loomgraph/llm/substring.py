@@ -110,7 +110,7 @@ def _listed(b: pa.RecordBatch, words: Words):
 
 
 def _expand(window: int, bits: int):
-    """Edges of the listed pieces of each document."""
+    """The nodes of the listed pieces of each document: one more than a piece has edges."""
 
     def run(batches):
         store: dict = {}
@@ -118,12 +118,15 @@ def _expand(window: int, bits: int):
             texts = Texts(column(b, "text"))
             words = Words(texts)
             roll = Rolling(words.hashes(texts), R2, store)
-            owner, a, local, at, k, n = _listed(b, words)
+            items = column(b, "todo")
+            flat = items.flatten()
+            owner = np.repeat(np.arange(len(b)), np.diff(np.asarray(items.offsets)))
+            start, n = (np.asarray(flat.field(i)).astype(np.int64) for i in (1, 2))
+            ends = np.append(0, np.cumsum(n + 1))
+            at = np.repeat(words.ptr[owner] + start - ends[:-1], n + 1) + np.arange(ends[-1])
+            nodes = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), _signed(node(roll, at, window, bits)))
             take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [column(b, "doc_id").take(take), column(b, "th").take(take), pa.array(a), _signed(node(roll, at, window, bits)), _signed(node(roll, at + 1, window, bits)), pa.array(local.astype(np.int32)), pa.array(k), pa.array(n.astype(np.int32))],
-                names=["doc_id", "th", "a", "u", "v", "start", "k", "of"],
-            )
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id").take(take), column(b, "th").take(take), flat.field(0), flat.field(1), flat.field(3), nodes], names=["doc_id", "th", "a", "start", "k", "nodes"])
 
     return run
 
@@ -241,7 +244,12 @@ def repeated_paths(src: DataFrame, window: int, anchor: int, bits: int = NODE_BI
     classes = cut(found.groupBy("a", "u", "v", "n").agg(F.count("*").alias("k"), F.min(one).alias("one"), places(F.col("start")).alias("begins"), ends), "classes")
     forks = cut(classes.groupBy("a").agg(F.count("*").alias("m"), F.min("k").alias("least")).filter("m > 1 and least = 1").select("a"), "forks")
     edges = _todo(src, classes.join(forks, "a").select("one.doc_id", "one.th", "a", "one.start", "n", "k"))
-    edges = cut(edges.mapInArrow(_expand(window, bits), "doc_id long, th long, a long, u long, v long, start int, k long, of int").withColumn("n", F.lit(1)), "edges")
+    forked = cut(edges.mapInArrow(_expand(window, bits), "doc_id long, th long, a long, start int, k long, nodes array<bigint>"), "nodes")
+    each = F.transform(F.sequence(F.lit(0), F.size("nodes") - 2), lambda i: F.struct(F.col("nodes")[i].alias("u"), F.col("nodes")[i + 1].alias("v"), (F.col("start") + i).alias("start")))
+    edges = forked.select("doc_id", "th", "a", "k", (F.size("nodes") - 1).alias("of"), F.explode(each).alias("e")).select("doc_id", "th", "a", "k", "of", "e.*", F.lit(1).alias("n"))
+    # Counted by a hash first, so that little is shuffled of the many edges that occur once.
+    edges = edges.withColumn("h", F.xxhash64("u", "v"))
+    edges = cut(edges.join(edges.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h"), "h").drop("h"), "edges")
     again = edges.groupBy("a", "u", "v", "n").agg(F.sum("k").alias("k"), F.count("*").alias("m"), places(F.col("start")).alias("begins"), ends)
     again = cut(again.filter("m > 1").drop("m"), "again")
     names = ["a", F.struct("u", "v", "n").alias("id"), "k", "begins", "ends"]
