@@ -44,16 +44,19 @@ class Engine:
         self.ontology = rdf.read_owl(self.spark, path)
         return self.ontology
 
-    def extract_knowledge(self, docs: DataFrame, verify_triples: bool = False, confidence_threshold: float | None = None, rejected: DataFrame | None = None, refuted: DataFrame | None = None) -> Knowledge:
+    def extract_knowledge(self, docs: DataFrame, verify_triples: bool = False, confidence_threshold: float | None = None, rejected: DataFrame | None = None, refuted: DataFrame | None = None, types: DataFrame | None = None) -> Knowledge:
         """Extract, validate, and then verify or filter. Verified results are not filtered; a threshold of None or 0
-        is the default. rejected and refuted hold statements (s, p, o) that break rules; without them all are valid."""
+        is the default. rejected and refuted hold statements (s, p, o) that break rules; without them all are valid, but for
+        what the policies refute where types (uri, type) of the entities are given."""
         cfg = self.config.extraction
         o = self.ontology
         x = D.distill(balanced(docs), self.extractor, cfg, o.classes if o else None, o.object_properties if o else None)
         valid = verify.validate(x.triples, rejected).filter("valid")
-        summary = D.summaries(x.extracted, valid)
+        summary = D.summaries(x.extracted, valid, ontology_uri=o.uri if o else None)
         if verify_triples:
             v = self.config.verification
+            if refuted is None and self.policies.by_name and types is not None:
+                refuted = self.policies.refuted(valid, types)
             triples = verify.verify(valid, v.gate, refuted) if v.enable_verification else valid
         else:
             triples = valid.filter(F.col("confidence") >= scores.threshold(confidence_threshold, cfg.confidence_threshold))
@@ -83,14 +86,14 @@ class Engine:
         scored = answers.join(vectors.withColumnRenamed("uri", var), var).join(F.broadcast(q))
         return scored.withColumn("similarity", similarity.similarity(F.col("vec"), F.col("q"))).drop("vec", "q").orderBy(F.desc("similarity"), var).limit(k)
 
-    def save_graph(self, graph_: kg.KnowledgeGraph, path: str, fmt: str = "parquet") -> None:
+    def save_graph(self, graph_: kg.KnowledgeGraph, path: str, fmt: str = "turtle") -> None:
         rdf.write(graph_, path, fmt)
 
-    def load_graph(self, path: str, fmt: str = "parquet", name: str = "kg") -> kg.KnowledgeGraph:
+    def load_graph(self, path: str, fmt: str = "turtle", name: str = "kg") -> kg.KnowledgeGraph:
         return rdf.read(self.spark, path, fmt, name)
 
     def statistics(self) -> dict:
         return {
             "config": self.config.to_dict(),
-            "components": {"extractor": type(self.extractor).__name__, "model": self.model is not None, "ontology_loaded": self.ontology is not None, "policies": sorted(self.policies.by_name)},
+            "components": {"extractor": type(self.extractor).__name__, "model": self.model is not None, "ontology": ontology.statistics(self.ontology), "ontology_loaded": self.ontology is not None, "policies": sorted(self.policies.by_name)},
         }

@@ -123,12 +123,16 @@ def score_triples(linked: DataFrame, max_triples: int) -> DataFrame:
     )
 
 
-def summaries(extracted: DataFrame, triples: DataFrame, confidence_col: str = "confidence") -> DataFrame:
-    """Per document: chunks, text length, triples, mean confidence (0 without triples) and its level."""
+def summaries(extracted: DataFrame, triples: DataFrame, confidence_col: str = "confidence", method: str = "extractor", ontology_uri: str | None = None) -> DataFrame:
+    """Per document: chunks, text length, triples, mean confidence (0 without triples) and its level, and how it was
+    extracted: the method and the ontology's iri (null without one)."""
     agg = triples.groupBy("doc_id").agg(F.count("*").alias("n_triples"), F.avg(confidence_col).alias("mean"))
     base = extracted.select("doc_id", F.length("text").cast("long").alias("text_length"), F.size("chunks").alias("n_chunks"))
     out = base.join(agg, "doc_id", "left").withColumn("confidence", F.coalesce("mean", F.lit(0.0)))
-    return out.select("doc_id", "text_length", "n_chunks", F.coalesce("n_triples", F.lit(0)).alias("n_triples"), "confidence", scores.level(F.col("confidence")).alias("level"))
+    return out.select(
+        "doc_id", "text_length", "n_chunks", F.coalesce("n_triples", F.lit(0)).alias("n_triples"), "confidence", scores.level(F.col("confidence")).alias("level"),
+        F.lit(method).alias("extraction_method"), F.lit(ontology_uri).cast("string").alias("ontology"),
+    )
 
 
 def fact_scores(docs: DataFrame, triples: DataFrame) -> DataFrame:

@@ -37,8 +37,18 @@ class KnowledgeGraph:
     def add_relations(self, more: DataFrame) -> KnowledgeGraph:
         return KnowledgeGraph(self.name, self.entities, last_written(self.relations.unionByName(more, allowMissingColumns=True)), self.triples, self.ontology_uri, self.metadata)
 
-    def add_triples(self, more: DataFrame) -> KnowledgeGraph:
-        return KnowledgeGraph(self.name, self.entities, self.relations, self.triples.unionByName(more, allowMissingColumns=True), self.ontology_uri, self.metadata)
+    def add_triples(self, more: DataFrame, at: Column | None = None) -> KnowledgeGraph:
+        """The graph with more triples. Their ends that are no literals and their predicates are registered, unless the graph
+        knows them already; triples without a time get `at`, or else the current one."""
+        t = more if "graph_id" in more.columns else more.withColumn("graph_id", F.lit(self.name))
+        now = F.current_timestamp() if at is None else at
+        t = t.withColumn("ts", F.coalesce(F.col("ts"), now) if "ts" in t.columns else now)
+        resource = ~F.coalesce(F.col("o_is_literal"), F.lit(False)) if "o_is_literal" in t.columns else F.lit(True)
+        ends = t.select("graph_id", F.col("s").alias("uri")).unionByName(t.filter(resource).select("graph_id", F.col("o").alias("uri"))).distinct()
+        new = lambda rows, known: rows.join(known.select("graph_id", "uri").distinct(), ["graph_id", "uri"], "left_anti")
+        e = self.entities.unionByName(new(ends, self.entities), allowMissingColumns=True)
+        r = self.relations.unionByName(new(t.select("graph_id", F.col("p").alias("uri")).distinct(), self.relations), allowMissingColumns=True)
+        return KnowledgeGraph(self.name, e, r, self.triples.unionByName(t, allowMissingColumns=True), self.ontology_uri, self.metadata)
 
 
 def by_subject(triples: DataFrame, uri: str) -> DataFrame:
@@ -101,6 +111,6 @@ def to_graph(extraction, name: str = "kg", per_document: bool = True) -> Knowled
     r = extraction.relations.select(gid.alias("graph_id"), F.xxhash64("uri").alias("seq"), "uri", "label")
     t = extraction.triples.select(
         gid.alias("graph_id"), F.col("seq").cast("long").alias("seq"), "s", "p", "o", F.lit(False).alias("o_is_literal"), "confidence",
-        "confidence_level", "provenance", F.sha2(F.concat_ws("|", gid, F.col("seq").cast("string"), "s", "p", "o"), 256).alias("id"),
+        "confidence_level", "provenance", F.current_timestamp().alias("ts"), F.sha2(F.concat_ws("|", gid, F.col("seq").cast("string"), "s", "p", "o"), 256).alias("id"),
     )
     return KnowledgeGraph(name, e if per_document else last_written(e), r if per_document else last_written(r), t)

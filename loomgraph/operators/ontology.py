@@ -18,12 +18,14 @@ RANGE = "http://www.w3.org/2000/01/rdf-schema#range"
 
 @dataclass
 class Ontology:
-    """classes(ord, uri, label, description, parents), properties(ord, kind, uri, label, description, domain, range), axioms."""
+    """classes(ord, uri, label, description, parents), properties(ord, kind, uri, label, description, domain, range), axioms,
+    and individuals(uri, label, types) if any are known."""
 
     classes: DataFrame
     properties: DataFrame
     axioms: DataFrame
     uri: str | None = None
+    individuals: DataFrame | None = None
 
     @property
     def object_properties(self) -> DataFrame:
@@ -42,8 +44,21 @@ class Ontology:
         return closure(self.subclass_pairs().select(F.col("child").alias("s"), F.col("parent").alias("o"))).select(F.col("s").alias("child"), F.col("o").alias("parent"))
 
     def statistics(self) -> DataFrame:
-        kinds = self.classes.select(F.lit("classes").alias("kind")).unionByName(self.properties.select(F.concat("kind", F.lit("_properties")).alias("kind"))).unionByName(self.axioms.select(F.lit("axioms").alias("kind")))
-        return kinds.groupBy("kind").agg(F.count("*").alias("n"))
+        """kind, n: classes, properties of each kind, individuals and axioms; kinds without any count zero."""
+        parts = [self.classes.select(F.lit("classes").alias("kind")), self.properties.select(F.concat("kind", F.lit("_properties")).alias("kind")), self.axioms.select(F.lit("axioms").alias("kind"))]
+        if self.individuals is not None:
+            parts.append(self.individuals.select(F.lit("individuals").alias("kind")))
+        kinds = self.classes.sparkSession.createDataFrame([(k,) for k in ("classes", "object_properties", "data_properties", "individuals", "axioms")], "kind string")
+        rows = kinds.withColumn("one", F.lit(0))
+        for p in parts:
+            rows = rows.unionByName(p.withColumn("one", F.lit(1)))
+        return rows.groupBy("kind").agg(F.sum("one").alias("n"))
+
+    def types(self) -> DataFrame:
+        """s, p, o: the types that the ontology asserts of its individuals."""
+        if self.individuals is None:
+            return self.classes.limit(0).select(F.col("uri").alias("s"), F.lit(TYPE).alias("p"), F.col("uri").alias("o"))
+        return self.individuals.select(F.col("uri").alias("s"), F.lit(TYPE).alias("p"), F.explode("types").alias("o"))
 
     def to_triples(self) -> DataFrame:
         """The statements of the schema: subclasses, domains and ranges."""
@@ -56,7 +71,7 @@ class Ontology:
         a = self.axioms.select("axiom_type", "components")
         two = a.filter("axiom_type = 'EquivalentClasses'").select(F.explode(F.array(F.col("components"), F.reverse("components"))).alias("components"))
         sub = a.filter("axiom_type = 'SubClassOf'").select("components").unionByName(two)
-        split = sub.select(F.explode(F.transform(F.slice("components", 2, 100000), lambda c: F.array(F.col("components")[0], c))).alias("components"))
+        split = sub.select(F.explode(F.transform(F.slice("components", F.lit(2), F.greatest(F.size("components") - 1, F.lit(0))), lambda c: F.array(F.col("components")[0], c))).alias("components"))
         rest = a.filter("axiom_type not in ('EquivalentClasses', 'SubClassOf')")
         return split.select(F.lit("SubClassOf").alias("axiom_type"), "components").unionByName(rest)
 
@@ -127,6 +142,13 @@ def disjoint_violations(types: DataFrame, axioms: DataFrame) -> DataFrame:
     return x.join(types.withColumnRenamed("type", "b"), ["uri", "b"]).select("uri", "a", "b").distinct()
 
 
+def statistics(ontology: Ontology | None) -> dict:
+    """loaded, and if so the counts of the ontology's parts."""
+    if ontology is None:
+        return {"loaded": False}
+    return {"loaded": True} | {r.kind: r.n for r in ontology.statistics().collect()}
+
+
 def is_consistent(*violations: DataFrame) -> bool:
     """No row in any of the violation tables."""
     return all(v.limit(1).count() == 0 for v in violations)

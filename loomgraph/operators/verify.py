@@ -55,28 +55,56 @@ def verify_summary(verified: DataFrame) -> DataFrame:
 
 
 def certificates(verified: DataFrame, solver: str = "parity", soundness: float = 0.99) -> DataFrame:
-    """A text record of each tried triple."""
+    """A text record of each tried triple: with its time where the table has one, and how it was extracted."""
+    time = F.concat(F.lit("\nTime: "), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX")) if "ts" in verified.columns else F.lit("")
+    how = F.coalesce(F.concat(F.lit("\nExtracted by: "), F.col("provenance.extraction_method")), F.lit(""))
     text = F.format_string(
         "Proof certificate\nTriple: (%s, %s, %s)\nStatus: %s\nConfidence: %s\nProof: %s\nSource: %s\nSolver: " + solver + f"\nSoundness threshold: {soundness}",
         "s", "p", "o", "status", F.format_string("%.4f", F.col("confidence")), F.coalesce("verification_proof", F.lit("none")), F.col("provenance.source_chunk"),
     )
+    text = F.concat(text, how, time)
     return verified.filter("status <> 'unknown'").select("doc_id", "seq", text.alias("certificate"))
 
 
 class Policies:
-    """Named lists of axioms; a later one of the same name replaces the earlier. Compiled to violation queries on demand."""
+    """Named lists of axioms; a later one of the same name replaces the earlier.
+
+    An axiom is a type and components, as in an ontology's table; sentences without are kept and refute nothing.
+    `refuted` compiles the axioms to violation queries: their result is what `verify` takes as refuted."""
 
     def __init__(self) -> None:
-        self.by_name: dict[str, list[str]] = {}
+        self.by_name: dict[str, list] = {}
 
-    def add(self, name: str, axioms: list[str]) -> None:
+    def add(self, name: str, axioms: list) -> None:
+        """axioms: sentences, or (axiom_type, [components])."""
         self.by_name[name] = list(axioms)
 
     def add_ontology(self, ontology) -> None:
-        """The axioms of an ontology in words, as one policy."""
-        from .ontology import verbalize
-
-        rows = verbalize(ontology.axioms).select("verbalization").collect()  # axioms, not data
-        self.add("ontology", [r.verbalization for r in rows])
-
-
+        """The axioms of an ontology as one policy."""
+        rows = ontology.axioms.select("axiom_type", "components").collect()  # axioms, not data
+        self.add("ontology", [(r.axiom_type, list(r.components)) for r in rows])
+
+    def axioms(self, kind: str) -> list[list[str]]:
+        return [list(a[1]) for some in self.by_name.values() for a in some if not isinstance(a, str) and a[0] == kind]
+
+    def refuted(self, triples: DataFrame, types: DataFrame) -> DataFrame:
+        """s, p, o of the triples that break a policy, given (uri, type) with all classes above asserted ones: an end of a
+        type that is no domain (range) of the predicate, several values of a functional property, or an end whose types
+        are disjoint. Ends without types break nothing."""
+        from . import ontology as O
+
+        spark = triples.sparkSession
+        ends = {k: {p: c for p, c in self.axioms(f"ObjectProperty{k}")} for k in ("Domain", "Range")}
+        names = sorted(set(ends["Domain"]) | set(ends["Range"]))
+        rows = [(p, ends["Domain"].get(p), ends["Range"].get(p)) for p in names]
+        properties = spark.createDataFrame(rows, "uri string, domain string, range string")
+        out = O.domain_range_violations(triples, types, properties).select("s", "p", "o")
+        functional = [a[0] for a in self.axioms("FunctionalObjectProperty")]
+        if functional:
+            out = out.unionByName(triples.join(O.functional_violations(triples, functional), ["s", "p"], "left_semi").select("s", "p", "o"))
+        apart = [("DisjointClasses", a) for a in self.axioms("DisjointClasses")]
+        if apart:
+            bad = O.disjoint_violations(types, spark.createDataFrame(apart, "axiom_type string, components array<string>")).select("uri").distinct()
+            for end in ("s", "o"):
+                out = out.unionByName(triples.join(bad.withColumnRenamed("uri", end), end, "left_semi").select("s", "p", "o"))
+        return out.distinct()

@@ -116,15 +116,16 @@ SELECT status, confidence_level, count(*) AS n, round(avg(c), 9) AS confidence F
 _docs(
     "certificates",
     """SELECT doc_id, seq, 'Proof certificate' || chr(10) || 'Triple: (' || s || ', ' || p || ', ' || o || ')' || chr(10) || 'Status: verified' || chr(10) || 'Confidence: 1.0000' || chr(10)
-|| 'Proof: Consistent with the rules' || chr(10) || 'Source: ' || chunk || chr(10) || 'Solver: parity' || chr(10) || 'Soundness threshold: 0.99' AS certificate FROM sco WHERE confidence >= 0.8::DOUBLE""",
+|| 'Proof: Consistent with the rules' || chr(10) || 'Source: ' || chunk || chr(10) || 'Solver: parity' || chr(10) || 'Soundness threshold: 0.99' || chr(10) || 'Extracted by: extractor' AS certificate FROM sco WHERE confidence >= 0.8::DOUBLE""",
 )
-_kg("formal_triples", "SELECT seq, 'relation' AS type, p AS predicate, s AS subject, o AS object, p || '(' || s || ', ' || o || ')' AS formula FROM sk")
+_kg("formal_triples", "SELECT seq, 'relation' AS type, p AS predicate, s AS subject, o AS object, p || '(' || s || ', ' || o || ')' AS formula FROM kg")
 _PROMPT = (
     "Use these terms:\nClasses:\n- Place: somewhere\n- Region: a part of the world\nRelations:\n- in region: \n- located in: \n"
     "List the entities and relations of this text:\n\nAnswer in JSON:\n"
     '{"entities": [{"text": "..", "type": "..", "span": [0, 0]}], "relations": [{"subject": "..", "predicate": "..", "object": ".."}]}'
 )
-_docs("extraction_prompts", f"SELECT doc_id, chunk_idx, (length(chunk) + {len(_PROMPT)})::INTEGER AS prompt_length FROM ch")
+_BEFORE, _AFTER = _PROMPT.split("\nAnswer", 1)
+_docs("extraction_prompts", f"SELECT doc_id, chunk_idx, md5('{_BEFORE}' || chunk || chr(10) || 'Answer{_AFTER}') AS prompt_md5 FROM ch")
 
 _REPLAY = r"""
 d AS (SELECT doc_id, text, lower(text) AS low, regexp_split_to_array(text, '[^\p{L}]+') AS ws FROM documents),
@@ -157,7 +158,7 @@ _kg("kg_predicate_examples", "SELECT * FROM (SELECT p, (row_number() OVER (PARTI
 _kg("kg_distinct_triples", "SELECT p, count(*) AS n FROM (SELECT DISTINCT s, p, o FROM kg) GROUP BY p")
 _kg(
     "kg_display",
-    "SELECT s, p, o, a.label AS s_label, b.label AS o_label FROM sk JOIN e a ON a.uri = s JOIN e b ON b.uri = o",
+    "SELECT s, p, o, a.label AS s_label, b.label AS o_label FROM kg JOIN e a ON a.uri = s JOIN e b ON b.uri = o",
     "e AS (SELECT 'kg:customer/' || c_custkey AS uri, c_name AS label FROM customer UNION ALL SELECT 'kg:nation/' || n_nationkey, n_name FROM nation)",
 )
 _put("kg_upsert", "SELECT 'kg' AS graph_id, min(event_id) AS seq, 'kg:user/' || user_id AS uri, arg_max(event_type, event_id) AS label FROM events GROUP BY user_id")
@@ -167,18 +168,27 @@ _kg(
     "kg_walks",
     "SELECT start, walk, path FROM w WHERE step = 3",
     """arc AS (SELECT node, next, row_number() OVER (PARTITION BY node ORDER BY md5(next), next) - 1 AS place, count(*) OVER (PARTITION BY node) AS degree FROM (
-  SELECT DISTINCT s AS node, o AS next FROM sk UNION SELECT DISTINCT o, s FROM sk)),
+  SELECT DISTINCT s AS node, o AS next FROM kg UNION SELECT DISTINCT o, s FROM kg)),
 w AS (
   SELECT node AS start, walk::INTEGER AS walk, node AS here, node AS path, 0 AS step FROM (SELECT DISTINCT node FROM arc), range(2) g(walk)
   UNION ALL
   SELECT start, walk, next, path || '>' || next, step + 1 FROM w JOIN arc ON node = here
     AND place = ('0x' || left(md5('42|' || start || '|' || walk || '|' || (step + 1)), 8))::BIGINT % degree WHERE step < 3)""",
 )
-_kg("kg_ntriples", "SELECT '<' || s || '> <' || p || '> <' || o || '> .' AS value FROM sk")
-_kg("kg_ntriples_read", "SELECT s, p, o, false AS o_is_literal FROM sk")
-_kg("kg_turtle", "SELECT '<' || s || '>' AS s, '<' || s || '> ' || string_agg('<' || p || '> <' || o || '>', ' ;' || chr(10) || '    ' ORDER BY p, o) || ' .' AS block FROM sk WHERE p = 'kg:inRegion' GROUP BY s")
-_kg("kg_json", "SELECT 'graph' AS kind, 1::BIGINT AS n UNION ALL SELECT 'triple', count(*) FROM sk UNION ALL SELECT 'relation', count(DISTINCT p) FROM sk UNION ALL SELECT 'entity', count(*) FROM (SELECT s FROM sk UNION SELECT o FROM sk)")
-_kg("local_names", "SELECT regexp_extract(s, '[^/#]*$') AS s_name, regexp_extract(o, '[^/#]*$') AS o_name FROM sk")
+_kg("kg_ntriples", "SELECT '<' || s || '> <' || p || '> <' || o || '> .' AS value FROM kg")
+_kg("kg_ntriples_read", "SELECT s, p, o, false AS o_is_literal FROM kg")
+_kg("kg_turtle", "SELECT '<' || s || '>' AS s, '<' || s || '> ' || string_agg(po, ' ;' || chr(10) || '    ' ORDER BY po) || ' .' AS block FROM (SELECT s, '<' || p || '> <' || o || '>' AS po FROM kg) GROUP BY s")
+_kg("kg_turtle_read", "SELECT s, p, o, false AS o_is_literal FROM kg")
+_kg("kg_json_read", "SELECT seq, s, p, o, 'trade' AS graph_id, 'onto:' AS ontology_uri, 7::INTEGER AS tables FROM kg")
+_kg("kg_registered", "SELECT 'kg:part/' || p_partkey AS uri FROM part UNION SELECT s FROM kg WHERE p = 'kg:contains' UNION SELECT o FROM kg WHERE p = 'kg:contains' UNION SELECT 'kg:contains'")
+_put("literals_round_trip", "SELECT '_:' || source AS s, 'kg:doc/' || doc_id AS p, md5(text) AS o_md5, lang AS o_lang, NULL::VARCHAR AS o_type FROM documents")
+_put("ontology_individuals", """SELECT uri, type, count(*) OVER () AS individuals FROM (
+SELECT 'kg:nation/' || n_nationkey AS uri, 'onto:Nation' AS type FROM nation UNION ALL SELECT 'kg:region/' || r_regionkey, 'onto:Region' FROM region)""")
+_put("ontology_consistency", "SELECT * FROM (VALUES ('regions', true), ('disjointness', false)) t(rule, consistent)")
+_docs("extraction_graph", "SELECT 'kg_' || doc_id AS graph_id, seq, s, p, o, confidence FROM sco")
+_docs("provenance_records", "SELECT doc_id, length(text)::BIGINT AS text_length, len(cs)::INTEGER AS n_chunks, 'extractor' AS extraction_method, 'onto:' AS ontology FROM c0")
+_kg("kg_json", "SELECT 'graph' AS kind, 1::BIGINT AS n UNION ALL SELECT 'triple', count(*) FROM kg UNION ALL SELECT 'relation', count(DISTINCT p) FROM kg UNION ALL SELECT 'entity', count(*) FROM (SELECT s FROM kg UNION SELECT o FROM kg)")
+_kg("local_names", "SELECT regexp_extract(s, '[^/#]*$') AS s_name, regexp_extract(o, '[^/#]*$') AS o_name FROM kg")
 
 _V = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e AS q FROM v WHERE vec_id = 7)"
 _put("cosine_topk", f"WITH {_V}, s AS (SELECT vec_id AS uri, list_cosine_similarity(e, q) AS x FROM v, q WHERE vec_id <> 7) SELECT uri, round(x, 6) AS similarity FROM s ORDER BY x DESC, uri LIMIT 10")
@@ -202,7 +212,7 @@ _put(
 l(label) AS (VALUES ('located in'), ('IN'), ('Works With'), ('placed'))
 SELECT l.label, coalesce(arg_min(uri, ord), '{P_NS}' || replace(lower(l.label), ' ', '_')) AS uri FROM l LEFT JOIN pr ON contains(pr.label, lower(l.label)) GROUP BY l.label""",
 )
-_put("ontology_statistics", "SELECT * FROM (VALUES ('classes', 9::BIGINT), ('object_properties', 3), ('data_properties', 1), ('axioms', 5)) t(kind, n)")
+_put("ontology_statistics", "SELECT * FROM (VALUES ('classes', 9::BIGINT), ('object_properties', 3), ('data_properties', 1), ('individuals', 0), ('axioms', 5)) t(kind, n)")
 _put("ontology_hierarchy", f"WITH {TYPES} SELECT parent, string_agg(child, ',' ORDER BY child) AS children FROM up GROUP BY parent")
 _put(
     "ontology_triples",
@@ -216,7 +226,7 @@ _put(
 ('DisjointClasses', 'nothing is both a onto:Place and a onto:Agent'), ('FunctionalObjectProperty', 'kg:locatedIn has at most one value'), ('ObjectPropertyDomain', 'whatever has kg:inRegion is a onto:Nation')) t(axiom_type, verbalization)""",
 )
 _put("entity_types", f"WITH {TYPES} SELECT uri, type FROM ty")
-_kg("inferred_types", "SELECT uri, string_agg(type, ',' ORDER BY type) AS types FROM (SELECT s AS uri FROM sk UNION SELECT o FROM sk) LEFT JOIN ty USING (uri) GROUP BY uri", TYPES)
+_kg("inferred_types", "SELECT uri, string_agg(type, ',' ORDER BY type) AS types FROM (SELECT s AS uri FROM kg UNION SELECT o FROM kg) LEFT JOIN ty USING (uri) GROUP BY uri", TYPES)
 _put(
     "ontology_prompt_terms",
     f"WITH {CLASSES} SELECT 'class' AS kind, ord, label FROM cl UNION ALL SELECT * FROM (VALUES ('relation', 0, 'in region'), ('relation', 1, 'located in'), ('relation', 2, 'placed by')) t(kind, ord, label)",
@@ -226,7 +236,16 @@ _kg(
     "domain_range_violations",
     """SELECT s, p, o, 'domain' AS violation FROM t WHERE domain IS NOT NULL AND s IN (SELECT uri FROM ty) AND NOT EXISTS (SELECT 1 FROM ty WHERE uri = s AND type = domain)
 UNION ALL SELECT s, p, o, 'range' FROM t WHERE range IS NOT NULL AND o IN (SELECT uri FROM ty) AND NOT EXISTS (SELECT 1 FROM ty WHERE uri = o AND type = range)""",
-    TYPES + ", pr(pp, domain, range) AS (VALUES ('kg:inRegion', 'onto:Nation', 'onto:Region'), ('kg:locatedIn', 'onto:Customer', 'onto:Nation')), t AS (SELECT sk.*, domain, range FROM sk JOIN pr ON p = pp)",
+    TYPES + ", pr(pp, domain, range) AS (VALUES ('kg:inRegion', 'onto:Nation', 'onto:Region'), ('kg:locatedIn', 'onto:Customer', 'onto:Nation')), t AS (SELECT kg.*, domain, range FROM kg JOIN pr ON p = pp)",
+)
+_kg(
+    "policy_violations",
+    """SELECT DISTINCT s, p, o FROM kg WHERE
+(p = 'kg:inRegion' AND s IN (SELECT uri FROM ty) AND s NOT IN (SELECT uri FROM ty WHERE type = 'onto:Nation'))
+OR (p = 'kg:placedBy' AND o IN (SELECT uri FROM ty) AND o NOT IN (SELECT uri FROM ty WHERE type = 'onto:Supplier'))
+OR (p = 'kg:locatedIn' AND s IN (SELECT s FROM kg WHERE p = 'kg:locatedIn' GROUP BY s HAVING count(DISTINCT o) > 1))
+OR s IN (SELECT * FROM bad) OR o IN (SELECT * FROM bad)""",
+    TYPES + ", bad AS (SELECT DISTINCT x.uri FROM ty x JOIN ty y ON x.uri = y.uri AND x.type = 'onto:Place' AND y.type = 'onto:Agent')",
 )
 _kg("functional_violations", "SELECT s, p, count(DISTINCT o) AS n_values FROM kg WHERE p IN ('kg:suppliedBy', 'kg:placedBy') GROUP BY s, p HAVING count(DISTINCT o) > 1")
 _put("disjoint_violations", f"WITH {TYPES} SELECT x.uri, 'onto:Place' AS a, 'onto:Agent' AS b FROM ty x JOIN ty y ON x.uri = y.uri AND x.type = 'onto:Place' AND y.type = 'onto:Agent'")
@@ -243,6 +262,11 @@ _kg("bgp_two_hops", "SELECT a.s AS c, b.o AS r FROM kg a JOIN kg b ON a.o = b.s
 _kg("bgp_star", "SELECT x.s AS o, x.o AS c, y.o AS p FROM kg x JOIN kg y ON x.s = y.s JOIN kg z ON z.s = x.o WHERE x.p = 'kg:placedBy' AND y.p = 'kg:contains' AND z.p = 'kg:locatedIn' AND z.o = 'kg:nation/5'")
 _kg("bgp_optional", "SELECT x.s AS c, y.s AS o FROM kg x LEFT JOIN (SELECT * FROM kg WHERE p = 'kg:placedBy') y ON y.o = x.s WHERE x.p = 'kg:locatedIn' AND x.o = 'kg:nation/5'")
 _kg("bgp_union", "SELECT s AS x FROM kg WHERE p = 'kg:locatedIn' AND o = 'kg:nation/1' UNION SELECT s FROM kg WHERE p = 'kg:inRegion' AND o = 'kg:region/2'")
+_kg(
+    "bgp_unbound",
+    "SELECT n, v FROM f WHERE v IS NOT NULL UNION ALL SELECT f.n, c.s FROM f LEFT JOIN (SELECT * FROM kg WHERE p = 'kg:locatedIn' AND contains(s, 'customer')) c ON c.o = f.n WHERE v IS NULL",
+    "f AS (SELECT a.s AS n, b.s AS v FROM kg a LEFT JOIN (SELECT * FROM kg WHERE p = 'kg:locatedIn' AND regexp_matches(s, 'supplier/[1-9]$')) b ON b.o = a.s WHERE a.p = 'kg:inRegion')",
+)
 _kg("bgp_group", "SELECT b.o AS r, count(a.s) AS n, count(DISTINCT a.o) AS nations FROM kg a JOIN kg b ON a.o = b.s WHERE a.p = 'kg:locatedIn' AND b.p = 'kg:inRegion' GROUP BY b.o")
 _kg("bgp_filter", "SELECT s, o FROM kg WHERE p = 'kg:locatedIn' AND contains(s, 'supplier') AND (o = 'kg:nation/1' OR regexp_matches(o, '/2[0-9]$'))")
 _kg("bgp_order_limit", "SELECT s, o FROM kg WHERE p = 'kg:placedBy' ORDER BY s DESC, o LIMIT 20 OFFSET 5")

@@ -9,9 +9,9 @@ SMALL = 32 << 20
 
 def balanced(df: DataFrame, small: int = SMALL) -> DataFrame:
     """df dealt over the cores if its files are small: such a table is often a single row group, which one task
-    would read while the others idle. Larger inputs keep their splits and are not shuffled."""
+    would read while the others idle. Larger inputs, and small ones in splits enough, keep their splits and are not shuffled."""
     if df.isStreaming:
         return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if size <= small and cores > 1 else df
+    return df.repartition(cores) if size <= small and df.rdd.getNumPartitions() < cores else df

@@ -312,31 +312,51 @@ def _ordered(patterns: list[tuple], bound: set[str]) -> list[tuple]:
     return out
 
 
-def _join(a: DataFrame | None, b: DataFrame, how: str = "inner") -> DataFrame:
+def _bound(g: Group) -> set[str]:
+    """Variables that every solution of the group binds."""
+    out = {t[1] for p in g.patterns for t in p if t[0] == "var"}
+    for sides in g.unions:
+        out |= set.intersection(*map(_bound, sides))
+    return out
+
+
+def _join(a: DataFrame | None, b: DataFrame, sure: set[str], how: str = "inner") -> DataFrame:
+    """Solutions of both sides that agree on what both bind. Variables in `sure` are bound on both sides and are join keys; an
+    unbound one (after OPTIONAL or UNION) agrees with everything, and takes the other side's value."""
     if a is None:
         return b
     shared = [c for c in a.columns if c in b.columns]
-    if shared:
+    maybe = [c for c in shared if c not in sure]
+    if shared and not maybe:
         return a.join(b, shared, how)
-    if how == "inner":
+    if not shared and how == "inner":
         return a.crossJoin(b)  # patterns without a common variable: the query itself asks for all pairs
-    return a.join(b, F.lit(True), how)
+    other = b.select(*[F.col(c).alias(f"__{c}") for c in b.columns])
+    right = lambda c: F.col(f"__{c}")
+    on = F.lit(True)
+    for c in shared:
+        on = on & (F.col(c) == right(c) if c in sure else F.col(c).isNull() | right(c).isNull() | (F.col(c) == right(c)))
+    value = lambda c: F.coalesce(F.col(c), right(c)).alias(c) if c in maybe else F.col(c)
+    return a.join(other, on, how).select(*map(value, a.columns), *[right(c).alias(c) for c in b.columns if c not in shared])
 
 
 def _evaluate(g: Group, triples: DataFrame) -> DataFrame:
     df: DataFrame | None = None
+    sure: set[str] = set()
     for sides in g.unions:
         parts = [_evaluate(x, triples) for x in sides]
         u = parts[0]
         for p in parts[1:]:
             u = u.unionByName(p, allowMissingColumns=True)
-        df = _join(df, u)
+        mine = set.intersection(*map(_bound, sides))
+        df, sure = _join(df, u, sure & mine), sure | mine
     for p in _ordered(g.patterns, set(df.columns) if df is not None else set()):
-        df = _join(df, _scan(triples, p))
+        mine = {t[1] for t in p if t[0] == "var"}
+        df, sure = _join(df, _scan(triples, p), sure & mine), sure | mine
     if df is None:
         raise SparqlError("a group needs a pattern")
     for o in g.optionals:
-        df = _join(df, _evaluate(o, triples), "left")
+        df = _join(df, _evaluate(o, triples), sure & _bound(o), "left")
     for e in g.filters:
         df = df.filter(_condition(e, set(df.columns)))
     return df

@@ -225,14 +225,14 @@ def certificates(spark, sf_dir):
 
 @query
 def formal_triples(spark, sf_dir):
-    return small_kg(spark, sf_dir).select("seq", formal(F.col("s"), F.col("p"), F.col("o")).alias("f")).select("seq", "f.*")
+    return relational_kg(spark, sf_dir).select("seq", formal(F.col("s"), F.col("p"), F.col("o")).alias("f")).select("seq", "f.*")
 
 
 @query
 def extraction_prompts(spark, sf_dir):
     schema = part_ontology(spark).prompt_schema(2)
     c = chunked(documents(spark, sf_dir))
-    return c.select("doc_id", "chunk_idx", F.length(extraction_prompt(F.col("chunk"), schema)).alias("prompt_length"))
+    return c.select("doc_id", "chunk_idx", F.md5(extraction_prompt(F.col("chunk"), schema).cast("binary")).alias("prompt_md5"))
 
 
 def _responses(spark, sf_dir):
@@ -305,7 +305,7 @@ def kg_distinct_triples(spark, sf_dir):
 def kg_display(spark, sf_dir):
     e = read(spark, sf_dir, "customer").select(F.concat(F.lit("kg:customer/"), "c_custkey").alias("uri"), F.col("c_name").alias("label"))
     e = e.unionByName(read(spark, sf_dir, "nation").select(F.concat(F.lit("kg:nation/"), "n_nationkey").alias("uri"), F.col("n_name").alias("label")))
-    return kg.display(small_kg(spark, sf_dir), e)
+    return kg.display(relational_kg(spark, sf_dir), e)
 
 
 @query
@@ -327,40 +327,133 @@ def kg_degree(spark, sf_dir):
 
 @query
 def kg_walks(spark, sf_dir):
-    w = graph.walks(graph.edges(small_kg(spark, sf_dir)), num_walks=2, length=4, seed=42)
+    w = graph.walks(graph.edges(relational_kg(spark, sf_dir)), num_walks=2, length=4, seed=42)
     return w.select("start", "walk", F.array_join("path", ">").alias("path"))
 
 
 @query
 def kg_biased_walks(spark, sf_dir):
-    w = graph.biased_walks(graph.edges(small_kg(spark, sf_dir).filter("p = 'kg:inRegion'")), 2, 4, 0.5, 2.0)
+    w = graph.biased_walks(graph.edges(relational_kg(spark, sf_dir)), 2, 4, 0.5, 2.0)
     return w.select("start", "walk", F.size("path").alias("n"))
 
 
 @query
 def node_embeddings(spark, sf_dir):
     cfg = EmbeddingConfig(num_walks=2, walk_length=6, embedding_dim=16, epochs=1)
-    return graph.embed(small_kg(spark, sf_dir), cfg).select("uri", F.size("vec").alias("dim"))
+    return graph.embed(relational_kg(spark, sf_dir), cfg).select("uri", F.size("vec").alias("dim"))
 
 
 @query
 def kg_ntriples(spark, sf_dir):
-    return rdf.ntriples(small_kg(spark, sf_dir))
+    return rdf.ntriples(relational_kg(spark, sf_dir))
 
 
 @query
 def kg_ntriples_read(spark, sf_dir):
-    return rdf.parse_ntriples(rdf.ntriples(small_kg(spark, sf_dir)))
+    return rdf.parse_ntriples(rdf.ntriples(relational_kg(spark, sf_dir))).select("s", "p", "o", "o_is_literal")
+
+
+@query
+def literals_round_trip(spark, sf_dir):
+    """Texts as literals with their languages, written as N-Triples and read again; blank nodes for their sources."""
+    t = read(spark, sf_dir, "documents").select(
+        F.concat(F.lit("_:"), "source").alias("s"), F.concat(F.lit("kg:doc/"), "doc_id").alias("p"), F.col("text").alias("o"), F.lit(True).alias("o_is_literal"), F.col("lang").alias("o_lang")
+    )
+    back = rdf.parse_ntriples(rdf.ntriples(t))
+    return back.select("s", "p", F.md5(F.col("o").cast("binary")).alias("o_md5"), "o_lang", "o_type")
+
+
+def _shared(spark, name: str) -> str:
+    """A new path in the folder that the executors share."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='loomgraph-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def kg_turtle_read(spark, sf_dir):
+    """The graph written as Turtle and read again."""
+    t = relational_kg(spark, sf_dir).withColumn("graph_id", F.lit("kg"))
+    g = kg.KnowledgeGraph("kg", graph.nodes(t).withColumn("graph_id", F.lit("kg")), t.select("graph_id", F.col("p").alias("uri")).distinct(), t)
+    path = _shared(spark, "turtle")
+    rdf.write(g, path)
+    return rdf.read(spark, path).triples.select("s", "p", "o", "o_is_literal")
+
+
+@query
+def kg_json_read(spark, sf_dir):
+    """The graph written as JSON rows and read again: its statements, name, ontology and metadata."""
+    t = relational_kg(spark, sf_dir).withColumn("graph_id", F.lit("trade"))
+    e = graph.nodes(t).withColumn("graph_id", F.lit("trade"))
+    g = kg.KnowledgeGraph("trade", e, t.select("graph_id", F.col("p").alias("uri")).distinct(), t, "onto:", {"tables": 7})
+    back = rdf.from_json_rows(rdf.kg_json(g))
+    return back.triples.select("seq", "s", "p", "o", "graph_id", F.lit(back.ontology_uri).alias("ontology_uri"), F.lit(back.metadata["tables"]).alias("tables"))
+
+
+@query
+def kg_registered(spark, sf_dir):
+    """Entities after the order lines are added to a graph that knows the parts only."""
+    t = relational_kg(spark, sf_dir).withColumn("graph_id", F.lit("kg"))
+    parts = read(spark, sf_dir, "part").select(F.lit("kg").alias("graph_id"), F.concat(F.lit("kg:part/"), "p_partkey").alias("uri"))
+    g = kg.KnowledgeGraph("kg", parts, t.select("graph_id", F.col("p").alias("uri")).limit(0), t.limit(0)).add_triples(t.filter("p = 'kg:contains'"))
+    return g.entities.select("uri").unionByName(g.relations.select("uri"))
+
+
+@query
+def extraction_graph(spark, sf_dir):
+    """The extraction as one graph for each document."""
+    x = distilled(spark, sf_dir)
+    return kg.to_graph(x).triples.select("graph_id", "seq", "s", "p", "o", "confidence")
+
+
+@query
+def provenance_records(spark, sf_dir):
+    x = distilled(spark, sf_dir)
+    return D.summaries(x.extracted, x.triples, ontology_uri="onto:").select("doc_id", "text_length", "n_chunks", "extraction_method", "ontology")
+
+
+@query
+def ontology_individuals(spark, sf_dir):
+    """Nations and regions as an RDF/XML file of individuals, loaded as an ontology."""
+    one = lambda name, key, cls: read(spark, sf_dir, name).select(F.format_string(f'<owl:NamedIndividual rdf:about="kg:{name}/%d"><rdf:type rdf:resource="onto:{cls}"/></owl:NamedIndividual>', key).alias("value"))
+    path = _shared(spark, "owl")
+    rows = one("nation", "n_nationkey", "Nation").unionByName(one("region", "r_regionkey", "Region"))
+    rows.agg(F.concat(F.lit("<rdf:RDF>"), F.array_join(F.collect_list("value"), "\n"), F.lit("</rdf:RDF>"))).write.text(path)  # 30 rows at any size
+    o = rdf.read_owl(spark, path)
+    n = o.statistics().filter("kind = 'individuals'").select(F.col("n").alias("individuals"))
+    return o.types().select(F.col("s").alias("uri"), F.col("o").alias("type")).join(F.broadcast(n))
+
+
+@query
+def policy_violations(spark, sf_dir):
+    """What the axioms of the schema refute of the whole graph."""
+    o = part_ontology(spark)
+    policies = verify.Policies()
+    policies.add_ontology(o)
+    policies.add("more", [("ObjectPropertyRange", ["kg:placedBy", "onto:Supplier"]), "a sentence refutes nothing"])
+    return policies.refuted(relational_kg(spark, sf_dir), ontology.entity_types(typed(spark, sf_dir), o))
+
+
+@query
+def ontology_consistency(spark, sf_dir):
+    o = part_ontology(spark)
+    types = ontology.entity_types(typed(spark, sf_dir), o)
+    found = [ontology.domain_range_violations(relational_kg(spark, sf_dir).filter("p = 'kg:inRegion'"), types, o.properties), ontology.disjoint_violations(types, o.axioms)]
+    return spark.createDataFrame([(k, ontology.is_consistent(v)) for k, v in zip(("regions", "disjointness"), found)], "rule string, consistent boolean")
 
 
 @query
 def kg_turtle(spark, sf_dir):
-    return rdf.turtle(small_kg(spark, sf_dir).filter("p = 'kg:inRegion'"))
+    return rdf.turtle(relational_kg(spark, sf_dir))
 
 
 @query
 def kg_json(spark, sf_dir):
-    t = small_kg(spark, sf_dir).withColumn("graph_id", F.lit("kg"))
+    t = relational_kg(spark, sf_dir).withColumn("graph_id", F.lit("kg"))
     e = graph.nodes(t).select(F.lit("kg").alias("graph_id"), "uri")
     g = kg.KnowledgeGraph("kg", e, t.select("graph_id", F.col("p").alias("uri")).distinct(), t)
     return rdf.kg_json(g).groupBy("kind").agg(F.count("*").alias("n"))
@@ -368,7 +461,7 @@ def kg_json(spark, sf_dir):
 
 @query
 def local_names(spark, sf_dir):
-    return small_kg(spark, sf_dir).select(local_name(F.col("s")).alias("s_name"), local_name(F.col("o")).alias("o_name"))
+    return relational_kg(spark, sf_dir).select(local_name(F.col("s")).alias("s_name"), local_name(F.col("o")).alias("o_name"))
 
 
 # Vectors.
@@ -413,7 +506,7 @@ def translation_scores(spark, sf_dir):
 @query
 def translation_training(spark, sf_dir):
     cfg = EmbeddingConfig(embedding_dim=8, epochs=2)
-    return graph.embed(small_kg(spark, sf_dir).filter("p = 'kg:inRegion'"), cfg, "transe").select("uri", F.size("vec").alias("dim"))
+    return graph.embed(relational_kg(spark, sf_dir), cfg, "transe").select("uri", F.size("vec").alias("dim"))
 
 
 # Ontologies, rules, inference.
@@ -462,7 +555,7 @@ def entity_types(spark, sf_dir):
 
 @query
 def inferred_types(spark, sf_dir):
-    t = small_kg(spark, sf_dir)
+    t = relational_kg(spark, sf_dir)
     types = ontology.entity_types(typed(spark, sf_dir), part_ontology(spark))
     e = ontology.with_inferred_types(graph.nodes(t), types)
     return e.select("uri", F.array_join("inferred_types", ",").alias("types"))
@@ -486,7 +579,7 @@ def provenance_summary(spark, sf_dir):
 @query
 def domain_range_violations(spark, sf_dir):
     types = ontology.entity_types(typed(spark, sf_dir), part_ontology(spark))
-    return ontology.domain_range_violations(small_kg(spark, sf_dir), types, part_ontology(spark).properties)
+    return ontology.domain_range_violations(relational_kg(spark, sf_dir), types, part_ontology(spark).properties)
 
 
 @query
@@ -543,6 +636,16 @@ def bgp_union(spark, sf_dir):
     return sparql(q, relational_kg(spark, sf_dir))
 
 
+@query
+def bgp_unbound(spark, sf_dir):
+    """A variable that the first OPTIONAL may leave unbound is bound by the second."""
+    q = (
+        'PREFIX kg: <kg:> SELECT ?n ?v WHERE { ?n kg:inRegion ?r . OPTIONAL { ?v kg:locatedIn ?n . FILTER(REGEX(?v, "supplier/[1-9]$")) }'
+        ' OPTIONAL { ?v kg:locatedIn ?n . FILTER(CONTAINS(?v, "customer")) } }'
+    )
+    return sparql(q, relational_kg(spark, sf_dir))
+
+
 @query
 def bgp_group(spark, sf_dir):
     q = "PREFIX kg: <kg:> SELECT ?r (COUNT(?c) AS ?n) (COUNT(DISTINCT ?n1) AS ?nations) WHERE { ?c kg:locatedIn ?n1 . ?n1 kg:inRegion ?r } GROUP BY ?r"
@@ -576,17 +679,13 @@ def hybrid_retrieval(spark, sf_dir):
 @query
 def event_stream_triples(spark, sf_dir):
     """The events as a stream of files, read to their end and written to the shared folder."""
-    import tempfile
-    import uuid
-
     events = read(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema)
     if events.inputFiles()[0].endswith("/events.parquet"):  # one file: a stream reads its folder
         stream = stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     else:
         stream = stream.parquet(f"{sf_dir}/events.parquet")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomgraph-")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = _shared(spark, "stream")
     started = event_triples(stream, "kg:").drop("ts").writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     started.awaitTermination()
     return spark.read.parquet(f"{out}/data")

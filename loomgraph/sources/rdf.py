@@ -7,55 +7,108 @@ from pyspark.sql import functions as F
 
 from ..operators.kg import KnowledgeGraph
 from ..operators.ontology import Ontology
+from .turtle import read_turtle
 
-TERM = r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)'
+BLANK = r"_:[^\s.]+(?:\.+[^\s.]+)*"
+#: Escaped backslashes and quotes are masked by characters that no text holds, so that a literal ends at the next quote and no
+#: pattern recurses over long ones.
+MASKS = (("\\\\", "\ufdd0"), ('\\"', "\ufdd1"))
+TERM = rf'(<[^>]*>|{BLANK}|"[^"]*"(?:\^\^<[^>]*>|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?)'
 LINE = rf"^\s*{TERM}\s+(<[^>]*>)\s+{TERM}\s*\.\s*(?:#.*)?$"
+#: The escapes of the format; letters that stand for a character, and the characters.
+ESCAPED = r"(?s)(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"
+LETTERS = (("t", "\t"), ("b", "\b"), ("n", "\n"), ("r", "\r"), ("f", "\f"))
+
+
+def _unescaped(text: Column) -> Column:
+    """Escapes undone in one pass from left to right, so that an escaped backslash is no part of another escape."""
+
+    def one(t: Column) -> Column:
+        second = F.substring(t, 2, 1)
+        simple = second
+        for letter, char in LETTERS:
+            simple = F.when(second == letter, F.lit(char)).otherwise(simple)
+        short = F.decode(F.unhex(F.regexp_replace(t, r"\\u", "")), "UTF-16BE")
+        wide = F.decode(F.unhex(F.substring(t, 3, 8)), "UTF-32")
+        return F.when(~F.startswith(t, F.lit("\\")), t).when(t.rlike(r"^\\u[0-9A-Fa-f]{4}"), short).when(t.rlike(r"^\\U[0-9A-Fa-f]{8}"), wide).otherwise(simple)
+
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(ESCAPED), F.lit(0)), one), "")).otherwise(text)
 
 
 def _term(raw: Column) -> Column:
-    """The value of a term: iri without brackets, literal without quotes and escapes."""
-    text = F.regexp_extract(raw, r'^"((?:[^"\\]|\\.)*)"', 1)
-    for a, b in (("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), ('\\"', '"'), ("\\\\", "\\")):
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return F.when(F.startswith(raw, F.lit("<")), F.substring(raw, F.lit(2), F.length(raw) - 2)).when(F.startswith(raw, F.lit('"')), text).otherwise(raw)
+    """The value of a term: iri without brackets, literal without quotes, blank node with its mark; escapes undone."""
+    literal = F.regexp_extract(raw, r'^"([^"]*)"', 1)
+    inner = F.when(F.startswith(raw, F.lit("<")), F.substring(raw, F.lit(2), F.length(raw) - 2)).when(F.startswith(raw, F.lit('"')), literal)
+    for escape, mask in MASKS:
+        inner = F.replace(inner, F.lit(mask), F.lit(escape))
+    return F.coalesce(_unescaped(inner), raw)
 
 
 def parse_ntriples(lines: DataFrame, col: str = "value") -> DataFrame:
-    """s, p, o, o_is_literal of the lines that hold a statement; others are left out."""
-    at = lambda i: F.regexp_extract(F.col(col), LINE, i)
-    rows = lines.filter(F.col(col).rlike(LINE)).select(at(1).alias("a"), at(2).alias("b"), at(3).alias("c"))
-    return rows.select(_term(F.col("a")).alias("s"), _term(F.col("b")).alias("p"), _term(F.col("c")).alias("o"), F.startswith("c", F.lit('"')).alias("o_is_literal"))
+    """s, p, o, o_is_literal, o_lang, o_type of the lines that hold a statement; others are left out."""
+    masked = F.col(col)
+    for escape, mask in MASKS:
+        masked = F.replace(masked, F.lit(escape), F.lit(mask))
+    lines = lines.select(masked.alias("line"))
+    at = lambda i: F.regexp_extract("line", LINE, i)
+    rows = lines.filter(F.col("line").rlike(LINE)).select(at(1).alias("a"), at(2).alias("b"), at(3).alias("c"))
+    tail = F.when(F.startswith("c", F.lit('"')), F.regexp_extract("c", r'(?s)^"[^"]*"(.*)$', 1))
+    lang = F.when(F.startswith(tail, F.lit("@")), F.substring(tail, F.lit(2), F.length(tail)))
+    kind = F.when(F.startswith(tail, F.lit("^^")), _unescaped(F.substring(tail, F.lit(4), F.length(tail) - 4)))
+    return rows.select(
+        _term(F.col("a")).alias("s"), _term(F.col("b")).alias("p"), _term(F.col("c")).alias("o"), F.startswith("c", F.lit('"')).alias("o_is_literal"),
+        lang.alias("o_lang"), kind.alias("o_type"),
+    )
 
 
 def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
     return parse_ntriples(spark.read.text(path))
 
 
+def _node(col: Column) -> Column:
+    """A resource as the format spells it: blank nodes by their mark, iris in brackets without what they must not hold."""
+    iri = col
+    for char in ("\\", "<", ">", '"', "{", "}", "|", "^", "`", " ", "\n", "\r", "\t"):
+        iri = F.replace(iri, F.lit(char), F.lit(f"\\u{ord(char):04X}"))
+    return F.when(col.rlike(f"^{BLANK}$"), col).otherwise(F.concat(F.lit("<"), iri, F.lit(">")))
+
+
 def ntriples(triples: DataFrame) -> DataFrame:
-    """One line for each triple."""
-    o = F.col("o")
-    quoted = o
+    """One line for each triple; o_is_literal, o_lang and o_type are heeded where the table has them."""
+    quoted = F.col("o")
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         quoted = F.replace(quoted, F.lit(a), F.lit(b))
-    literal = F.col("o_is_literal") if "o_is_literal" in triples.columns else F.lit(False)
-    obj = F.when(literal, F.concat(F.lit('"'), quoted, F.lit('"'))).otherwise(F.concat(F.lit("<"), o, F.lit(">")))
-    return triples.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), obj, F.lit(" .")).alias("value"))
+    has = lambda name: F.col(name) if name in triples.columns else F.lit(None).cast("string")
+    tag = F.when(has("o_lang").isNotNull(), F.concat(F.lit("@"), has("o_lang"))).when(has("o_type").isNotNull(), F.concat(F.lit("^^"), _node(has("o_type")))).otherwise("")
+    literal = F.coalesce(F.col("o_is_literal"), F.lit(False)) if "o_is_literal" in triples.columns else F.lit(False)
+    obj = F.when(literal, F.concat(F.lit('"'), quoted, F.lit('"'), tag)).otherwise(_node(F.col("o")))
+    return triples.select(F.concat(_node(F.col("s")), F.lit(" "), _node(F.col("p")), F.lit(" "), obj, F.lit(" .")).alias("value"))
 
 
 def turtle(triples: DataFrame) -> DataFrame:
     """A block for each subject: its predicates and objects, sorted. A subject's block is cut into several of 1000
     statements, so that no row grows with the graph."""
-    lines = ntriples(triples).select(F.regexp_extract("value", r"^(<[^>]*>) ", 1).alias("s"), F.regexp_extract("value", r"^<[^>]*> (.*) \.$", 1).alias("po"))
+    lines = ntriples(triples).select(F.regexp_extract("value", r"^(\S+) ", 1).alias("s"), F.regexp_extract("value", r"(?s)^\S+ (.*) \.$", 1).alias("po"))
     counts = lines.groupBy("s").agg(F.count("*").alias("n"))
     part = F.pmod(F.xxhash64("po"), F.ceil(F.col("n") / 1000))
     blocks = lines.join(counts, "s").groupBy("s", part.alias("part")).agg(F.sort_array(F.collect_list("po")).alias("po"))
     return blocks.select("s", F.concat("s", F.lit(" "), F.array_join("po", " ;\n    "), F.lit(" .")).alias("block"))
 
 
-def write(kg: KnowledgeGraph, path: str, fmt: str = "parquet") -> None:
+def _head(kg: KnowledgeGraph) -> DataFrame:
+    """What a graph has besides its tables, as one row: its metadata is JSON, so that it comes back as it was."""
+    import json
+
+    row = (kg.name, kg.ontology_uri, json.dumps(kg.metadata, sort_keys=True))
+    return kg.triples.sparkSession.createDataFrame([row], "graph_id string, ontology_uri string, metadata string")
+
+
+def write(kg: KnowledgeGraph, path: str, fmt: str = "turtle") -> None:
+    """parquet and json keep everything; ntriples and turtle the statements."""
     if fmt == "parquet":
         for name in ("entities", "relations", "triples"):
             getattr(kg, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        _head(kg).write.mode("overwrite").parquet(f"{path}/graph")
     elif fmt == "ntriples":
         ntriples(kg.triples).write.mode("overwrite").text(path)
     elif fmt == "turtle":
@@ -66,12 +119,18 @@ def write(kg: KnowledgeGraph, path: str, fmt: str = "parquet") -> None:
         raise ValueError(f"unknown format {fmt!r}")
 
 
-def read(spark: SparkSession, path: str, fmt: str = "parquet", name: str = "kg") -> KnowledgeGraph:
+def read(spark: SparkSession, path: str, fmt: str = "turtle", name: str = "kg") -> KnowledgeGraph:
+    """The graph at a path. parquet and json restore its name, ontology_uri and metadata too, where they were written;
+    of statements alone, entities are the ends that are no literals, relations the predicates."""
     if fmt == "parquet":
         e, r, t = (spark.read.parquet(f"{path}/{n}") for n in ("entities", "relations", "triples"))
-        return KnowledgeGraph(name, e, r, t)
-    if fmt == "ntriples":
-        t = read_ntriples(spark, path).withColumn("graph_id", F.lit(name)).withColumn("seq", F.monotonically_increasing_id())
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/graph")
+        known = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        name, uri, metadata = _restored(spark.read.parquet(f"{path}/graph"), name) if known else (name, None, {})
+        return KnowledgeGraph(name, e, r, t, uri, metadata)
+    if fmt in ("ntriples", "turtle"):
+        found = read_ntriples(spark, path) if fmt == "ntriples" else read_turtle(spark, path)
+        t = found.withColumn("graph_id", F.lit(name)).withColumn("seq", F.monotonically_increasing_id())
         e = t.select(F.col("s").alias("uri")).unionByName(t.filter("not o_is_literal").select(F.col("o").alias("uri"))).distinct()
         return KnowledgeGraph(name, e.select(F.lit(name).alias("graph_id"), "uri"), t.select(F.lit(name).alias("graph_id"), F.col("p").alias("uri")).distinct(), t)
     if fmt == "json":
@@ -79,12 +138,18 @@ def read(spark: SparkSession, path: str, fmt: str = "parquet", name: str = "kg")
     raise ValueError(f"unknown format {fmt!r}")
 
 
+def _restored(head: DataFrame, name: str) -> tuple[str, str | None, dict]:
+    import json
+
+    row = head.select("graph_id", "ontology_uri", "metadata").first()  # one row a graph
+    return (row.graph_id, row.ontology_uri, json.loads(row.metadata or "{}")) if row else (name, None, {})
+
+
 def kg_json(kg: KnowledgeGraph) -> DataFrame:
     """A JSON object on a row for each part of the graph: kind (graph, entity, relation, triple), body. One row
     for a graph would grow with it; `as_document` makes that of a graph known to be small."""
     row = lambda df, kind: df.select("graph_id", F.lit(kind).alias("kind"), F.to_json(F.struct(*[c for c in df.columns if c != "graph_id"])).alias("body"))
-    head = kg.triples.sparkSession.createDataFrame([(kg.name, kg.ontology_uri, {k: str(v) for k, v in kg.metadata.items()})], "graph_id string, ontology_uri string, metadata map<string,string>")
-    rows = row(head, "graph").unionByName(row(kg.entities, "entity")).unionByName(row(kg.relations, "relation")).unionByName(row(kg.triples, "triple"))
+    rows = row(_head(kg), "graph").unionByName(row(kg.entities, "entity")).unionByName(row(kg.relations, "relation")).unionByName(row(kg.triples, "triple"))
     return rows.select("graph_id", "kind", "body", F.to_json(F.struct("graph_id", "kind", "body")).alias("value"))
 
 
@@ -100,7 +165,7 @@ def as_document(kg: KnowledgeGraph, most: int = 100_000) -> str:
 
 
 def from_json_rows(lines: DataFrame, name: str = "kg") -> KnowledgeGraph:
-    """The graph of the rows that kg_json wrote, all parts restored."""
+    """The graph of the rows that kg_json wrote, all parts restored: name, ontology_uri and metadata too."""
     from ..schemas import ENTITY, RELATION, TRIPLE
 
     x = lines.select(F.from_json("value", "graph_id string, kind string, body string").alias("x")).select("x.*")
@@ -109,21 +174,23 @@ def from_json_rows(lines: DataFrame, name: str = "kg") -> KnowledgeGraph:
         rows = x.filter(F.col("kind") == kind).select(F.col("graph_id").alias("g"), F.from_json("body", schema).alias("b"))
         return rows.select("g", "b.*").drop("graph_id").withColumnRenamed("g", "graph_id")
 
-    return KnowledgeGraph(name, part("entity", ENTITY), part("relation", RELATION), part("triple", TRIPLE))
+    name, uri, metadata = _restored(part("graph", "ontology_uri string, metadata string"), name)
+    return KnowledgeGraph(name, part("entity", ENTITY), part("relation", RELATION), part("triple", TRIPLE), uri, metadata)
 
 
 def read_owl(spark: SparkSession, path: str) -> Ontology:
-    """Named classes and properties of an RDF/XML ontology, in file order within each partition."""
+    """Named classes, properties and individuals of an RDF/XML ontology, of one file or several. ord is the order of the file,
+    and tells files apart by its high bits."""
     schema = (
         "`_rdf:about` string, `rdfs:label` array<struct<_VALUE:string,`_xml:lang`:string>>, `rdfs:comment` array<struct<_VALUE:string,`_xml:lang`:string>>,"
         " `rdfs:subClassOf` array<struct<`_rdf:resource`:string>>, `rdfs:domain` array<struct<`_rdf:resource`:string>>, `rdfs:range` array<struct<`_rdf:resource`:string>>,"
-        " `owl:disjointWith` array<struct<`_rdf:resource`:string>>"
+        " `owl:disjointWith` array<struct<`_rdf:resource`:string>>, `rdf:type` array<struct<`_rdf:resource`:string>>"
     )
 
     def tag(name: str) -> DataFrame:
         return spark.read.format("xml").option("rowTag", name).schema(schema).load(path).filter(F.col("`_rdf:about`").isNotNull())
 
-    uri, order = F.col("`_rdf:about`"), F.monotonically_increasing_id().cast("int")
+    uri, order = F.col("`_rdf:about`"), F.monotonically_increasing_id()
     first = lambda c, f: F.try_element_at(F.col(f"`{c}`"), F.lit(1))[f]
     label = F.coalesce(first("rdfs:label", "_VALUE"), F.element_at(F.split(uri, "[#/]"), -1))
     about = F.coalesce(first("rdfs:comment", "_VALUE"), F.lit(""))
@@ -133,6 +200,9 @@ def read_owl(spark: SparkSession, path: str) -> Ontology:
     def props(name: str, kind: str) -> DataFrame:
         return tag(name).select(order.alias("ord"), F.lit(kind).alias("kind"), uri.alias("uri"), label.alias("label"), about.alias("description"), first("rdfs:domain", "_rdf:resource").alias("domain"), first("rdfs:range", "_rdf:resource").alias("range"))
 
+    types = F.filter(F.transform("`rdf:type`", lambda x: x["_rdf:resource"]), lambda x: x.isNotNull())
+    individuals = tag("owl:NamedIndividual").select(uri.alias("uri"), label.alias("label"), F.coalesce(types, F.array().cast("array<string>")).alias("types"))
+
     def axiom(kind: str, pairs: DataFrame) -> DataFrame:
         return pairs.select(F.lit(kind).alias("axiom_type"), F.array(*pairs.columns).alias("components"), F.lit(None).cast("string").alias("verbalization"), F.lit(None).cast("string").alias("logical_form"))
 
@@ -140,4 +210,5 @@ def read_owl(spark: SparkSession, path: str) -> Ontology:
     axioms = axiom("SubClassOf", classes.select("uri", F.explode("parents").alias("parent")))
     axioms = axioms.unionByName(axiom("DisjointClasses", classes.select("uri", F.explode("apart").alias("other")).filter("other is not null")))
     axioms = axioms.unionByName(axiom("ObjectPropertyDomain", properties.filter("domain is not null").select("uri", "domain"))).unionByName(axiom("ObjectPropertyRange", properties.filter("range is not null").select("uri", "range")))
-    return Ontology(classes.drop("apart"), properties, axioms, path)
+    axioms = axioms.unionByName(axiom("ClassAssertion", individuals.select("uri", F.explode("types").alias("type"))))
+    return Ontology(classes.drop("apart"), properties, axioms, path, individuals)
