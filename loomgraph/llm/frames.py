@@ -15,9 +15,12 @@ ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set, as in tests."""
+    """The folder that all executors share. Where none is set, a temporary one on a single machine, as in tests; a cluster
+    must name one, as its executors do not see each other's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -26,11 +29,19 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that `cut` wrote in this process, once no result that reads them is needed."""
+def written() -> int:
+    """How many tables `cut` has written and not released in this process."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Delete the tables that `cut` wrote in this process, from the `since`th on and all but the last if that is kept, once no
+    result that reads them is needed."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    gone = _written[since : len(_written) - keep_last]
+    del _written[since : len(_written) - keep_last]
+    for where in gone:
+        path = jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(conf).delete(path, True)
 
 

@@ -315,6 +315,60 @@ def test_segments():
         assert all(v == pytest.approx(full[a:b].sum()) for a, b, v in got)
 
 
+def test_toxicity_against_plain_counts(spark):
+    """Log-odds, decay, location and scores against the same formulas with dictionaries and loops."""
+    from loomgraph.llm import toxicity as T
+
+    rng = np.random.default_rng(43)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), int(rng.integers(3, 8))))
+    common = [word() for _ in range(30)]
+    docs, labels = [], []
+    for i in range(600):
+        toxic = i % 3 == 0
+        text = [str(x) for x in rng.choice(common, 40)] + [word() for _ in range(20)] + (["scumbag", "Dirtbags!"] if toxic and i % 5 else []) + (["scumbag"] if i % 50 == 1 else [])
+        rng.shuffle(text)
+        docs.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = T.train(d, y)
+    train = [(i, t, labels[i][1]) for i, t in docs if zlib.crc32(str(i).encode()) % 5]
+    known = spark.createDataFrame([(t, y) for _, t, y in train], "text string, toxic int")
+    train = [(r.text, r.toxic) for r in T.without_copies(known).collect()]
+    assert len(train) > 300
+    split = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    features = lambda w: [w[:n] + "*" for n in T.PREFIXES if len(w) > n] + [w]
+    count = {}
+    for t, toxic in train:
+        for f in {f for w in split(t) for f in features(w)}:
+            n = count.setdefault(f, [0, 0])
+            n[toxic] += 1
+    n0, n1 = (sum(toxic == k for _, toxic in train) for k in (0, 1))
+    score = {}
+    for f, (c0, c1) in count.items():
+        a = T.PRIOR * (c0 + c1) / (n0 + n1)
+        y1, y0 = c1 + a * n1 / (n0 + n1), c0 + a * n0 / (n0 + n1)
+        w1, w0 = n1 + T.PRIOR * n1 / (n0 + n1), n0 + T.PRIOR * n0 / (n0 + n1)
+        s = math.log(y1 / (w1 - y1 + 1)) - math.log(y0 / (w0 - y0 + 1))
+        if c0 + c1 >= T.LEAST_DOCS and abs(s) / math.sqrt(1 / y1 + 1 / y0) >= T.LEAST_Z and abs(s) >= T.LEAST_ODDS:
+            score[f] = s
+    assert len(score) >= 3 and sorted(model.scores) == pytest.approx(sorted(score.values()))
+    tokens = lambda t: [next((score[f] for f in reversed(features(w)) if f in score), -T.DRIFT) for w in split(t)]
+    clean = [tokens(t) for t, toxic in train if not toxic]
+    flat = [round(s, 1) if s != -T.DRIFT else s for doc in clean for s in doc] + [max(max(score.values()), 0.5)]
+    assert np.mean(np.exp(model.lam * np.array(flat))) == pytest.approx(1.0, rel=1e-3)
+    segs = lambda doc: [sum(doc[a:b]) for a, b in maximal(doc)]
+    floor = min(s for s in score.values() if s > 0)
+    best = [max(segs(doc), default=0.0) for doc in clean]
+    k = max(sum(b > floor for b in best), 0.5) / sum(len(doc) * math.exp(-model.lam * max(b, floor)) for doc, b in zip(clean, best))
+    assert model.k == pytest.approx(k)
+    got = {r.doc_id: r for r in T.toxicity(d, y).collect()}
+    for i, t in docs[:200]:
+        doc = tokens(t)
+        total = sum(max(0.0, model.lam * s - math.log(max(k * len(doc), 1.0))) for s in segs(doc))
+        want = 1 / (1 + math.exp(-(model.slope * min(total, 20.0) + model.offset)))
+        assert got[i].score == pytest.approx(want, abs=1e-6) and got[i].predicted == int(want >= 0.5)
+
+
 def test_copies_are_no_evidence(spark):
     """A much-copied toxic text teaches none of its innocent words, and common words repeated add up to nothing."""
     from loomgraph.llm.toxicity import train, toxicity
@@ -398,6 +452,58 @@ def test_every_language_is_learned(spark):
     assert sum(got[d] == name for d, _, name in rows) > 0.98 * len(rows)
 
 
+def gram_list(text):
+    """The n-grams of a text by their definition: (last byte and the two before it, last byte and the one before it)."""
+    raw = text.encode()
+    letters = [chr(b) if chr(b).isalpha() and b < 128 or b >= 128 else " " for b in raw.lower()]
+    body = re.sub(" +", " ", "".join(letters)).strip(" ")
+    padded = "  " + "".join(letters and [body]) + " "
+    lead = " " if letters and letters[0] == " " else ""
+    return [padded[i - 2 : i + 1] for i in range(2, len(padded))], lead
+
+
+def test_language_against_plain_counts(spark):
+    """Predictions and scores of the operator against the same method with dictionaries and loops."""
+    from loomgraph.llm.langid import AMBIGUOUS, HASH_BITS, MARGIN, SMOOTH, codebook, grams, language_id
+    from zlib import crc32
+
+    rng = np.random.default_rng(41)
+    words = {f"l{i}": ["".join(rng.choice(list("abcdefghijklm"), 4)) for _ in range(12)] for i in range(5)}
+    rows = [(k, " ".join(rng.choice(words[f"l{k % 5}"], 6)) + " " + " ".join(rng.choice(words[f"l{(k + 1) % 5}"], k % 4)), f"l{k % 5}") for k in range(200)]
+    # What an n-gram is: equal ones of three letters fall together, and only by chance others.
+    seen = {}
+    for _, text, _ in rows[:40]:
+        pair, _ = grams(Texts(pa.array([text])))
+        for g, (three, two) in zip(gram_list(text)[0], pair.tolist()):
+            assert seen.setdefault(("3", g), three) == three and seen.setdefault(("2", g[1:]), two) == two
+    assert len(set(seen.values())) > 0.95 * len(seen)
+    of = {i: [seen_id for row in grams(Texts(pa.array([t])))[0].tolist() for seen_id in row] for i, t, _ in rows}
+    train = [(i, t, x) for i, t, x in rows if crc32(str(i).encode()) % 4 != 2]
+    langs, size = sorted(words), 2 << HASH_BITS
+    counts = {x: {} for x in langs}
+    for i, _, x in train:
+        for g in of[i]:
+            counts[x][g] = counts[x].get(g, 0) + 1
+    total = {x: sum(counts[x].values()) + SMOOTH * size for x in langs}
+    chance = lambda x, g: (counts[x].get(g, 0) + SMOOTH) / total[x]
+    book = codebook(5)
+    weight = lambda k, g: math.log(np.mean([chance(x, g) for x, c in zip(langs, book) if c[k] > 0])) - math.log(np.mean([chance(x, g) for x, c in zip(langs, book) if c[k] < 0]))
+    margin = lambda i: [sum(weight(k, g) for g in of[i]) / (len(of[i]) / 2) for k in range(book.shape[1])]
+    margins = {i: margin(i) for i, _, _ in rows}
+    bits = []
+    for k in range(book.shape[1]):
+        err = sum(margins[i][k] * book[langs.index(x)][k] <= 0 for i, _, x in train)
+        rate = (err + 1) / (len(train) + 2)
+        bits.append(max(0.05, math.log((1 - rate) / rate)))
+    bits = [b / np.mean(bits) for b in bits]
+    got = {r.doc_id: r for r in language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, _, _ in rows:
+        loss = [sum(b * math.log1p(math.exp(-MARGIN * c * f)) for b, c, f in zip(bits, code, margins[i])) for code in book]
+        like = [math.exp(min(loss) - x) for x in loss]
+        assert got[i].lang_pred == langs[int(np.argmin(loss))] and got[i].score == pytest.approx(max(like) / sum(like), abs=1e-3)
+        assert got[i].held_out == (crc32(str(i).encode()) % 4 == 2) and got[i].ambiguous == (got[i].score < AMBIGUOUS)
+
+
 # HTML.
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
