@@ -153,9 +153,14 @@ class Extraction:
 
 
 def distill(docs: DataFrame, extractor, cfg: ExtractionConfig | None = None, classes: DataFrame | None = None, properties: DataFrame | None = None) -> Extraction:
+    """Entities, relations, triples and summaries of documents (doc_id, text).
+
+    Null and empty texts have no chunks and get a summary of zeros. Rows without an id take no part. Rows that share an id are
+    one document: their mentions add up, in the order of their chunks. An empty table gives empty tables; further columns
+    are ignored."""
     cfg = cfg or ExtractionConfig()
     tune(docs.sparkSession)
-    extracted = extractor(docs)
+    extracted = extractor(docs.filter(F.col("doc_id").isNotNull()))
     entities = aggregate_entities(raw_entities(extracted), cfg.entity_ns)
     entities = map_labels(limited(entities, cfg.max_entities), "type", classes, "ontology_type")
     linked = link(raw_relations(with_places(extracted)), entities, cfg.property_ns, properties)

@@ -88,6 +88,18 @@ def test_distill(ada):
     assert (s.n_chunks, s.n_triples, s.level) == (3, 1, "medium")
 
 
+def test_messy_documents(spark):
+    from loomgraph.operators.extract import RuleExtractor
+
+    rows = [(1, "Ada met Bob.", "x"), (1, "Bob met Ada.", "x"), (2, None, "x"), (3, "", "x"), (None, "Eve met Bob.", "x"), (4, "no names", None)]
+    x = D.distill(spark.createDataFrame(rows, "doc_id long, text string, label string"), RuleExtractor())
+    assert {(r.doc_id, r.label, r.n) for r in x.entities.collect()} == {(1, "Ada", 2), (1, "Bob", 2)}
+    assert {r.doc_id for r in x.triples.collect()} == {1} and x.triples.count() == 2
+    assert {(r.doc_id, r.n_chunks) for r in x.summary.filter("doc_id > 1").collect()} == {(2, 0), (3, 0), (4, 1)}
+    none = D.distill(spark.createDataFrame([], "doc_id long, text string"), RuleExtractor())
+    assert none.triples.count() == none.entities.count() == none.summary.count() == 0
+
+
 def test_spellings_and_limits(spark):
     docs = spark.createDataFrame([(1, "Foo-Bar is FooBar of Zed.")], "doc_id long, text string")
     answers = [respond(["Foo-Bar", "FooBar", "Zed"], [("FooBar", "of", "Zed"), ("Foo-Bar", "of", "Zed"), ("foo-bar", "by", "Zed"), ("Zed", "of", "Nobody")])]
