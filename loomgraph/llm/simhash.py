@@ -19,7 +19,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -233,19 +233,35 @@ def _shingles(text: str, k: int) -> set[int]:
     return {xxhash.xxh64_intdigest(raw[a:b], SEED) for a, b in spans}
 
 
+#: Texts that may become leaders of a group in a round, their characters together (the first counts always), and members
+#: of a group that are compared in one stretch.
+LEADERS, LEADER_CHARS, STRETCH = 32, 4 << 20, 4096
+
+
+def _like(a: set[int], b: set[int], least: float) -> bool:
+    return len(a & b) >= least * len(a | b)
+
+
 def _compare(k: int, least: float):
-    """For rows of a group's undecided texts beside its leader's: whether they are alike in at least `least` of their shingles."""
+    """Rows sorted by stretch, a stretch's possible leaders first: for each member the first leader that it is like, if any.
+    A possible leader that is like an earlier one leads nothing."""
 
     def run(batches):
-        leader, mine = None, set()
+        stretch, leaders = None, []
         for b in pieces(batches, "text"):
-            like = []
-            for text, other in zip(column(b, "text").to_pylist(), column(b, "leader_text").to_pylist()):
-                if other != leader:
-                    leader, mine = other, _shingles(other, k)
-                found = _shingles(text, k)
-                like.append(len(found & mine) >= least * len(found | mine))
-            yield pa.RecordBatch.from_arrays([*(column(b, c) for c in ("root", "t", "doc", "leader_t", "leader")), pa.array(like)], names=["root", "t", "doc", "leader_t", "leader", "like"])
+            out = []
+            names = ("root", "salt", "member", "t", "doc", "text")
+            for root, salt, member, t, doc, text in zip(*(column(b, c).to_pylist() for c in names)):
+                if (root, salt) != stretch:
+                    stretch, leaders = (root, salt), []
+                mine = _shingles(text, k)
+                found = next(((lt, d) for lt, d, theirs in leaders if _like(mine, theirs, least)), None)
+                if member:
+                    out.append((t, *(found or (None, None))))
+                elif found is None:
+                    leaders.append((t, doc, mine))
+            cols = list(zip(*out)) if out else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.string(), pa.string(), pa.int64()))], names=["t", "leader_t", "leader"])
 
     return run
 
@@ -253,19 +269,27 @@ def _compare(k: int, least: float):
 def _led(src: DataFrame, members: DataFrame, k: int, least: float) -> DataFrame:
     """t, leader_t, leader of the texts in groups of several (members: root, t, doc).
 
-    In rounds, the undecided text of least id in each group becomes a leader, and takes all that are like it."""
+    In rounds: the undecided texts of least id in each group are its possible leaders, in that order; a text like an earlier
+    leader is led by it, the others of them lead, and so does each all other members that are like it and none before.
+    A group's members are dealt to stretches of bounded size, each with the possible leaders before it."""
     several = members.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
     members = cut(members.join(several, "root"), "members")
     texts = src.join(members.select("t", F.col("doc").alias("doc_id"), "root"), ["t", "doc_id"]).dropDuplicates(["t"])
     left = cut(texts.select("root", "t", F.col("doc_id").alias("doc"), "text"), "undecided")
     out = []
     while left.limit(1).count():
-        first = left.groupBy("root").agg(F.min(F.struct("doc", "t")).alias("x")).select("root", F.col("x.doc").alias("leader"), F.col("x.t").alias("leader_t"))
-        own = left.select("root", F.col("t").alias("leader_t"), F.col("text").alias("leader_text")).join(first, ["root", "leader_t"])
-        schema = "root long, t string, doc long, leader_t string, leader long, like boolean"
-        told = cut(left.join(own, "root").mapInArrow(_compare(k, least), schema), "compared")
-        out.append(told.filter("like").select("t", "leader_t", "leader"))
-        left = cut(left.join(told.filter("not like").select("t"), "t", "left_semi"), "undecided")
+        order = Window.partitionBy("root").orderBy("doc", "t")
+        first = left.select("root", "doc", "t", F.length("text").alias("size")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= LEADERS)
+        first = first.withColumn("before", F.sum("size").over(order) - F.col("size")).filter((F.col("before") <= LEADER_CHARS) | (F.col("rank") == 1))
+        parts = left.groupBy("root").agg(F.ceil(F.count("*") / STRETCH).cast("int").alias("parts"))
+        rows = left.join(parts, "root")
+        member = rows.select("root", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("member"), "t", "doc", "text")
+        lead = rows.join(first.select("root", "t"), ["root", "t"], "left_semi")
+        lead = lead.select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("member"), "t", "doc", "text")
+        dealt = member.unionByName(lead).repartition("root", "salt").sortWithinPartitions("root", "salt", "member", "doc", "t")
+        told = cut(dealt.mapInArrow(_compare(k, least), "t string, leader_t string, leader long"), "compared")
+        out.append(told.filter("leader_t is not null"))
+        left = cut(left.join(told.filter("leader_t is null").select("t"), "t", "left_semi"), "undecided")
     decided = out[0] if out else members.select("t", F.col("t").alias("leader_t"), F.col("doc").alias("leader")).limit(0)
     for more in out[1:]:
         decided = decided.unionByName(more)
