@@ -47,11 +47,25 @@ def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> Non
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df in the shared folder and read it again: lost executors cost no recomputation before this.
-    The tables stay until `release`."""
-    path = f"{shared_dir(df.sparkSession)}/loomgraph/{name}-{uuid.uuid4().hex}"
+    The tables stay until `release` or `forget`. What was shuffled to write them is not needed any more: the driver's
+    collector is asked to let Spark delete it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of `cut` that nothing reads any more, neither a result nor a table still to be written."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.cut_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if t.cut_path in _written:
+            _written.remove(t.cut_path)
 
 
 def arrow_rows(spark: SparkSession) -> None:

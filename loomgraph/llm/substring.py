@@ -23,10 +23,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import arrow_rows, cut
+from .frames import arrow_rows, cut, forget
 from .kernels import R2, Rolling, Texts, Words, column, normalised, pieces
 
 #: Words of a window and of an anchor; bits of a node's hash (the result does not depend on them, only the work does).
@@ -236,7 +236,8 @@ def repeated_paths(src: DataFrame, window: int, anchor: int, bits: int = NODE_BI
     found = cut(src.mapInArrow(_find_pieces(window, anchor, bits), "doc_id long, th long, a long, u long, v long, start int, n int"), "pieces")
     # Written tables on both sides of the joins let the adaptive skew join split a hot anchor.
     shared = cut(found.groupBy("a").agg(F.count("*").alias("m")).filter("m > 1").select("a"), "anchors")
-    found = cut(found.join(shared, "a"), "shared")
+    every, found = found, cut(found.join(shared, "a"), "shared")
+    forget(every, shared)
     one = F.struct("doc_id", "th", "start")
     # Half a hash, so that no sum over places overflows; equal sums for other places are found out when paths are verified.
     places = lambda at: F.sum(F.xxhash64("doc_id", "th", at).bitwiseAND(F.lit(0xFFFFFFFF)))
@@ -246,10 +247,11 @@ def repeated_paths(src: DataFrame, window: int, anchor: int, bits: int = NODE_BI
     edges = _todo(src, classes.join(forks, "a").select("one.doc_id", "one.th", "a", "one.start", "n", "k"))
     forked = cut(edges.mapInArrow(_expand(window, bits), "doc_id long, th long, a long, start int, k long, nodes array<bigint>"), "nodes")
     each = F.transform(F.sequence(F.lit(0), F.size("nodes") - 2), lambda i: F.struct(F.col("nodes")[i].alias("u"), F.col("nodes")[i + 1].alias("v"), (F.col("start") + i).alias("start")))
-    edges = forked.select("doc_id", "th", "a", "k", (F.size("nodes") - 1).alias("of"), F.explode(each).alias("e")).select("doc_id", "th", "a", "k", "of", "e.*", F.lit(1).alias("n"))
-    # Counted by a hash first, so that little is shuffled of the many edges that occur once.
-    edges = edges.withColumn("h", F.xxhash64("u", "v"))
-    edges = cut(edges.join(edges.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1").select("h"), "h").drop("h"), "edges")
+    edges = forked.select("doc_id", "th", "a", "k", (F.size("nodes") - 1).alias("of"), F.explode(each).alias("e")).select("doc_id", "th", "a", "k", "of", "e.*")
+    # One row of each class at most has an edge, so that few share one, and a window counts them where they are.
+    edges = edges.withColumn("m", F.count("*").over(Window.partitionBy("u", "v"))).filter("m > 1").drop("m")
+    edges = cut(edges.withColumn("n", F.lit(1)), "edges")
+    forget(forked)
     again = edges.groupBy("a", "u", "v", "n").agg(F.sum("k").alias("k"), F.count("*").alias("m"), places(F.col("start")).alias("begins"), ends)
     again = cut(again.filter("m > 1").drop("m"), "again")
     names = ["a", F.struct("u", "v", "n").alias("id"), "k", "begins", "ends"]
