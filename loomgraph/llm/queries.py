@@ -74,6 +74,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    places = F.transform("base", lambda b: b["at"].cast("long"))
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"), "base_labels", "labels", "score"
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_top_k_search": op2_top_k_search,
@@ -85,4 +107,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_license_scan": op13_license_scan,
 }

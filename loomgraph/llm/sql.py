@@ -103,9 +103,92 @@ SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
 FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN w USING (r)
 """
 
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS ws FROM d),
+i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase FROM i, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+t AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1),
+cuts AS (SELECT lang, k, phrase, a, ws, unnest(range(1, k)) AS c FROM c),
+s AS (
+  SELECT x.lang, x.k, x.phrase, x.a, x.c, l.a AS l, r.a AS r, (2000000::HUGEINT * x.a // (l.a + r.a))::BIGINT AS score
+  FROM cuts x JOIN f l ON l.lang = x.lang AND l.k = x.c AND l.phrase = array_to_string(x.ws[1:x.c], ' ')
+  JOIN f r ON r.lang = x.lang AND r.k = x.k - x.c AND r.phrase = array_to_string(x.ws[x.c + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+held AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN c ON c.lang = b.lang AND c.k > b.k AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * c.a >= 80 * b.a),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b ANTI JOIN held USING (lang, phrase))
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+w AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+v AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN v USING (lang, term) GROUP BY ALL),
+gr AS (SELECT DISTINCT lang, source FROM d),
+nv AS (SELECT lang, count(*) AS v FROM v GROUP BY lang),
+ng AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY ALL),
+nl AS (SELECT lang, sum(n) AS n FROM c GROUP BY ALL),
+p AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (coalesce(ng.n, 0) + 5 * nv.v))::BIGINT AS p
+  FROM gr JOIN v USING (lang) JOIN nv USING (lang) LEFT JOIN ng USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, (1 + 1000000000::HUGEINT * (sum(c.n) + 5) // (any_value(nl.n) + 5 * any_value(nv.v)))::BIGINT AS q FROM c JOIN nl USING (lang) JOIN nv USING (lang) GROUP BY lang, term),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pr AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM gr a JOIN gr b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+tm AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (SELECT * FROM pr UNION ALL SELECT * FROM tm))
+SELECT * FROM k WHERE part = 'pair' OR rank <= 50
+"""
+
+
+def _op13() -> str:
+    """The templates as a table; votes, majorities and verification by joins."""
+    from .licenses import BASE, LOOKUPS, TEMPLATES, WORD, _keys, words_of
+
+    rows = [(t, label, i, w, i in set(_keys(words_of(text), keys))) for t, (label, text, keys) in enumerate(TEMPLATES) for i, w in enumerate(words_of(text))]
+    t = ", ".join(f"({n}, '{label}', {i}, '{w}', {str(key).lower()})" for n, label, i, w, key in rows)
+    v = ", ".join(f"('{w}')" for w in sorted({r[3] for r in rows} | {w for phrase, _ in BASE for w in phrase.split()}))
+    b = ", ".join(f"('{phrase}', '{label}', {len(phrase.split())})" for phrase, label in BASE)
+    return rf"""
+WITH t(tid, label, j, w, key) AS (VALUES {t}), v(w) AS (VALUES {v}), b(phrase, label, k) AS (VALUES {b}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),
+h AS (SELECT * FROM (SELECT r, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM d) SEMI JOIN v USING (w)),
+base AS (SELECT h.r, h.i, b.label FROM h JOIN b ON h.w = split_part(b.phrase, ' ', 1) JOIN d ON d.r = h.r WHERE array_to_string(d.ws[h.i + 1:h.i + b.k], ' ') = b.phrase),
+pw AS (SELECT DISTINCT r, w FROM h),
+df AS (SELECT w, count(*) AS n FROM pw GROUP BY w),
+need AS (SELECT tid, count(DISTINCT w) AS n FROM t WHERE key GROUP BY tid),
+near AS (SELECT r, tid FROM pw JOIN (SELECT DISTINCT tid, w FROM t WHERE key) USING (w) JOIN need USING (tid) GROUP BY r, tid, need.n HAVING count(*) = need.n),
+look AS (
+  SELECT r, tid, w FROM near JOIN (SELECT DISTINCT tid, w FROM t) USING (tid) JOIN pw USING (r, w) JOIN df USING (w)
+  QUALIFY row_number() OVER (PARTITION BY r, tid ORDER BY df.n, w) <= {LOOKUPS}),
+size AS (SELECT r, tid, count(*) AS n FROM look GROUP BY r, tid),
+place AS (
+  SELECT r, tid, h.i - t.j AS o FROM look JOIN h USING (r, w) JOIN t USING (tid, w) JOIN size USING (r, tid)
+  GROUP BY r, tid, o, size.n HAVING 2 * count(DISTINCT w) > size.n),
+hit AS (
+  SELECT p.r, t.label, count(h.w) / count(*) AS share, count(h.w) FILTER (t.key) = count(*) FILTER (t.key) AS whole
+  FROM place p JOIN t USING (tid) LEFT JOIN h ON h.r = p.r AND h.i = p.o + t.j AND h.w = t.w GROUP BY p.r, p.tid, p.o, t.label),
+f AS (SELECT r, label, share FROM hit WHERE whole),
+lb AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM base UNION ALL SELECT r, label FROM f) GROUP BY r),
+bs AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
+sc AS (SELECT r, max(share) AS score FROM f GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN bs USING (r) LEFT JOIN lb USING (r) LEFT JOIN sc USING (r)
+"""
+
+
 ORACLES = {
     "op1_quality_rules": OP1,
     "op2_top_k_search": OP2,
     "op3_substring_dedup": OP3,
     "op6_mix_sources": OP6,
+    "op11_phrase_collocations": OP11,
+    "op12_source_divergence": OP12,
+    "op13_license_scan": _op13(),
 }
