@@ -5,9 +5,10 @@ ends are a pair of ids; pairs that are frequent over all documents get an id of
 pairs in the text. A name keeps the two ids it was made from, so parts of a phrase are found by following these parents, and
 phrases that hold another are found by reading them backwards: no phrase is ever counted again.
 
-Texts stand in blocks of about two million words of one language, each a row with its words as numbers. A block sends out each
-of its distinct pairs once, with a count, and gets back the names of those that are frequent; a text is never shuffled by its
-pairs, so a hot word or phrase is a row a block at most, and the sums are combined before they are shuffled.
+Texts stand in blocks of about two million words of one language, each a row that holds its words as numbers, beside a row for each
+of its distinct words or pairs, with a count. These rows are counted, and the names of the frequent ones go back to their
+block; a text is never shuffled by its pairs, so a hot word or phrase is a row a block at most, and the sums are combined
+before they are shuffled.
 """
 
 from __future__ import annotations
@@ -19,22 +20,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import arrow_rows, cut
+from .frames import arrow_rows, cut, forget
 from .kernels import LOWER, Texts, column, pieces
 from .spans import byte_class, spans, word_numbers
 
 #: Words of a block. A text that has more is a block of its own.
 BLOCK = 1 << 21
-#: A table of names of at most so many rows is broadcast (some 100 bytes each); larger ones are joined by shuffles.
-BROADCAST_ROWS = 300_000
 #: How often a phrase stands at least, its words at most, the share (in hundredths) of it in a longer one that drops it.
 LEAST, LONGEST, INSIDE = 30, 4, 80
 
 ENDS = byte_class([(ord(c), ord(c)) for c in ".,;:!?"] + [(0x0A, 0x0D)])
 GAPS = byte_class([(0x20, 0x20), (0x09, 0x09)])
 
-FIRST = "block long, lang string, total long, stream binary, words array<string>, n array<long>"
-LATER = "block long, stream binary, u array<long>, v array<long>, n array<long>"
+#: A block's row with its stream, and the rows of its words (pairs), numbered.
+FIRST = "block long, lang string, total long, stream binary, num int, word string, n long"
+LATER = "block long, stream binary, num int, u long, v long, n long"
 
 
 def _streams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
@@ -59,8 +59,8 @@ class _Block:
         self.parts.append((local, fresh, words.take(pa.array(used))))
         self.size += len(numbers)
 
-    def row(self, block: int, lang: str) -> dict:
-        """-1 stands before each piece; the other numbers are places in words."""
+    def rows(self, block: int, lang: str) -> pa.RecordBatch:
+        """-1 stands before each piece; the other numbers are those of the words."""
         coded = pa.chunked_array([w for *_, w in self.parts]).combine_chunks().dictionary_encode()
         places, begin, out = np.asarray(coded.indices), 0, []
         for local, fresh, words in self.parts:
@@ -69,20 +69,21 @@ class _Block:
             stream[at] = places[begin : begin + len(words)][local]
             out.append(stream)
             begin += len(words)
-        stream = np.concatenate(out)
-        n = np.bincount(stream[stream >= 0], minlength=len(coded.dictionary))
-        return {"block": block, "lang": lang, "total": self.size, "stream": stream.tobytes(), "words": coded.dictionary.cast(pa.string()), "n": n}
+        stream, words = np.concatenate(out), coded.dictionary.cast(pa.string())
+        n = np.bincount(stream[stream >= 0], minlength=len(words))
+        head = [pa.array([block]), pa.array([lang], pa.string()), pa.array([self.size]), pa.array([stream.tobytes()], pa.binary())]
+        tail = [pa.array(np.arange(len(words), dtype=np.int32)), words, pa.array(n)]
+        return _flat(head, tail, ["block", "lang", "total", "stream", "num", "word", "n"], shared=2)
 
 
-def _first_rows(rows: list[dict]) -> pa.RecordBatch:
-    def lists(name: str, kind: pa.DataType) -> pa.Array:
-        offs = np.append(0, np.cumsum([len(r[name]) for r in rows]))
-        flat = [r[name] if isinstance(r[name], pa.Array) else pa.array(r[name], kind) for r in rows]
-        return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.concat_arrays(flat))
-
-    plain = {"block": pa.int64(), "lang": pa.string(), "total": pa.int64(), "stream": pa.binary()}
-    arrays = [pa.array([r[c] for r in rows], kind) for c, kind in plain.items()] + [lists("words", pa.string()), lists("n", pa.int64())]
-    return pa.RecordBatch.from_arrays(arrays, names=[*plain, "words", "n"])
+def _flat(head: list[pa.Array], tail: list[pa.Array], names: list[str], shared: int) -> pa.RecordBatch:
+    """One row of head, then the rows of tail; the first `shared` columns of head stand in all rows, the others are null there."""
+    more, out = len(tail[0]), []
+    for k, x in enumerate(head):
+        below = pa.array(np.zeros(more, dtype=np.int64))
+        out.append(pa.concat_arrays([x, x.take(below) if k < shared else pa.nulls(more, x.type)]))
+    out += [pa.concat_arrays([pa.nulls(1, x.type), x]) for x in tail]
+    return pa.RecordBatch.from_arrays(out, names=names)
 
 
 def _blocks(batches):
@@ -99,10 +100,10 @@ def _blocks(batches):
                 block = open_blocks.setdefault(lang, _Block())
                 block.add(numbers[mine], fresh[mine], words)
                 if block.size >= BLOCK:
-                    yield _first_rows([open_blocks.pop(lang).row(base + made, lang)])
+                    yield open_blocks.pop(lang).rows(base + made, lang)
                     made += 1
     for lang, block in open_blocks.items():
-        yield _first_rows([block.row(base + made, lang)])
+        yield block.rows(base + made, lang)
         made += 1
 
 
@@ -113,10 +114,7 @@ def _paired(stream: np.ndarray, num: np.ndarray, ids: np.ndarray, last: bool) ->
     local[num] = np.arange(len(num))
     x = local[stream]
     both = (x[:-1] >= 0) & (x[1:] >= 0)
-    code = x[:-1][both] * len(num) + x[1:][both]
-    coded = pa.array(code).dictionary_encode()
-    at, distinct = np.asarray(coded.indices), np.asarray(coded.dictionary)
-    n = np.bincount(at, minlength=len(distinct))
+    distinct, at, n = np.unique(x[:-1][both] * len(num) + x[1:][both], return_inverse=True, return_counts=True)
     out = np.zeros(0, dtype=np.int32)
     if not last:
         y = np.full(len(both), -1, dtype=np.int32)
@@ -128,44 +126,46 @@ def _paired(stream: np.ndarray, num: np.ndarray, ids: np.ndarray, last: bool) ->
 
 
 def _repaired(last: bool):
+    names = ["block", "stream", "num", "u", "v", "n"]
+
     def step(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds = {"block": pa.int64(), "stream": pa.binary(), "u": pa.list_(pa.int64()), "v": pa.list_(pa.int64()), "n": pa.list_(pa.int64())}
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         if left.num_rows == 0 or right.num_rows == 0:
-            return pa.table({c: pa.array([], k) for c, k in kinds.items()})
+            return pa.table([pa.array([], k) for k in kinds], names=names)
         stream = np.frombuffer(left.column("stream")[0].as_py(), dtype=np.int32)
         num, ids = (np.asarray(right.column(c).combine_chunks()) for c in ("num", "id"))
         order = np.argsort(ids)  # so that the result does not depend on how the rows arrived
-        out, u, v, n = _paired(stream, num[order], ids[order], last)
-        values = (key[0].as_py(), out.tobytes(), u, v, n)
-        return pa.table({c: pa.array([x], k) for (c, k), x in zip(kinds.items(), values)})
+        out, *pairs = _paired(stream, num[order], ids[order], last)
+        head = [pa.array([key[0].as_py()]), pa.array([out.tobytes()], pa.binary())]
+        return pa.Table.from_batches([_flat(head, [pa.array(np.arange(len(pairs[0]), dtype=np.int32)), *[pa.array(x, pa.int64()) for x in pairs]], names, shared=1)])
 
     return step
 
 
-def _named(blocks: DataFrame, keys: list[str], arrays: list[str], least: int, name: str) -> tuple[DataFrame, DataFrame]:
+def _named(blocks: DataFrame, keys: list[str], least: int) -> tuple[DataFrame, DataFrame]:
     """The names of frequent keys (id, keys, a), and each block's numbers that have one (of, num, id)."""
-    own = [c for c in keys if c not in arrays]
-    each = blocks.select("block", *own, F.posexplode(F.arrays_zip(*arrays, "n")).alias("num", "x"))
-    each = each.select("block", "num", *own, *[F.col("x")[c].alias(c) for c in arrays], F.col("x")["n"].alias("n"))
+    each = blocks.filter("num is not null")
     names = each.groupBy(*keys).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-    names = cut(names.withColumn("id", F.monotonically_increasing_id()), name)
-    sized = F.broadcast(names) if names.count() <= BROADCAST_ROWS else names
-    return names, each.join(sized, keys).select(F.col("block").alias("of"), "num", "id")
+    names = cut(names.withColumn("id", F.monotonically_increasing_id()), "names")
+    return names, each.select("block", "num", *keys).join(names, keys).select(F.col("block").alias("of"), "num", "id")
 
 
 def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, list[DataFrame]]:
-    """(words of each language: lang, n; the names of each level k from 1: level 1 (id, lang, words, a), others (id, u, v, a))."""
+    """(words of each language: lang, n; the names of each level k from 1: level 1 (id, lang, word, a), others (id, u, v, a))."""
     arrow_rows(docs.sparkSession)
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text"))
     blocks = cut(rows.mapInArrow(_blocks, FIRST), "blocks")
-    totals = blocks.groupBy("lang").agg(F.sum("total").alias("n"))
-    names, hits = _named(blocks, ["lang", "words"], ["words"], least, "names")
+    totals = cut(blocks.filter("total is not null and num is null").groupBy("lang").agg(F.sum("total").alias("n")), "totals")
+    names, hits = _named(blocks, ["lang", "word"], least)
     levels = [names]
     for k in range(2, longest + 1):
-        sides = blocks.select("block", "stream").groupBy("block").cogroup(hits.groupBy("of"))
-        blocks = cut(sides.applyInArrow(_repaired(k == longest), LATER), "blocks")
-        names, hits = _named(blocks, ["u", "v"], ["u", "v"], least, "names")
+        streams = blocks.filter("num is null").select("block", "stream")
+        paired = cut(streams.groupBy("block").cogroup(hits.groupBy("of")).applyInArrow(_repaired(k == longest), LATER), "blocks")
+        forget(blocks)
+        blocks = paired
+        names, hits = _named(blocks, ["u", "v"], least)
         levels.append(names)
+    forget(blocks)
     return totals, levels
 
 
@@ -181,7 +181,7 @@ def scored_phrases(levels: list[DataFrame]) -> DataFrame:
     holds it; any longer one is as frequent at most). At most four words."""
     if len(levels) > 4:
         raise ValueError("cuts are looked up for phrases of up to four words")
-    first = levels[0].select("id", "lang", F.col("words").alias("phrase"), F.col("words").alias("tail"), "a", F.col("a").alias("first"), F.col("a").alias("last"), F.col("a").alias("left"), F.col("a").alias("right"))
+    first = levels[0].select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("tail"), "a", F.col("a").alias("first"), F.col("a").alias("last"), F.col("a").alias("left"), F.col("a").alias("right"))
     out, parents = None, first
     for k, names in enumerate(levels[1:], 2):
         x, left, right = names.alias("x"), parents.alias("L"), parents.alias("R")

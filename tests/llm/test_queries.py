@@ -18,7 +18,7 @@ def test_query(spark, data, same, name):
 def test_registered():
     import __spark_entry__ as e
 
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in QUERIES} and "pipeline" in e.queries()
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in QUERIES} and "pipeline" in e.queries()
 
 
 def test_pipeline(spark, data):
