@@ -1,10 +1,12 @@
 """Source divergence audit over mergeable radix tries.
 
-Every partition counts its terms in a byte trie whose leaves hold a counter for each source; it is walked in the order of its
-bytes, languages first, and its leaves are dealt by ranges of prefixes. In a range, equal leaves of all tries stand side by side
-and merge into one, which is kept if enough documents of its language have the term. The merged leaves, still in byte order, are
-walked again in stretches: a stretch adds up its share of each pair of sources and streams the candidate terms of each source,
-where equal values already stand in the order that breaks their ties.
+Every partition counts its terms in a byte trie whose leaves hold a counter for each source. A trie is laid out in the order of
+its bytes: of each key stand the number of bytes that it shares with the one before, the depth at which its branch leaves, and
+the rest, its edges; counters stand beside in one array. Tries merge by merging these. A partition's tries are walked and their
+leaves dealt by ranges of prefixes, languages first. In a range, equal leaves of all tries stand side by side and merge into one,
+which is kept if enough documents of its language have the term. The merged leaves, still in byte order, are walked again in
+stretches: a stretch adds up its share of each pair of sources and streams the candidate terms of each source, where equal values
+already stand in the order that breaks their ties.
 """
 
 from __future__ import annotations
@@ -23,146 +25,174 @@ from .spans import byte_class, spans, word_numbers
 LETTER = ~byte_class([(0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 #: In how many documents of its language a kept term stands at least; the terms reported for a source.
 LEAST, TOP = 30, 50
-#: Leaf counters of a trie before it is walked and begun anew; counters and terms of a stretch; sources met at once.
-TRIE, STRETCH, TERMS, TILE = 400_000, 200_000, 4096, 128
+#: Leaf counters of a trie before it is walked and begun anew; rows of leaves merged at once; counters and terms of a stretch; sources
+#: met at once.
+TRIE, MERGED_ROWS, STRETCH, TERMS, TILE = 2_000_000, 200_000, 200_000, 4096, 128
 
-LEAF = "lang string, term string, sources array<string>, counts array<long>, docs array<long>"
+LEAF = "lang string, term string, source string, n long, docs long"
 MERGED = "stretch long, lang string, term string, total long, sources array<string>, counts array<long>"
 PART = "lang string, source string, part string, item string, value long"
 
 
+def _shared(keys: list[bytes]) -> np.ndarray:
+    """How many bytes each key shares with the one before, by comparing one place of all keys at a time."""
+    size = np.fromiter(map(len, keys), dtype=np.int64, count=len(keys))
+    offs, data = np.append(0, np.cumsum(size)), np.frombuffer(b"".join(keys), dtype=np.uint8)
+    out = np.zeros(len(keys), dtype=np.int64)
+    limit = np.append(0, np.minimum(size[1:], size[:-1]))[: len(keys)]
+    same = np.flatnonzero(limit > 0)
+    while len(same):
+        same = same[data[offs[same] + out[same]] == data[offs[same - 1] + out[same]]]
+        out[same] += 1
+        same = same[out[same] < limit[same]]
+    return out
+
+
 class Trie:
-    """A radix trie over bytes: an edge is a byte string, a node [children by first byte, counters by source or None]."""
-
-    def __init__(self) -> None:
-        self.root: list = [{}, None]
-        self.size = 0
-
-    def leaf(self, key: bytes) -> dict:
-        """The counters of the key, made if need be."""
-        node, at = self.root, 0
-        while at < len(key):
-            step = node[0].get(key[at])
-            if step is None:
-                node[0][key[at]] = step = (key[at:], [{}, None])
-                node, at = step[1], len(key)
-                continue
-            edge, below = step
-            if key.startswith(edge, at):
-                node, at = below, at + len(edge)
-                continue
-            n = 0
-            while n < len(edge) and at + n < len(key) and edge[n] == key[at + n]:
-                n += 1
-            middle: list = [{edge[n]: (edge[n:], below)}, None]
-            node[0][key[at]] = (edge[:n], middle)
-            node, at = middle, at + n
-        if node[1] is None:
-            node[1] = {}
-        return node[1]
-
-    def add(self, key: bytes, source: str, n: int, docs: int) -> None:
-        counters = self.leaf(key)
-        found = counters.get(source)
-        if found is None:
-            counters[source] = [n, docs]
-            self.size += 1
-        else:
-            found[0] += n
-            found[1] += docs
-
-    def walk(self):
-        """(key, counters) in byte order, a key before those that go on from it; without recursion, as keys may be long."""
-        stack = [(b"", self.root)]
-        while stack:
-            prefix, (children, counters) = stack.pop()
-            if counters is not None:
-                yield prefix, counters
-            for byte in sorted(children, reverse=True):
-                edge, below = children[byte]
-                stack.append((prefix + edge, below))
-
-
-def _leaves(trie: Trie):
-    """Record batches of a trie's leaves. A key is the language, a zero byte that no term holds, and the term; a language that
-    holds one still ends at the last."""
-    rows: list[tuple] = []
-    for key, counters in trie.walk():
-        lang, _, term = key.rpartition(b"\0")
-        rows.append((lang.decode(), term.decode(), list(counters), [c[0] for c in counters.values()], [c[1] for c in counters.values()]))
-        if len(rows) == 10_000:
-            yield _leaf_batch(rows)
-            rows = []
-    if rows:
-        yield _leaf_batch(rows)
-
-
-def _leaf_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["lang", "term", "sources", "counts", "docs"])
+    """A radix trie over bytes in the order of its keys: shared[i] bytes of key i are those of key i - 1, edges hold the rest of
+    each key; counters are (leaf, group, n, docs), by leaf and group, with the groups' names (language, source) in groups."""
+
+    def __init__(self, keys: list[bytes], leaf: np.ndarray, group: np.ndarray, n: np.ndarray, docs: np.ndarray, groups: list[tuple[str, str]]):
+        """keys in byte order, each once; counters of one leaf and group are added up."""
+        self.shared = _shared(keys)
+        self.edges = [key[same:] for key, same in zip(keys, self.shared.tolist())]
+        code, at = np.unique(leaf * max(len(groups), 1) + group, return_inverse=True)
+        self.leaf, self.group = code // max(len(groups), 1), code % max(len(groups), 1)
+        self.n, self.docs = (np.bincount(at, weights=x, minlength=len(code)).astype(np.int64) for x in (n, docs))
+        self.groups = groups
+
+    def keys(self) -> list[bytes]:
+        """The walk: every key from the path to its branch and its edges, in byte order."""
+        out, path = [], b""
+        for same, edge in zip(self.shared.tolist(), self.edges):
+            path = path[:same] + edge
+            out.append(path)
+        return out
+
+    @staticmethod
+    def merged(tries: list[Trie]) -> Trie:
+        """One trie with the keys and counters of all."""
+        walked = [t.keys() for t in tries]
+        every = pa.array([k for keys in walked for k in keys], pa.large_binary()).dictionary_encode()
+        order = np.asarray(pc.sort_indices(every.dictionary))
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        leaf, at = place[np.asarray(every.indices)] if len(every) else np.zeros(0, np.int64), np.cumsum([0] + [len(k) for k in walked])
+        names: dict[tuple[str, str], int] = {}
+        codes = [np.array([names.setdefault(g, len(names)) for g in t.groups], dtype=np.int64) for t in tries]
+        cat = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+        return Trie(
+            every.dictionary.take(pa.array(order)).to_pylist(), cat([leaf[a : a + len(k)].astype(np.int64)[t.leaf] for a, k, t in zip(at, walked, tries)]),
+            cat([c[t.group] for c, t in zip(codes, tries)]), cat([t.n for t in tries]), cat([t.docs for t in tries]), list(names),
+        )
+
+
+def _counted_piece(piece: pa.RecordBatch) -> Trie:
+    """The trie of the terms of some whole texts."""
+    texts = Texts(column(piece, "text"))
+    data = LOWER[texts.data]
+    solid = LETTER[data]
+    start, end, row = spans(solid, texts.offs)
+    number, words = word_numbers(data, solid, start, end)
+    langs, sources = (pc.dictionary_encode(column(piece, c)) for c in ("lang", "source"))
+    n_words, n_sources = max(len(words), 1), max(len(sources.dictionary), 1)
+    group = np.asarray(langs.indices).astype(np.int64) * n_sources + np.asarray(sources.indices)
+    order = np.asarray(pc.sort_indices(words)).astype(np.int64)
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    number = place[number]
+    found, n = np.unique(group[row] * n_words + number, return_counts=True)
+    once = np.unique(row * n_words + number)  # a term of a document once
+    docs = np.unique(group[once // n_words] * n_words + once % n_words, return_counts=True)[1]
+    lang_names, source_names = langs.dictionary.to_pylist(), sources.dictionary.to_pylist()
+    names = [(x, y) for x in lang_names for y in source_names]
+    return Trie(words.take(pa.array(order)).to_pylist(), found % n_words, found // n_words, n, docs, names)
+
+
+def _leaves(trie: Trie) -> pa.RecordBatch:
+    """The walk of a trie, a row for each counter."""
+    keys = pa.array(trie.keys(), pa.binary()).cast(pa.string())
+    langs, sources = (pa.array([g[k] for g in trie.groups], pa.string()).take(pa.array(trie.group)) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([langs, keys.take(pa.array(trie.leaf)), sources, pa.array(trie.n), pa.array(trie.docs)], names=["lang", "term", "source", "n", "docs"])
 
 
 def _counted(batches):
     """Record batches of (lang, source, text) to the leaves of tries."""
-    trie = Trie()
+    tries, size = [], 0
     for piece in pieces(batches, "text"):
-        texts = Texts(column(piece, "text"))
-        data = LOWER[texts.data]
-        solid = LETTER[data]
-        start, end, row = spans(solid, texts.offs)
-        number, words = word_numbers(data, solid, start, end)
-        langs, sources = (pc.dictionary_encode(column(piece, c)) for c in ("lang", "source"))
-        n_words, n_sources = max(len(words), 1), len(sources.dictionary)
-        group = np.asarray(langs.indices).astype(np.int64) * n_sources + np.asarray(sources.indices)
-        key = group[row] * n_words + number
-        found, n = np.unique(key, return_counts=True)
-        once = np.unique(row * n_words + number)  # a term of a document once
-        docs = np.unique(group[once // n_words] * n_words + once % n_words, return_counts=True)[1]
-        names, lang_names, source_names = words.to_pylist(), langs.dictionary.to_pylist(), sources.dictionary.to_pylist()
-        heads = [x.encode() + b"\0" for x in lang_names]
-        for k, a, b in zip(found.tolist(), n.tolist(), docs.tolist()):
-            g, w = divmod(k, n_words)
-            trie.add(heads[g // n_sources] + names[w], source_names[g % n_sources], a, b)
-        if trie.size >= TRIE:
-            yield from _leaves(trie)
-            trie = Trie()
-    yield from _leaves(trie)
+        tries.append(_counted_piece(piece))
+        size += len(tries[-1].n)
+        if size >= TRIE:
+            tries = [Trie.merged(tries)]
+            size = len(tries[0].n)
+            if size >= TRIE // 2:
+                yield _leaves(tries[0])
+                tries, size = [], 0
+    if tries:
+        yield _leaves(Trie.merged(tries))
+
+
+def _changes(rows: pa.Table) -> np.ndarray:
+    """Where a row's language or term is not that of the row before; the first row is such."""
+    out = np.ones(rows.num_rows, dtype=bool)
+    for k in ("lang", "term"):
+        c = rows.column(k)
+        new = np.asarray(pc.not_equal(c[1:], c[:-1]))
+        out[1:] = new if k == "lang" else out[1:] | new
+    return out
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    """Sorted leaves with those of one language, term and source added up."""
+    new = _changes(rows)
+    sources = rows.column("source").combine_chunks().dictionary_encode()
+    code, first, at = np.unique((np.cumsum(new) - 1) * max(len(sources.dictionary), 1) + np.asarray(sources.indices), return_index=True, return_inverse=True)
+    out = rows.take(pa.array(first))
+    for c in ("n", "docs"):
+        total = np.zeros(len(code), dtype=np.int64)
+        np.add.at(total, at, np.asarray(rows.column(c)))
+        out = out.set_column(out.schema.get_field_index(c), c, pa.array(total))
+    return out
 
 
 def _merging(least: int):
     def merge(batches):
-        """Sorted leaves of a range to its merged ones that are kept, numbered by stretches."""
+        """Sorted leaves of a range to its merged ones that are kept, numbered by stretches of one language each."""
         base, made, terms, entries, lang_now = TaskContext.get().partitionId() << 32, 0, 0, 0, None
-        key, sums, rows = None, {}, []
 
-        def done():
+        def kept(rows: pa.Table):
             nonlocal made, terms, entries, lang_now
-            if sum(d for _, d in sums.values()) >= least:
-                if key[0] != lang_now or terms >= TERMS or entries >= STRETCH:
-                    made, terms, entries, lang_now = made + 1, 0, 0, key[0]
-                terms, entries = terms + 1, entries + len(sums)
-                rows.append((base + made, *key, sum(n for n, _ in sums.values()), list(sums), [n for n, _ in sums.values()]))
-
-        def batch():
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["stretch", "lang", "term", "total", "sources", "counts"])
-
+            rows = _summed(rows)
+            begin = np.flatnonzero(_changes(rows))
+            size = np.diff(np.append(begin, rows.num_rows))
+            n, docs = (np.asarray(rows.column(c)) for c in ("n", "docs"))
+            keep = np.add.reduceat(docs, begin) >= least
+            if not keep.any():
+                return
+            mine = rows.take(pa.array(np.flatnonzero(np.repeat(keep, size))))
+            head, size, total = rows.take(pa.array(begin[keep])), size[keep], np.add.reduceat(n, begin)[keep]
+            stretch = []
+            for lang, k in zip(head.column("lang").to_pylist(), size.tolist()):
+                if lang != lang_now or terms >= TERMS or entries >= STRETCH:
+                    made, terms, entries, lang_now = made + 1, 0, 0, lang
+                terms, entries = terms + 1, entries + k
+                stretch.append(base + made)
+            offs = pa.array(np.append(0, np.cumsum(size)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offs, mine.column(c).combine_chunks()) for c in ("source", "n")]
+            columns = [pa.array(stretch, pa.int64()), *[head.column(c).combine_chunks() for c in ("lang", "term")], pa.array(total), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["stretch", "lang", "term", "total", "sources", "counts"])
+
+        held: list[pa.Table] = []
         for b in batches:
-            for x in b.to_pylist():
-                if (x["lang"], x["term"]) != key:
-                    if key is not None:
-                        done()
-                    key, sums = (x["lang"], x["term"]), {}
-                for s, n, d in zip(x["sources"], x["counts"], x["docs"]):
-                    was = sums.get(s)
-                    sums[s] = (n, d) if was is None else (was[0] + n, was[1] + d)
-            if len(rows) >= 10_000:
-                yield batch()
-                rows = []
-        if key is not None:
-            done()
-        if rows:
-            yield batch()
+            held.append(pa.Table.from_batches([b]))
+            if sum(t.num_rows for t in held) >= MERGED_ROWS:
+                rows = pa.concat_tables(held)
+                last = int(np.flatnonzero(_changes(rows))[-1])  # the last term may go on: its leaves so far become one for each source
+                if last:
+                    yield from kept(rows.slice(0, last))
+                held = [_summed(rows.slice(last))]
+        if sum(t.num_rows for t in held):
+            yield from kept(pa.concat_tables(held))
 
     return merge
 

@@ -137,7 +137,7 @@ def test_divergence_against_plain_counts(spark, monkeypatch):
     got = divergence.source_divergence(docs(spark, rows).repartition(3), least=4, top=2)
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
     assert sorted(map(tuple, got.collect())) == plain_divergence(rows, 4, 2)
-    for name, small in (("TRIE", 3), ("TERMS", 2), ("TILE", 2)):
+    for name, small in (("TRIE", 3), ("MERGED_ROWS", 7), ("TERMS", 2), ("TILE", 2)):
         monkeypatch.setattr(divergence, name, small)
     assert sorted(map(tuple, divergence.source_divergence(docs(spark, rows).repartition(2), least=4).collect())) == plain_divergence(rows, 4)
 
@@ -151,16 +151,24 @@ def test_divergence_of_messy_rows(spark, messy, none):
 
 
 def test_trie():
+    import numpy as np
+
     from loomgraph.llm.divergence import Trie
 
     r = random.Random(6)
-    keys = [bytes(r.choice(b"ab\x00\xc3") for _ in range(r.randint(0, 6))) for _ in range(300)] + [b"x" * 5000]
-    trie, want = Trie(), defaultdict(lambda: [0, 0])
-    for k in keys:
-        trie.add(k, "s", 2, 1)
-        want[k] = [want[k][0] + 2, want[k][1] + 1]
-    walked = [(k, c["s"]) for k, c in trie.walk()]
-    assert walked == sorted(want.items()) and trie.size == len(want)
+    tries, want = [], defaultdict(lambda: [0, 0])
+    for k in range(4):
+        keys = sorted({bytes(r.choice(b"ab\x00\xc3") for _ in range(r.randint(0, 6))) for _ in range(60)} | {b"x" * 5000})
+        groups = [("en", "s1"), ("en", f"s{k}")]
+        leaf, group = np.array([r.randrange(len(keys)) for _ in range(200)]), np.array([r.randrange(2) for _ in range(200)])
+        tries.append(Trie(keys, leaf, group, np.full(200, 2), np.ones(200, dtype=np.int64), groups))
+        assert tries[-1].keys() == keys and sum(map(len, tries[-1].edges)) < sum(map(len, keys))
+        for x, g in zip(leaf, group):
+            want[keys[x], groups[g]] = [want[keys[x], groups[g]][0] + 2, want[keys[x], groups[g]][1] + 1]
+    whole = Trie.merged(tries)
+    assert whole.keys() == sorted({k for t in tries for k in t.keys()})
+    found = {(whole.keys()[x], whole.groups[g]): [n, d] for x, g, n, d in zip(whole.leaf, whole.group, whole.n.tolist(), whole.docs.tolist())}
+    assert found == dict(want) and Trie.merged([]).keys() == []
 
 
 def test_long_division():
