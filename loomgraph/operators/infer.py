@@ -5,28 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpointed if the session names a folder, else kept in memory and on disk."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+from ..plans.written import written
 
 
 def closure(pairs: DataFrame) -> DataFrame:
     """All (s, o) reachable over one or more pairs, each once. Cycles end, as only new pairs go on.
 
     Paths double in length each round, so the rounds grow with the logarithm of the longest path."""
-    known = _cut(pairs.select("s", "o").distinct())
+    known = written(pairs.select("s", "o").distinct())
     new = known
     while new.limit(1).count():
         a, b = new.select("s", F.col("o").alias("m")), known.select(F.col("s").alias("m"), "o")
         c, d = known.select("s", F.col("o").alias("m")), new.select(F.col("s").alias("m"), "o")
         found = a.join(b, "m").select("s", "o").unionByName(c.join(d, "m").select("s", "o")).distinct()
-        new = _cut(found.join(known, ["s", "o"], "left_anti"))
-        known = _cut(known.unionByName(new))
+        new = written(found.join(known, ["s", "o"], "left_anti"))
+        known = written(known.unionByName(new))
     return known
 
 

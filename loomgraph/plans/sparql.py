@@ -1,7 +1,8 @@
 """SELECT queries over triples: a small syntax tree, compiled to DataFrame joins that Catalyst plans.
 
-Supported: PREFIX, SELECT [DISTINCT] variables, * and COUNT/SUM/MIN/MAX/AVG (.. AS ?v), triple
-patterns with `;`, `,` and `a`, FILTER, OPTIONAL, UNION, GROUP BY, ORDER BY, LIMIT, OFFSET.
+Supported: PREFIX, SELECT [DISTINCT] variables, * and (expression AS ?v) with COUNT, SUM, MIN, MAX and AVG, triple patterns with `;`,
+`,` and `a`, property paths (`/ | ^ + * ? !`), FILTER with [NOT] EXISTS, OPTIONAL, UNION, MINUS, BIND, VALUES, subqueries,
+GROUP BY, HAVING, ORDER BY, LIMIT, OFFSET.
 """
 
 from __future__ import annotations
@@ -9,14 +10,23 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.paths import path_pairs
+from . import solutions
+from .solutions import Solutions
+from .written import written
+
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 TOKEN = re.compile(
-    r"""\s+|\#[^\n]*|(?P<iri><[^<>\s]*>)|(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<var>[?$]\w+)|(?P<num>-?\d+(?:\.\d+)?)"""
-    r"""|(?P<op>&&|\|\||!=|<=|>=|[{}().;,=<>!*+/-])|(?P<name>[A-Za-z_][\w-]*:[\w.-]*[\w-]|[A-Za-z_][\w-]*:|:[\w.-]*\w|[A-Za-z_]\w*)"""
+    r"""\s+|\#[^\n]*|(?P<iri><[^<>\s]*>)|(?P<str>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<var>[?$]\w+)|(?P<num>\d+(?:\.\d+)?)"""
+    r"""|(?P<op>&&|\|\||!=|<=|>=|[{}().;,=<>!*+/^|?-])|(?P<name>[A-Za-z_][\w-]*:[\w.-]*[\w-]|[A-Za-z_][\w-]*:|:[\w.-]*\w|[A-Za-z_]\w*)"""
 )
+AGGREGATES = ("COUNT", "SUM", "MIN", "MAX", "AVG")
+TESTS = ("BOUND", "REGEX", "CONTAINS", "STRSTARTS", "STRENDS")
+VALUES = ("STR", "STRLEN", "UCASE", "LCASE", "CONCAT", "SUBSTR", "COALESCE", "IF", "ABS", "FLOOR", "CEIL", "ROUND")
+NUMERIC = ("STRLEN", "ABS", "FLOOR", "CEIL", "ROUND")
 
 
 class SparqlError(ValueError):
@@ -25,18 +35,20 @@ class SparqlError(ValueError):
 
 @dataclass
 class Group:
-    patterns: list[tuple] = field(default_factory=list)
+    """Parts in the order written: ('bgp', patterns), ('union', groups), ('optional', group), ('minus', group),
+    ('bind', expression, name), ('values', names, rows), ('select', query); and the filters, which hold for the whole group."""
+
+    parts: list[tuple] = field(default_factory=list)
     filters: list = field(default_factory=list)
-    optionals: list[Group] = field(default_factory=list)
-    unions: list[list[Group]] = field(default_factory=list)
 
 
 @dataclass
 class Select:
-    items: list  # ('var', name) or ('agg', function, variable or '*', distinct, name)
+    items: list  # ('all',), ('var', name) or ('expr', expression, name)
     distinct: bool
     where: Group
     group_by: list[str]
+    having: list
     order_by: list[tuple[str, bool]]
     limit: int | None
     offset: int
@@ -92,93 +104,126 @@ class Parser:
             self.prefixes[name.rstrip(":")] = iri[1:-1]
         if not self.word("SELECT"):
             raise SparqlError("only SELECT queries are supported")
+        out = self.select()
+        if self.peek()[0] != "end":
+            raise SparqlError(f"unexpected {self.peek()[1]!r}")
+        return out
+
+    def select(self) -> Select:
         distinct = self.word("DISTINCT")
         items: list = []
         while True:
             kind, value = self.peek()
             if kind == "var":
-                self.next()
-                items.append(("var", value[1:]))
-            elif (kind, value) == ("op", "*"):
-                self.next()
+                items.append(("var", self.variable()))
+            elif self.op("*"):
                 items.append(("all",))
-            elif (kind, value) == ("op", "("):
-                self.next()
-                items.append(self.aggregate())
+            elif self.op("("):
+                items.append(("expr", *self.named()))
             else:
                 break
+        if not items:
+            raise SparqlError("nothing is selected")
         self.word("WHERE")
-        where = self.group()
-        group_by: list[str] = []
-        order_by: list[tuple[str, bool]] = []
-        limit, offset = None, 0
-        while self.peek()[0] != "end":
+        out = Select(items, distinct, self.group(), [], [], [], None, 0)
+        while True:
             if self.word("GROUP"):
                 self.word("BY")
                 while self.peek()[0] == "var":
-                    group_by.append(self.next()[1][1:])
+                    out.group_by.append(self.variable())
+            elif self.word("HAVING"):
+                while self.op("("):
+                    out.having.append(self.either())
+                    self.need(")")
             elif self.word("ORDER"):
                 self.word("BY")
-                while True:
+                while self.peek()[0] == "var" or self.peek()[1].upper() in ("ASC", "DESC"):
                     if self.peek()[0] == "var":
-                        order_by.append((self.next()[1][1:], True))
-                    elif self.peek()[1].upper() in ("ASC", "DESC"):
+                        out.order_by.append((self.variable(), True))
+                    else:
                         up = self.next()[1].upper() == "ASC"
                         self.need("(")
-                        order_by.append((self.next()[1][1:], up))
+                        out.order_by.append((self.variable(), up))
                         self.need(")")
-                    else:
-                        break
             elif self.word("LIMIT"):
-                limit = int(self.next()[1])
+                out.limit = int(self.next()[1])
             elif self.word("OFFSET"):
-                offset = int(self.next()[1])
+                out.offset = int(self.next()[1])
             else:
-                raise SparqlError(f"unexpected {self.peek()[1]!r}")
-        return Select(items, distinct, where, group_by, order_by, limit, offset)
-
-    def aggregate(self):
-        name = self.next()[1].upper()
-        if name not in ("COUNT", "SUM", "MIN", "MAX", "AVG"):
-            raise SparqlError(f"unknown aggregate {name}")
-        self.need("(")
-        distinct = self.word("DISTINCT")
-        var = "*" if self.op("*") else self.next()[1][1:]
-        self.need(")")
+                return out
+
+    def variable(self) -> str:
+        kind, value = self.next()
+        if kind != "var":
+            raise SparqlError(f"not a variable: {value!r}")
+        return value[1:]
+
+    def named(self) -> tuple:
+        """expression AS ?name), after the open bracket."""
+        e = self.either()
         if not self.word("AS"):
-            raise SparqlError("an aggregate needs AS ?name")
-        out = self.next()[1][1:]
+            raise SparqlError("an expression needs AS ?name")
+        name = self.variable()
         self.need(")")
-        return ("agg", name, var, distinct, out)
+        return e, name
 
     def group(self) -> Group:
         self.need("{")
         g = Group()
+        if self.word("SELECT"):
+            g.parts.append(("select", self.select()))
+            self.need("}")
+            return g
         while not self.op("}"):
             if self.word("FILTER"):
-                self.need("(")
-                g.filters.append(self.either())
-                self.need(")")
+                g.filters.append(self.single())
             elif self.word("OPTIONAL"):
-                g.optionals.append(self.group())
+                g.parts.append(("optional", self.group()))
+            elif self.word("MINUS"):
+                g.parts.append(("minus", self.group()))
+            elif self.word("BIND"):
+                self.need("(")
+                g.parts.append(("bind", *self.named()))
+            elif self.word("VALUES"):
+                g.parts.append(self.values())
             elif self.peek() == ("op", "{"):
                 sides = [self.group()]
                 while self.word("UNION"):
                     sides.append(self.group())
-                g.unions.append(sides)
+                g.parts.append(("union", sides))
             elif self.peek()[0] == "end":
                 raise SparqlError("a group is not closed")
             else:
-                self.triples(g)
+                if not g.parts or g.parts[-1][0] != "bgp":
+                    g.parts.append(("bgp", []))
+                self.triples(g.parts[-1][1])
             self.op(".")
         return g
 
-    def triples(self, g: Group) -> None:
+    def values(self) -> tuple:
+        if self.peek()[0] == "var":
+            names, many = [self.variable()], False
+        else:
+            self.need("(")
+            names, many = [], True
+            while not self.op(")"):
+                names.append(self.variable())
+        rows = []
+        self.need("{")
+        while not self.op("}"):
+            if many:
+                self.need("(")
+            rows.append([None if self.word("UNDEF") else self.term()[1] for _ in names])
+            if many:
+                self.need(")")
+        return ("values", names, rows)
+
+    def triples(self, patterns: list[tuple]) -> None:
         s = self.term()
         while True:
-            p = self.term(predicate=True)
+            p = self.term() if self.peek()[0] == "var" else self.path()
             while True:
-                g.patterns.append((s, p, self.term()))
+                patterns.append((s, p if p[0] in ("var", "iri") else ("path", p), self.term()))
                 if not self.op(","):
                     break
             if not self.op(";"):
@@ -186,8 +231,53 @@ class Parser:
             if self.peek() in (("op", "."), ("op", "}")):
                 break
 
+    def path(self) -> tuple:
+        sides = [self.steps()]
+        while self.op("|"):
+            sides.append(self.steps())
+        return ("alt", sides) if len(sides) > 1 else sides[0]
+
+    def steps(self) -> tuple:
+        out = [self.step()]
+        while self.op("/"):
+            out.append(self.step())
+        return ("seq", out) if len(out) > 1 else out[0]
+
+    def step(self) -> tuple:
+        inverse = self.op("^")
+        if self.op("("):
+            p = self.path()
+            self.need(")")
+        elif self.op("!"):
+            p = self.negated()
+        else:
+            p = self.term(predicate=True)
+            if p[0] != "iri":
+                raise SparqlError(f"not a predicate: {p[1]!r}")
+        for sign, kind in (("+", "plus"), ("*", "star"), ("?", "opt")):
+            if self.op(sign):
+                p = (kind, p)
+                break
+        return ("inv", p) if inverse else p
+
+    def negated(self) -> tuple:
+        """Predicates other than those named, and backwards if any are named so."""
+        ahead: list[str] = []
+        back: list[str] = []
+        several = self.op("(")
+        while True:
+            side = back if self.op("^") else ahead
+            side.append(self.term(predicate=True)[1])
+            if not several or not self.op("|"):
+                break
+        if several:
+            self.need(")")
+        return ("not", ahead if ahead or not back else None, back or None)
+
     def term(self, predicate: bool = False):
         kind, value = self.next()
+        if (kind, value) == ("op", "-") and self.peek()[0] == "num":
+            return ("lit", "-" + self.next()[1])
         if kind == "var":
             return ("var", value[1:])
         if kind == "iri":
@@ -217,93 +307,217 @@ class Parser:
         return left
 
     def single(self):
+        """A condition: a negation, EXISTS, a test, or a comparison of two values."""
         if self.op("!"):
             return ("not", self.single())
-        if self.op("("):
-            inner = self.either()
-            self.need(")")
-            return inner
+        if self.word("EXISTS"):
+            return ("exists", self.group(), False)
+        if self.peek()[1].upper() == "NOT" and self.tokens[self.i + 1 :][:1] and self.tokens[self.i + 1][1].upper() == "EXISTS":
+            self.i += 2
+            return ("exists", self.group(), True)
+        left = self.sum()
         kind, value = self.peek()
-        if kind == "name" and value.upper() in ("BOUND", "REGEX", "CONTAINS", "STRSTARTS", "STRENDS"):
+        if kind == "op" and value in ("=", "!=", "<", "<=", ">", ">="):
             self.next()
+            return ("cmp", value, left, self.sum())
+        negated = self.word("NOT")
+        if self.word("IN"):
             self.need("(")
-            args = [self.operand()]
+            items = [self.sum()]
             while self.op(","):
-                args.append(self.operand())
+                items.append(self.sum())
             self.need(")")
-            return ("call", value.upper(), args)
+            return ("not", ("in", left, items)) if negated else ("in", left, items)
+        return left
+
+    def sum(self):
+        left = self.product()
+        while self.peek() in (("op", "+"), ("op", "-")):
+            left = ("arith", self.next()[1], left, self.product())
+        return left
+
+    def product(self):
         left = self.operand()
-        kind, value = self.next()
-        if kind != "op" or value not in ("=", "!=", "<", "<=", ">", ">="):
-            raise SparqlError(f"not a comparison: {value!r}")
-        return ("cmp", value, left, self.operand())
+        while self.peek() in (("op", "*"), ("op", "/")):
+            left = ("arith", self.next()[1], left, self.operand())
+        return left
 
     def operand(self):
         kind, value = self.peek()
+        if self.op("("):
+            inner = self.either()
+            self.need(")")
+            return inner
+        if self.op("-"):
+            return ("arith", "-", ("num", 0.0), self.operand())
         if kind == "num":
             self.next()
             return ("num", float(value))
-        if kind == "name" and value.upper() == "STR":
-            self.next()
-            self.need("(")
-            inner = self.operand()
+        name = value.upper()
+        if kind == "name" and self.tokens[self.i + 1 : self.i + 2] == [("op", "(")]:
+            self.i += 2
+            if name in AGGREGATES:
+                distinct = self.word("DISTINCT")
+                e = ("agg", name, None if self.op("*") else self.sum(), distinct)
+            elif name in TESTS + VALUES:
+                args = [self.either()]
+                while self.op(","):
+                    args.append(self.either())
+                e = args[0] if name == "STR" else ("call", name, args)
+            else:
+                raise SparqlError(f"unknown function {name}")
             self.need(")")
-            return inner
+            return e
         return self.term()
 
 
-def _value(x, columns: set[str]) -> Column:
-    if x[0] == "var":
-        return F.col(x[1]) if x[1] in columns else F.lit(None).cast("string")
-    return F.lit(x[1])
+#: The columns of a solution by variable, with the numeric ones among them; aggregates stand under their own syntax.
+Env = dict
+
+
+def _env(df: DataFrame) -> Env:
+    return {c: (F.col(c), t in ("double", "bigint", "int")) for c, t in df.dtypes}
+
+
+def _variables(e) -> set[str]:
+    """Variables of an expression; those of a group in EXISTS are its own."""
+    if isinstance(e, tuple):
+        if e[0] == "var":
+            return {e[1]}
+        return set() if e[0] == "exists" else set().union(*map(_variables, e[1:]), set())
+    return set().union(*map(_variables, e)) if isinstance(e, list) else set()
 
 
-def _condition(e, columns: set[str]) -> Column:
+def _value(e, env: Env) -> tuple[Column, bool]:
+    """A value and whether it is a number."""
+    kind = e[0]
+    if kind == "var":
+        if e[1] not in env:
+            raise SparqlError(f"unknown variable ?{e[1]}")
+        return env[e[1]]
+    if kind == "num":
+        return F.lit(e[1]), True
+    if kind in ("lit", "iri"):
+        return F.lit(e[1]), False
+    if kind == "agg":
+        if repr(e) not in env:
+            raise SparqlError("an aggregate stands where none is allowed")
+        return env[repr(e)]
+    if kind == "arith":
+        a, b = (_number(x, env) for x in e[2:])
+        return {"+": a + b, "-": a - b, "*": a * b, "/": F.try_divide(a, b)}[e[1]], True
+    if kind == "call" and e[1] in VALUES:
+        return _called(e[1], e[2], env), e[1] in NUMERIC or e[1] in ("COALESCE", "IF") and all(_value(x, env)[1] for x in e[2][e[1] == "IF" :])
+    return _condition(e, env), False
+
+
+def _number(e, env: Env) -> Column:
+    col, numeric = _value(e, env)
+    return col.cast("double") if numeric else col.try_cast("double")
+
+
+def _text(e, env: Env) -> Column:
+    return _value(e, env)[0].cast("string")
+
+
+def _called(name: str, args: list, env: Env) -> Column:
+    if name in ("ABS", "FLOOR", "CEIL", "ROUND"):
+        return {"ABS": F.abs, "FLOOR": F.floor, "CEIL": F.ceil, "ROUND": F.round}[name](_number(args[0], env)).cast("double")
+    if name == "STRLEN":
+        return F.length(_text(args[0], env)).cast("double")
+    if name == "SUBSTR":
+        whole = F.lit(2**31 - 1) if len(args) < 3 else _number(args[2], env).cast("int")
+        return F.substring(_text(args[0], env), _number(args[1], env).cast("int"), whole)
+    if name in ("UCASE", "LCASE"):
+        return (F.upper if name == "UCASE" else F.lower)(_text(args[0], env))
+    if name == "CONCAT":
+        return F.concat(*[_text(x, env) for x in args])
+    test = [_condition(args[0], env)] if name == "IF" else []
+    values = [_value(x, env) for x in args[len(test) :]]
+    if not all(n for _, n in values):
+        values = [(c.cast("string"), n) for c, n in values]
+    return F.when(test[0], values[0][0]).when(~test[0], values[1][0]) if test else F.coalesce(*[c for c, _ in values])
+
+
+def _condition(e, env: Env) -> Column:
     kind = e[0]
     if kind == "or":
-        return _condition(e[1], columns) | _condition(e[2], columns)
+        return _condition(e[1], env) | _condition(e[2], env)
     if kind == "and":
-        return _condition(e[1], columns) & _condition(e[2], columns)
+        return _condition(e[1], env) & _condition(e[2], env)
     if kind == "not":
-        return ~_condition(e[1], columns)
-    if kind == "call":
-        args = [_value(a, columns) for a in e[2]]
+        return ~_condition(e[1], env)
+    if kind == "exists":
+        raise SparqlError("EXISTS stands alone or under && only")
+    if kind == "in":
+        return _any([("cmp", "=", e[1], x) for x in e[2]], env)
+    if kind == "call" and e[1] in TESTS:
         if e[1] == "BOUND":
-            return args[0].isNotNull()
+            return env[e[2][0][1]][0].isNotNull() if e[2][0][1] in env else F.lit(False)
+        args = [_text(a, env) for a in e[2]]
         if e[1] == "REGEX":
             flags = "(?i)" if len(e[2]) > 2 and "i" in e[2][2][1] else ""
             return args[0].rlike(flags + e[2][1][1])
         return {"CONTAINS": F.contains, "STRSTARTS": F.startswith, "STRENDS": F.endswith}[e[1]](args[0], args[1])
-    a, b = (_value(x, columns) for x in (e[2], e[3]))
-    if "num" in (e[2][0], e[3][0]):
-        a, b = (c if x[0] == "num" else c.try_cast("double") for c, x in ((a, e[2]), (b, e[3])))
+    if kind != "cmp":
+        raise SparqlError(f"not a condition: {e[1]!r}")
+    numeric = any(_value(x, env)[1] for x in e[2:])
+    a, b = (_number(x, env) if numeric else _text(x, env) for x in e[2:])
     return {"=": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[e[1]]
 
 
-def _scan(triples: DataFrame, pattern: tuple) -> DataFrame:
+def _any(conditions: list, env: Env) -> Column:
+    out = _condition(conditions[0], env)
+    for c in conditions[1:]:
+        out = out | _condition(c, env)
+    return out
+
+
+def _columns(df: DataFrame, terms: list[tuple[str, tuple]]) -> DataFrame:
     """Constants become pushed filters, variables columns; a variable used twice must agree."""
-    df, names = triples, {}
-    for col, (kind, value) in zip("spo", pattern):
-        if kind == "var":
-            if value in names:
-                df = df.filter(F.col(names[value]) == F.col(col))
-            else:
-                names[value] = col
-        else:
+    names: dict[str, str] = {}
+    for col, (kind, value) in terms:
+        if kind != "var":
             df = df.filter(F.col(col) == value)
+        elif value in names:
+            df = df.filter(F.col(names[value]) == F.col(col))
+        else:
+            names[value] = col
     if not names:
         return df.select(F.lit(1).alias("__found")).limit(1).drop("__found")
     return df.select(*[F.col(c).alias(v) for v, c in names.items()])
 
 
+def _recursive(path: tuple) -> bool:
+    return path[0] in ("plus", "star", "opt") or any(_recursive(x) for x in (path[1] if path[0] in ("seq", "alt") else path[1:] if path[0] == "inv" else ()))
+
+
+def _matched(pattern: tuple, triples: DataFrame, found: Solutions | None) -> tuple[DataFrame, Solutions | None]:
+    """The solutions of one pattern. A path starts from the nodes that a constant or an earlier pattern gives its ends."""
+    s, p, o = pattern
+    if p[0] != "path":
+        return _columns(triples, list(zip("spo", pattern))), found
+    one = lambda value: triples.sparkSession.range(1).select(F.lit(value).alias("x"))
+    seeds: list[DataFrame | None] = [one(t[1]) if t[0] != "var" else None for t in (s, o)]
+    if _recursive(p[1]) and seeds == [None, None] and found is not None:
+        end = next((k for k, t in enumerate((s, o)) if t[1] in found.sure), None)
+        if end is not None:
+            found = Solutions(written(found.df), found.sure)  # read twice: for the seeds and for the join
+            seeds[end] = found.df.select(F.col((s, o)[end][1]).alias("x")).distinct()
+    return _columns(path_pairs(p[1], triples, *seeds), [("s", s), ("o", o)]), found
+
+
 def _ordered(patterns: list[tuple], bound: set[str]) -> list[tuple]:
-    """Greedy: next comes the pattern that joins what is bound, with most constants and bound variables."""
+    """Greedy: next comes the pattern that joins what is bound, with most constants and bound variables; paths that repeat come
+    late, when their ends are bound."""
     left, out, bound = list(patterns), [], set(bound)
     while left:
         def rank(p):
             terms = [t for t in p if t[0] == "var"]
             joins = any(t[1] in bound for t in terms)
-            return (joins or not bound, sum(t[0] != "var" for t in p) * 2 + sum(t[1] in bound for t in terms), p[0][0] != "var")
+            path = p[1][0] == "path"
+            fixed = sum(t[0] not in ("var", "path") for t in p)
+            return (joins or not bound, not (path and _recursive(p[1][1])) or fixed > 0, fixed * 2 + sum(t[1] in bound for t in terms), p[0][0] != "var")
 
         best = max(left, key=rank)
         left.remove(best)
@@ -312,74 +526,131 @@ def _ordered(patterns: list[tuple], bound: set[str]) -> list[tuple]:
     return out
 
 
-def _bound(g: Group) -> set[str]:
-    """Variables that every solution of the group binds."""
-    out = {t[1] for p in g.patterns for t in p if t[0] == "var"}
-    for sides in g.unions:
-        out |= set.intersection(*map(_bound, sides))
-    return out
-
-
-def _join(a: DataFrame | None, b: DataFrame, sure: set[str], how: str = "inner") -> DataFrame:
-    """Solutions of both sides that agree on what both bind. Variables in `sure` are bound on both sides and are join keys; an
-    unbound one (after OPTIONAL or UNION) agrees with everything, and takes the other side's value."""
-    if a is None:
-        return b
-    shared = [c for c in a.columns if c in b.columns]
-    maybe = [c for c in shared if c not in sure]
-    if shared and not maybe:
-        return a.join(b, shared, how)
-    if not shared and how == "inner":
-        return a.crossJoin(b)  # patterns without a common variable: the query itself asks for all pairs
-    other = b.select(*[F.col(c).alias(f"__{c}") for c in b.columns])
-    right = lambda c: F.col(f"__{c}")
-    on = F.lit(True)
-    for c in shared:
-        on = on & (F.col(c) == right(c) if c in sure else F.col(c).isNull() | right(c).isNull() | (F.col(c) == right(c)))
-    value = lambda c: F.coalesce(F.col(c), right(c)).alias(c) if c in maybe else F.col(c)
-    return a.join(other, on, how).select(*map(value, a.columns), *[right(c).alias(c) for c in b.columns if c not in shared])
-
-
-def _evaluate(g: Group, triples: DataFrame) -> DataFrame:
-    df: DataFrame | None = None
-    sure: set[str] = set()
-    for sides in g.unions:
-        parts = [_evaluate(x, triples) for x in sides]
-        u = parts[0]
-        for p in parts[1:]:
-            u = u.unionByName(p, allowMissingColumns=True)
-        mine = set.intersection(*map(_bound, sides))
-        df, sure = _join(df, u, sure & mine), sure | mine
-    for p in _ordered(g.patterns, set(df.columns) if df is not None else set()):
-        mine = {t[1] for t in p if t[0] == "var"}
-        df, sure = _join(df, _scan(triples, p), sure & mine), sure | mine
-    if df is None:
+def _values(names: list[str], rows: list[list], spark: SparkSession) -> Solutions:
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
+    return Solutions(df, {n for k, n in enumerate(names) if all(r[k] is not None for r in rows)})
+
+
+def _united(groups: list[Group], triples: DataFrame) -> Solutions:
+    sides = [_evaluate(x, triples)[0] for x in groups]
+    df = sides[0].df
+    for x in sides[1:]:
+        df = df.unionByName(x.df, allowMissingColumns=True)
+    return Solutions(df, set.intersection(*[x.sure for x in sides]))
+
+
+def _conjuncts(e) -> list:
+    if e[0] == "not" and e[1][0] == "exists":
+        return [("exists", e[1][1], not e[1][2])]
+    return _conjuncts(e[1]) + _conjuncts(e[2]) if e[0] == "and" else [e]
+
+
+def _tested(found: Solutions, tests: list) -> solutions.Condition | None:
+    """The filters of an inner group that name variables outside of it, as a condition of the join with what is outside."""
+    if not tests:
+        return None
+    numeric = {c: n for c, (_, n) in _env(found.df).items()}
+
+    def condition(columns: dict[str, Column]) -> Column:
+        env = {c: (col, numeric.get(c, False)) for c, col in columns.items()}
+        out = _condition(tests[0], env)
+        for e in tests[1:]:
+            out = out & _condition(e, env)
+        return out
+
+    return condition
+
+
+def _evaluate(g: Group, triples: DataFrame, outer: frozenset[str] = frozenset()) -> tuple[Solutions, list]:
+    """The solutions of a group, and those of its filters that need variables of the group around it (outer)."""
+    found: Solutions | None = None
+    put = lambda x: x if found is None else solutions.join(found, x)
+    for kind, *part in g.parts:
+        if kind == "bgp":
+            for p in _ordered(part[0], set(found.df.columns) if found else set()):
+                df, found = _matched(p, triples, found)
+                found = put(Solutions(df, set(df.columns)))
+        elif kind == "union":
+            found = put(_united(part[0], triples))
+        elif kind == "select":
+            found = put(_selected(part[0], triples))
+        elif kind == "values":
+            found = put(_values(*part, triples.sparkSession))
+        elif found is None:
+            raise SparqlError(f"{kind.upper()} needs a pattern before it")
+        elif kind == "optional":
+            inner, tests = _evaluate(part[0], triples, frozenset(found.df.columns))
+            found = solutions.join(found, inner, "left", _tested(inner, tests))
+        elif kind == "minus":
+            found = solutions.join(found, _evaluate(part[0], triples)[0], "minus")
+        elif kind == "bind":
+            e, name = part
+            if name in found.df.columns:
+                raise SparqlError(f"?{name} is bound already")
+            found = Solutions(found.df.withColumn(name, _value(e, _env(found.df))[0]), found.sure)
+    if found is None:
         raise SparqlError("a group needs a pattern")
-    for o in g.optionals:
-        df = _join(df, _evaluate(o, triples), sure & _bound(o), "left")
-    for e in g.filters:
-        df = df.filter(_condition(e, set(df.columns)))
-    return df
-
-
-def compile_select(q: Select, triples: DataFrame) -> DataFrame:
-    df = _evaluate(q.where, triples.select("s", "p", "o"))
-    aggs = [i for i in q.items if i[0] == "agg"]
+    later = []
+    for e in [c for x in g.filters for c in _conjuncts(x)]:
+        if e[0] == "exists":
+            inner, tests = _evaluate(e[1], triples, frozenset(found.df.columns))
+            found = solutions.join(found, inner, "anti" if e[2] else "semi", _tested(inner, tests))
+        elif _variables(e) - set(found.df.columns) and _variables(e) <= set(found.df.columns) | outer:
+            later.append(e)
+        else:
+            found = Solutions(found.df.filter(_condition(e, _env(found.df))), found.sure)
+    return found, later
+
+
+def _aggregates(e) -> list:
+    if isinstance(e, tuple):
+        return [e] if e[0] == "agg" else [x for y in e[1:] for x in _aggregates(y)]
+    return [x for y in e for x in _aggregates(y)] if isinstance(e, list) else []
+
+
+def _aggregated(e, env: Env) -> Column:
+    _, name, inner, distinct = e
+    if name == "COUNT":
+        col = F.lit(1) if inner is None else _value(inner, env)[0]
+        return F.count_distinct(col) if distinct else F.count(col)
+    if inner is None:
+        raise SparqlError(f"{name} needs a variable")
+    if name in ("SUM", "AVG"):
+        number = _number(inner, env)
+        return {("SUM", False): F.sum, ("SUM", True): F.sum_distinct, ("AVG", False): F.avg}.get((name, distinct), lambda c: F.sum_distinct(c) / F.count_distinct(c))(number)
+    return (F.min if name == "MIN" else F.max)(_value(inner, env)[0])
+
+
+def _selected(q: Select, triples: DataFrame) -> Solutions:
+    found, _ = _evaluate(q.where, triples)
+    df = found.df
+    named = [i for i in q.items if i[0] == "expr"]
+    aggs = {repr(e): e for e in _aggregates([i[1] for i in named] + q.having)}
+    whole = any(i[0] == "all" for i in q.items)
+    visible = [c for c in df.columns if not c.startswith("__")]
     if aggs or q.group_by:
-        def agg(i) -> Column:
-            _, name, var, distinct, out = i
-            col = F.lit(1) if var == "*" else F.col(var)
-            if name == "COUNT":
-                c = F.count_distinct(col) if distinct else F.count(col)
-            else:
-                number = col.try_cast("double")
-                c = {"SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max}[name](number if name in ("SUM", "AVG") else col)
-            return c.alias(out)
-
-        df = df.groupBy(*q.group_by).agg(*map(agg, aggs)) if aggs else df.select(*q.group_by).distinct()
-        names = [i[1] if i[0] == "var" else i[4] for i in q.items]
+        if whole or any(i[0] == "var" and i[1] not in q.group_by for i in q.items):
+            raise SparqlError("a selected variable is neither grouped nor aggregated")
+        env = _env(df)
+        for v in q.group_by:
+            if v not in env:
+                raise SparqlError(f"unknown variable ?{v}")
+        if aggs:
+            df = df.groupBy(*q.group_by).agg(*[_aggregated(e, env).alias(f"__a{k}") for k, e in enumerate(aggs.values())])
+        else:
+            df = df.select(*q.group_by).distinct()
+        env = _env(df)
+        env |= {key: env[f"__a{k}"] for k, key in enumerate(aggs)}
+        for e in q.having:
+            df = df.filter(_condition(e, env))
     else:
-        names = df.columns if any(i[0] == "all" for i in q.items) else [i[1] for i in q.items]
+        if q.having:
+            raise SparqlError("HAVING needs groups")
+        env = _env(df)
+    names = visible if whole else [i[1] if i[0] == "var" else i[2] for i in q.items]
+    for _, e, name in named:
+        df = df.withColumn(name, _value(e, env)[0])
+        env[name] = (F.col(name), _env(df)[name][1])
     for n in names:
         if n not in df.columns:
             df = df.withColumn(n, F.lit(None).cast("string"))
@@ -392,9 +663,15 @@ def compile_select(q: Select, triples: DataFrame) -> DataFrame:
         df = df.orderBy(*order) if order else df
     if q.offset:
         df = df.offset(q.offset)
-    return df.limit(q.limit) if q.limit is not None else df
+    counts = {i[2] for i in named if i[1][0] == "agg" and i[1][1] == "COUNT"}
+    return Solutions(df.limit(q.limit) if q.limit is not None else df, (found.sure | counts) & set(names))
+
+
+def compile_select(q: Select, triples: DataFrame) -> DataFrame:
+    return _selected(q, triples.select("s", "p", "o")).df
 
 
 def sparql(query: str, triples: DataFrame) -> DataFrame:
-    """The answer to a SELECT query over triples (s, p, o), a column for each variable."""
+    """The answer to a SELECT query over triples (s, p, o), a column for each variable. Statements with a null end match no pattern
+    that names or joins that end; repeated statements give repeated answers, but for paths that repeat."""
     return compile_select(Parser(query).parse(), triples)
