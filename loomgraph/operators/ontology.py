@@ -97,7 +97,7 @@ def verbalize(axioms: DataFrame) -> DataFrame:
         .when(F.col("axiom_type") == "DisjointClasses", F.concat(F.lit("nothing is both a "), name(1), F.lit(" and a "), name(2)))
         .when(F.col("axiom_type") == "ObjectPropertyDomain", F.concat(F.lit("whatever has "), name(1), F.lit(" is a "), name(2)))
         .when(F.col("axiom_type") == "ObjectPropertyRange", F.concat(F.lit("whatever is the value of "), name(1), F.lit(" is a "), name(2)))
-        .when(F.col("axiom_type") == "FunctionalObjectProperty", F.concat(name(1), F.lit(" has at most one value")))
+        .when(F.col("axiom_type").isin("FunctionalObjectProperty", "FunctionalDataProperty"), F.concat(name(1), F.lit(" has at most one value")))
         .otherwise(F.concat(F.col("axiom_type"), F.lit("("), F.array_join("components", ", "), F.lit(")")))
     )
     return axioms.withColumn("verbalization", text)
@@ -136,8 +136,9 @@ def functional_violations(triples: DataFrame, functional: list[str]) -> DataFram
 
 
 def disjoint_violations(types: DataFrame, axioms: DataFrame) -> DataFrame:
-    """Entities with both classes of a disjointness axiom."""
-    pairs = axioms.filter("axiom_type = 'DisjointClasses'").select(F.col("components")[0].alias("a"), F.col("components")[1].alias("b"))
+    """Entities with two classes of a disjointness axiom, which may name any number."""
+    each = axioms.filter("axiom_type = 'DisjointClasses'").select(F.posexplode("components").alias("i", "a"), "components")
+    pairs = each.select("a", F.explode(F.slice("components", F.col("i") + 2, F.size("components"))).alias("b")).distinct()
     x = types.join(pairs, F.col("type") == F.col("a")).select("uri", "a", "b")
     return x.join(types.withColumnRenamed("type", "b"), ["uri", "b"]).select("uri", "a", "b").distinct()
 

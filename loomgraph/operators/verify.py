@@ -94,12 +94,11 @@ class Policies:
         from . import ontology as O
 
         spark = triples.sparkSession
-        ends = {k: {p: c for p, c in self.axioms(f"ObjectProperty{k}")} for k in ("Domain", "Range")}
-        names = sorted(set(ends["Domain"]) | set(ends["Range"]))
-        rows = [(p, ends["Domain"].get(p), ends["Range"].get(p)) for p in names]
+        # A row for each axiom: a property with several domains (ranges) breaks each that it does not fit.
+        rows = sorted({(p, c, None) for p, c in self.axioms("ObjectPropertyDomain")}) + sorted({(p, None, c) for p, c in self.axioms("ObjectPropertyRange")})
         properties = spark.createDataFrame(rows, "uri string, domain string, range string")
         out = O.domain_range_violations(triples, types, properties).select("s", "p", "o")
-        functional = [a[0] for a in self.axioms("FunctionalObjectProperty")]
+        functional = [a[0] for kind in ("FunctionalObjectProperty", "FunctionalDataProperty") for a in self.axioms(kind)]
         if functional:
             out = out.unionByName(triples.join(O.functional_violations(triples, functional), ["s", "p"], "left_semi").select("s", "p", "o"))
         apart = [("DisjointClasses", a) for a in self.axioms("DisjointClasses")]

@@ -179,13 +179,17 @@ def from_json_rows(lines: DataFrame, name: str = "kg") -> KnowledgeGraph:
 
 
 def read_owl(spark: SparkSession, path: str) -> Ontology:
-    """Named classes, properties and individuals of an RDF/XML ontology, of one file or several. ord is the order of the file,
-    and tells files apart by its high bits."""
+    """Named classes, properties and individuals of an RDF/XML ontology, of one file or several, with the axioms on them: subclasses,
+    disjoint and equivalent classes, domains and ranges (the property's own columns hold the first), sub-, equivalent and
+    inverse properties, functional, inverse functional, transitive and symmetric ones. ord is the order of the file, and tells files
+    apart by its high bits."""
     schema = (
         "`_rdf:about` string, `rdfs:label` array<struct<_VALUE:string,`_xml:lang`:string>>, `rdfs:comment` array<struct<_VALUE:string,`_xml:lang`:string>>,"
         " `rdfs:subClassOf` array<struct<`_rdf:resource`:string>>, `rdfs:domain` array<struct<`_rdf:resource`:string>>, `rdfs:range` array<struct<`_rdf:resource`:string>>,"
-        " `owl:disjointWith` array<struct<`_rdf:resource`:string>>, `rdf:type` array<struct<`_rdf:resource`:string>>"
+        " `owl:disjointWith` array<struct<`_rdf:resource`:string>>, `rdf:type` array<struct<`_rdf:resource`:string>>, `owl:equivalentClass` array<struct<`_rdf:resource`:string>>,"
+        " `rdfs:subPropertyOf` array<struct<`_rdf:resource`:string>>, `owl:inverseOf` array<struct<`_rdf:resource`:string>>, `owl:equivalentProperty` array<struct<`_rdf:resource`:string>>"
     )
+    linked = lambda c: F.coalesce(F.filter(F.transform(f"`{c}`", lambda x: x["_rdf:resource"]), lambda x: x.isNotNull()), F.array().cast("array<string>"))
 
     def tag(name: str) -> DataFrame:
         return spark.read.format("xml").option("rowTag", name).schema(schema).load(path).filter(F.col("`_rdf:about`").isNotNull())
@@ -194,21 +198,34 @@ def read_owl(spark: SparkSession, path: str) -> Ontology:
     first = lambda c, f: F.try_element_at(F.col(f"`{c}`"), F.lit(1))[f]
     label = F.coalesce(first("rdfs:label", "_VALUE"), F.element_at(F.split(uri, "[#/]"), -1))
     about = F.coalesce(first("rdfs:comment", "_VALUE"), F.lit(""))
-    parents = F.coalesce(F.filter(F.transform("`rdfs:subClassOf`", lambda x: x["_rdf:resource"]), lambda x: x.isNotNull()), F.array().cast("array<string>"))
-    classes = tag("owl:Class").select(order.alias("ord"), uri.alias("uri"), label.alias("label"), about.alias("description"), parents.alias("parents"), F.transform("`owl:disjointWith`", lambda x: x["_rdf:resource"]).alias("apart"))
+    parents = linked("rdfs:subClassOf")
+    classes = tag("owl:Class").select(order.alias("ord"), uri.alias("uri"), label.alias("label"), about.alias("description"), parents.alias("parents"), linked("owl:disjointWith").alias("apart"), linked("owl:equivalentClass").alias("same"))
+
+    links = {"domains": "rdfs:domain", "ranges": "rdfs:range", "above": "rdfs:subPropertyOf", "inverse": "owl:inverseOf", "same": "owl:equivalentProperty", "types": "rdf:type"}
 
     def props(name: str, kind: str) -> DataFrame:
-        return tag(name).select(order.alias("ord"), F.lit(kind).alias("kind"), uri.alias("uri"), label.alias("label"), about.alias("description"), first("rdfs:domain", "_rdf:resource").alias("domain"), first("rdfs:range", "_rdf:resource").alias("range"))
+        return tag(name).select(order.alias("ord"), F.lit(kind).alias("kind"), uri.alias("uri"), label.alias("label"), about.alias("description"), first("rdfs:domain", "_rdf:resource").alias("domain"), first("rdfs:range", "_rdf:resource").alias("range"), *[linked(x).alias(c) for c, x in links.items()])
 
-    types = F.filter(F.transform("`rdf:type`", lambda x: x["_rdf:resource"]), lambda x: x.isNotNull())
-    individuals = tag("owl:NamedIndividual").select(uri.alias("uri"), label.alias("label"), F.coalesce(types, F.array().cast("array<string>")).alias("types"))
+    individuals = tag("owl:NamedIndividual").select(uri.alias("uri"), label.alias("label"), linked("rdf:type").alias("types"))
 
     def axiom(kind: str, pairs: DataFrame) -> DataFrame:
         return pairs.select(F.lit(kind).alias("axiom_type"), F.array(*pairs.columns).alias("components"), F.lit(None).cast("string").alias("verbalization"), F.lit(None).cast("string").alias("logical_form"))
 
     properties = props("owl:ObjectProperty", "object").unionByName(props("owl:DatatypeProperty", "data"))
     axioms = axiom("SubClassOf", classes.select("uri", F.explode("parents").alias("parent")))
-    axioms = axioms.unionByName(axiom("DisjointClasses", classes.select("uri", F.explode("apart").alias("other")).filter("other is not null")))
-    axioms = axioms.unionByName(axiom("ObjectPropertyDomain", properties.filter("domain is not null").select("uri", "domain"))).unionByName(axiom("ObjectPropertyRange", properties.filter("range is not null").select("uri", "range")))
+    pairs = lambda df, c: df.select("uri", F.explode(c).alias("other"))
+    named = {"object": "Object", "data": "Data"}
+    found = [("DisjointClasses", classes, "apart"), ("EquivalentClasses", classes, "same"), ("ObjectPropertyDomain", properties, "domains"), ("ObjectPropertyRange", properties, "ranges")]
+    found += [(f"Sub{n}PropertyOf", properties.filter(F.col("kind") == k), "above") for k, n in named.items()] + [(f"Equivalent{n}Properties", properties.filter(F.col("kind") == k), "same") for k, n in named.items()]
+    found.append(("InverseObjectProperties", properties, "inverse"))
+    for kind, df, c in found:
+        axioms = axioms.unionByName(axiom(kind, pairs(df, c)))
+    # What a property is: as an element of its own, or as a type of the property's element.
+    for character in ("Functional", "InverseFunctional", "Transitive", "Symmetric"):
+        own = tag(f"owl:{character}Property").select(uri.alias("uri"), F.lit("object").alias("kind"))
+        typed = properties.filter(F.exists("types", lambda t: F.endswith(t, F.lit(f"#{character}Property")))).select("uri", "kind")
+        every = own.join(properties.select("uri", F.col("kind").alias("known")).distinct(), "uri", "left").select("uri", F.coalesce("known", "kind").alias("kind")).unionByName(typed).distinct()
+        for k, n in named.items():
+            axioms = axioms.unionByName(axiom(f"{character}{n}Property", every.filter(F.col("kind") == k).select("uri")))
     axioms = axioms.unionByName(axiom("ClassAssertion", individuals.select("uri", F.explode("types").alias("type"))))
-    return Ontology(classes.drop("apart"), properties, axioms, path, individuals)
+    return Ontology(classes.drop("apart", "same"), properties.drop(*links), axioms, path, individuals)
