@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .reasoning import ORACLES as REASONING
+
 E_NS, P_NS = "http://loomgraph.local/entity/", "http://loomgraph.local/property/"
 TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
@@ -68,7 +70,7 @@ CLASSES = """
 cl(ord, uri, label) AS (VALUES (0, 'onto:Place', 'Place'), (1, 'onto:Region', 'Region'), (2, 'onto:Nation', 'Nation'), (3, 'onto:Agent', 'Agent'), (4, 'onto:Customer', 'Customer'),
   (5, 'onto:Supplier', 'Supplier of goods'), (6, 'onto:Event', 'Purchase event'), (7, 'onto:View', 'page view'), (8, 'onto:Click', 'click'))"""
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(REASONING)
 
 
 def _put(name: str, sql: str) -> None:
@@ -206,31 +208,47 @@ _put(
     f"""WITH {CLASSES}, l AS (SELECT DISTINCT event_type FROM events UNION ALL VALUES (''), ('ion'), ('supplier'), ('e'))
 SELECT event_type, arg_min(uri, ord) AS class_uri FROM l LEFT JOIN cl ON contains(lower(label), lower(event_type)) GROUP BY event_type""",
 )
-_put(
+#: The ontology that queries.table_ontology writes: classes and properties in the order of their names, and its axioms.
+KINDS = """
+k AS (SELECT 'Event' AS top, event_type AS x, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 2 UNION ALL SELECT 'Customer', c_mktsegment, count(*) FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 2
+  UNION ALL SELECT 'Part', p_type, count(*) FROM part WHERE p_type IS NOT NULL GROUP BY 2 UNION ALL SELECT 'Brand', p_brand, count(*) FROM part WHERE p_brand IS NOT NULL GROUP BY 2),
+cl AS (SELECT *, row_number() OVER (ORDER BY uri || '"') - 1 AS ord FROM (
+  SELECT 'onto:' || lower(top) || '/' || x AS uri, x AS label, 'onto:' || top AS parent FROM k UNION ALL SELECT 'onto:' || x, 'onto:' || x, NULL FROM (VALUES ('Brand'), ('Customer'), ('Event'), ('Part')) t(x))),
+op AS (SELECT 'kg:' || x AS uri, x || ' made' AS label, 'onto:User' AS domain, 'onto:event/' || x AS range, row_number() OVER (ORDER BY x || '"') - 1 AS ord FROM k WHERE top = 'Event'),
+dp AS (SELECT 'kg:price/' || x AS uri, 'onto:part/' || x AS domain FROM k WHERE top = 'Part'),
+ax AS (
+  SELECT 'SubClassOf' AS kind, uri AS a, parent AS b FROM cl WHERE parent IS NOT NULL UNION ALL SELECT 'DisjointClasses', 'onto:part/' || x, 'onto:Event' FROM k WHERE top = 'Part'
+  UNION ALL SELECT 'EquivalentClasses', 'onto:brand/' || x, 'onto:maker/' || x FROM k WHERE top = 'Brand' UNION ALL SELECT 'ObjectPropertyDomain', uri, domain FROM op
+  UNION ALL SELECT 'ObjectPropertyDomain', uri, domain FROM dp UNION ALL SELECT 'ObjectPropertyRange', uri, range FROM op UNION ALL SELECT 'FunctionalDataProperty', uri, NULL FROM dp)"""
+
+
+def _kinds(name: str, select: str) -> None:
+    _put(name, f"WITH {KINDS} {select}")
+
+
+_kinds(
     "relation_mapping",
-    f"""WITH pr(ord, uri, label) AS (VALUES (0, 'kg:inRegion', 'in region'), (1, 'kg:locatedIn', 'located in'), (2, 'kg:placedBy', 'placed by')),
-l(label) AS (VALUES ('located in'), ('IN'), ('Works With'), ('placed'))
-SELECT l.label, coalesce(arg_min(uri, ord), '{P_NS}' || replace(lower(l.label), ' ', '_')) AS uri FROM l LEFT JOIN pr ON contains(pr.label, lower(l.label)) GROUP BY l.label""",
+    f"""SELECT l.label, coalesce(arg_min(uri, ord), '{P_NS}' || replace(lower(l.label), ' ', '_')) AS uri
+FROM (SELECT unnest([x, upper(x), x || ' Twice']) AS label FROM k WHERE top = 'Event') l LEFT JOIN op ON contains(op.label, lower(l.label)) GROUP BY l.label""",
 )
-_put("ontology_statistics", "SELECT * FROM (VALUES ('classes', 9::BIGINT), ('object_properties', 3), ('data_properties', 1), ('individuals', 0), ('axioms', 5)) t(kind, n)")
-_put("ontology_hierarchy", f"WITH {TYPES} SELECT parent, string_agg(child, ',' ORDER BY child) AS children FROM up GROUP BY parent")
-_put(
+_kinds("ontology_statistics", """SELECT 'classes' AS kind, count(*) AS n FROM cl UNION ALL SELECT 'object_properties', count(*) FROM op UNION ALL SELECT 'data_properties', count(*) FROM dp
+UNION ALL SELECT 'individuals', 0 UNION ALL SELECT 'axioms', count(*) FROM ax""")
+_kinds("ontology_hierarchy", "SELECT parent, string_agg(uri, ',' ORDER BY uri) AS children FROM cl WHERE parent IS NOT NULL GROUP BY parent")
+_kinds(
     "ontology_triples",
-    f"""WITH {TYPES} SELECT child AS s, 'http://www.w3.org/2000/01/rdf-schema#subClassOf' AS p, parent AS o FROM up
-UNION ALL SELECT s, 'http://www.w3.org/2000/01/rdf-schema#domain', o FROM (VALUES ('kg:inRegion', 'onto:Nation'), ('kg:locatedIn', 'onto:Customer'), ('kg:balance', 'onto:Agent')) t(s, o)
-UNION ALL SELECT s, 'http://www.w3.org/2000/01/rdf-schema#range', o FROM (VALUES ('kg:inRegion', 'onto:Region'), ('kg:locatedIn', 'onto:Nation'), ('kg:placedBy', 'onto:Customer')) t(s, o)""",
+    """SELECT uri AS s, 'http://www.w3.org/2000/01/rdf-schema#subClassOf' AS p, parent AS o FROM cl WHERE parent IS NOT NULL
+UNION ALL SELECT a, 'http://www.w3.org/2000/01/rdf-schema#domain', b FROM ax WHERE kind = 'ObjectPropertyDomain' UNION ALL SELECT uri, 'http://www.w3.org/2000/01/rdf-schema#range', range FROM op""",
 )
-_put(
+_kinds(
     "ontology_axioms",
-    """SELECT * FROM (VALUES ('SubClassOf', 'every onto:Nation is a onto:Place'), ('SubClassOf', 'every onto:Customer is a onto:Buyer'), ('SubClassOf', 'every onto:Buyer is a onto:Customer'),
-('DisjointClasses', 'nothing is both a onto:Place and a onto:Agent'), ('FunctionalObjectProperty', 'kg:locatedIn has at most one value'), ('ObjectPropertyDomain', 'whatever has kg:inRegion is a onto:Nation')) t(axiom_type, verbalization)""",
+    """, l AS (SELECT kind, regexp_extract(a, '[^/#]*$') AS a, regexp_extract(b, '[^/#]*$') AS b FROM ax)
+SELECT 'SubClassOf' AS axiom_type, 'every ' || a || ' is a ' || b AS verbalization FROM (SELECT a, b FROM l WHERE kind IN ('SubClassOf', 'EquivalentClasses') UNION ALL SELECT b, a FROM l WHERE kind = 'EquivalentClasses')
+UNION ALL SELECT kind, 'nothing is both a ' || a || ' and a ' || b FROM l WHERE kind = 'DisjointClasses' UNION ALL SELECT kind, 'whatever has ' || a || ' is a ' || b FROM l WHERE kind = 'ObjectPropertyDomain'
+UNION ALL SELECT kind, 'whatever is the value of ' || a || ' is a ' || b FROM l WHERE kind = 'ObjectPropertyRange' UNION ALL SELECT kind, a || ' has at most one value' FROM l WHERE kind = 'FunctionalDataProperty'""",
 )
+_kinds("ontology_prompt_terms", "SELECT 'class' AS kind, ord, label FROM cl WHERE ord < 20 UNION ALL SELECT 'relation', ord, label FROM op WHERE ord < 20")
 _put("entity_types", f"WITH {TYPES} SELECT uri, type FROM ty")
 _kg("inferred_types", "SELECT uri, string_agg(type, ',' ORDER BY type) AS types FROM (SELECT s AS uri FROM kg UNION SELECT o FROM kg) LEFT JOIN ty USING (uri) GROUP BY uri", TYPES)
-_put(
-    "ontology_prompt_terms",
-    f"WITH {CLASSES} SELECT 'class' AS kind, ord, label FROM cl UNION ALL SELECT * FROM (VALUES ('relation', 0, 'in region'), ('relation', 1, 'located in'), ('relation', 2, 'placed by')) t(kind, ord, label)",
-)
 _docs("provenance_summary", "SELECT 'extractor' AS method, sum(length(text))::BIGINT AS text_length, sum(len(cs))::BIGINT AS n_chunks, (SELECT count(*) FROM sco) AS n_triples, count(*) AS n_docs FROM c0")
 _kg(
     "domain_range_violations",
@@ -259,7 +277,11 @@ n AS (SELECT s, 'kg:within' AS p, o FROM tc WHERE (s, o) NOT IN (SELECT (s, o) F
 )
 
 _kg("bgp_two_hops", "SELECT a.s AS c, b.o AS r FROM kg a JOIN kg b ON a.o = b.s WHERE a.p = 'kg:locatedIn' AND b.p = 'kg:inRegion'")
-_kg("bgp_star", "SELECT x.s AS o, x.o AS c, y.o AS p FROM kg x JOIN kg y ON x.s = y.s JOIN kg z ON z.s = x.o WHERE x.p = 'kg:placedBy' AND y.p = 'kg:contains' AND z.p = 'kg:locatedIn' AND z.o = 'kg:nation/5'")
+_put(
+    "bgp_star",
+    """SELECT 'kg:order/' || o_orderkey AS o, 'kg:customer/' || o_custkey AS c, 'kg:part/' || l_partkey AS p
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 5""",
+)
 _kg("bgp_optional", "SELECT x.s AS c, y.s AS o FROM kg x LEFT JOIN (SELECT * FROM kg WHERE p = 'kg:placedBy') y ON y.o = x.s WHERE x.p = 'kg:locatedIn' AND x.o = 'kg:nation/5'")
 _kg("bgp_union", "SELECT s AS x FROM kg WHERE p = 'kg:locatedIn' AND o = 'kg:nation/1' UNION SELECT s FROM kg WHERE p = 'kg:inRegion' AND o = 'kg:region/2'")
 _kg(

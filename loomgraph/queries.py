@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import reasoning
 from .config import EmbeddingConfig, ExtractionConfig
 from .functions import scores, vectors
 from .functions.text import formal, local_name, parsed_response
@@ -16,10 +17,12 @@ from .operators.extract import ReplayExtractor, RuleExtractor, chunked
 from .plans.partitions import balanced
 from .plans.prompts import extraction_prompt
 from .plans.sparql import sparql
+from .plans.written import new_path
 from .sources import rdf
 from .streaming.extract import event_triples
+from .tables import read, relational_kg
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(reasoning.QUERIES)
 CFG = ExtractionConfig()
 
 
@@ -28,10 +31,6 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -40,30 +39,6 @@ def distilled(spark: SparkSession, sf_dir: str, cfg: ExtractionConfig = CFG) ->
     return D.distill(documents(spark, sf_dir), RuleExtractor(), cfg)
 
 
-def relational_kg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The relational tables as triples (seq, s, p, o): a bag, numbered by rule and key."""
-    t = lambda name: read(spark, sf_dir, name)
-    uri = lambda kind, col: F.concat(F.lit(f"kg:{kind}/"), F.col(col).cast("string"))
-
-    def rule(n: int, table: str, key, s, p: str, o) -> DataFrame:
-        return t(table).select((F.lit(n * 10**12) + key).cast("long").alias("seq"), s.alias("s"), F.lit(f"kg:{p}").alias("p"), o.alias("o"))
-
-    line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    parts = [
-        rule(1, "nation", F.col("n_nationkey"), uri("nation", "n_nationkey"), "inRegion", uri("region", "n_regionkey")),
-        rule(2, "customer", F.col("c_custkey"), uri("customer", "c_custkey"), "locatedIn", uri("nation", "c_nationkey")),
-        rule(3, "supplier", F.col("s_suppkey"), uri("supplier", "s_suppkey"), "locatedIn", uri("nation", "s_nationkey")),
-        rule(4, "orders", F.col("o_orderkey"), uri("order", "o_orderkey"), "placedBy", uri("customer", "o_custkey")),
-        rule(5, "lineitem", line, uri("order", "l_orderkey"), "contains", uri("part", "l_partkey")),
-        rule(6, "lineitem", line, uri("part", "l_partkey"), "suppliedBy", uri("supplier", "l_suppkey")),
-        rule(7, "events", F.col("event_id"), uri("user", "user_id"), "performed", uri("event", "event_type")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def small_kg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations, regions, customers and suppliers only."""
     return relational_kg(spark, sf_dir).filter(F.col("p").isin("kg:inRegion", "kg:locatedIn"))
@@ -363,23 +338,12 @@ def literals_round_trip(spark, sf_dir):
     return back.select("s", "p", F.md5(F.col("o").cast("binary")).alias("o_md5"), "o_lang", "o_type")
 
 
-def _shared(spark, name: str) -> str:
-    """A new path in the folder that the executors share."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='loomgraph-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def kg_turtle_read(spark, sf_dir):
     """The graph written as Turtle and read again."""
     t = relational_kg(spark, sf_dir).withColumn("graph_id", F.lit("kg"))
     g = kg.KnowledgeGraph("kg", graph.nodes(t).withColumn("graph_id", F.lit("kg")), t.select("graph_id", F.col("p").alias("uri")).distinct(), t)
-    path = _shared(spark, "turtle")
+    path = new_path(spark, "turtle")
     rdf.write(g, path)
     return rdf.read(spark, path).triples.select("s", "p", "o", "o_is_literal")
 
@@ -416,11 +380,42 @@ def provenance_records(spark, sf_dir):
     return D.summaries(x.extracted, x.triples, ontology_uri="onto:").select("doc_id", "text_length", "n_chunks", "extraction_method", "ontology")
 
 
+def table_ontology(spark, sf_dir) -> ontology.Ontology:
+    """An ontology of what the tables hold, written as RDF/XML and loaded: kinds of events, parts, brands and customers as
+    classes, a property for each kind of event and a price for each kind of part. As many elements as there are kinds."""
+    t = lambda name: read(spark, sf_dir, name)
+    tops = spark.createDataFrame([(x,) for x in ("Brand", "Customer", "Event", "Part")], "x string")
+    about = lambda tag, kind, col: F.concat(F.lit(f'<owl:{tag} rdf:about="'), F.lit(kind), F.col(col), F.lit('">'))
+    word = lambda tag, *xs: F.concat(F.lit(f"<rdfs:{tag}>"), *[x.cast("string") for x in xs], F.lit(f"</rdfs:{tag}>"))
+    link = lambda tag, *xs: F.concat(F.lit(f'<{tag} rdf:resource="'), *[F.lit(x) if isinstance(x, str) else x for x in xs], F.lit('"/>'))
+
+    def kinds(table: str, col: str) -> DataFrame:
+        return t(table).filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("x")).agg(F.count("*").alias("n"))
+
+    def classes(table: str, col: str, kind: str, *more) -> DataFrame:
+        line = F.concat(about("Class", f"onto:{kind.lower()}/", "x"), word("label", F.col("x")), word("comment", F.lit("seen "), F.col("n"), F.lit(" times")), link("rdfs:subClassOf", f"onto:{kind}"), *more, F.lit("</owl:Class>"))
+        return kinds(table, col).select(line.alias("line"))
+
+    lines = [
+        tops.select(F.concat(about("Class", "onto:", "x"), F.lit("</owl:Class>")).alias("line")),
+        classes("events", "event_type", "Event"), classes("customer", "c_mktsegment", "Customer"),
+        classes("part", "p_type", "Part", link("owl:disjointWith", "onto:Event")), classes("part", "p_brand", "Brand", link("owl:equivalentClass", "onto:maker/", F.col("x"))),
+        kinds("events", "event_type").select(F.concat(about("ObjectProperty", "kg:", "x"), word("label", F.col("x"), F.lit(" made")), link("rdfs:domain", "onto:User"), link("rdfs:range", "onto:event/", F.col("x")), F.lit("</owl:ObjectProperty>")).alias("line")),
+        kinds("part", "p_type").select(F.concat(about("DatatypeProperty", "kg:price/", "x"), link("rdfs:domain", "onto:part/", F.col("x")), link("rdf:type", "http://www.w3.org/2002/07/owl#FunctionalProperty"), F.lit("</owl:DatatypeProperty>")).alias("line")),
+    ]
+    rows = lines[0]
+    for x in lines[1:]:
+        rows = rows.unionByName(x)
+    path = new_path(spark, "owl")
+    rows.agg(F.concat(F.lit("<rdf:RDF>"), F.array_join(F.array_sort(F.collect_list("line")), "\n"), F.lit("</rdf:RDF>"))).write.text(path)  # a few dozen kinds
+    return rdf.read_owl(spark, path)
+
+
 @query
 def ontology_individuals(spark, sf_dir):
     """Nations and regions as an RDF/XML file of individuals, loaded as an ontology."""
     one = lambda name, key, cls: read(spark, sf_dir, name).select(F.format_string(f'<owl:NamedIndividual rdf:about="kg:{name}/%d"><rdf:type rdf:resource="onto:{cls}"/></owl:NamedIndividual>', key).alias("value"))
-    path = _shared(spark, "owl")
+    path = new_path(spark, "owl")
     rows = one("nation", "n_nationkey", "Nation").unionByName(one("region", "r_regionkey", "Region"))
     rows.agg(F.concat(F.lit("<rdf:RDF>"), F.array_join(F.collect_list("value"), "\n"), F.lit("</rdf:RDF>"))).write.text(path)  # 30 rows at any size
     o = rdf.read_owl(spark, path)
@@ -520,31 +515,33 @@ def type_mapping(spark, sf_dir):
 
 @query
 def relation_mapping(spark, sf_dir):
+    """The kinds of events, as they stand, in capitals and with a word more, as labels of relations."""
     from .functions.text import property_uri
 
-    labels = spark.createDataFrame([("located in",), ("IN",), ("Works With",), ("placed",)], "label string")
-    x = D.map_labels(labels, "label", part_ontology(spark).object_properties, "mapped")
+    kinds = read(spark, sf_dir, "events").select("event_type").distinct()
+    labels = kinds.select(F.explode(F.array("event_type", F.upper("event_type"), F.concat("event_type", F.lit(" Twice")))).alias("label"))
+    x = D.map_labels(labels, "label", table_ontology(spark, sf_dir).object_properties, "mapped")
     return x.select("label", F.coalesce("mapped", property_uri(F.col("label"), CFG.property_ns)).alias("uri"))
 
 
 @query
 def ontology_statistics(spark, sf_dir):
-    return part_ontology(spark).statistics()
+    return table_ontology(spark, sf_dir).statistics()
 
 
 @query
 def ontology_hierarchy(spark, sf_dir):
-    return part_ontology(spark).hierarchy().select("parent", F.array_join("children", ",").alias("children"))
+    return table_ontology(spark, sf_dir).hierarchy().select("parent", F.array_join("children", ",").alias("children"))
 
 
 @query
 def ontology_triples(spark, sf_dir):
-    return part_ontology(spark).to_triples()
+    return table_ontology(spark, sf_dir).to_triples()
 
 
 @query
 def ontology_axioms(spark, sf_dir):
-    o = part_ontology(spark)
+    o = table_ontology(spark, sf_dir)
     return ontology.verbalize(o.normalized().withColumn("verbalization", F.lit(""))).select("axiom_type", "verbalization")
 
 
@@ -563,8 +560,8 @@ def inferred_types(spark, sf_dir):
 
 @query
 def ontology_prompt_terms(spark, sf_dir):
-    """The terms that a prompt lists, as rows."""
-    o = part_ontology(spark)
+    """The first terms that a prompt lists, as rows."""
+    o = table_ontology(spark, sf_dir)
     rows = o.classes.select(F.lit("class").alias("kind"), "ord", "label").unionByName(o.object_properties.select(F.lit("relation").alias("kind"), "ord", "label"))
     return rows.filter("ord < 20")
 
@@ -685,7 +682,7 @@ def event_stream_triples(spark, sf_dir):
         stream = stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     else:
         stream = stream.parquet(f"{sf_dir}/events.parquet")
-    out = _shared(spark, "stream")
+    out = new_path(spark, "stream")
     started = event_triples(stream, "kg:").drop("ts").writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     started.awaitTermination()
     return spark.read.parquet(f"{out}/data")
