@@ -18,19 +18,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import arrow_rows, cut
+from .frames import arrow_rows, cut, forget
 from .kernels import LOWER, Texts, column, pieces
 from .spans import byte_class, spans, word_numbers
 
 LETTER = ~byte_class([(0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 #: In how many documents of its language a kept term stands at least; the terms reported for a source.
 LEAST, TOP = 30, 50
-#: Leaf counters of a trie before it is walked and begun anew; rows of leaves merged at once; counters and terms of a stretch; sources
-#: met at once.
-TRIE, MERGED_ROWS, STRETCH, TERMS, TILE = 2_000_000, 200_000, 200_000, 4096, 128
+#: Leaf counters of a trie before it is walked and begun anew; rows of leaves merged at once; counters of a stretch; sources met at once.
+TRIE, MERGED_ROWS, STRETCH, TILE = 2_000_000, 200_000, 200_000, 128
 
 LEAF = "lang string, term string, source string, n long, docs long"
-MERGED = "stretch long, lang string, term string, total long, sources array<string>, counts array<long>"
+MERGED = "part int, before long, lang string, term string, total long, sources array<string>, counts array<long>"
 PART = "lang string, source string, part string, item string, value long"
 
 
@@ -157,11 +156,11 @@ def _summed(rows: pa.Table) -> pa.Table:
 
 def _merging(least: int):
     def merge(batches):
-        """Sorted leaves of a range to its merged ones that are kept, numbered by stretches of one language each."""
-        base, made, terms, entries, lang_now = TaskContext.get().partitionId() << 32, 0, 0, 0, None
+        """Sorted leaves of a range to its merged ones that are kept, each with the number of counters of its language before it."""
+        part, entries, lang_now = TaskContext.get().partitionId(), 0, None
 
         def kept(rows: pa.Table):
-            nonlocal made, terms, entries, lang_now
+            nonlocal entries, lang_now
             rows = _summed(rows)
             begin = np.flatnonzero(_changes(rows))
             size = np.diff(np.append(begin, rows.num_rows))
@@ -171,16 +170,16 @@ def _merging(least: int):
                 return
             mine = rows.take(pa.array(np.flatnonzero(np.repeat(keep, size))))
             head, size, total = rows.take(pa.array(begin[keep])), size[keep], np.add.reduceat(n, begin)[keep]
-            stretch = []
+            before = []
             for lang, k in zip(head.column("lang").to_pylist(), size.tolist()):
-                if lang != lang_now or terms >= TERMS or entries >= STRETCH:
-                    made, terms, entries, lang_now = made + 1, 0, 0, lang
-                terms, entries = terms + 1, entries + k
-                stretch.append(base + made)
+                if lang != lang_now:
+                    entries, lang_now = 0, lang
+                before.append(entries)
+                entries += k
             offs = pa.array(np.append(0, np.cumsum(size)), pa.int32())
             lists = [pa.ListArray.from_arrays(offs, mine.column(c).combine_chunks()) for c in ("source", "n")]
-            columns = [pa.array(stretch, pa.int64()), *[head.column(c).combine_chunks() for c in ("lang", "term")], pa.array(total), *lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["stretch", "lang", "term", "total", "sources", "counts"])
+            columns = [pa.array([part] * len(size), pa.int32()), pa.array(before, pa.int64()), *[head.column(c).combine_chunks() for c in ("lang", "term")], pa.array(total), *lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "before", "lang", "term", "total", "sources", "counts"])
 
         held: list[pa.Table] = []
         for b in batches:
@@ -198,13 +197,19 @@ def _merging(least: int):
 
 
 def term_tries(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """The merged leaves of kept terms: stretch, lang, term, total, sources, counts. Stretches are runs of terms of one language
-    in byte order."""
+    """The merged leaves of kept terms: stretch, lang, term, total, sources, counts. Stretches are runs of a language's terms in byte
+    order, of about STRETCH counters each, however the ranges fell."""
     arrow_rows(docs.sparkSession)
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     leaves = cut(docs.select(blank("lang"), blank("source"), blank("text")).mapInArrow(_counted, LEAF), "leaves")
     ranges = leaves.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
-    return cut(ranges.mapInArrow(_merging(least), MERGED), "merged")
+    merged = cut(ranges.mapInArrow(_merging(least), MERGED), "merged")
+    forget(leaves)
+    held = merged.groupBy("lang", "part").agg(F.sum(F.size("sources")).alias("held"))
+    ahead = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    held = held.select("lang", "part", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("ahead"))
+    stretch = F.floor((F.col("ahead") + F.col("before")) / STRETCH).cast("long").alias("stretch")
+    return merged.join(held, ["lang", "part"]).select(stretch, "lang", "term", "total", "sources", "counts")
 
 
 def _scaled(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -218,8 +223,8 @@ def _scaled(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 def _walked(top: int):
     def walk(key, leaves: pa.Table, groups: pa.Table) -> pa.Table:
-        """One stretch: the sums of its terms over each pair of sources (both ways), and the candidates of each source. Sources meet in
-        tiles, so that the arrays are bounded whatever their number."""
+        """One stretch: the sums of its terms over each pair of sources, the smaller first, and the candidates of each source. Sources
+        meet in tiles, so that the arrays are bounded whatever their number."""
         out: list[list] = [[], [], [], [], []]
 
         def emit(source, part, item, value):
@@ -266,7 +271,6 @@ def _walked(top: int):
                         for j, value in enumerate(sums):
                             if begin + i < other + j:
                                 emit(sources[begin + i], "pair", sources[other + j], value)
-                                emit(sources[other + j], "pair", sources[begin + i], value)
         return pa.table({c: pa.array(x, k) for c, x, k in zip(names, out, kinds)})
 
     return walk
@@ -281,7 +285,7 @@ def source_divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> Da
     language keeps no term; a language with one source has no pairs. Ties go to the smaller item in the order of its UTF-8 bytes.
     An empty table gives no rows; long texts are read whole."""
     blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    merged = term_tries(docs, least)
+    merged = cut(term_tries(docs, least), "stretches")
     occurring = docs.select(blank("lang"), blank("source")).groupBy("lang", "source").agg(F.count("*").alias("documents"))
     counted = merged.select("lang", F.explode(F.arrays_zip("sources", "counts")).alias("x")).groupBy("lang", F.col("x.sources").alias("source")).agg(F.sum("x.counts").alias("n"))
     langs = merged.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("total").alias("all"))
@@ -289,9 +293,10 @@ def source_divergence(docs: DataFrame, least: int = LEAST, top: int = TOP) -> Da
     smooth = 5 * F.coalesce("kept", F.lit(0))
     groups = cut(groups.select("lang", "source", (F.coalesce("n", F.lit(0)) + smooth).alias("size"), (F.coalesce("all", F.lit(0)) + smooth).alias("whole")), "groups")
     stretches = merged.select("stretch", "lang").distinct()
-    beside = groups.filter("whole > 0").join(stretches, "lang").select(F.col("stretch").alias("of"), "source", "size", "whole")
-    parts = cut(merged.groupBy("stretch").cogroup(beside.groupBy("of")).applyInArrow(_walked(top), PART), "parts")
-    sums = parts.filter("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    beside = groups.filter("whole > 0").join(stretches, "lang").select(F.col("lang").alias("of"), F.col("stretch").alias("at"), "source", "size", "whole")
+    parts = cut(merged.groupBy("lang", "stretch").cogroup(beside.groupBy("of", "at")).applyInArrow(_walked(top), PART), "parts")
+    sums = cut(parts.filter("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")), "sums")
+    sums = sums.unionByName(sums.select("lang", F.col("item").alias("source"), "part", F.col("source").alias("item"), "value"))
     other = groups.select("lang", F.col("source").alias("item"))
     pairs = groups.select("lang", "source").join(other, "lang").filter("source <> item").withColumn("part", F.lit("pair"))
     pairs = pairs.join(sums, ["lang", "source", "part", "item"], "left").withColumn("value", F.coalesce("value", F.lit(0)))

@@ -137,7 +137,7 @@ def test_divergence_against_plain_counts(spark, monkeypatch):
     got = divergence.source_divergence(docs(spark, rows).repartition(3), least=4, top=2)
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
     assert sorted(map(tuple, got.collect())) == plain_divergence(rows, 4, 2)
-    for name, small in (("TRIE", 3), ("MERGED_ROWS", 7), ("TERMS", 2), ("TILE", 2)):
+    for name, small in (("TRIE", 3), ("MERGED_ROWS", 7), ("STRETCH", 9), ("TILE", 2)):
         monkeypatch.setattr(divergence, name, small)
     assert sorted(map(tuple, divergence.source_divergence(docs(spark, rows).repartition(2), least=4).collect())) == plain_divergence(rows, 4)
 
