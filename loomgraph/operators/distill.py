@@ -78,13 +78,17 @@ def limited(entities: DataFrame, n: int) -> DataFrame:
 def map_labels(rows: DataFrame, label_col: str, schema: DataFrame | None, out: str) -> DataFrame:
     """rows with `out`: the uri of the first schema label, by ord, that equals or holds the row's label; null without any.
 
-    The empty label is held by every other. Schema labels are few; distinct row labels are matched, not rows."""
+    The empty label is held by every other. Distinct row labels are matched, not rows, and by an index of the schema: a label is looked
+    up by its first three letters among the runs of up to three letters of the schema's labels, and what is found is verified."""
     if schema is None:
         return rows.withColumn(out, F.lit(None).cast("string"))
     low = F.lower(F.col(label_col))
     s = schema.select(F.col("ord"), F.col("uri").alias("s_uri"), F.lower("label").alias("s_label"))
-    labels = rows.select(low.alias("low")).distinct()
-    matched = labels.join(s, F.contains(F.col("s_label"), F.col("low"))).groupBy("low").agg(F.min(F.struct("ord", "s_uri")).alias("m"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("s_label"), F.lit(1))), lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.substring("s_label", i, n)))
+    index = s.filter("s_label is not null").select("ord", "s_uri", "s_label", F.explode(F.array_distinct(F.flatten(runs))).alias("key")).filter("key <> ''")
+    first = s.filter("s_label is not null").agg(F.min(F.struct("ord", "s_uri", "s_label")).alias("x")).filter("x is not null").select("x.*", F.lit("").alias("key"))
+    labels = rows.select(low.alias("low")).distinct().withColumn("key", F.substring("low", 1, 3))
+    matched = labels.join(index.unionByName(first), "key").filter(F.contains(F.col("s_label"), F.col("low"))).groupBy("low").agg(F.min(F.struct("ord", "s_uri")).alias("m"))
     return rows.join(matched.select("low", F.col("m.s_uri").alias(out)), low == F.col("low"), "left").drop("low")
 
 

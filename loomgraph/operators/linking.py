@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.partitions import places
 from ..plans.written import written
 
 #: How many profiles follow one in a sorted neighbourhood that it is compared with.
@@ -35,24 +36,9 @@ def _weights(rows: DataFrame, column: str, n: int) -> DataFrame:
     return each.join(rare, "item").groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("item", "w"))).alias(column))
 
 
-def _places(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with `place`, their number in the order of the keys: sorted by ranges, numbered within each and moved on by the sizes of the
-    ranges before (as many numbers as there are partitions)."""
-    x = written(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()), "sorted")
-    part, own = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = {r.part: r.n for r in x.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
-    before, total = [], 0
-    for k in range(max(sizes, default=-1) + 1):
-        before.append(total)
-        total += sizes.get(k, 0)
-    if not before:
-        return x.withColumn("place", own).drop("at")
-    return x.withColumn("place", own + F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), (part + 1).cast("int"))).drop("at")
-
-
 def _neighbourhood(rows: DataFrame, keys: list[str], same: str | None, window: int) -> DataFrame:
     """(a, b): profiles within `window` places of each other in the order of the keys (and alike in the column `same`)."""
-    x = _places(rows, keys)
+    x = places(rows, keys)
     same_columns = [same] if same else []
     ahead = x.select(F.col("pid").alias("b"), "place", *[F.col(c).alias("same") for c in same_columns])
     back = x.select(F.col("pid").alias("a"), F.explode(F.sequence(F.col("place") + 1, F.col("place") + window)).alias("place"), *[F.col(c).alias("same") for c in same_columns])

@@ -47,7 +47,8 @@ class HashedNgrams:
     def __call__(self, rows: DataFrame, text_col: str = "text") -> DataFrame:
         low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
         grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (self.n - 1), F.lit(1))), lambda i: F.substring(low, i, F.lit(self.n)))
-        places = F.transform(grams, lambda g: F.pmod(F.crc32(g.cast("binary")), F.lit(self.dim)).cast("int"))
+        number = lambda g: F.conv(F.substring(F.md5(g.cast("binary")), 1, 8), 16, 10).cast("long")
+        places = F.transform(grams, lambda g: F.pmod(number(g), F.lit(self.dim)).cast("int"))
         counts = F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)), lambda i: F.size(F.filter("places", lambda p: p == i)).cast("float"))
         return rows.withColumn("places", places).withColumn("vec", counts).drop("places")
 

@@ -177,6 +177,34 @@ w AS (
   SELECT start, walk, next, path || '>' || next, step + 1 FROM w JOIN arc ON node = here
     AND place = ('0x' || left(md5('42|' || start || '|' || walk || '|' || (step + 1)), 8))::BIGINT % degree WHERE step < 3)""",
 )
+#: A step of the biased walks: the first of the tries whose neighbour is taken. Weights are those of p = 1/2 and q = 2, of the greatest.
+_STEP = """,
+s{n} AS (
+  SELECT start, walk, arg_min(next, try) AS here, any_value(here) AS prev, any_value(path) || '>' || arg_min(next, try) AS path FROM (
+    SELECT w.*, a.next, try, CASE WHEN prev IS NULL THEN 1.0 WHEN a.next = prev THEN 1.0 WHEN c.node IS NOT NULL THEN 0.5 ELSE 0.25 END AS weight
+    FROM (SELECT s{m}.*, try, ('0x' || left(md5('42|' || start || '|' || walk || '|{n}|' || try || '|place'), 8))::BIGINT AS drawn FROM s{m}, range(80) t(try)) w
+    JOIN (SELECT node, degree FROM arc WHERE place = 0) d ON d.node = w.here JOIN arc a ON a.node = w.here AND a.place = w.drawn % d.degree
+    LEFT JOIN (SELECT DISTINCT node, next FROM arc) c ON c.node = w.prev AND c.next = a.next)
+  WHERE (('0x' || left(md5('42|' || start || '|' || walk || '|{n}|' || try || '|take'), 8))::BIGINT + 0.5) / 4294967296::DOUBLE < weight GROUP BY start, walk)"""
+_kg(
+    "kg_biased_walks",
+    "SELECT start, walk, path FROM s3",
+    """arc AS MATERIALIZED (SELECT node, next, row_number() OVER (PARTITION BY node ORDER BY md5(next), next) - 1 AS place, count(*) OVER (PARTITION BY node) AS degree FROM (
+  SELECT DISTINCT s AS node, o AS next FROM kg UNION SELECT DISTINCT o, s FROM kg)),
+s0 AS (SELECT node AS start, walk::INTEGER AS walk, node AS here, NULL::VARCHAR AS prev, node AS path FROM (SELECT DISTINCT node FROM arc), range(2) g(walk))"""
+    + "".join(_STEP.format(n=n, m=n - 1) for n in (1, 2, 3)),
+)
+_put(
+    "text_topk",
+    """WITH b AS (SELECT item_id, lower(coalesce(text, '')) AS t FROM benchmark UNION ALL SELECT NULL, 'the thing that was'),
+g AS (SELECT row_number() OVER () AS r, item_id, t FROM b),
+n AS (SELECT r, item_id, ('0x' || left(md5(substr(t, i::BIGINT, 3)), 8))::BIGINT % 64 AS k FROM (SELECT *, unnest(range(1, greatest(length(t) - 2, 1) + 1)) AS i FROM g)),
+c AS (SELECT r, item_id, k, count(*)::DOUBLE AS n FROM n GROUP BY ALL),
+q AS (SELECT k, n FROM c WHERE item_id IS NULL),
+l AS (SELECT r, item_id, sqrt(sum(n * n)) AS size FROM c GROUP BY ALL),
+s AS (SELECT l.item_id AS doc_id, coalesce(sum(c.n * q.n), 0) / any_value(l.size) / (SELECT sqrt(sum(n * n)) FROM q) AS x FROM l JOIN c USING (r) LEFT JOIN q ON q.k = c.k WHERE l.item_id IS NOT NULL GROUP BY l.r, l.item_id)
+SELECT doc_id, round(x, 6) AS similarity FROM s ORDER BY x DESC, doc_id LIMIT 5""",
+)
 _kg("kg_ntriples", "SELECT '<' || s || '> <' || p || '> <' || o || '> .' AS value FROM kg")
 _kg("kg_ntriples_read", "SELECT s, p, o, false AS o_is_literal FROM kg")
 _kg("kg_turtle", "SELECT '<' || s || '>' AS s, '<' || s || '> ' || string_agg(po, ' ;' || chr(10) || '    ' ORDER BY po) || ' .' AS block FROM (SELECT s, '<' || p || '> <' || o || '>' AS po FROM kg) GROUP BY s")

@@ -10,8 +10,8 @@ from ..operators.ontology import Ontology
 from .turtle import read_turtle
 
 BLANK = r"_:[^\s.]+(?:\.+[^\s.]+)*"
-#: Escaped backslashes and quotes are masked by characters that no text holds, so that a literal ends at the next quote and no
-#: pattern recurses over long ones.
+#: Escaped backslashes and quotes are masked, so that a literal ends at the next quote and no pattern recurses over long ones. Where a
+#: line holds a mask itself, that is written as an escape first.
 MASKS = (("\\\\", "\ufdd0"), ('\\"', "\ufdd1"))
 TERM = rf'(<[^>]*>|{BLANK}|"[^"]*"(?:\^\^<[^>]*>|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?)'
 LINE = rf"^\s*{TERM}\s+(<[^>]*>)\s+{TERM}\s*\.\s*(?:#.*)?$"
@@ -44,14 +44,23 @@ def _term(raw: Column) -> Column:
     return F.coalesce(_unescaped(inner), raw)
 
 
-def parse_ntriples(lines: DataFrame, col: str = "value") -> DataFrame:
-    """s, p, o, o_is_literal, o_lang, o_type of the lines that hold a statement; others are left out."""
+def parse_ntriples(lines: DataFrame, col: str = "value", malformed: str = "raise") -> DataFrame:
+    """s, p, o, o_is_literal, o_lang, o_type of the lines that hold a statement. Null and empty lines and remarks hold none; any other line
+    is an error when it is read, or is left out if malformed is "drop"."""
+    if malformed not in ("raise", "drop"):
+        raise ValueError(f"malformed is raise or drop, not {malformed!r}")
     masked = F.col(col)
+    for _, mask in MASKS:
+        masked = F.replace(masked, F.lit(mask), F.lit(f"\\u{ord(mask):04X}"))
     for escape, mask in MASKS:
         masked = F.replace(masked, F.lit(escape), F.lit(mask))
     lines = lines.select(masked.alias("line"))
     at = lambda i: F.regexp_extract("line", LINE, i)
-    rows = lines.filter(F.col("line").rlike(LINE)).select(at(1).alias("a"), at(2).alias("b"), at(3).alias("c"))
+    whole = F.col("line").rlike(LINE)
+    if malformed == "raise":
+        blank = F.col("line").isNull() | F.col("line").rlike(r"^\s*(?:#.*)?$")
+        whole = F.when(whole, True).when(blank, False).otherwise(F.raise_error(F.concat(F.lit("not a statement of N-Triples: "), F.substring("line", 1, 200))).cast("boolean"))
+    rows = lines.filter(whole).select(at(1).alias("a"), at(2).alias("b"), at(3).alias("c"))
     tail = F.when(F.startswith("c", F.lit('"')), F.regexp_extract("c", r'(?s)^"[^"]*"(.*)$', 1))
     lang = F.when(F.startswith(tail, F.lit("@")), F.substring(tail, F.lit(2), F.length(tail)))
     kind = F.when(F.startswith(tail, F.lit("^^")), _unescaped(F.substring(tail, F.lit(4), F.length(tail) - 4)))
@@ -61,8 +70,8 @@ def parse_ntriples(lines: DataFrame, col: str = "value") -> DataFrame:
     )
 
 
-def read_ntriples(spark: SparkSession, path: str) -> DataFrame:
-    return parse_ntriples(spark.read.text(path))
+def read_ntriples(spark: SparkSession, path: str, malformed: str = "raise") -> DataFrame:
+    return parse_ntriples(spark.read.text(path), malformed=malformed)
 
 
 def _node(col: Column) -> Column:

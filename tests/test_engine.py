@@ -254,6 +254,13 @@ def test_escapes_tags_and_blank_nodes(spark):
     text = "\n".join(r.value for r in lines.collect())
     assert set(parse_turtle(text)) == set(rows)
     odd = spark.createDataFrame([('<a> <p> "caf\\u00E9 \\uD83D\\uDE00 \\U0001F600 \\\\n"@en .',), ("# no statement",), ("_:a.b <p> _:c . # so",)], "value string")
+    assert rdf.parse_ntriples(spark.createDataFrame([("",), (None,), ("  # x",)], "value string")).count() == 0
+    broken = spark.createDataFrame([("<a> <b> broken .",), ("<a> <b> <c> .",)], "value string")
+    with pytest.raises(Exception, match="not a statement"):
+        rdf.parse_ntriples(broken).collect()
+    assert rdf.parse_ntriples(broken, malformed="drop").count() == 1
+    masks = spark.createDataFrame([("a", "b", "\ufdd0y \ufdd1 \\ \" x", True)], "s string, p string, o string, o_is_literal boolean")
+    assert [r.o for r in rdf.parse_ntriples(rdf.ntriples(masks)).collect()] == ["\ufdd0y \ufdd1 \\ \" x"]
     assert {(r.s, r.o, r.o_lang) for r in rdf.parse_ntriples(odd).collect()} == {("a", "caf\u00e9 \U0001f600 \U0001f600 \\n", "en"), ("_:a.b", "_:c", None)}
 
 
@@ -371,3 +378,34 @@ def test_inferred_types(spark):
     e = spark.createDataFrame([("a", ["X"]), ("b", None), ("c", None)], "uri string, inferred_types array<string>")
     types = spark.createDataFrame([("a", "Y"), ("b", "Z"), ("b", "W")], "uri string, type string")
     assert {r.uri: r.inferred_types for r in ontology.with_inferred_types(e, types).collect()} == {"a": ["X"], "b": ["W", "Z"], "c": None}
+
+
+def test_axioms_of_files(spark, tmp_path):
+    """Equivalence, property characteristics, inverses; several domains hold together, disjointness of any number of classes."""
+    (tmp_path / "o.owl").write_text("""<rdf:RDF>
+<owl:Class rdf:about="A"><owl:equivalentClass rdf:resource="B"/></owl:Class>
+<owl:ObjectProperty rdf:about="p"><rdf:type rdf:resource="http://www.w3.org/2002/07/owl#FunctionalProperty"/><rdf:type rdf:resource="http://www.w3.org/2002/07/owl#TransitiveProperty"/>
+<owl:inverseOf rdf:resource="q"/><rdfs:subPropertyOf rdf:resource="r"/><rdfs:domain rdf:resource="A"/><rdfs:domain rdf:resource="C"/></owl:ObjectProperty>
+<owl:DatatypeProperty rdf:about="d"><owl:equivalentProperty rdf:resource="e"/></owl:DatatypeProperty>
+<owl:SymmetricProperty rdf:about="s"/><owl:FunctionalProperty rdf:about="d"/>
+</rdf:RDF>""")
+    o = rdf.read_owl(spark, str(tmp_path / "o.owl"))
+    got = {(r.axiom_type, *r.components) for r in o.axioms.collect()}
+    assert got == {
+        ("EquivalentClasses", "A", "B"), ("FunctionalObjectProperty", "p"), ("TransitiveObjectProperty", "p"), ("InverseObjectProperties", "p", "q"), ("SubObjectPropertyOf", "p", "r"),
+        ("ObjectPropertyDomain", "p", "A"), ("ObjectPropertyDomain", "p", "C"), ("EquivalentDataProperties", "d", "e"), ("SymmetricObjectProperty", "s"), ("FunctionalDataProperty", "d"),
+    }
+    types = spark.createDataFrame([("x", "A"), ("y", "A"), ("y", "C"), ("z", "D"), ("z", "E")], "uri string, type string")
+    facts = triples(spark, [("x", "p", "w"), ("y", "p", "w"), ("w", "t", "z"), ("v", "d", "1"), ("v", "d", "2")])
+    p = verify.Policies()
+    p.add_ontology(o)
+    p.add("apart", [("DisjointClasses", ["C", "D", "E"])])
+    assert {tuple(r) for r in p.refuted(facts, types).collect()} == {("x", "p", "w"), ("w", "t", "z"), ("v", "d", "1"), ("v", "d", "2")}
+
+
+def test_labels_by_index(spark):
+    schema = spark.createDataFrame([(2, "u2", "Located In"), (0, "u0", None), (1, "u1", "in"), (3, "u3", ""), (4, "u4", "é x")], "ord int, uri string, label string")
+    labels = spark.createDataFrame([("",), ("in",), ("IN",), ("located in",), ("catedx",), (" ",), ("É",), (None,), ("xyz",)], "l string")
+    got = {r.l: r.m for r in D.map_labels(labels, "l", schema, "m").collect()}
+    assert got == {"": "u1", "in": "u1", "IN": "u1", "located in": "u2", "catedx": None, " ": "u2", "É": "u4", None: None, "xyz": None}
+    assert {r.m for r in D.map_labels(labels, "l", schema.limit(0), "m").collect()} == {None}

@@ -250,3 +250,42 @@ def test_growing_closure(spark, tmp_path):
         g.extend(frame(edges[:2]), 99)
         got = [tuple(x) for x in g.pairs().collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+# Translation embeddings.
+
+
+@pytest.mark.parametrize("method", ["transe", "distmult"])
+def test_translation_equals_a_plain_run(spark, method):
+    """Two epochs against plain numpy, from the same start and the same corrupted tails."""
+    from loomgraph.config import EmbeddingConfig
+    from loomgraph.operators.translate import _start, corrupted, train_translation
+
+    r = random.Random(7)
+    rows = sorted({(f"n{r.randrange(8)}", f"p{r.randrange(2)}", f"n{r.randrange(8)}") for _ in range(16)})
+    facts = spark.createDataFrame(rows, "s string, p string, o string")
+    cfg = EmbeddingConfig(embedding_dim=6, epochs=2)
+    names = spark.createDataFrame([(n,) for n in sorted({x for s, _, o in rows for x in (s, o)})], "uri string")
+    vec = {x.uri: np.array(x.v) for x in _start(names, "uri", 6, cfg.seed).collect()}
+    rel = {x.p: np.array(x.v) for x in _start(facts.select("p").distinct(), "p", 6, cfg.seed + 1).collect()}
+    for epoch in range(2):
+        bad = {(x.s, x.p, x.o): x.bad for x in corrupted(facts, epoch, cfg.seed).collect()}
+        assert set(bad) == set(rows) and all(any(b == o2 and p2 == p for _, p2, o2 in rows) or b == s for (s, p, _), b in bad.items())
+        grads: dict = {}
+        for (s, p, o), b in bad.items():
+            if method == "transe":
+                gap, lie = vec[s] + rel[p] - vec[o], vec[s] + rel[p] - vec[b]
+                g = gap - 0.5 * lie
+                steps = [("e", s, g), ("e", o, -gap), ("e", b, 0.5 * lie), ("r", p, g)]
+            else:
+                d = vec[b] - vec[o]
+                steps = [("e", s, rel[p] * d), ("e", o, -vec[s] * rel[p]), ("e", b, vec[s] * rel[p]), ("r", p, vec[s] * d)]
+            for kind, name, g in steps:
+                grads.setdefault((kind, name), []).append(g)
+        for kind, table in (("e", vec), ("r", rel)):
+            for name in table:
+                if (kind, name) in grads:
+                    x = table[name] - 0.05 * np.mean(grads[kind, name], axis=0)
+                    table[name] = x / max(1.0, np.linalg.norm(x))
+    got = {x.uri: np.array(x.vec) for x in train_translation(facts.union(spark.createDataFrame([(None, "p0", "n1")], facts.schema)), cfg, method).collect()}
+    assert set(got) == set(vec) and all(np.allclose(got[n], vec[n], atol=1e-5) for n in vec)
