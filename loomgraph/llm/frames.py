@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.partitions import balanced
+from ..plans.written import shared_dir
 
 #: Rows and bytes of a record batch that a Python worker gets at once; the kernels cut it further.
 ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Where none is set, a temporary one on a single machine, as in tests; a cluster
-    must name one, as its executors do not see each other's folders."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 _written: list[str] = []
 
 

@@ -217,8 +217,9 @@ def simhash_groups(
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Near copies: words of a shingle of their fingerprints and of their similarity, least similarity, radii of the passes.
-SKETCH_WORDS, SIMILAR_WORDS, SIMILARITY, RADII = 2, 5, 0.8, (2, 6)
+#: Near copies: words of a shingle of their fingerprints and of their similarity, least similarity; of each pass the radius and the
+#: seed of its fingerprints. Fingerprints of several seeds miss different pairs.
+SKETCH_WORDS, SIMILAR_WORDS, SIMILARITY, PASSES = 2, 5, 0.8, ((2, SEED), (6, SEED), (6, SEED + 1), (6, SEED + 2))
 
 
 def _shingles(text: str, k: int) -> set[int]:
@@ -298,14 +299,14 @@ def _led(src: DataFrame, members: DataFrame, k: int, least: float) -> DataFrame:
 
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = SIMILAR_WORDS,
-    sketch_words: int = SKETCH_WORDS, radii: tuple[int, ...] = RADII,
+    sketch_words: int = SKETCH_WORDS, passes: tuple[tuple[int, int], ...] = PASSES,
 ) -> DataFrame:
     """doc_id, t (md5 of the text), leader: one row per input row with an id; leader is the id of the document that stands for it.
 
     A document is only given a leader whose shingles of `words` words are like its own (Jaccard) to `similarity` or more;
     equal texts are led by the least id. Candidates come from fingerprints of shingles of `sketch_words` words, which few
-    changed words move less: the first pass takes links of radii[0] bits, where families of any size are found in linear time,
-    each further pass the leaders that are left and a wider radius. Of the texts of a component, the one of least id leads
+    changed words move less: the first of the passes (radius, seed) takes links of few bits, where families of any size are found in linear
+    time, each further pass the leaders that are left, a wider radius or fingerprints of another seed. Of the texts of a component, the one of least id leads
     all that are like it, then the least of the others, until each has a leader.
 
     Null texts count as empty; texts without words are like each other and like no others. Rows without an id take no part.
@@ -315,14 +316,18 @@ def near_copies(
     arrow_rows(spark)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text")).filter("doc_id is not null").withColumn("t", F.md5(F.col("text").cast("binary")))
-    fps = cut(src.select(F.struct("doc_id", "t").alias("doc_id"), "text").mapInArrow(_fingerprint(sketch_words, SEED), "doc_id struct<doc_id:bigint,t:string>, fp long").select("doc_id.*", "fp"), "fps")
-    left = cut(fps.groupBy("t", "fp").agg(F.min("doc_id").alias("doc")), "texts")
-    leads = left.select("t", F.col("t").alias("leader_t"), F.col("doc").alias("leader"))
-    for radius in radii:
-        rooted = rooted_fingerprints(left.select("fp").distinct(), radius)
-        found = cut(_led(src, left.join(rooted, "fp").select("root", "t", "doc"), words, similarity), "led")
+    ids = cut(src.select("doc_id", "t"), "ids")
+    left = cut(ids.groupBy("t").agg(F.min("doc_id").alias("doc")), "texts")
+    leads, sketches = left.select("t", F.col("t").alias("leader_t"), F.col("doc").alias("leader")), {}
+    for radius, seed in passes:
+        if seed not in sketches:
+            made = src.select(F.col("t").alias("doc_id"), "text").mapInArrow(_fingerprint(sketch_words, seed), "doc_id string, fp long")
+            sketches[seed] = cut(made.select(F.col("doc_id").alias("t"), "fp").distinct(), "sketches")
+        known = cut(left.join(sketches[seed], "t"), "sketched")
+        rooted = rooted_fingerprints(known.select("fp").distinct(), radius)
+        found = cut(_led(src, known.join(rooted, "fp").select("root", "t", "doc"), words, similarity), "led")
         moved = found.filter("t <> leader_t").select(F.col("t").alias("leader_t"), F.col("leader_t").alias("next_t"), F.col("leader").alias("next"))
         leads = leads.join(moved, "leader_t", "left").select("t", F.coalesce("next_t", "leader_t").alias("leader_t"), F.coalesce("next", "leader").alias("leader"))
         leads = cut(leads, "leads")
         left = cut(left.join(moved.select(F.col("leader_t").alias("t")), "t", "left_anti"), "texts")
-    return fps.select("doc_id", "t").join(leads.select("t", "leader"), "t").select("doc_id", "t", "leader")
+    return ids.join(leads.select("t", "leader"), "t").select("doc_id", "t", "leader")
