@@ -289,3 +289,46 @@ def test_translation_equals_a_plain_run(spark, method):
                     table[name] = x / max(1.0, np.linalg.norm(x))
     got = {x.uri: np.array(x.vec) for x in train_translation(facts.union(spark.createDataFrame([(None, "p0", "n1")], facts.schema)), cfg, method).collect()}
     assert set(got) == set(vec) and all(np.allclose(got[n], vec[n], atol=1e-5) for n in vec)
+
+
+# Turtle in splits.
+
+
+def test_turtle_in_splits(spark, tmp_path):
+    """Every size of a split gives what the whole-file reader gives, up to the names of nodes without one."""
+    import re
+
+    from loomgraph.sources.turtle import TurtleError, parse_turtle, read_turtle, read_whole_turtle
+
+    text = '''@prefix ex: <http://e/> . @base <http://b/> .
+ex:a a ex:T ; # a remark with . and """ in it
+  ex:p "x . y"@en , 'q.' , """long . with
+lines . and "quotes" ""
+  @prefix ex: <no> . """ , 1.5 , <rel.ative> ;
+  ex:q [ ex:r _:b1 ; ex:s ( 1 "two." 3.0 ) ] .
+PREFIX f:
+  <http://f/>
+f:x.y ex:p \'\'\'single . "double" """ three
+end.\'\'\' . f:z f:p ex:a.b, "\\"."
+  .
+@prefix ex: <http://later/> .
+ex:c ex:d ex:e .ex:f ex:g ex:h .
+[] ex:p "last" .
+'''
+    for name, body in (("a.ttl", text), ("b.ttl", text.replace("ex:a", "ex:bb") * 1), ("c.ttl", "")):
+        (tmp_path / name).write_text(body)
+    shape = lambda rows: sorted(tuple(re.sub("_:n.*", "_:n", str(v)) for v in r) for r in rows)
+    want = shape(read_whole_turtle(spark, str(tmp_path)).collect())
+    assert len(want) == 2 * len(parse_turtle(text)) and len(want) > 40
+    for size in ("19b", "300b"):
+        session = spark.newSession()
+        session.conf.set("spark.sql.files.maxPartitionBytes", size)
+        session.conf.set("spark.sql.files.openCostInBytes", "0b")
+        got = read_turtle(session, str(tmp_path)).collect()
+        assert shape(got) == want, size
+        nodes = {r.s for r in got if r.s.startswith("_:n")}
+        assert len(nodes) == len({r.s for r in read_whole_turtle(spark, str(tmp_path)).collect() if r.s.startswith("_:n")})
+    (tmp_path / "broken.ttl").write_text('<a> <b> """never closed .\n<c> <d> <e> .\n')
+    with pytest.raises(Exception, match="not closed|cannot read"):
+        read_turtle(spark, str(tmp_path)).collect()
+    assert issubclass(TurtleError, ValueError)
