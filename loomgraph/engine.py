@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .config import Config
 from .functions import scores
 from .operators import distill as D
-from .operators import graph, kg, ontology, similarity, verify
+from .operators import el, graph, kg, linking, ontology, rules, similarity, verify
 from .operators.extract import RuleExtractor
 from .plans.partitions import balanced
 from .plans.prompts import LanguageModel
@@ -73,6 +73,28 @@ class Engine:
             raise ValueError("a question in words needs a language model")
         return sparql(self.model.to_sparql(question, self.ontology.prompt_schema() if self.ontology else ""), triples)
 
+    def reason(self, triples: DataFrame, program: str = rules.OWL_RL, **relations: DataFrame) -> dict[str, DataFrame]:
+        """What rules derive from the graph (triple, and type of its rdf:type statements), the loaded ontology's relations and any others
+        that are given: a table for each predicate that the rules define."""
+        return rules.evaluate(program, self._known(triples) | relations)
+
+    def explain(self, triples: DataFrame, predicate: str, program: str = rules.OWL_RL, **relations: DataFrame) -> DataFrame:
+        """Every minimal set of given facts that is enough for each row of a derived predicate."""
+        return rules.supports(program, self._known(triples) | relations, predicate)
+
+    def _known(self, triples: DataFrame) -> dict[str, DataFrame]:
+        typed = F.col("p") == ontology.TYPE
+        return {"triple": triples.filter(~typed).select("s", "p", "o"), "type": triples.filter(typed).select("s", "o")} | (self.ontology or ontology.empty(self.spark)).relations()
+
+    def classify(self) -> DataFrame:
+        """(child, parent): the subsumptions that follow from the loaded ontology."""
+        if self.ontology is None:
+            raise ValueError("no ontology is loaded")
+        return el.classify(self.ontology.axioms, self.ontology.classes)
+
+    def link_entities(self, mentions: DataFrame, links: DataFrame | None = None) -> DataFrame:
+        return linking.link_entities(mentions, links)
+
     def build_embeddings(self, triples: DataFrame, method: str = "rdf_walk") -> DataFrame:
         return graph.embed(triples, self.config.embedding, method)
 

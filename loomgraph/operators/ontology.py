@@ -75,6 +75,18 @@ class Ontology:
         rest = a.filter("axiom_type not in ('EquivalentClasses', 'SubClassOf')")
         return split.select(F.lit("SubClassOf").alias("axiom_type"), "components").unionByName(rest)
 
+    def relations(self) -> dict[str, DataFrame]:
+        """The schema as relations of the rules in `rules.OWL_RL`: its axioms and the classes' parents."""
+        a = self.normalized()
+        of = lambda kinds, n: a.filter(F.col("axiom_type").isin(kinds) & (F.size("components") == n)).select(*[F.col("components")[k].alias(f"c{k}") for k in range(n)])
+        same = of(["EquivalentObjectProperties", "EquivalentDataProperties"], 2)
+        return {
+            "subproperty": of(["SubObjectPropertyOf", "SubDataPropertyOf"], 2).unionByName(same).unionByName(same.select(F.col("c1").alias("c0"), F.col("c0").alias("c1"))),
+            "chain": of(["SubObjectPropertyOf"], 3), "transitive": of(["TransitiveObjectProperty"], 1), "symmetric": of(["SymmetricObjectProperty"], 1), "inverse": of(["InverseObjectProperties"], 2),
+            "domain": of(["ObjectPropertyDomain"], 2), "range": of(["ObjectPropertyRange"], 2),
+            "subclass": of(["SubClassOf"], 2).unionByName(self.subclass_pairs().select(F.col("child").alias("c0"), F.col("parent").alias("c1"))),
+        }
+
     def prompt_schema(self, n: int = 20) -> str:
         """The first n classes and object properties as prompt lines."""
         line = lambda r: f"- {r.label}: {r.description or ''}"

@@ -409,3 +409,21 @@ def test_labels_by_index(spark):
     got = {r.l: r.m for r in D.map_labels(labels, "l", schema, "m").collect()}
     assert got == {"": "u1", "in": "u1", "IN": "u1", "located in": "u2", "catedx": None, " ": "u2", "É": "u4", None: None, "xyz": None}
     assert {r.m for r in D.map_labels(labels, "l", schema.limit(0), "m").collect()} == {None}
+
+
+def test_reasoning_of_the_engine(spark, tmp_path):
+    """The loaded ontology's axioms as rules over a graph, what each result rests on, and its classification."""
+    (tmp_path / "o.owl").write_text("""<rdf:RDF>
+<owl:Class rdf:about="Dog"><rdfs:subClassOf rdf:resource="Animal"/><owl:equivalentClass rdf:resource="Hound"/></owl:Class><owl:Class rdf:about="Animal"/>
+<owl:ObjectProperty rdf:about="owns"><rdfs:range rdf:resource="Dog"/><owl:inverseOf rdf:resource="ownedBy"/></owl:ObjectProperty></rdf:RDF>""")
+    e = Engine(spark)
+    with pytest.raises(ValueError, match="ontology"):
+        e.classify()
+    e.load_ontology(str(tmp_path / "o.owl"))
+    graph_ = triples(spark, [("ann", "owns", "rex"), ("tom", ontology.TYPE, "Animal")])
+    out = e.reason(graph_)
+    assert {tuple(r) for r in out["triple"].collect()} == {("ann", "owns", "rex"), ("rex", "ownedBy", "ann")}
+    assert {tuple(r) for r in out["type"].collect()} == {("tom", "Animal"), ("rex", "Dog"), ("rex", "Hound"), ("rex", "Animal")}
+    why = {(r.c0, r.c1): r.why for r in e.explain(graph_, "type").collect()}
+    assert why["rex", "Dog"] == ["range(owns, Dog)", "triple(ann, owns, rex)"] and why["tom", "Animal"] == ["type(tom, Animal)"]
+    assert {tuple(r) for r in e.classify().collect()} == {("Dog", "Animal"), ("Hound", "Animal"), ("Dog", "Hound"), ("Hound", "Dog")}
