@@ -18,7 +18,7 @@ from ..plans.written import written
 #: How many profiles follow one in a sorted neighbourhood that it is compared with.
 WINDOW = 12
 #: Of a pair's score: the share of its words, of its letters, of its neighbours; and the score from which two are one entity.
-WORDS, LETTERS, AROUND, SAME = 0.55, 0.15, 0.3, 0.7
+WORDS, LETTERS, AROUND, SAME = 0.55, 0.15, 0.3, 0.65
 #: The share of a word's letters from which another spelling counts.
 NEAR = 0.65
 
