@@ -22,12 +22,13 @@ def written() -> int:
     return len(_written)
 
 
-def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
-    """Delete the tables that `cut` wrote in this process, from the `since`th on and all but the last if that is kept, once no
-    result that reads them is needed."""
+def release(spark: SparkSession, since: int = 0, keep_last: bool = False, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the tables that `cut` wrote in this process, from the `since`th on, all but the last if that is kept and those of
+    keep, once no result that reads them is needed."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    gone = _written[since : len(_written) - keep_last]
-    del _written[since : len(_written) - keep_last]
+    kept = {t.cut_path for t in keep}
+    gone = [w for w in _written[since : len(_written) - keep_last] if w not in kept]
+    _written[:] = [w for w in _written if w not in gone]
     for where in gone:
         path = jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(conf).delete(path, True)

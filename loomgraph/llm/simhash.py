@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .frames import arrow_rows, cut
+from .frames import arrow_rows, cut, release, written
 from .kernels import Texts, Words, column, normalised, pieces
 
 BITS, RADIUS, SHINGLE, SEED, BUCKET_CAP = 64, 2, 3, 42, 256
@@ -219,7 +219,7 @@ def simhash_groups(
 
 #: Near copies: words of a shingle of their fingerprints and of their similarity, least similarity; of each pass the radius and the
 #: seed of its fingerprints. Fingerprints of several seeds miss different pairs.
-SKETCH_WORDS, SIMILAR_WORDS, SIMILARITY, PASSES = 2, 5, 0.8, ((2, SEED), (6, SEED), (6, SEED + 1), (6, SEED + 2))
+SKETCH_WORDS, SIMILAR_WORDS, SIMILARITY, PASSES = 2, 5, 0.8, ((2, SEED), (6, SEED), (6, SEED + 1))
 
 
 def _shingles(text: str, k: int) -> set[int]:
@@ -320,6 +320,7 @@ def near_copies(
     left = cut(ids.groupBy("t").agg(F.min("doc_id").alias("doc")), "texts")
     leads, sketches = left.select("t", F.col("t").alias("leader_t"), F.col("doc").alias("leader")), {}
     for radius, seed in passes:
+        since = written()
         if seed not in sketches:
             made = src.select(F.col("t").alias("doc_id"), "text").mapInArrow(_fingerprint(sketch_words, seed), "doc_id string, fp long")
             sketches[seed] = cut(made.select(F.col("doc_id").alias("t"), "fp").distinct(), "sketches")
@@ -330,4 +331,6 @@ def near_copies(
         leads = leads.join(moved, "leader_t", "left").select("t", F.coalesce("next_t", "leader_t").alias("leader_t"), F.coalesce("next", "leader").alias("leader"))
         leads = cut(leads, "leads")
         left = cut(left.join(moved.select(F.col("leader_t").alias("t")), "t", "left_anti"), "texts")
+        # What a pass wrote on its way is read by nothing any more.
+        release(spark, since, keep=(leads, left, *sketches.values()))
     return ids.join(leads.select("t", "leader"), "t").select("doc_id", "t", "leader")
