@@ -129,8 +129,11 @@ def score_triples(linked: DataFrame, max_triples: int) -> DataFrame:
 
 def summaries(extracted: DataFrame, triples: DataFrame, confidence_col: str = "confidence", method: str = "extractor", ontology_uri: str | None = None) -> DataFrame:
     """Per document: chunks, text length, triples, mean confidence (0 without triples) and its level, and how it was
-    extracted: the method and the ontology's iri (null without one)."""
-    agg = triples.groupBy("doc_id").agg(F.count("*").alias("n_triples"), F.avg(confidence_col).alias("mean"))
+    extracted: the method and the ontology's iri (null without one). The mean adds from a document's last triple
+    to its first, so that it rounds alike however the rows are dealt."""
+    last_first = F.sort_array(F.collect_list(F.struct("seq", F.col(confidence_col).alias("x"))), asc=False)
+    agg = triples.groupBy("doc_id").agg(F.count("*").alias("n_triples"), last_first.alias("xs"))
+    agg = agg.select("doc_id", "n_triples", (F.aggregate("xs", F.lit(0.0), lambda t, x: t + x["x"]) / F.col("n_triples")).alias("mean"))
     base = extracted.select("doc_id", F.length("text").cast("long").alias("text_length"), F.size("chunks").alias("n_chunks"))
     out = base.join(agg, "doc_id", "left").withColumn("confidence", F.coalesce("mean", F.lit(0.0)))
     return out.select(

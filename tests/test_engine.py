@@ -100,6 +100,26 @@ def test_messy_documents(spark):
     assert none.triples.count() == none.entities.count() == none.summary.count() == 0
 
 
+def test_names_within_words(spark):
+    from loomgraph.operators.extract import RuleExtractor
+
+    x = RuleExtractor()(spark.createDataFrame([(1, 'TOKEN = "9233A8ECF7"!! An iPhone, \u00c9t\u00e9_2.')], "doc_id long, text string"))
+    names = [[e.text for e in c.entities] for c in x.first().chunks]
+    assert names == [["TOKEN", "A8ECF7"], ["An", "Phone", "\u00c9t\u00e9_2"]]
+
+
+def test_mean_confidence_in_any_order(spark):
+    from itertools import accumulate
+
+    values = [0.825] * 7 + [0.8302499999999999] * 7 + [0.881] * 5 + [0.853] * 7 + [0.8354999999999999] * 5 + [0.8634999999999999]
+    extracted = spark.createDataFrame([(1, "x", [])], "doc_id long, text string, chunks array<string>")
+    rows = [(1, k, v) for k, v in enumerate(values)]
+    mean = list(accumulate(reversed(values)))[-1] / len(values)  # sum() would compensate
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: r[2]), rows[16:] + rows[:16]):
+        triples = spark.createDataFrame(order, "doc_id long, seq int, confidence double").coalesce(1)
+        assert D.summaries(extracted, triples).first().confidence == mean
+
+
 def test_spellings_and_limits(spark):
     docs = spark.createDataFrame([(1, "Foo-Bar is FooBar of Zed.")], "doc_id long, text string")
     answers = [respond(["Foo-Bar", "FooBar", "Zed"], [("FooBar", "of", "Zed"), ("Foo-Bar", "of", "Zed"), ("foo-bar", "by", "Zed"), ("Zed", "of", "Nobody")])]
