@@ -16,11 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.written import written
+
 #: Rows that centres and codebooks are fitted on at most (those of least hash); the model's size depends on this and not on the table's.
 SAMPLE = 20_000
 #: Centres at most; pieces of a code; words of a codebook at most; rows of a list's file at most.
 LISTS, PIECES, WORDS, FILE_ROWS = 1024, 8, 256, 500_000
-#: Queries that one pass over the store answers at most; more are answered in several.
+#: Queries that one pass over the store answers, about; more are dealt to several passes by the hash of their id.
 QUERIES_AT_ONCE = 1000
 
 
@@ -139,42 +141,72 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, prob
     many probes as lists and a refine that covers them, exactly. Of each query's rows refine * k are ranked by whole vectors. A query's own
     uri is left out unless own is set. Ties go to the smaller uri; queries without a direction have no answers.
 
-    Queries are the one side that is collected: give them in tables of up to QUERIES_AT_ONCE rows."""
-    model = load(spark, path)
-    asked = unit(queries).limit(QUERIES_AT_ONCE + 1).collect()
-    if len(asked) > QUERIES_AT_ONCE:
-        raise ValueError(f"more than {QUERIES_AT_ONCE} queries at once")
-    store = spark.read.parquet(f"{path}/rows")
-    kind = store.schema["uri"].dataType.simpleString()
+    The queries of one pass are collected; what a pass of several has found is written before the next."""
+    model, store = load(spark, path), spark.read.parquet(f"{path}/rows")
+    asked = unit(queries)
+    passes = max(1, -(-asked.count() // QUERIES_AT_ONCE))
+    if passes == 1:
+        return _answered(store, model, asked, k, probes, refine, own)
+    out = None
+    for i in range(passes):
+        mine = asked.filter(F.pmod(F.xxhash64(F.col("uri").cast("string")), F.lit(passes)) == i)
+        found = written(_answered(store, model, mine, k, probes, refine, own), "answers")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _least(by: np.ndarray, n: int) -> np.ndarray:
+    """The places of the n least, with all that tie with the last of them."""
+    return np.arange(len(by)) if len(by) <= n else np.flatnonzero(by <= np.partition(by, n - 1)[n - 1])
+
+
+def _answered(store: DataFrame, model: Model, queries: DataFrame, k: int, probes: int, refine: int, own: bool) -> DataFrame:
+    """One pass of search. A task keeps the best of each query over all its rows and sends only these on: by the codes refine * k, or k by
+    whole vectors where the codes would keep every row."""
+    spark, kind = store.sparkSession, store.schema["uri"].dataType.simpleString()
     schema = f"query {kind}, uri {kind}, gap double, similarity double"
+    asked = queries.collect()
     if not asked:
         return spark.createDataFrame([], schema).select("query", F.lit(1).alias("rank"), "uri", "similarity")
     names, q = [r.uri for r in asked], np.array([r.vec for r in asked], dtype=np.float64)
-    near = model.probes(q, probes)
     wanted: dict[int, list[int]] = {}
-    for i, lists in enumerate(near):
+    for i, lists in enumerate(model.probes(q, probes)):
         for x in lists:
             wanted.setdefault(int(x), []).append(i)
     keep = k * refine
+    whole = keep >= store.count()
+    exact = whole and probes >= len(model.centres)  # all lists for all queries: a batch needs no grouping
+    most = (k if whole else keep) + 1  # one more, as the query's own row may be among them
 
     def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, tuple] = {}
         for batch in batches:
-            out = []
-            for which, rows in batch.groupby("list"):
+            for which, rows in [(-1, batch)] if exact and len(batch) else batch.groupby("list"):
                 codes = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
-                vec, uri = np.stack(rows["vec"].to_numpy()).astype(np.float64), rows["uri"].to_numpy()
-                for i in wanted[int(which)]:
-                    gap = model.gaps(q[i], int(which), codes)
-                    best = np.argpartition(gap, min(keep, len(gap) - 1))[: keep + 1]  # one more, as the query's own row may be among them
-                    out.append(pd.DataFrame({"query": names[i], "uri": uri[best], "gap": gap[best], "similarity": vec[best] @ q[i]}))
-            if out:
-                yield pd.concat(out)
+                vec, uri = np.stack(rows["vec"].to_numpy()).astype(np.float64).T.copy(), rows["uri"].to_numpy()
+                for i in range(len(q)) if exact else wanted[int(which)]:
+                    gap = np.zeros(len(uri)) if whole else model.gaps(q[i], int(which), codes)
+                    at = np.arange(len(uri)) if whole else _least(gap, most)
+                    near = np.zeros(len(at))
+                    for part, x in zip(vec, q[i]):  # added part by part, so that equal vectors are equally similar wherever they stand
+                        near += part[at] * x
+                    found = (uri[at], gap[at], near)
+                    if i in best:
+                        found = tuple(np.concatenate(pair) for pair in zip(best[i], found))
+                    at = _least(-found[2] if whole else found[1], most)
+                    if len(at) > 2 * most:  # many alike: those of least id
+                        order = pd.DataFrame({"by": (-found[2] if whole else found[1])[at], "uri": found[0][at]}).sort_values(["by", "uri"]).index[:most]
+                        at = at[order]
+                    best[i] = tuple(x[at] for x in found)
+        for i, (uri, gap, near) in best.items():
+            yield pd.DataFrame({"query": names[i], "uri": uri, "gap": gap, "similarity": near})
 
     rows = store.filter(F.col("list").isin(sorted(wanted))).mapInPandas(ranked, schema)
     if not own:
         rows = rows.filter("uri <> query")
-    best = Window.partitionBy("query").orderBy("gap", "uri")
-    rows = rows.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= keep)
+    if not whole:
+        best = Window.partitionBy("query").orderBy("gap", "uri")
+        rows = rows.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= keep)
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "uri")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "rank", "uri", "similarity")
 

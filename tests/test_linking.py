@@ -92,6 +92,22 @@ def vectors(spark, n=600, dim=12, seed=1):
     return x, spark.createDataFrame(rows + [(n, None), (n + 1, [0.0] * dim), (n + 2, [None] * dim), (n + 3, [float("nan")] * dim), (None, [1.0] * dim)], "uri long, vec array<double>")
 
 
+def test_more_queries_than_a_pass_takes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vector_store, "QUERIES_AT_ONCE", 7)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 6))
+    df = spark.createDataFrame([(i, x[i % 20].tolist()) for i in range(40)], "uri long, vec array<double>")  # each vector twice
+    path = str(tmp_path / "store")
+    vector_store.build(df, path, lists=4, pieces=2)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    found = {}
+    for r in vector_store.search(spark, path, df, 5, probes=4, refine=8).collect():
+        found.setdefault(r.query, []).append((r["rank"], r.uri))
+    for i in range(40):
+        near = sorted((-round(float(u[i % 20] @ u[j % 20]), 9), j) for j in range(40) if j != i)[:5]
+        assert sorted(found[i]) == [(k, j) for k, (_, j) in enumerate(near, 1)]
+
+
 def test_vector_store(spark, tmp_path):
     x, df = vectors(spark)
     path = str(tmp_path / "store")
