@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.written import written
 from .rules import evaluate
 
 THING, NOTHING = "owl:Thing", "owl:Nothing"
@@ -150,7 +151,7 @@ def classify(axioms: DataFrame, classes: DataFrame | None = None) -> DataFrame:
 
     classes(uri) adds names that no axiom uses. Repeated axioms change nothing, rows with a null are left out, an empty table gives no rows;
     broken expressions raise."""
-    n = normalise(axioms)
+    n = written(normalise(axioms), "axioms")  # parsed once, read by every form
     form = lambda kind, *cols: n.filter(F.col("form") == kind).select(*cols)
     named = n.select(
         F.explode(
@@ -180,9 +181,9 @@ def classify(axioms: DataFrame, classes: DataFrame | None = None) -> DataFrame:
 def direct(hierarchy: DataFrame) -> DataFrame:
     """The subsumptions of a classified hierarchy with nothing strictly between; equivalent classes have the same parents, and no edge
     to each other."""
-    h = hierarchy.select("child", "parent")
+    h = written(hierarchy.select("child", "parent"), "hierarchy")
     back = h.select(F.col("parent").alias("child"), F.col("child").alias("parent"))
-    strict = h.join(back, ["child", "parent"], "left_anti")
+    strict = written(h.join(back, ["child", "parent"], "left_anti"), "hierarchy")
     middle = strict.select("child", F.col("parent").alias("m")).join(strict.select(F.col("child").alias("m"), "parent"), "m").select("child", "parent")
     return strict.join(middle.distinct(), ["child", "parent"], "left_anti")
 

@@ -347,3 +347,16 @@ def test_classification_by_hand(spark):
     for bad in ("ObjectUnionOf(A B)", "ObjectSomeValuesFrom(r)", "(A", "ObjectIntersectionOf(A", "A B", ""):
         with pytest.raises(el.ConceptError):
             el.parse_concept(bad)
+
+
+def test_given_relations_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def slow(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    edges = spark.createDataFrame([(str(k), str(k + 1)) for k in range(6)], "a string, b string").mapInPandas(slow, "a string, b string")
+    got = rules.evaluate("since(X, Y) :- next(X, Y). since(X, Z) :- since(X, Y), next(Y, Z).", {"next": edges})["since"]
+    assert got.count() == 21 and seen.value == 6
