@@ -9,6 +9,8 @@ its own in part i, and candidates are verified on all bits. Then links become co
 A part value that more than `bucket_cap` fingerprints hold is not compared pair by pair: two
 fingerprints within two bits have a common neighbour within one, so all that probe it are grouped
 by their 65 neighbours instead. That is as exact and linear in the fingerprints.
+
+Tables that grow with the corpus are joined by merging, at every size: none of them is sent to the driver as a broadcast.
 """
 
 from __future__ import annotations
@@ -173,7 +175,7 @@ def near_pairs(uniq: DataFrame, plan: list[tuple[list[int], int]], radius: int =
     else:
         hot = None
     d, q = data.select("part", "key", F.col("fp").alias("a")), asked.select("part", "key", F.col("fp").alias("b"))
-    pairs = d.join(q, on).filter(F.col("a") < F.col("b")).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
+    pairs = d.join(q.hint("merge"), on).filter(F.col("a") < F.col("b")).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
     if hot is not None:
         near = F.transform(_longs(_flips(list(range(BITS)), 1)), lambda f: fp.bitwiseXOR(f))
         hubs = hot.select(fp, F.explode(near).alias("hub")).groupBy("hub").agg(F.collect_set("fp").alias("fps")).filter("size(fps) > 1")
@@ -191,7 +193,7 @@ def rooted_fingerprints(uniq: DataFrame, radius: int, bucket_cap: int = BUCKET_C
         else:
             both[r.i, r.j] = r.c
     roots = connected_components(near_pairs(uniq.select("fp"), plan_parts(both, n, radius), radius, bucket_cap))
-    return cut(uniq.join(roots, uniq["fp"] == roots["node"], "left").select(uniq["*"], F.coalesce("root", "fp").alias("root")), "roots")
+    return cut(uniq.join(roots.hint("merge"), uniq["fp"] == roots["node"], "left").select(uniq["*"], F.coalesce("root", "fp").alias("root")), "roots")
 
 
 def simhash_groups(
@@ -213,8 +215,8 @@ def simhash_groups(
     uniq = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("doc")), "uniq")
     rooted = rooted_fingerprints(uniq, RADIUS, bucket_cap)
     names = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = cut(rooted.join(names, "root").select("fp", "component_id"), "names")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = cut(rooted.join(names.hint("merge"), "root").select("fp", "component_id"), "names")
+    return fps.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 #: Near copies: words of a shingle of their fingerprints and of their similarity, least similarity; of each pass the radius and the
@@ -274,8 +276,8 @@ def _led(src: DataFrame, members: DataFrame, k: int, least: float) -> DataFrame:
     leader is led by it, the others of them lead, and so does each all other members that are like it and none before.
     A group's members are dealt to stretches of bounded size, each with the possible leaders before it."""
     several = members.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
-    members = cut(members.join(several, "root"), "members")
-    texts = src.join(members.select("t", F.col("doc").alias("doc_id"), "root"), ["t", "doc_id"]).dropDuplicates(["t"])
+    members = cut(members.join(several.hint("merge"), "root"), "members")
+    texts = src.join(members.select("t", F.col("doc").alias("doc_id"), "root").hint("merge"), ["t", "doc_id"]).dropDuplicates(["t"])
     left = cut(texts.select("root", "t", F.col("doc_id").alias("doc"), "text"), "undecided")
     out = []
     while left.limit(1).count():
@@ -283,14 +285,14 @@ def _led(src: DataFrame, members: DataFrame, k: int, least: float) -> DataFrame:
         first = left.select("root", "doc", "t", F.length("text").alias("size")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= LEADERS)
         first = first.withColumn("before", F.sum("size").over(order) - F.col("size")).filter((F.col("before") <= LEADER_CHARS) | (F.col("rank") == 1))
         parts = left.groupBy("root").agg(F.ceil(F.count("*") / STRETCH).cast("int").alias("parts"))
-        rows = left.join(parts, "root")
+        rows = left.join(parts.hint("merge"), "root")
         member = rows.select("root", F.pmod(F.xxhash64("t"), F.col("parts")).cast("int").alias("salt"), F.lit(1).alias("member"), "t", "doc", "text")
-        lead = rows.join(first.select("root", "t"), ["root", "t"], "left_semi")
+        lead = rows.join(first.select("root", "t").hint("merge"), ["root", "t"], "left_semi")
         lead = lead.select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("member"), "t", "doc", "text")
         dealt = member.unionByName(lead).repartition("root", "salt").sortWithinPartitions("root", "salt", "member", "doc", "t")
         told = cut(dealt.mapInArrow(_compare(k, least), "t string, leader_t string, leader long"), "compared")
         out.append(told.filter("leader_t is not null"))
-        left = cut(left.join(told.filter("leader_t is null").select("t"), "t", "left_semi"), "undecided")
+        left = cut(left.join(told.filter("leader_t is null").select("t").hint("merge"), "t", "left_semi"), "undecided")
     decided = out[0] if out else members.select("t", F.col("t").alias("leader_t"), F.col("doc").alias("leader")).limit(0)
     for more in out[1:]:
         decided = decided.unionByName(more)
@@ -324,13 +326,13 @@ def near_copies(
         if seed not in sketches:
             made = src.select(F.col("t").alias("doc_id"), "text").mapInArrow(_fingerprint(sketch_words, seed), "doc_id string, fp long")
             sketches[seed] = cut(made.select(F.col("doc_id").alias("t"), "fp").distinct(), "sketches")
-        known = cut(left.join(sketches[seed], "t"), "sketched")
+        known = cut(left.join(sketches[seed].hint("merge"), "t"), "sketched")
         rooted = rooted_fingerprints(known.select("fp").distinct(), radius)
-        found = cut(_led(src, known.join(rooted, "fp").select("root", "t", "doc"), words, similarity), "led")
+        found = cut(_led(src, known.join(rooted.hint("merge"), "fp").select("root", "t", "doc"), words, similarity), "led")
         moved = found.filter("t <> leader_t").select(F.col("t").alias("leader_t"), F.col("leader_t").alias("next_t"), F.col("leader").alias("next"))
-        leads = leads.join(moved, "leader_t", "left").select("t", F.coalesce("next_t", "leader_t").alias("leader_t"), F.coalesce("next", "leader").alias("leader"))
+        leads = leads.join(moved.hint("merge"), "leader_t", "left").select("t", F.coalesce("next_t", "leader_t").alias("leader_t"), F.coalesce("next", "leader").alias("leader"))
         leads = cut(leads, "leads")
-        left = cut(left.join(moved.select(F.col("leader_t").alias("t")), "t", "left_anti"), "texts")
+        left = cut(left.join(moved.select(F.col("leader_t").alias("t")).hint("merge"), "t", "left_anti"), "texts")
         # What a pass wrote on its way is read by nothing any more.
         release(spark, since, keep=(leads, left, *sketches.values()))
-    return ids.join(leads.select("t", "leader"), "t").select("doc_id", "t", "leader")
+    return ids.join(leads.select("t", "leader").hint("merge"), "t").select("doc_id", "t", "leader")

@@ -28,6 +28,8 @@ SAMPLE_PER_CLASS = 20_000
 #: Documents of prior weight; least z-score, log-odds and documents of a feature; score of a token outside the model.
 PRIOR, LEAST_Z, LEAST_ODDS, LEAST_DOCS, DRIFT = 500.0, 4.0, 1.0, 5, 0.1
 PREFIXES = (4, 5, 6, 7, 8)
+#: Bytes of text whose features are counted at once.
+COUNTED = 1 << 18
 
 _TOKEN = np.zeros(256, dtype=bool)
 _TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -132,9 +134,10 @@ def score_rows(texts: Texts, model: Model, store: dict):
 
 
 def _count(batches):
-    """Documents of each class that hold a feature: aggregated per batch before they are sent."""
+    """Documents of each class that hold a feature: aggregated per batch before they are sent. Six features of a token take many
+    times its bytes, so batches are cut finer here."""
     store: dict = {}
-    for b in pieces(batches, "text"):
+    for b in pieces(batches, "text", COUNTED):
         texts = Texts(column(b, "text"))
         tokens = Tokens(texts, store)
         toxic = np.asarray(column(b, "toxic")).astype(np.int64)

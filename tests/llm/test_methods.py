@@ -918,3 +918,23 @@ def test_long_streams_without_separators():
     sizes = [len(w) for w in secrets.windows(secrets.inflate(zlib.compress(body), 0))]
     assert max(sizes) <= secrets.HARD + secrets.PART + secrets.OVERLAP and len(sizes) >= 4
     assert any(b"abcdefghijklmnop" in p for p in secrets.unpacked(zlib.compress(body), 0, []))
+
+
+def test_near_copies_sends_no_growing_table_to_the_driver(spark, monkeypatch):
+    """Each written step is planned without a broadcast, at a size at which Spark would choose one."""
+    from loomgraph.llm import components, frames, simhash
+
+    plans = []
+
+    def watched(df, name="cut"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return frames.cut(df, name)
+
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "cut", watched)
+    base = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(i, base if i % 2 else f"{base} t{i}") for i in range(20)] + [(100, "quite another text")], "doc_id long, text string")
+    out = simhash.near_copies(docs)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert {r.leader for r in out.collect()} == {0, 100}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
