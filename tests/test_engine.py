@@ -447,3 +447,15 @@ def test_reasoning_of_the_engine(spark, tmp_path):
     why = {(r.c0, r.c1): r.why for r in e.explain(graph_, "type").collect()}
     assert why["rex", "Dog"] == ["range(owns, Dog)", "triple(ann, owns, rex)"] and why["tom", "Animal"] == ["type(tom, Animal)"]
     assert {tuple(r) for r in e.classify().collect()} == {("Dog", "Animal"), ("Hound", "Animal"), ("Dog", "Hound"), ("Hound", "Dog")}
+
+
+def test_arcs_are_numbered_in_one_shuffle_and_walks_do_not_depend_on_lists(spark, monkeypatch):
+    e = spark.createDataFrame([(f"n{i}", f"n{j}") for i in range(12) for j in range(i, 12, 1 + i % 3)], "a string, b string")
+    rows = lambda df: sorted(map(str, df.collect()))
+    numbered = graph._numbered(e)
+    assert numbered._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert rows(numbered) == rows(graph._numbered(e, hot=5))
+    made = lambda: (rows(graph.walks(e, 2, 10, 3)), rows(graph.biased_walks(e, 2, 6, 0.5, 2.0, 3)))
+    whole = made()
+    monkeypatch.setattr(graph, "LIST", 3)
+    assert made() == whole
