@@ -459,3 +459,13 @@ def test_arcs_are_numbered_in_one_shuffle_and_walks_do_not_depend_on_lists(spark
     whole = made()
     monkeypatch.setattr(graph, "LIST", 3)
     assert made() == whole
+
+
+def test_gradients_are_summed_without_exploding_them(spark):
+    from loomgraph.operators.translate import _apply
+
+    vec = spark.createDataFrame([("a", [0.5, 0.0]), ("b", [0.0, 0.5])], "uri string, v array<double>")
+    steps = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, -2.0])], "uri string, g array<double>")
+    out = _apply(vec, steps, "uri", 0.1, 2)
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.uri: [round(x, 9) for x in r.v] for r in out.collect()} == {"a": [0.3, 0.0], "b": [0.0, 0.5]}
