@@ -139,6 +139,26 @@ def test_what_is_refused(spark, text):
         sparql(text, triples(spark, ROWS)).collect()
 
 
+def test_inner_groups_match_given_values_only(spark):
+    """Of what an optional, excluded or tested group has, only what a narrow group around it can agree with is joined."""
+    rows = [(f"o{i}", "in", f"p{i % 3}") for i in range(12)] + [(f"p{i % 3}", "by", f"s{i}") for i in range(6)] + [(f"s{i}", "at", f"n{i % 2}") for i in range(6)]
+    t = triples(spark, rows + [(f"o{i}", "of", f"c{i % 4}") for i in range(12)] + [(f"c{i}", "at", f"n{i % 2}") for i in range(4)] + [("o0", "in", "p0")])
+    of = {o: c for o, p, c in answers(t) if p == "of"}
+    at = {x: n for x, p, n in answers(t) if p == "at"}
+    pairs = [(o, p, s) for o, q, p in answers(t) if q == "in" for x, r, s in answers(t) if r == "by" and x == p]
+    inner = "{ ?o <in> ?p . ?p <by> ?s . ?s <at> ?m . FILTER(?m = ?n) }"
+    outer = "?c <at> ?n . FILTER(?n IN ('n1', 'n7')) ?o <of> ?c"
+    got = sparql(f"SELECT ?o ?p ?s WHERE {{ {outer} . OPTIONAL {inner} }}", t)
+    mine = {o for o, c in of.items() if at[c] == "n1"}
+    want = [x for x in pairs if x[0] in mine and at[x[2]] == "n1"]
+    assert answers(got) == sorted(want + [(o, None, None) for o in mine - {x[0] for x in want}], key=repr)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 2  # the orders asked for, and the places of their customers
+    assert answers(sparql(f"SELECT ?o WHERE {{ {outer} . FILTER EXISTS {inner} }}", t)) == sorted({(x[0],) for x in want})
+    got = answers(sparql(f"SELECT ?o WHERE {{ {outer} MINUS {{ ?o <in> ?p . ?p <by> 's5' }} }}", t))
+    assert got == sorted((o,) for o in mine - {x[0] for x in pairs if x[2] == "s5"})
+
+
 # Rules.
 
 PROGRAM = """
