@@ -10,7 +10,7 @@ No escape begins within another, so they can be undone in any order and the fixp
 the text from left to right, and whenever its end is an escape, the character meant takes its place. Escapes of escapes are
 undone layer by layer for ESCAPE_LAYERS layers, and what is left of deeper ones at once to the fixpoint, as a text of n
 characters can hold n / 2 layers. Each base64 layer is shorter than its run, so these nest logarithmically deep. Compressed
-data is taken in windows, and a stream that is sound to its end is passed over as a whole, so that what it holds is
+data is taken whole (from 2 MB on in a mapped file), and a stream that is sound to its end is passed over as a whole, so that what it holds is
 looked at once and not again at every magic number in it. Layers map spans to their parent's, so every span is in code points
 of the original text.
 """
@@ -21,10 +21,13 @@ import binascii
 import bz2
 import hashlib
 import lzma
+import mmap
 import re
+import tempfile
 import zlib
 from array import array
 from bisect import bisect_right
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -57,9 +60,10 @@ READABLE = re.compile(
     rb"(?:[\t-\r\x20-\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
     rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){13,}+"
 )
-#: Decompressed bytes that are held at once; longer data is scanned in windows that end at a byte that no secret or encoding holds.
-#: Data without such bytes is cut at twice the size, and the next window begins with the last bytes of the one before.
+#: Decompressed bytes that are held in memory; longer data lies in a mapped file, and its readable parts are given out in pieces of
+#: that size, which end at a byte that no secret or encoding holds. The other sizes are those of windows.
 WINDOW, PART, SEPARATORS, HARD, OVERLAP = 2 << 20, 1 << 18, b",()<>|", 4 << 20, 64 << 10
+SEPARATOR = re.compile(rb"[,()<>|]")
 #: Layers of escapes within escapes that are scanned one by one.
 ESCAPE_LAYERS = 64
 #: Bytes by which a stream is known again that another one holds as it stands.
@@ -219,14 +223,23 @@ class Inflated:
             if first == 0x28:
                 yield from iter(lambda r=zstandard.ZstdDecompressor().stream_reader(left): r.read(PART), b"")
                 return
-            d = zlib.decompressobj(47) if first in (0x1F, 0x78) else bz2.BZ2Decompressor() if first == 0x42 else lzma.LZMADecompressor()
-            while not d.eof and (part := d.decompress(left, PART)):
-                yield part
-                left = d.unconsumed_tail if first in (0x1F, 0x78) else b""
-            if not d.eof and first in (0x1F, 0x78):
-                d.decompress(left, 1)  # the check sum of what was empty or ended with the part
+            plain = first in (0x1F, 0x78)
+            d = zlib.decompressobj(47) if plain else bz2.BZ2Decompressor() if first == 0x42 else lzma.LZMADecompressor()
+            some, at = b"", 0
+            while not d.eof:
+                if not some and (plain or d.needs_input):
+                    some = left[at : at + PART]
+                    at += len(some)
+                    if not len(some) and not plain:
+                        break
+                part = d.decompress(some, PART)
+                if not len(some) and not part and not d.eof and plain:
+                    break
+                some = d.unconsumed_tail if plain else b""
+                if part:
+                    yield part
             if d.eof:
-                self.end = len(self.raw) - len(d.unused_data)
+                self.end = self.begin + at - len(d.unused_data)
         except (zlib.error, zstandard.ZstdError, lzma.LZMAError, OSError, EOFError, ValueError):
             return
 
@@ -236,9 +249,37 @@ def inflate(raw, begin: int):
     return iter(Inflated(raw, begin))
 
 
+def whole(parts):
+    """All parts together: bytes, or from WINDOW bytes on a file of the task's own that is mapped and gone with its last user. No part of
+    a scan sees data cut, so that what lies in it, streams in streams among it, is found at any length."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size > WINDOW:
+            break
+    if size <= WINDOW:
+        return b"".join(held) if size else None
+    with tempfile.TemporaryFile() as spool:
+        for part in chain(held, parts):
+            spool.write(part)
+        spool.flush()
+        return mmap.mmap(spool.fileno(), 0, access=mmap.ACCESS_READ)
+
+
+def separated(data, start: int, end: int):
+    """The bytes from start to end in parts that end at a byte that no secret or encoding holds: of WINDOW bytes or little more, longer
+    only where no such byte comes."""
+    while end - start > WINDOW and (m := SEPARATOR.search(data, start + WINDOW - 1, end)):
+        yield data[start : m.end()]
+        start = m.end()
+    if start < end:
+        yield data[start:end]
+
+
 def windows(parts):
-    """The parts joined to windows, which end at separators but for the last. Where there is none for long, a window is cut
-    anywhere, and the next begins with its last bytes."""
+    """A bounded view of the parts, for looking at data in passing (scans take it whole): windows that end at separators but for the
+    last. Where there is none for long, a window is cut anywhere, and the next begins with its last bytes."""
     held, size = [], 0
     for part in parts:
         held.append(part)
@@ -284,31 +325,27 @@ class _Window:
 
     def readable(self, end: int, after: int):
         """The readable parts before end; the next ones are those from after on."""
-        yield from (m[0] for m in READABLE.finditer(self.data, self.gap, end))
+        for m in READABLE.finditer(self.data, self.gap, end):
+            yield from separated(self.data, *m.span())
         self.gap = self.at = after
 
 
 class _Stream:
-    """The windows of a stream of a window (of the first bytes, if that is None)."""
+    """A stream of a window (of the first bytes, if that is None) and all that it holds."""
 
-    __slots__ = ("source", "begin", "inflated", "windows", "ahead")
+    __slots__ = ("source", "begin", "inflated", "window")
 
     def __init__(self, source: _Window | None, data: bytes, begin: int):
         self.source, self.begin, self.inflated = source, begin, Inflated(data, begin)
-        self.windows = windows(self.inflated)
-        self.ahead = next(self.windows, None)
-
-    def take(self) -> bytes | None:
-        window, self.ahead = self.ahead, next(self.windows, None) if self.ahead is not None else None
-        return window
+        self.window = whole(iter(self.inflated))
 
 
 def unpacked(raw: bytes, begin: int, tell: list[int]):
     """The readable parts of what the compressed data from begin on holds, and of what is compressed in that, at any depth. tell takes
     where the data ends, if it is known.
 
-    A stack holds windows that may have more streams and streams that have more windows. With the last window of the last
-    stream of a window, that window goes, so that streams in streams do not pile up."""
+    A stack holds windows that may have more streams, and the stream to be looked at next. With the last stream of a window, that
+    window goes, so that streams in streams do not pile up."""
     stack: list[_Window | _Stream] = [_Stream(None, raw, begin)]
     while stack:
         top = stack[-1]
@@ -320,20 +357,19 @@ def unpacked(raw: bytes, begin: int, tell: list[int]):
             else:
                 stack.append(_Stream(top, top.data, start))
             continue
-        window, source, end = top.take(), top.source, top.inflated.end
-        if window is not None and source is not None and not (end and top.ahead is None):
+        window, source, end = top.window, top.source, top.inflated.end
+        stack.pop()
+        if window is not None and source is not None and not end:
             source.given.update(window[m.start() : m.start() + KNOWN] for m in MAGIC.finditer(window) if len(window) - m.start() >= KNOWN)
-        if top.ahead is None:
-            stack.pop()
-            if source is None:
-                tell += [end] if end else []
-            else:
-                if end:
-                    head = _gzip_head(source.data, top.begin) if source.data[top.begin] == 0x1F else top.begin
-                    yield from source.readable(head, end)
-                if not MAGIC.search(source.data, source.at):
-                    stack.pop()
-                    yield from source.readable(len(source.data), len(source.data))
+        if source is None:
+            tell += [end] if end else []
+        else:
+            if end:
+                head = _gzip_head(source.data, top.begin) if source.data[top.begin] == 0x1F else top.begin
+                yield from source.readable(head, end)
+            if not MAGIC.search(source.data, source.at):
+                stack.pop()
+                yield from source.readable(len(source.data), len(source.data))
         if window is not None:
             stack.append(_Window(window))
         del top, source, window
@@ -468,7 +504,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     is the text with every span (overlapping ones as one) replaced by it; null stays null there.
     Null texts count as empty and have no spans. Null ids and repeated rows are kept as they are;
     empty tables give an empty result, other columns are ignored but for those named in carry. Texts of any length are scanned
-    whole, and so is what is decompressed, in windows beyond 8 MB.
+    whole, and so is what is decompressed: beyond 2 MB it takes room on the worker's disk, and memory for stretches without separators.
     """
     arrow_rows(docs.sparkSession)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("layers", pa.string())]))

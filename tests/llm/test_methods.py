@@ -920,6 +920,26 @@ def test_long_streams_without_separators():
     assert any(b"abcdefghijklmnop" in p for p in secrets.unpacked(zlib.compress(body), 0, []))
 
 
+def test_nothing_is_cut_in_long_streams():
+    """A stream within a stream, and a run of base64, that are longer than what is held at once: their last bytes hold the secret."""
+    import base64
+    import gzip
+    import random
+    import zlib
+
+    from loomgraph.llm import secrets
+
+    noise = bytes(random.Random(5).choices(b"ghjkmnpqrtuvwxyz(", k=2 * secrets.HARD))
+    assert len(inner := gzip.compress(noise * 2 + b" password = abcdefghijklmnop ")) > secrets.WINDOW + secrets.PART
+    outer = base64.b64encode(gzip.compress(b"x, " + inner + b" end", 1)).decode()
+    assert [(a, b) for a, b, k, _ in secrets.find_secrets(outer) if k == 0] == [(0, len(outer))]
+    head = b"z" * (secrets.HARD - 2 * secrets.OVERLAP) + b" "
+    run = base64.b64encode(zlib.compress(noise[: 6 * secrets.OVERLAP] + b" password = abcdefghijklmnop ", 9))
+    spaced = b"password" + b" " * (4 * secrets.OVERLAP) + b"= abcdefghijklmnop"
+    for body in (head + run + b" end", head + spaced):
+        assert any(k == 0 for *_, k, _ in secrets.find_secrets(base64.b64encode(zlib.compress(body)).decode()))
+
+
 def test_near_copies_sends_no_growing_table_to_the_driver(spark, monkeypatch):
     """Each written step is planned without a broadcast, at a size at which Spark would choose one."""
     from loomgraph.llm import components, frames, simhash
