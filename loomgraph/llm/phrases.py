@@ -5,10 +5,11 @@ ends are a pair of ids; pairs that are frequent over all documents get an id of
 pairs in the text. A name keeps the two ids it was made from, so parts of a phrase are found by following these parents, and
 phrases that hold another are found by reading them backwards: no phrase is ever counted again.
 
-Texts stand in blocks of about two million words of one language, each a row that holds its words as numbers, beside a row for each
-of its distinct words or pairs, with a count. These rows are counted, and the names of the frequent ones go back to their
-block; a text is never shuffled by its pairs, so a hot word or phrase is a row a block at most, and the sums are combined
-before they are shuffled.
+Texts stand in blocks of about two million words of one language, each a row that holds its words as numbers; for the first level,
+beside a row for each of its distinct words with a count. Further levels write the numbers and their names alone: each block's
+distinct pairs are made from these whenever they are asked for. They are dealt once, by pair, with their block and count; what
+is frequent gets a name there, which goes back to the blocks that the rows came from, and nothing is joined. A text is never shuffled
+by its pairs, so a hot word or phrase is a row a block at most.
 """
 
 from __future__ import annotations
@@ -26,15 +27,19 @@ from .spans import byte_class, spans, word_numbers
 
 #: Words of a block. A text that has more is a block of its own.
 BLOCK = 1 << 21
+#: Rows of pairs that go to Spark at once.
+PAIR_ROWS = 1 << 17
 #: How often a phrase stands at least, its words at most, the share (in hundredths) of it in a longer one that drops it.
 LEAST, LONGEST, INSIDE = 30, 4, 80
 
 ENDS = byte_class([(ord(c), ord(c)) for c in ".,;:!?"] + [(0x0A, 0x0D)])
 GAPS = byte_class([(0x20, 0x20), (0x09, 0x09)])
 
-#: A block's row with its stream, and the rows of its words (pairs), numbered.
+#: A block's row with its stream, and the rows of its words, numbered; a block's stream of later levels, with the names of its numbers;
+#: the distinct pairs of such a stream, numbered.
 FIRST = "block long, lang string, total long, stream binary, num int, word string, n long"
-LATER = "block long, stream binary, num int, u long, v long, n long"
+LATER = "block long, stream binary, ids binary"
+PAIRS = "block long, num int, u long, v long, n long"
 
 
 def _streams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
@@ -114,9 +119,12 @@ def _paired(stream: np.ndarray, num: np.ndarray, ids: np.ndarray, last: bool) ->
     local[num] = np.arange(len(num))
     x = local[stream]
     both = (x[:-1] >= 0) & (x[1:] >= 0)
-    distinct, at, n = np.unique(x[:-1][both] * len(num) + x[1:][both], return_inverse=True, return_counts=True)
-    out = np.zeros(0, dtype=np.int32)
-    if not last:
+    pairs, out = x[:-1][both] * len(num) + x[1:][both], np.zeros(0, dtype=np.int32)
+    del x
+    if last:
+        distinct, n = np.unique(pairs, return_counts=True)
+    else:
+        distinct, at, n = np.unique(pairs, return_inverse=True, return_counts=True)
         y = np.full(len(both), -1, dtype=np.int32)
         y[both] = at
         keep = np.ones(len(y), dtype=bool)
@@ -125,29 +133,57 @@ def _paired(stream: np.ndarray, num: np.ndarray, ids: np.ndarray, last: bool) ->
     return out, ids[distinct // max(len(num), 1)], ids[distinct % max(len(num), 1)], n
 
 
-def _repaired(last: bool):
-    names = ["block", "stream", "num", "u", "v", "n"]
+def _renamed(stream: np.ndarray, num: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stream with numbers of named words (pairs) only, and the name of each; one -1 parts what stands apart."""
+    order = np.argsort(ids)  # so that the result does not depend on how the rows arrived
+    num, ids = num[order], ids[order]
+    local = np.full(int(stream.max(initial=-1)) + 2, -1, dtype=np.int32)  # the last entry stands for -1
+    local[num] = np.arange(len(num), dtype=np.int32)
+    x = local[stream]
+    keep = np.ones(len(x), dtype=bool)
+    keep[1:] = (x[1:] >= 0) | (x[:-1] >= 0)
+    return x[keep], ids
+
+
+def _pairs_of(row_stream: bytes, row_ids: bytes, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row_ids, dtype=np.int64)
+    return _paired(np.frombuffer(row_stream, dtype=np.int32), np.arange(len(ids)), ids, last)
+
+
+def _pair_rows(batches):
+    """The distinct pairs of each block, in the order of their numbers."""
+    for b in batches:
+        for block, stream, ids in zip(*(column(b, c).to_pylist() for c in ("block", "stream", "ids"))):
+            _, u, v, n = _pairs_of(stream, ids, True)
+            for at in range(0, len(u), PAIR_ROWS):
+                some = slice(at, at + PAIR_ROWS)
+                num = np.arange(at, at + len(u[some]), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(num), block)), pa.array(num), *[pa.array(x[some], pa.int64()) for x in (u, v, n)]], names=["block", "num", "u", "v", "n"])
+
+
+def _renaming(paired: bool):
+    """A block with the names of its numbers: of its words at first, of its pairs from then on (paired)."""
 
     def step(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        names, kinds = ["block", "stream", "ids"], [pa.int64(), pa.binary(), pa.binary()]
         if left.num_rows == 0 or right.num_rows == 0:
             return pa.table([pa.array([], k) for k in kinds], names=names)
-        stream = np.frombuffer(left.column("stream")[0].as_py(), dtype=np.int32)
+        stream = left.column("stream")[0].as_py()
+        stream = _pairs_of(stream, left.column("ids")[0].as_py(), False)[0] if paired else np.frombuffer(stream, dtype=np.int32)
         num, ids = (np.asarray(right.column(c).combine_chunks()) for c in ("num", "id"))
-        order = np.argsort(ids)  # so that the result does not depend on how the rows arrived
-        out, *pairs = _paired(stream, num[order], ids[order], last)
-        head = [pa.array([key[0].as_py()]), pa.array([out.tobytes()], pa.binary())]
-        return pa.Table.from_batches([_flat(head, [pa.array(np.arange(len(pairs[0]), dtype=np.int32)), *[pa.array(x, pa.int64()) for x in pairs]], names, shared=1)])
+        stream, ids = _renamed(stream, num, ids)
+        return pa.table([pa.array([key[0].as_py()]), pa.array([stream.tobytes()], pa.binary()), pa.array([ids.tobytes()], pa.binary())], names=names)
 
     return step
 
 
-def _named(blocks: DataFrame, keys: list[str], least: int) -> tuple[DataFrame, DataFrame]:
-    """The names of frequent keys (id, keys, a), and each block's numbers that have one (of, num, id)."""
-    each = blocks.filter("num is not null")
-    names = each.groupBy(*keys).agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-    names = cut(names.withColumn("id", F.monotonically_increasing_id()), "names")
-    return names, each.select("block", "num", *keys).join(names, keys).select(F.col("block").alias("of"), "num", "id")
+def _named(each: DataFrame, keys: list[str], least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (block, num, keys, n): the names of frequent keys (id, keys, a); each block's numbers that have one (of, num, id); and
+    the written table of both. Rows are dealt and sorted once; a key's name is the number of its first row."""
+    same = Window.partitionBy(*keys)
+    rows = each.withColumn("row", F.monotonically_increasing_id()).withColumn("a", F.sum("n").over(same)).filter(F.col("a") >= least)
+    table = cut(rows.withColumn("id", F.min("row").over(same)).drop("n"), "named")
+    return table.filter("row = id").select(*keys, "a", "id"), table.select(F.col("block").alias("of"), "num", "id"), table
 
 
 def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, list[DataFrame]]:
@@ -156,16 +192,18 @@ def count_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text"))
     blocks = cut(rows.mapInArrow(_blocks, FIRST), "blocks")
     totals = cut(blocks.filter("total is not null and num is null").groupBy("lang").agg(F.sum("total").alias("n")), "totals")
-    names, hits = _named(blocks, ["lang", "word"], least)
-    levels = [names]
+    names, hits, table = _named(blocks.filter("num is not null").select("block", "num", "lang", "word", "n"), ["lang", "word"], least)
+    streams = blocks.filter("num is null").select("block", "stream")
+    levels = []
     for k in range(2, longest + 1):
-        streams = blocks.filter("num is null").select("block", "stream")
-        paired = cut(streams.groupBy("block").cogroup(hits.groupBy("of")).applyInArrow(_repaired(k == longest), LATER), "blocks")
-        forget(blocks)
-        blocks = paired
-        names, hits = _named(blocks, ["u", "v"], least)
-        levels.append(names)
-    forget(blocks)
+        renamed = cut(streams.groupBy("block").cogroup(hits.groupBy("of")).applyInArrow(_renaming(k > 2), LATER), "blocks")
+        # Names stay without their places.
+        levels.append(cut(names, "names"))
+        forget(blocks, table)
+        blocks = streams = renamed
+        names, hits, table = _named(blocks.mapInArrow(_pair_rows, PAIRS), ["u", "v"], least)
+    levels.append(cut(names, "names"))
+    forget(blocks, table)
     return totals, levels
 
 
