@@ -181,7 +181,8 @@ def _named(each: DataFrame, keys: list[str], least: int) -> tuple[DataFrame, Dat
     """Of rows (block, num, keys, n): the names of frequent keys (id, keys, a); each block's numbers that have one (of, num, id); and
     the written table of both. Rows are dealt and sorted once; a key's name is the number of its first row."""
     same = Window.partitionBy(*keys)
-    rows = each.withColumn("row", F.monotonically_increasing_id()).withColumn("a", F.sum("n").over(same)).filter(F.col("a") >= least)
+    dealt = each.repartition(*keys).withColumn("row", F.monotonically_increasing_id())  # numbered after they are dealt, which takes less room
+    rows = dealt.withColumn("a", F.sum("n").over(same)).filter(F.col("a") >= least)
     table = cut(rows.withColumn("id", F.min("row").over(same)).drop("n"), "named")
     return table.filter("row = id").select(*keys, "a", "id"), table.select(F.col("block").alias("of"), "num", "id"), table
 

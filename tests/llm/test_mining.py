@@ -70,6 +70,18 @@ def test_phrases_in_small_blocks(spark, monkeypatch):
     assert sorted(map(tuple, phrases.collocations(docs(spark, rows).repartition(2), least=3, top=5).collect())) == want
 
 
+def test_phrases_are_named_without_joins(spark, monkeypatch):
+    """Pairs are dealt once: nothing joins them with their names, and no table holds a row for each."""
+    from loomgraph.llm import phrases
+
+    made, cut = [], phrases.cut
+    monkeypatch.setattr(phrases, "cut", lambda df, name="cut": made.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString())) or cut(df, name))
+    _, levels = phrases.count_phrases(docs(spark, random_rows(3)), least=3)
+    assert len(levels) == 4 and levels[1].count() > 0
+    assert not [plan for _, plan in made if "Join" in plan]
+    assert [c for c, _ in made].count(["block", "stream", "ids"]) == 3
+
+
 def test_phrases_of_messy_rows(spark, messy, none):
     from loomgraph.llm.phrases import collocations
 
