@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,11 @@ def release(spark: SparkSession, since: int = 0, keep_last: bool = False, keep:
         path.getFileSystem(conf).delete(path, True)
 
 
+def one_process(master: str) -> bool:
+    """Whether driver and tasks share a process; those of local-cluster do not."""
+    return re.match(r"local(\[|$)", master) is not None
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df in the shared folder and read it again: lost executors cost no recomputation before this.
     The tables stay until `release` or `forget`. What was shuffled to write them is not needed any more: the driver's
@@ -42,7 +48,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
-    if not spark.sparkContext.master.startswith("local"):  # one machine's collector would stop its tasks too
+    if not one_process(spark.sparkContext.master):  # its collector would stop the tasks too
         spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path

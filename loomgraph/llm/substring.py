@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import arrow_rows, cut, forget
+from .frames import arrow_rows, cut, forget, release, written
 from .kernels import R2, Rolling, Texts, Words, column, normalised, pieces
 
 #: Words of a window and of an anchor; bits of a node's hash (the result does not depend on them, only the work does).
@@ -220,13 +220,15 @@ def compacted(segments: DataFrame) -> DataFrame:
     heads = links.join(links.select(F.col("id").alias("prev")), "prev", "left_anti").select(F.col("prev").alias("id"))
     heads = heads.select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("off"), F.lit(True).alias("done"))
     table = cut(heads.unionByName(links.select("id", F.col("prev").alias("head"), F.col("prev.n").cast("long").alias("off"), F.lit(False).alias("done"))), "pointers")
+    forget(links)
     left = table.filter("not done").count()
     while left:
         old = table.select(F.col("id").alias("head"), F.col("head").alias("next"), F.col("off").alias("more"), F.col("done").alias("found"))
         moved = table.filter("not done").join(old, "head").select("id", F.col("next").alias("head"), (F.col("off") + F.col("more")).alias("off"), F.col("found").alias("done"))
-        table = cut(table.filter("done").unionByName(moved), "pointers")
-        before, left = left, table.filter("not done").count()
-        if left == before:
+        before, table = table, cut(table.filter("done").unionByName(moved), "pointers")
+        forget(before)
+        steps, left = left, table.filter("not done").count()
+        if left == steps:
             break
     return table.filter("done").select("id", "head", "off")
 
@@ -251,15 +253,18 @@ def repeated_paths(src: DataFrame, window: int, anchor: int, bits: int = NODE_BI
     # One row of each class at most has an edge, so that few share one, and a window counts them where they are.
     edges = edges.withColumn("m", F.count("*").over(Window.partitionBy("u", "v"))).filter("m > 1").drop("m")
     edges = cut(edges.withColumn("n", F.lit(1)), "edges")
-    forget(forked)
+    forget(forked, forks)
     again = edges.groupBy("a", "u", "v", "n").agg(F.sum("k").alias("k"), F.count("*").alias("m"), places(F.col("start")).alias("begins"), ends)
     again = cut(again.filter("m > 1").drop("m"), "again")
     names = ["a", F.struct("u", "v", "n").alias("id"), "k", "begins", "ends"]
     repeated = cut(classes.filter("k > 1").select(*names).unionByName(again.select(*names)), "segments")
+    since = written()
     chains = compacted(repeated.groupBy("id").agg(F.max("k").alias("k"), F.max("begins").alias("begins"), F.max("ends").alias("ends")))
     # A path is known by a hash of its first segment; paths that share one are found out when they are verified.
     path = F.xxhash64(F.coalesce("head.u", "id.u"), F.coalesce("head.v", "id.v"), F.coalesce("head.n", "id.n")).alias("path")
     heads = cut(repeated.join(chains, "id", "left").select("a", "id.u", "id.v", "id.n", path, F.coalesce("off", F.lit(0)).cast("int").alias("off")).distinct(), "heads")
+    release(src.sparkSession, since, keep_last=True)  # the pointers, which only these heads read
+    forget(repeated)
     key = ["a", "u", "v", "n"]
     # All pieces of several occurrences; of each piece that shares an edge, that edge, unless it is the piece.
     whole = found.join(heads.join(classes.filter("k > 1").select(*key), key, "left_semi"), key)
@@ -279,7 +284,8 @@ def repeated_paths(src: DataFrame, window: int, anchor: int, bits: int = NODE_BI
         open_ = spans.filter(gaps).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("path").alias("q"), F.col("origin").alias("o"))
         same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("th").eqNullSafe(F.col("t")) & (F.col("path") == F.col("q")) & (F.col("start") - F.col("off") == F.col("o"))
         apart = placed.join(open_, same, "left_semi").select("doc_id", "th", "start", (F.col("n") + (window - 1)).alias("len"), "path", F.col("off").alias("low")).distinct()
-        joined = joined.unionByName(apart)
+        joined = joined.unionByName(cut(apart, "apart"))
+    forget(classes, edges, again)
     return found, heads, joined
 
 
