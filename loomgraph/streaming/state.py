@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.infer import closure
 from ..plans.written import written
 
 STATE = "n long, late long, first_ts long, first_seq long, last_ts long, last_seq long"
@@ -26,13 +28,15 @@ class _Mentions(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, late, first_ts, first_seq, last_ts, last_seq = self.known.get() if self.known.exists() else (0, 0, None, None, None, None)
-        batch = pd.concat(list(rows)).sort_values(["seq", "ts"])
-        for seq, ts in zip(batch["seq"].tolist(), batch["ts"].tolist()):
-            n, late = n + 1, late + (last_ts is not None and ts < last_ts - self.delay)
-            if first_ts is None or (ts, seq) < (first_ts, first_seq):
-                first_ts, first_seq = ts, seq
-            if last_ts is None or (ts, seq) > (last_ts, last_seq):
-                last_ts, last_seq = ts, seq
+        seq, ts = (np.concatenate(x) for x in zip(*((r["seq"].to_numpy(), r["ts"].to_numpy()) for r in rows)))
+        order = np.lexsort((ts, seq))
+        seq, ts = seq[order], ts[order]
+        before = np.maximum.accumulate(np.append(ts[0] if last_ts is None else last_ts, ts))[:-1]
+        n, late = n + len(ts), late + int((ts < before - self.delay).sum())
+        by_time = np.lexsort((seq, ts))
+        low, high = ((int(ts[k]), int(seq[k])) for k in (by_time[0], by_time[-1]))
+        first_ts, first_seq = low if first_ts is None else min(low, (first_ts, first_seq))
+        last_ts, last_seq = high if last_ts is None else max(high, (last_ts, last_seq))
         self.known.update((n, late, first_ts, first_seq, last_ts, last_seq))
         yield pd.DataFrame({"uri": [key[0]], "slot": [key[1]], "n": [n], "late": [late], "first_ts": [first_ts], "first_seq": [first_seq], "last_ts": [last_ts], "last_seq": [last_seq]})
 
@@ -68,8 +72,8 @@ def entity_table(updates: DataFrame) -> DataFrame:
 class GrowingClosure:
     """The closure of a graph whose edges come in batches, kept in a folder: a part for each batch with the pairs that it added.
 
-    A batch joins its edges with what is known, and then only what the last round found, so its work follows the pairs it adds. A
-    batch that is run again (after a failure) overwrites its own part from the parts before it, and gives the same."""
+    Ways that a batch adds go over what is known, then over its edges, each perhaps with a known way after it, so its new edges are
+    closed among themselves and then put behind what is known, once. A batch that is run again (after a failure) overwrites its own part from the parts before it, and gives the same."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -92,11 +96,8 @@ class GrowingClosure:
         """Add the edges (s, o) of a batch; the function of a stream's foreachBatch. Edges with a null end are none."""
         known = self.pairs(batch, edges.sparkSession)  # a stream runs in a session of its own
         new = written(edges.select("s", "o").filter("s is not null and o is not null").distinct().join(known, ["s", "o"], "left_anti"), "delta")
-        added = new
-        while new.limit(1).count():
-            every = known.unionByName(added)
-            left = new.select("s", F.col("o").alias("m")).join(every.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
-            right = every.select("s", F.col("o").alias("m")).join(new.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
-            new = written(left.unionByName(right).distinct().join(every, ["s", "o"], "left_anti"), "delta")
-            added = added.unionByName(new)
+        longer = new.select("s", F.col("o").alias("m")).join(known.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
+        ways = closure(new.unionByName(longer))
+        after = known.select("s", F.col("o").alias("m")).join(ways.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
+        added = ways.unionByName(after).distinct().join(known, ["s", "o"], "left_anti")
         added.write.mode("overwrite").parquet(self._part(batch))
