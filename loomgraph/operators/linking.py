@@ -9,7 +9,7 @@ correlation clustering by pivots, which needs no number of clusters and does not
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.partitions import places
@@ -17,6 +17,8 @@ from ..plans.written import written
 
 #: How many profiles follow one in a sorted neighbourhood that it is compared with.
 WINDOW = 12
+#: Profiles in a stretch of a sorted neighbourhood.
+STRETCH = 4096
 #: Of a pair's score: the share of its words, of its letters, of its neighbours; and the score from which two are one entity.
 WORDS, LETTERS, AROUND, SAME = 0.55, 0.15, 0.3, 0.65
 #: The share of a word's letters from which another spelling counts.
@@ -53,15 +55,47 @@ def profiles(mentions: DataFrame) -> DataFrame:
     return x.groupBy("words", "around").agg(F.min("id").alias("pid"), F.count("*").alias("n"))
 
 
+def _orders(known: DataFrame) -> list[tuple[DataFrame, list[str], str | None]]:
+    """The rows, keys and common column of the three neighbourhoods: by each of a profile's two rarest words, by name, by surroundings.
+    Further columns of known stay."""
+    heavy = F.slice(F.transform(F.array_sort("words", lambda x, y: F.when(x["w"] > y["w"], -1).when(x["w"] < y["w"], 1).when(x["item"] < y["item"], -1).otherwise(1)), lambda x: x["item"]), 1, 2)
+    name = F.array_join(F.transform("words", lambda x: x["item"]), " ")
+    near = F.array_join(F.transform("around", lambda x: x["item"]), " ")
+    whole = known.select("pid", name.alias("name"), near.alias("near"), "words", "around")
+    by_word = known.select("pid", name.alias("name"), near.alias("near"), "words", "around", F.explode(heavy).alias("word"))
+    return [(by_word, ["word", "near", "name", "pid"], "word"), (whole, ["name", "near", "pid"], None), (whole, ["near", "name", "pid"], None)]
+
+
+def positive(known: DataFrame, window: int = WINDOW, same: float = SAME) -> DataFrame:
+    """(a, b), a before b, each once: the candidates whose score is `same` or more.
+
+    Profiles are dealt to stretches of their order, each with the first few of the next, and scored there with those that follow
+    them, so that what grows is the profiles that are sent and not the pairs."""
+    found, stretch = None, max(STRETCH, window)
+    for rows, keys, common in _orders(known):
+        x = places(rows, keys).select("pid", "words", "around", "place", *([F.col(common).alias("common")] if common else []))
+        at = F.floor(F.col("place") / stretch)
+        x = x.withColumn("stretch", F.explode(F.when((F.col("place") % stretch < window) & (at > 0), F.array(at - 1, at)).otherwise(F.array(at))))
+        ahead = Window.partitionBy("stretch").orderBy("place").rowsBetween(1, window)
+        one = F.struct("pid", "words", "around", *(["common"] if common else []))
+        x = x.withColumn("next", F.collect_list(one).over(ahead)).filter(at == F.col("stretch"))
+        x = x.select(F.col("pid").alias("p"), "words", "around", *(["common"] if common else []), F.explode("next").alias("y"))
+        x = x.filter("p <> y.pid" + (" and common = y.common" if common else ""))
+        swap = F.col("p") > F.col("y.pid")  # the lesser is a, as in candidates
+        sides = [F.when(swap == first, F.col(f"y.{c}")).otherwise(F.col(c)).alias(f"{n}_{c}") for n, first in (("a", True), ("b", False)) for c in ("words", "around")]
+        pairs = x.select(F.least("p", "y.pid").alias("a"), F.greatest("p", "y.pid").alias("b"), *sides)
+        pairs = pairs.filter(_score() >= same).select("a", "b")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct()
+
+
 def candidates(known: DataFrame, window: int = WINDOW) -> DataFrame:
     """(a, b), a before b, each once: profiles that share one of their two rarest words, whose names are neighbours in the
     alphabet, or whose surroundings are. At most 4 * window pairs for a profile, whatever its words."""
-    heavy = F.slice(F.transform(F.array_sort("words", lambda x, y: F.when(x["w"] > y["w"], -1).when(x["w"] < y["w"], 1).when(x["item"] < y["item"], -1).otherwise(1)), lambda x: x["item"]), 1, 2)
-    name = F.array_join(F.transform("words", lambda x: x["item"]), " ")
-    base = known.select("pid", name.alias("name"), F.array_join(F.transform("around", lambda x: x["item"]), " ").alias("near"), F.explode_outer(heavy).alias("word"))
-    whole = base.select("pid", "name", "near").distinct()
-    pairs = _neighbourhood(base.filter("word is not null"), ["word", "near", "name", "pid"], "word", window)
-    pairs = pairs.unionByName(_neighbourhood(whole, ["name", "near", "pid"], None, window)).unionByName(_neighbourhood(whole, ["near", "name", "pid"], None, window))
+    pairs = None
+    for rows, keys, common in _orders(known):
+        x = _neighbourhood(rows.drop("words", "around"), keys, common, window)
+        pairs = x if pairs is None else pairs.unionByName(x)
     return pairs.distinct()
 
 
@@ -90,12 +124,15 @@ def _alike(a: str, b: str) -> Column:
 def scored(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """(a, b, score): 0 to 1, from words, letters and neighbours. Names without a word share nothing."""
     side = lambda c: known.select(F.col("pid").alias(c), F.col("words").alias(f"{c}_words"), F.col("around").alias(f"{c}_around"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _score().alias("score"))
+
+
+def _score() -> Column:
+    """The score of a row with a_words, a_around, b_words and b_around."""
     text = lambda c: F.array_join(F.transform(f"{c}_words", lambda x: x["item"]), " ")
-    x = pairs.join(side("a"), "a").join(side("b"), "b")
     longest = F.greatest(F.length(text("a")), F.length(text("b")))
     letters = F.when(longest > 0, 1 - F.levenshtein(text("a"), text("b")) / longest).otherwise(0.0)
-    score = WORDS * _alike("a_words", "b_words") + LETTERS * letters + AROUND * _shared("a_around", "b_around")
-    return x.select("a", "b", score.alias("score"))
+    return WORDS * _alike("a_words", "b_words") + LETTERS * letters + AROUND * _shared("a_around", "b_around")
 
 
 def pivot_clusters(nodes: DataFrame, edges: DataFrame, seed: int = 42) -> DataFrame:
@@ -139,8 +176,7 @@ def link_entities(mentions: DataFrame, links: DataFrame | None = None, rounds: i
         none = F.array().cast("array<struct<item:string,w:double>>")
         weighed = p.select("pid", "n").join(_weights(p, "words", n), "pid", "left").join(_weights(p, "around", n), "pid", "left")
         known = written(weighed.select("pid", F.coalesce("words", none).alias("words"), F.coalesce("around", none).alias("around")), "known")
-        edges = scored(candidates(known, window), known).filter(F.col("score") >= same)
-        found = pivot_clusters(known.select(F.col("pid").alias("node")), written(edges, "edges"))
+        found = pivot_clusters(known.select(F.col("pid").alias("node")), written(positive(known, window, same), "edges"))
         keys = x.filter("id is not null").select("id", name_words(F.col("name")).alias("words"), F.array_sort(F.array_distinct(F.array_compact(F.coalesce("around", F.array().cast("array<string>"))))).alias("around"))
         members = keys.join(p.select("words", "around", F.col("pid").alias("node")), ["words", "around"]).join(found, "node")
         least = members.groupBy("cluster").agg(F.min("id").alias("least"))

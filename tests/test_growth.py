@@ -4,7 +4,8 @@ import random
 from pathlib import Path
 
 from loomgraph import reasoning
-from loomgraph.operators import infer, paths
+from loomgraph.operators import infer, linking, paths
+from loomgraph.sources import rdf
 from loomgraph.streaming import state
 
 
@@ -72,3 +73,31 @@ def test_batches_are_written_by_many_tasks(spark):
 
     reasoning._replayed(spark, spark.range(0, 900, 1, 4).withColumnRenamed("id", "seq").repartition(4), "seq", 3, start)
     assert files == [4, 8, 12]  # one file a batch before
+
+
+def test_positive_pairs_are_the_scored_candidates(spark, monkeypatch):
+    """Scored in stretches of the order, also across their ends, and never joined as pairs with the profiles."""
+    monkeypatch.setattr(linking, "STRETCH", 16)
+    rng = random.Random(3)
+    names = ["ann smith", "anne smith", "bob stone", "rob stone", "smith", "stone mason", "carl 12", "carl 13", ""]
+    rows = [(i, sorted({(w, 1.0 + len(w)) for w in rng.choice(names).split()}), [(f"n{rng.randrange(4)}", 2.0)]) for i in range(120)]
+    known = spark.createDataFrame(rows, "pid long, words array<struct<item:string,w:double>>, around array<struct<item:string,w:double>>")
+    want = linking.scored(linking.candidates(known, 5), known).filter("score >= 0.5").select("a", "b")
+    got = linking.positive(known, 5, 0.5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_line_of_ntriples_is_matched_once(spark):
+    lines = ['<a> <p> "x﷒y\\\\ \\"z\\"\ny"@en . # a remark\n', "_:b <p> <c\\u0041> .", "# nothing", "", None, "<a> <p> <b> <c> ."]
+    found = rdf.parse_ntriples(spark.createDataFrame([(x,) for x in lines], "value string"), malformed="drop")
+    assert list(map(tuple, found.collect())) == [("a", "p", 'x﷒y\\ "z"\ny', True, "en", None), ("_:b", "p", "cA", False, None, None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(rdf.LINE[:20]) == 1  # four times before, and as often as each term was used
+
+
+def test_turtle_blocks_are_made_from_the_columns(spark):
+    t = spark.createDataFrame([("a", "p", 'x "y" .'), ("a", "q", None), (None, "q", "z"), ("a b", "p", "_:n")], "s string, p string, o string")
+    blocks = rdf.turtle(t)
+    assert sorted(map(tuple, blocks.collect())) == [("<a>", "<a> <p> <x\\u0020\\u0022y\\u0022\\u0020.> ."), ("<a\\u0020b>", "<a\\u0020b> <p> _:n .")]
+    assert "regexp_extract" not in blocks._jdf.queryExecution().optimizedPlan().toString()
