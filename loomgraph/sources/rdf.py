@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,9 @@ BLANK = r"_:[^\s.]+(?:\.+[^\s.]+)*"
 #: Escaped backslashes and quotes are masked, so that a literal ends at the next quote and no pattern recurses over long ones. Where a
 #: line holds a mask itself, that is written as an escape first.
 MASKS = (("\\\\", "\ufdd0"), ('\\"', "\ufdd1"))
+#: What parts the terms of a line that was matched; and the characters that a line must not hold as they are.
+CUT = "\ufdd2"
+OWN = (*(mask for _, mask in MASKS), CUT)
 TERM = rf'(<[^>]*>|{BLANK}|"[^"]*"(?:\^\^<[^>]*>|@[A-Za-z]+(?:-[A-Za-z0-9]+)*)?)'
 LINE = rf"^\s*{TERM}\s+(<[^>]*>)\s+{TERM}\s*\.\s*(?:#.*)?$"
 #: The escapes of the format; letters that stand for a character, and the characters.
@@ -50,17 +56,22 @@ def parse_ntriples(lines: DataFrame, col: str = "value", malformed: str = "raise
     if malformed not in ("raise", "drop"):
         raise ValueError(f"malformed is raise or drop, not {malformed!r}")
     masked = F.col(col)
-    for _, mask in MASKS:
+    for mask in OWN:
         masked = F.replace(masked, F.lit(mask), F.lit(f"\\u{ord(mask):04X}"))
     for escape, mask in MASKS:
         masked = F.replace(masked, F.lit(escape), F.lit(mask))
-    lines = lines.select(masked.alias("line"))
-    at = lambda i: F.regexp_extract("line", LINE, i)
-    whole = F.col("line").rlike(LINE)
+    # Lines without an escape or a mask, which are most, are not rewritten; each line is matched once.
+    special = reduce(or_, [F.contains(F.col(col), F.lit(x)) for x in ("\\", *OWN)])
+    line = F.when(special, masked).otherwise(F.col(col))
+    # The three terms, and what is left; a line that does not match stays one part.
+    parts = F.split(F.regexp_replace(line, LINE, f"$1{CUT}$2{CUT}$3{CUT}"), CUT)
+    # Made by a generator, so that no later step matches the line again.
+    lines = lines.select(F.explode(F.array(parts)).alias("x"))
+    whole, first = F.size("x") == 4, F.col("x")[0]
     if malformed == "raise":
-        blank = F.col("line").isNull() | F.col("line").rlike(r"^\s*(?:#.*)?$")
-        whole = F.when(whole, True).when(blank, False).otherwise(F.raise_error(F.concat(F.lit("not a statement of N-Triples: "), F.substring("line", 1, 200))).cast("boolean"))
-    rows = lines.filter(whole).select(at(1).alias("a"), at(2).alias("b"), at(3).alias("c"))
+        blank = F.col("x").isNull() | first.rlike(r"^\s*(?:#.*)?$")
+        whole = F.when(whole, True).when(blank, False).otherwise(F.raise_error(F.concat(F.lit("not a statement of N-Triples: "), F.substring(first, 1, 200))).cast("boolean"))
+    rows = lines.filter(whole).select(first.alias("a"), F.col("x")[1].alias("b"), F.col("x")[2].alias("c"))
     tail = F.when(F.startswith("c", F.lit('"')), F.regexp_extract("c", r'(?s)^"[^"]*"(.*)$', 1))
     lang = F.when(F.startswith(tail, F.lit("@")), F.substring(tail, F.lit(2), F.length(tail)))
     kind = F.when(F.startswith(tail, F.lit("^^")), _unescaped(F.substring(tail, F.lit(4), F.length(tail) - 4)))
@@ -79,25 +90,32 @@ def _node(col: Column) -> Column:
     iri = col
     for char in ("\\", "<", ">", '"', "{", "}", "|", "^", "`", " ", "\n", "\r", "\t"):
         iri = F.replace(iri, F.lit(char), F.lit(f"\\u{ord(char):04X}"))
-    return F.when(col.rlike(f"^{BLANK}$"), col).otherwise(F.concat(F.lit("<"), iri, F.lit(">")))
+    iri = F.when(col.rlike(r'[\\<>"{}|^` \n\r\t]'), iri).otherwise(col)  # few have any
+    blank = F.startswith(col, F.lit("_:")) & col.rlike(f"^{BLANK}$")
+    return F.when(blank, col).otherwise(F.concat(F.lit("<"), iri, F.lit(">")))
 
 
-def ntriples(triples: DataFrame) -> DataFrame:
-    """One line for each triple; o_is_literal, o_lang and o_type are heeded where the table has them."""
+def _object(triples: DataFrame) -> Column:
+    """The object of each triple as the format spells it; o_is_literal, o_lang and o_type are heeded where the table has them."""
+    if "o_is_literal" not in triples.columns:
+        return _node(F.col("o"))
     quoted = F.col("o")
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         quoted = F.replace(quoted, F.lit(a), F.lit(b))
     has = lambda name: F.col(name) if name in triples.columns else F.lit(None).cast("string")
     tag = F.when(has("o_lang").isNotNull(), F.concat(F.lit("@"), has("o_lang"))).when(has("o_type").isNotNull(), F.concat(F.lit("^^"), _node(has("o_type")))).otherwise("")
-    literal = F.coalesce(F.col("o_is_literal"), F.lit(False)) if "o_is_literal" in triples.columns else F.lit(False)
-    obj = F.when(literal, F.concat(F.lit('"'), quoted, F.lit('"'), tag)).otherwise(_node(F.col("o")))
-    return triples.select(F.concat(_node(F.col("s")), F.lit(" "), _node(F.col("p")), F.lit(" "), obj, F.lit(" .")).alias("value"))
+    return F.when(F.coalesce(F.col("o_is_literal"), F.lit(False)), F.concat(F.lit('"'), quoted, F.lit('"'), tag)).otherwise(_node(F.col("o")))
+
+
+def ntriples(triples: DataFrame) -> DataFrame:
+    """One line for each triple; o_is_literal, o_lang and o_type are heeded where the table has them."""
+    return triples.select(F.concat(_node(F.col("s")), F.lit(" "), _node(F.col("p")), F.lit(" "), _object(triples), F.lit(" .")).alias("value"))
 
 
 def turtle(triples: DataFrame) -> DataFrame:
     """A block for each subject: its predicates and objects, sorted. A subject's block is cut into several of 1000
     statements, so that no row grows with the graph."""
-    lines = ntriples(triples).select(F.regexp_extract("value", r"^(\S+) ", 1).alias("s"), F.regexp_extract("value", r"(?s)^\S+ (.*) \.$", 1).alias("po"))
+    lines = triples.select(_node(F.col("s")).alias("s"), F.concat(_node(F.col("p")), F.lit(" "), _object(triples)).alias("po")).filter("s is not null and po is not null")
     counts = lines.groupBy("s").agg(F.count("*").alias("n"))
     part = F.pmod(F.xxhash64("po"), F.ceil(F.col("n") / 1000))
     blocks = lines.join(counts, "s").groupBy("s", part.alias("part")).agg(F.sort_array(F.collect_list("po")).alias("po"))
