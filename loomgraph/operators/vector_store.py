@@ -2,8 +2,8 @@
 
 Vectors are dealt to the list of their nearest centre; a list is a folder, so that a search reads the lists it probes and no others.
 Beside each vector stands a code of a few bytes, its residual from the centre in pieces that are each the number of the nearest
-word of a codebook. A search ranks the rows of the probed lists by their codes through one table of distances for a query, keeps the
-best few, and ranks these by their whole vectors.
+word of a codebook. A search ranks the rows of the probed lists by their codes through one table of distances for a query, the best few
+by their whole vectors, and then all others that their codes do not place beyond these, so that codes lose no answer.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ SAMPLE = 20_000
 LISTS, PIECES, WORDS, FILE_ROWS = 1024, 8, 256, 500_000
 #: Queries that one pass over the store answers, about; more are dealt to several passes by the hash of their id.
 QUERIES_AT_ONCE = 1000
+#: What rounding may add to a distance: unit vectors that lie at most about 1e-8 apart have a similarity of one.
+SLACK = 1e-7
 
 
 def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 20) -> np.ndarray:
@@ -67,6 +69,11 @@ class Model:
         gap = (self.centres**2).sum(1)[None] - 2 * q @ self.centres.T
         return np.argsort(gap, axis=1, kind="stable")[:, :n]
 
+    def errors(self, x: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
+        """Distances of rows of one list from what their codes stand for."""
+        rest = x - self.centres[which]
+        return np.sqrt(sum(((rest[:, a:b] - book[codes[:, k]]) ** 2).sum(1) for k, (a, b, book) in enumerate(zip(self.cuts, self.cuts[1:], self.books))))
+
     def gaps(self, q: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of one query to rows of one list, by their codes."""
         rest = q - self.centres[which]
@@ -138,8 +145,8 @@ def probed(spark: SparkSession, path: str, queries: DataFrame, probes: int) -> D
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, probes: int = 8, refine: int = 10, own: bool = False) -> DataFrame:
     """query, rank, uri, similarity: the k rows of greatest cosine similarity to each query (uri, vec), of the probes lists nearest to it; with as
-    many probes as lists and a refine that covers them, exactly. Of each query's rows refine * k are ranked by whole vectors. A query's own
-    uri is left out unless own is set. Ties go to the smaller uri; queries without a direction have no answers.
+    many probes as lists, exactly. Of the rows of a batch the refine * k nearest by their codes are ranked by whole vectors, then those of the
+    others that could still be among the k, given how far a code is from its row. A query's own uri is left out unless own is set. Ties go to the smaller uri; queries without a direction have no answers.
 
     The queries of one pass are collected; what a pass of several has found is written before the next."""
     model, store = load(spark, path), spark.read.parquet(f"{path}/rows")
@@ -161,10 +168,9 @@ def _least(by: np.ndarray, n: int) -> np.ndarray:
 
 
 def _answered(store: DataFrame, model: Model, queries: DataFrame, k: int, probes: int, refine: int, own: bool) -> DataFrame:
-    """One pass of search. A task keeps the best of each query over all its rows and sends only these on: by the codes refine * k, or k by
-    whole vectors where the codes would keep every row."""
+    """One pass of search. A task keeps the k best of each query over all its rows and sends only these on."""
     spark, kind = store.sparkSession, store.schema["uri"].dataType.simpleString()
-    schema = f"query {kind}, uri {kind}, gap double, similarity double"
+    schema = f"query {kind}, uri {kind}, similarity double"
     asked = queries.collect()
     if not asked:
         return spark.createDataFrame([], schema).select("query", F.lit(1).alias("rank"), "uri", "similarity")
@@ -176,37 +182,46 @@ def _answered(store: DataFrame, model: Model, queries: DataFrame, k: int, probes
     keep = k * refine
     whole = keep >= store.count()
     exact = whole and probes >= len(model.centres)  # all lists for all queries: a batch needs no grouping
-    most = (k if whole else keep) + 1  # one more, as the query's own row may be among them
+    most = k + 1  # one more, as the query's own row may be among them
 
     def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: dict[int, tuple] = {}
         for batch in batches:
             for which, rows in [(-1, batch)] if exact and len(batch) else batch.groupby("list"):
-                codes = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
-                vec, uri = np.stack(rows["vec"].to_numpy()).astype(np.float64).T.copy(), rows["uri"].to_numpy()
+                x, uri = np.stack(rows["vec"].to_numpy()).astype(np.float64), rows["uri"].to_numpy()
+                vec = x.T.copy()
+                if not whole:
+                    codes = np.frombuffer(b"".join(rows["code"]), dtype=np.uint8).reshape(len(rows), -1)
+                    errors = model.errors(x, int(which), codes)
                 for i in range(len(q)) if exact else wanted[int(which)]:
-                    gap = np.zeros(len(uri)) if whole else model.gaps(q[i], int(which), codes)
-                    at = np.arange(len(uri)) if whole else _least(gap, most)
-                    near = np.zeros(len(at))
-                    for part, x in zip(vec, q[i]):  # added part by part, so that equal vectors are equally similar wherever they stand
-                        near += part[at] * x
-                    found = (uri[at], gap[at], near)
-                    if i in best:
-                        found = tuple(np.concatenate(pair) for pair in zip(best[i], found))
-                    at = _least(-found[2] if whole else found[1], most)
+
+                    def near(at):
+                        out = np.zeros(len(at))
+                        for part, c in zip(vec, q[i]):  # added part by part, so that equal vectors are equally similar wherever they stand
+                            out += part[at] * c
+                        return out
+
+                    old = best.get(i, (uri[:0], np.zeros(0)))
+                    at = np.arange(len(uri))
+                    if not whole:
+                        gaps = model.gaps(q[i], int(which), codes)
+                        first = _least(gaps, keep + 1)
+                        known = np.concatenate([old[1], near(first)])
+                        if len(first) < len(uri) and len(known) >= most:
+                            # Unit vectors of similarity s lie sqrt(2 - 2 s) apart, and a row no nearer than its code less the code's error.
+                            reach = np.sqrt(max(2 - 2 * np.partition(known, -most)[-most], 0)) + SLACK
+                            at = np.union1d(first, np.flatnonzero(np.sqrt(gaps) - errors <= reach))
+                    found = tuple(np.concatenate(pair) for pair in zip(old, (uri[at], near(at))))
+                    at = _least(-found[1], most)
                     if len(at) > 2 * most:  # many alike: those of least id
-                        order = pd.DataFrame({"by": (-found[2] if whole else found[1])[at], "uri": found[0][at]}).sort_values(["by", "uri"]).index[:most]
-                        at = at[order]
+                        at = at[pd.DataFrame({"by": -found[1][at], "uri": found[0][at]}).sort_values(["by", "uri"]).index[:most]]
                     best[i] = tuple(x[at] for x in found)
-        for i, (uri, gap, near) in best.items():
-            yield pd.DataFrame({"query": names[i], "uri": uri, "gap": gap, "similarity": near})
+        for i, (uri, similarity) in best.items():
+            yield pd.DataFrame({"query": names[i], "uri": uri, "similarity": similarity})
 
     rows = store.filter(F.col("list").isin(sorted(wanted))).mapInPandas(ranked, schema)
     if not own:
         rows = rows.filter("uri <> query")
-    if not whole:
-        best = Window.partitionBy("query").orderBy("gap", "uri")
-        rows = rows.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= keep)
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "uri")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query", "rank", "uri", "similarity")
 

@@ -133,6 +133,19 @@ def test_vector_store(spark, tmp_path):
         vector_store.build(df.filter("uri >= 600"), str(tmp_path / "none"))
 
 
+def test_codes_lose_no_answer(spark, tmp_path):
+    """Codes of one byte for vectors alike in all directions: what is near by them is not near, at any number of rows."""
+    x = np.random.default_rng(5).normal(size=(1500, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "uri long, vec array<double>")
+    path = str(tmp_path / "store")
+    vector_store.build(df, path, lists=5, pieces=1)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    found = {}
+    for r in vector_store.search(spark, path, df.filter("uri % 100 = 0"), 5, probes=5, refine=1).orderBy("query", "rank").collect():
+        found.setdefault(r.query, []).append(r.uri)
+    assert found == {i: [j for j in np.argsort(-(u @ u[i]), kind="stable") if j != i][:5] for i in range(0, 1500, 100)}
+
+
 def test_codes_are_near(spark):
     """Distances by codes are those to the vectors that the codes stand for."""
     x, df = vectors(spark, 300, 8)
