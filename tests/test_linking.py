@@ -209,6 +209,19 @@ def test_skipgram_equals_a_plain_run(spark):
     assert all(np.allclose(a[n], first[place[n]], atol=1e-5) for n in names)
 
 
+def test_skipgram_moves_few_rows(spark, monkeypatch):
+    """A turn moves a row for each block and the pairs of two, and pairs are made once."""
+    tables, real = [], skipgram.written
+    monkeypatch.setattr(skipgram, "written", lambda df, name="table": tables.append((name, real(df, name))) or tables[-1][1])
+    made = spark.sparkContext.accumulator(0)
+    pairs = spark.range(400).selectExpr("concat('n', id % 40) AS node", "concat('n', (id * 7 + 3) % 40) AS other", "1.0D AS n").distinct()
+    n = pairs.count()
+    pairs = spark.createDataFrame(pairs.rdd.map(lambda r: made.add(1) or r), pairs.schema)
+    assert skipgram.skipgram(pairs, dim=4, epochs=2, block_nodes=10).count() == 40
+    assert made.value == n
+    assert {t.count() for name, t in tables if name == "vectors"} == {8}
+
+
 def test_alias_table():
     w = np.array([0.5, 3.0, 0.0, 1.5, 5.0])
     share, alias = skipgram.alias_table(w.copy())
