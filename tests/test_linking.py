@@ -333,6 +333,19 @@ def test_translation_equals_a_plain_run(spark, method):
     assert set(got) == set(vec) and all(np.allclose(got[n], vec[n], atol=1e-5) for n in vec)
 
 
+def test_translation_joins_once_and_leaves_no_tables(spark, monkeypatch):
+    from loomgraph.config import EmbeddingConfig
+    from loomgraph.operators import translate
+    from loomgraph.plans import written
+
+    names, real, before = [], translate.written, written.paths()
+    monkeypatch.setattr(translate, "written", lambda df, name="table": names.append(name) or real(df, name))
+    facts = spark.createDataFrame([(f"n{i % 5}", f"p{i % 2}", f"n{i % 3}") for i in range(12)], "s string, p string, o string")
+    assert translate.train_translation(facts, EmbeddingConfig(embedding_dim=3, epochs=2)).count() == 5
+    assert names == ["facts"] + ["gradients", "vectors", "vectors"] * 2
+    assert len(written.paths() - before) == 3  # the facts and the last vectors
+
+
 # Turtle in splits.
 
 
