@@ -270,6 +270,17 @@ def test_bad_rules(spark, program):
         rules.evaluate(program, frames(spark, {"q": [("a",)], "r": [("b",)]}))
 
 
+def test_atoms_of_one_variable_narrow_the_others(spark, monkeypatch):
+    """Statements of predicates that are not transitive are not joined with each other."""
+    joined, real = [], rules._narrowed
+    monkeypatch.setattr(rules, "_narrowed", lambda *a: joined.append((a[0], real(*a))) or joined[-1][1])
+    facts = [(f"x{i % 7}", "other", f"x{i % 5}") for i in range(35)] + [("a", "in", "b"), ("b", "in", "c")]
+    f = frames(spark, {"triple": facts, "transitive": [("in",)]})
+    program = "triple(X, P, Z) :- transitive(P), triple(X, P, Y), triple(Y, P, Z)."
+    assert answers(rules.evaluate(program, f)["triple"]) == sorted(set(facts) | {("a", "in", "c")})
+    assert max(t.count() for _, scans in joined[:2] for t in scans) == 2
+
+
 def test_supports(spark):
     """Every minimal support, checked by leaving facts out: a support is enough, no part of it is, and there is no other."""
     program = "reach(X, Y) :- edge(X, Y). reach(X, Z) :- reach(X, Y), reach(Y, Z). tied(X) :- reach(X, Y), mark(Y, X)."
